@@ -7,12 +7,13 @@ import shutil
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 #: Rows and bytes an Arrow batch holds at most, so that a Python worker's memory has a bound.
-BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 500, 2 << 20
 
 _own_dir: str | None = None
 
@@ -58,6 +59,11 @@ def bound_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def lean() -> None:
+    """For a Python worker: have Arrow give freed memory back to the system rather than keep it for the next task."""
+    pa.set_memory_pool(pa.system_memory_pool())
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -8,10 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import bpe, exact_dedup, packing, sharding
+from palimpsest.llm import bpe, exact_dedup, near_dedup, packing, sharding, warc
 from palimpsest.llm.common import table
 
 
+def op1_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.cut(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     digests = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
@@ -42,12 +46,30 @@ def op8_label_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op10_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = warc.round_trip(table(spark, sf_dir, "pages"), with_payload=False)
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP10_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+d AS (SELECT page_id, octet_length(body) AS payload_bytes, sha1(body) AS hex, min(page_id) OVER (PARTITION BY sha1(body)) AS first_id FROM p),
+b AS (SELECT *, list_transform(range(8), lambda i: CAST('0x' || substr(hex, CAST(1 + 5 * i AS INT), 5) AS INT)) AS part FROM d)
+SELECT page_id, payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((part[CAST(i // 4 + 1 AS INT)] >> CAST(15 - 5 * (i % 4) AS INT)) & 31) + 1, 1)), '') AS payload_digest,
+  CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = first_id THEN NULL ELSE first_id END AS refers_to
+FROM b
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_hyperminhash": op1_hyperminhash,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_merge_replay": op3_merge_replay,
     "op7_grace_dedup": op7_grace_dedup,
     "op8_label_propagation": op8_label_propagation,
+    "op10_warc_normaliser": op10_warc_normaliser,
 }
 
 #: Where SQL can say what a query returns. Tokenizing, packing and shard placement are tested against brute force.
-ORACLES: dict[str, str] = {"op7_grace_dedup": OP7_SQL}
+ORACLES: dict[str, str] = {"op7_grace_dedup": OP7_SQL, "op10_warc_normaliser": OP10_SQL}
