@@ -28,10 +28,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import bound_batches, durable
+from palimpsest.llm.common import bound_batches, durable, lean
 
 #: Bytes of distinct content a task holds in its table before it spills (or, in the combining pass, flushes).
-MEMORY_BYTES = 96 << 20
+MEMORY_BYTES = 24 << 20
 FANOUT_BITS = 4
 _BLANKS = bytes.maketrans(b"\t\n\v\f\r", b"     ")
 _NO_ID = (1 << 63) - 1
@@ -82,7 +82,7 @@ class OpenTable:
 
 LOCAL = "id long, g long, first boolean, rep boolean, h long, n long, sha binary, content binary"
 _LOCAL_PA = pa.schema([("id", pa.int64()), ("g", pa.int64()), ("first", pa.bool_()), ("rep", pa.bool_()), ("h", pa.int64()), ("n", pa.int64()), ("sha", pa.binary()), ("content", pa.binary())])
-_SLICE = 16 << 20
+_SLICE = 1 << 20
 
 
 def _signed(h: int) -> int:
@@ -102,8 +102,8 @@ def _combine(memory: int):
         firsts = [False] * len(ids)
         for row in where:
             firsts[row] = True
-        for lo in range(0, len(ids), 50_000):
-            part = slice(lo, lo + 50_000)
+        for lo in range(0, len(ids), 20_000):
+            part = slice(lo, lo + 20_000)
             n = len(ids[part])
             none = lambda kind: pa.nulls(n, kind)  # noqa: B023, E731
             yield pa.RecordBatch.from_arrays(
@@ -122,6 +122,7 @@ def _combine(memory: int):
             lo = hi
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         base = TaskContext.get().partitionId() << 40
         table, ids, groups = OpenTable(), [], []
         for batch in batches:
@@ -220,6 +221,8 @@ def _scratch() -> str:
 
 def _resolve(memory: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
+
         def records() -> Iterator[tuple]:
             for b in batches:
                 for h, i, g, n, sha, content in zip(*(c.to_pylist() for c in b.columns), strict=True):
