@@ -22,9 +22,10 @@ gives an empty table; pieces longer than the capacity are refused by ``pack`` (`
 from __future__ import annotations
 
 import json
+import pickle
 from bisect import bisect_left, bisect_right, insort
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,7 @@ from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from palimpsest.llm.bpe import read_ranks
-from palimpsest.llm.common import bound_batches, durable, number_within
+from palimpsest.llm.common import bound_batches, durable, lean, number_within
 
 Pattern = tuple[tuple[int, int], ...]
 
@@ -215,52 +216,51 @@ def pack(pieces: DataFrame, length_col: str = "length", order: list[str] | None
     )
 
 
-class TokenizerIds:
-    """Ids by a byte-level BPE file of the ``tokenizers`` library, special tokens being ordinary text.
+#: The pattern of the plain byte-level pre-tokenizer (fixed value).
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-    Where the file's merges are in the order of the ids they form (checked), the ranks they imply give the same ids
-    through the other library's encoder at several times the speed; else the file's own library encodes.
-    """
 
-    #: The pattern of the plain byte-level pre-tokenizer (fixed value).
-    PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+def ranks_of(text: str) -> dict[bytes, int] | None:
+    """The byte ranks a byte-level BPE file of the ``tokenizers`` library implies, if they give the same ids: its merges
+    must be in the order of the ids they form, nothing else may change a text, and every token must encode to itself."""
+    spec = json.loads(text)
+    model, pre = spec["model"], spec.get("pre_tokenizer") or {}
+    plain = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not spec.get("normalizer")
+    if model.get("type") != "BPE" or not plain or model.get("dropout") or model.get("ignore_merges"):
+        return None
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+    letter = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(shown))}
+    special = {t["content"] for t in spec.get("added_tokens", [])}
+    vocab = {t: i for t, i in model["vocab"].items() if t not in special}
+    merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+    formed = [vocab.get(a + b) for a, b in merges]
+    if None in formed or formed != sorted(set(formed)) or len(vocab) != 256 + len(merges) or min(formed) < 256:
+        return None
+    ranks = {bytes(letter[c] for c in t): i for t, i in vocab.items()}
+    encoding = _encoding(ranks)
+    return ranks if all(encoding._encode_single_piece(t) == [i] for t, i in ranks.items()) else None
+
 
-    def __init__(self, text: str) -> None:
-        self.own = Tokenizer.from_str(text)
-        self.own.encode_special_tokens = True
-        self.fast = self._fast(json.loads(text))
+def _encoding(ranks: dict[bytes, int]) -> tiktoken.Encoding:
+    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
-    @classmethod
-    def _fast(cls, spec: dict) -> tiktoken.Encoding | None:
-        model, pre = spec["model"], spec.get("pre_tokenizer") or {}
-        plain = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not spec.get("normalizer")
-        if model.get("type") != "BPE" or not plain or model.get("dropout") or model.get("ignore_merges"):
-            return None
-        shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
-        letter = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(shown))}
-        special = {t["content"] for t in spec.get("added_tokens", [])}
-        vocab = {t: i for t, i in model["vocab"].items() if t not in special}
-        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
-        formed = [vocab.get(a + b) for a, b in merges]
-        if None in formed or formed != sorted(set(formed)) or len(vocab) != 256 + len(merges) or min(formed) < 256:
-            return None
-        ranks = {bytes(letter[c] for c in t): i for t, i in vocab.items()}
-        encoding = tiktoken.Encoding("own", pat_str=cls.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        return encoding if all(encoding._encode_single_piece(t) == [i] for t, i in ranks.items()) else None
 
-    def __call__(self, text: str) -> np.ndarray:
-        if self.fast is not None:
-            return np.array(self.fast.encode_ordinary(text), dtype=np.uint32)
-        return np.array(self.own.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+def encoder(text: str) -> Callable[[str], list[int]]:
+    """Encodes by the ``tokenizers`` library itself; special tokens are ordinary text."""
+    own = Tokenizer.from_str(text)
+    own.encode_special_tokens = True
+    return lambda t: own.encode(t, add_special_tokens=False).ids
 
 
-_loaded: dict[int, TokenizerIds] = {}
+_loaded: dict[int, Callable[[str], list[int]]] = {}
 
 
-def _tokenizer(raw: bytes) -> TokenizerIds:
-    if (key := hash(raw)) not in _loaded:
+def _tokenizer(spec: bytes) -> Callable[[str], list[int]]:
+    """One per worker process; ``spec`` holds ranks where the file implies them, else the file."""
+    if (key := hash(spec)) not in _loaded:
         _loaded.clear()
-        _loaded[key] = TokenizerIds(raw.decode("utf-8"))
+        kind, held = pickle.loads(spec)
+        _loaded[key] = _encoding(held).encode_ordinary if kind == "ranks" else encoder(held)
     return _loaded[key]
 
 
@@ -270,16 +270,19 @@ def cut(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: st
     document's end, so that only the first may be shorter."""
     spark: SparkSession = df.sparkSession
     bound_batches(spark)
-    raw = spark.sparkContext.broadcast(read_ranks(spark, tokenizer_path))
+    file = read_ranks(spark, tokenizer_path).decode("utf-8")
+    ranks = ranks_of(file)
+    spec = spark.sparkContext.broadcast(pickle.dumps(("file", file) if ranks is None else ("ranks", ranks)))
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("piece", T.IntegerType(), False), T.StructField("start", T.LongType(), False), T.StructField("length", T.IntegerType(), False), T.StructField("ids", T.BinaryType(), False)])
     arrow = pa.schema([("doc_id", pa.int64()), pa.field("piece", pa.int32(), False), pa.field("start", pa.int64(), False), pa.field("length", pa.int32(), False), pa.field("ids", pa.binary(), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _tokenizer(raw.value)
+        lean()
+        encode = _tokenizer(spec.value)
         for b in batches:
             rows: list[tuple] = []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids = np.append(encode(text or ""), np.uint32(separator)).astype("<u4")
+                ids = np.array([*encode(text or ""), separator], dtype="<u4")
                 start, end, piece = 0, len(ids) % capacity or min(capacity, len(ids)), 0
                 while start < len(ids):
                     rows.append((doc, piece, start, end - start, ids[start:end].tobytes()))
