@@ -16,8 +16,8 @@ one, so repeated rows and other columns (whatever their names) stay as they are;
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +26,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from palimpsest.llm.common import bound_batches
+from palimpsest.llm.common import BATCH_BYTES, bound_batches, lean
 
 #: Bytes of text in a block; words kept in a worker's cache.
-BLOCK_BYTES, CACHE_WORDS = 24 << 20, 600_000
+BLOCK_BYTES, CACHE_WORDS = 8 << 20, 200_000
 _DEAD = 0xFFFF_FFFF
 
 
@@ -55,31 +55,31 @@ class MergeReplay:
                 if a is not None and b is not None:
                     self.pairs[a << 32 | b] = rank
         self.byte_pairs = np.array([self.ranks.get(bytes([a, b]), -1) for a in range(256) for b in range(256)], dtype=np.int32)
-        self.words: dict[str, tuple[int, ...]] = {}
+        self.words: dict[str, bytes] = {}
 
-    def replay(self, words: list[bytes]) -> list[tuple[int, ...]]:
-        """The ids of each word."""
-        done: dict[int, tuple[int, ...]] = {}
+    def replay(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word, as little-endian 32-bit integers."""
+        done: dict[int, bytes] = {}
         todo = []
         for k, w in enumerate(words):
             whole = self.ranks.get(w)
             if whole is not None:
-                done[k] = (whole,)
+                done[k] = whole.to_bytes(4, "little")
             else:
                 todo.append(k)
         if todo:
             done.update(zip(todo, self._merge([words[k] for k in todo]), strict=True))
         return [done[k] for k in range(len(words))]
 
-    def _merge(self, words: list[bytes]) -> list[tuple[int, ...]]:
+    def _merge(self, words: list[bytes]) -> list[bytes]:
         # one array for all words, with a dead cell between them that matches no pair
         raw = np.frombuffer(b"\0" + b"\0".join(words) + b"\0", dtype=np.uint8)
         ends = np.cumsum([0] + [len(w) + 1 for w in words])
         cells = self.byte_ids[raw]
         cells[ends] = _DEAD
-        tok = cells.tolist()
-        n = len(tok)
-        nxt, prv = list(range(1, n + 1)), list(range(-1, n - 1))
+        n = len(cells)
+        tok = array("q", cells.tobytes())
+        nxt, prv = array("i", range(1, n + 1)), array("i", range(-1, n - 1))
         index: dict[int, list[int]] = {}
         inside = np.ones(n, dtype=bool)
         inside[ends] = False
@@ -117,14 +117,15 @@ class MergeReplay:
                         index[q].append(i)
                     else:
                         index[q] = [i]
-        left = np.array(tok, dtype=np.int64)
+        left = np.frombuffer(tok, dtype=np.int64)
         alive = left != _DEAD
         upto = np.concatenate([[0], np.cumsum(alive)])
-        flat = left[alive].tolist()
-        cuts = upto[ends].tolist()
-        return [tuple(flat[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        flat = left[alive].astype("<i4").tobytes()
+        cuts = (4 * upto[ends]).tolist()
+        return [flat[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
-    def encode(self, texts: Iterable[str]) -> list[list[int]]:
+    def encode(self, texts: Iterable[str]) -> list[bytes]:
+        """The ids of each text, as little-endian 32-bit integers."""
         split = [self.split(t) for t in texts]
         known = self.words
         fresh = list({w for ws in split for w in ws if w not in known})
@@ -137,10 +138,10 @@ class MergeReplay:
         else:
             known.update(block)
             look = known
-        return [list(chain.from_iterable(map(look.__getitem__, ws))) for ws in split]
+        return [b"".join(map(look.__getitem__, ws)) for ws in split]
 
-    def decode(self, ids: Iterable[int]) -> bytes:
-        return b"".join(map(self.vocab.__getitem__, ids))
+    def decode(self, ids: bytes) -> bytes:
+        return b"".join(map(self.vocab.__getitem__, np.frombuffer(ids, dtype="<i4").tolist()))
 
 
 _loaded: dict[tuple[int, str], MergeReplay] = {}
@@ -155,42 +156,51 @@ def _tokenizer(rank_file: bytes, pattern: str) -> MergeReplay:
     return _loaded[key]
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Table]:
+def _blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[list[pa.RecordBatch]]:
     held, n = [], 0
     for b in batches:
         held.append(b)
         n += b.nbytes
         if n >= size:
-            yield pa.Table.from_batches(held)
+            yield held
             held, n = [], 0
     if held:
-        yield pa.Table.from_batches(held)
+        yield held
 
 
-def encode(df: DataFrame, rank_path: str, pattern: str, text_col: str = "text", ids_col: str = "ids", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``df`` with the text column replaced by ``ids_col array<int>``; all other columns pass through."""
+def _ids_cell(rows: list[bytes]) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum([len(r) // 4 for r in rows])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(rows), dtype="<i4")))
+
+
+def encode(df: DataFrame, rank_path: str, pattern: str, text_col: str = "text", ids_col: str = "ids", decoded_col: str | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``df`` with the text column replaced by ``ids_col array<int>``, and, if ``decoded_col`` is given, the bytes that
+    these ids decode to; all other columns pass through."""
     spark = df.sparkSession
     bound_batches(spark)
     ranks = spark.sparkContext.broadcast(read_ranks(spark, rank_path))
-    others = [c for c in df.columns if c not in (text_col, ids_col)]
-    schema = T.StructType([df.schema[c] for c in others] + [T.StructField(ids_col, T.ArrayType(T.IntegerType(), False), False)])
+    others = [c for c in df.columns if c not in (text_col, ids_col, decoded_col)]
+    made = [T.StructField(ids_col, T.ArrayType(T.IntegerType(), False), False)] + [T.StructField(decoded_col, T.BinaryType(), False)] * (decoded_col is not None)
+    names = [*others, *(f.name for f in made)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         tokenizer = _tokenizer(ranks.value, pattern)
         for block in _blocks(batches, block_bytes):
-            texts = [t or "" for t in block.column(text_col).to_pylist()]
-            ids = tokenizer.encode(texts)
-            # out in slices, so that no batch outgrows what came in
-            for lo in range(0, len(ids), 500):
-                part = block.slice(lo, 500).select(others).combine_chunks()
-                own = ids[lo : lo + 500]
-                offsets = np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int32)
-                flat = np.fromiter(chain.from_iterable(own), dtype=np.int32, count=int(offsets[-1]))
-                cell = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
-                columns = [part.column(c).combine_chunks() if part.num_rows else part.column(c) for c in others]
-                yield pa.RecordBatch.from_arrays([c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in columns] + [cell], names=[*others, ids_col])
-
-    return df.select(*[f"`{c}`" for c in others], F.col(text_col)).mapInArrow(run, schema)
+            ids = iter(tokenizer.encode(t or "" for b in block for t in b.column(text_col).to_pylist()))
+            for b in block:
+                # out in slices of bounded size
+                lo, rows, held = 0, [], 0
+                for k in range(b.num_rows):
+                    rows.append(next(ids))
+                    held += len(rows[-1])
+                    if held >= BATCH_BYTES or k + 1 == b.num_rows:
+                        part = b.slice(lo, len(rows))
+                        cells = [_ids_cell(rows)] + [pa.array([tokenizer.decode(r) for r in rows], pa.binary())] * (decoded_col is not None)
+                        yield pa.RecordBatch.from_arrays([*(part.column(c) for c in others), *cells], names=names)
+                        lo, rows, held = k + 1, [], 0
+
+    return df.select(*[f"`{c}`" for c in others], F.col(text_col)).mapInArrow(run, T.StructType([df.schema[c] for c in others] + made))
 
 
 def decode(df: DataFrame, rank_path: str, ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
@@ -202,11 +212,10 @@ def decode(df: DataFrame, rank_path: str, ids_col: str = "ids", bytes_col: str =
     schema = T.StructType([df.schema[c] for c in kept] + [T.StructField(bytes_col, T.BinaryType(), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         vocab = {int(b): base64.b64decode(a) for a, b in (line.split() for line in ranks.value.splitlines() if line.strip())}
-        piece = vocab.__getitem__
         for b in batches:
-            rows = b.column(ids_col).to_pylist()
-            out = pa.array([b"".join(map(piece, ids or ())) for ids in rows], pa.binary())
+            out = pa.array([b"".join(map(vocab.__getitem__, ids or ())) for ids in b.column(ids_col).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(c) for c in kept] + [out], names=[*kept, bytes_col])
 
     return df.select(*[f"`{c}`" for c in kept]).mapInArrow(run, schema)
