@@ -1,12 +1,12 @@
 """Toxicity by a linear classifier on character n-grams whose features are scaled by naive Bayes log-count ratios.
 
-A text's features are its distinct n-grams of 3 to 6 code points, in lower case, hashed to ``BUCKETS``. Training:
+A text's features are its distinct n-grams of 3 to 6 code points, in lower case, hashed to ``BUCKETS``. The classifier is
+fitted to a bounded sample, at most ``FIT_ROWS`` labelled rows: those with the smallest hash of their id. The sample's ids
+and labels are broadcast (their number has that bound), so no text is shuffled.
 
-1. over all labelled training rows: in how many texts of each label a bucket occurs (distributed sums of fixed size),
-   and from that each bucket's log-count ratio r;
-2. the ``FEATURES`` buckets whose ratio is most standard errors from 0 become the features, with value r where present;
-3. a logistic regression with L2 penalty is fitted to at most ``FIT_ROWS`` labelled rows, those with the smallest hash of
-   their id (a bounded sample; 1 and scoring use all rows).
+1. Sums of fixed size tell in how many texts of each label a bucket occurs, and from that each bucket's log-count ratio r.
+2. The ``FEATURES`` buckets whose ratio is most standard errors from 0 become the features, with value r where present.
+3. A logistic regression with L2 penalty is fitted to them.
 
 Scoring is one pass over the texts, without a shuffle. Labels, language, source and id are never inputs of a score.
 
@@ -133,7 +133,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     spark = docs.sparkSession
     bound_batches(spark)
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).where(~held_out(F.col(id_col))).groupBy(F.col(id_col).cast("long").alias("__id")).agg(F.max(F.col(label_col).cast("int")).alias("__label"))
-    rows = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text")).join(known, "__id")
+    sample = known.orderBy(F.xxhash64("__id"), "__id").limit(fit_rows)
+    rows = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(sample), "__id")
     rows = durable(rows.select("__id", "__text", "__label"), "labelled")
     sums = rows.select("__text", "__label").mapInArrow(_counts, "label int, block int, counts binary").groupBy("label", "block").applyInPandas(_added, "label int, block int, counts binary")
     count, texts = np.zeros((2, BUCKETS)), [0, 0]
@@ -163,11 +164,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         lean()
         for b in batches:
             cells = [blank.value.present(t or "").astype("<i2").tobytes() for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(cells, pa.binary())], names=["label", "slots"])
+            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array(cells, pa.binary())], names=["label", "id", "slots"])
 
-    # at most fit_rows of them: bounded on the driver by that number times the features
-    chosen = rows.orderBy(F.xxhash64("__id"), "__id").limit(fit_rows)
-    fit = [(r["label"], np.frombuffer(bytes(r["slots"]), dtype="<i2")) for r in chosen.select("__text", "__label").mapInArrow(present, "label int, slots binary").collect()]
+    # at most fit_rows ids: bounded on the driver by that number times the features
+    found = rows.select("__text", "__label", "__id").mapInArrow(present, "label int, id long, slots binary").collect()
+    fit = [(r["label"], np.frombuffer(bytes(r["slots"]), dtype="<i2")) for r in sorted(found, key=lambda r: (r["id"], r["label"], bytes(r["slots"])))]
     label = np.array([x for x, _ in fit], dtype=float)
     if not 0 < label.mean() < 1:
         return flat
