@@ -17,7 +17,9 @@ from __future__ import annotations
 
 import base64
 from array import array
+from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +31,7 @@ from pyspark.sql import types as T
 from palimpsest.llm.common import BATCH_BYTES, bound_batches, lean
 
 #: Bytes of text in a block; words kept in a worker's cache.
-BLOCK_BYTES, CACHE_WORDS = 8 << 20, 200_000
+BLOCK_BYTES, CACHE_WORDS = 12 << 20, 300_000
 _DEAD = 0xFFFF_FFFF
 
 
@@ -48,12 +50,17 @@ class MergeReplay:
         self.split = regex.compile(pattern).findall
         self.top = max(self.vocab, default=-1) + 1
         self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int64)
-        self.pairs: dict[int, int] = {}
+        # by the rank formed: the pairs that form it; by a token: what it forms with its right, or left, neighbour
+        self.cuts: dict[int, list[tuple[int, int]]] = {}
+        self.rightwards: dict[int, dict[int, int]] = {}
+        self.leftwards: dict[int, dict[int, int]] = {}
         for token, rank in self.ranks.items():
             for cut in range(1, len(token)):
                 a, b = self.ranks.get(token[:cut]), self.ranks.get(token[cut:])
                 if a is not None and b is not None:
-                    self.pairs[a << 32 | b] = rank
+                    self.cuts.setdefault(rank, []).append((a, b))
+                    self.rightwards.setdefault(a, {})[b] = rank
+                    self.leftwards.setdefault(b, {})[a] = rank
         self.byte_pairs = np.array([self.ranks.get(bytes([a, b]), -1) for a in range(256) for b in range(256)], dtype=np.int32)
         self.words: dict[str, bytes] = {}
 
@@ -91,32 +98,35 @@ class MergeReplay:
         starts = np.flatnonzero(np.diff(rank_of, prepend=-1)).tolist()
         for lo, hi in zip(starts, [*starts[1:], len(first)], strict=False):
             index[int(rank_of[lo])] = first[lo:hi].tolist()
-        get, dead = self.pairs.get, _DEAD
+        dead, none = _DEAD, {}
         for r in range(self.top):
             places = index.pop(r, None)
             if places is None:
                 continue
-            # a token may be formed by several pairs, and a pair may overlap itself: leftmost first then, as in one word
+            # a pair may overlap itself or another that forms the same token: leftmost first then, as in one word
             places.sort()
-            for i in places:
-                j = nxt[i]
-                if get(tok[i] << 32 | tok[j]) != r:
-                    continue
-                k, h = nxt[j], prv[i]
-                tok[i], tok[j] = r, dead
-                nxt[i], prv[k] = k, i
-                q = get(tok[h] << 32 | r)
-                if q is not None:
-                    if q in index:
-                        index[q].append(h)
-                    else:
-                        index[q] = [h]
-                q = get(r << 32 | tok[k])
-                if q is not None:
-                    if q in index:
-                        index[q].append(i)
-                    else:
-                        index[q] = [i]
+            to_right, to_left = self.rightwards.get(r, none), self.leftwards.get(r, none)
+            for a, b in self.cuts[r] if len(self.cuts[r]) == 1 else [(None, None)]:
+                for i in places:
+                    j = nxt[i]
+                    if a is None:
+                        if (tok[i], tok[j]) not in self.cuts[r]:
+                            continue
+                    elif tok[i] != a or tok[j] != b:
+                        continue
+                    k, h = nxt[j], prv[i]
+                    tok[i], tok[j] = r, dead
+                    nxt[i], prv[k] = k, i
+                    if (q := to_left.get(tok[h])) is not None:
+                        if q in index:
+                            index[q].append(h)
+                        else:
+                            index[q] = [h]
+                    if (q := to_right.get(tok[k])) is not None:
+                        if q in index:
+                            index[q].append(i)
+                        else:
+                            index[q] = [i]
         left = np.frombuffer(tok, dtype=np.int64)
         alive = left != _DEAD
         upto = np.concatenate([[0], np.cumsum(alive)])
@@ -127,17 +137,16 @@ class MergeReplay:
     def encode(self, texts: Iterable[str]) -> list[bytes]:
         """The ids of each text, as little-endian 32-bit integers."""
         split = [self.split(t) for t in texts]
-        known = self.words
-        fresh = list({w for ws in split for w in ws if w not in known})
-        block = dict(zip(fresh, self.replay([w.encode("utf-8") for w in fresh]), strict=True))
-        if len(known) + len(block) > CACHE_WORDS:
-            # words of this block that came from the cache are still needed for it
-            block.update((w, known[w]) for w in {w for ws in split for w in ws if w in known})
-            self.words = known = block if len(block) <= CACHE_WORDS else {}
-            look = block
-        else:
-            known.update(block)
-            look = known
+        known, times = self.words, Counter(chain.from_iterable(split))
+        fresh = [w for w in times if w not in known]
+        look = dict(zip(fresh, self.replay([w.encode("utf-8") for w in fresh]), strict=True))
+        # a word that came once in a block is not likely to come in the next
+        often = [w for w in fresh if times[w] > 1]
+        for w in times.keys() - look.keys():
+            look[w] = known[w]
+        if len(known) + len(often) > CACHE_WORDS:
+            known = self.words = {w: look[w] for w in times if times[w] > 2}
+        known.update((w, look[w]) for w in often[: CACHE_WORDS])
         return [b"".join(map(look.__getitem__, ws)) for ws in split]
 
     def decode(self, ids: bytes) -> bytes:
@@ -180,7 +189,9 @@ def encode(df: DataFrame, rank_path: str, pattern: str, text_col: str = "text",
     bound_batches(spark)
     ranks = spark.sparkContext.broadcast(read_ranks(spark, rank_path))
     others = [c for c in df.columns if c not in (text_col, ids_col, decoded_col)]
-    made = [T.StructField(ids_col, T.ArrayType(T.IntegerType(), False), False)] + [T.StructField(decoded_col, T.BinaryType(), False)] * (decoded_col is not None)
+    made = [T.StructField(ids_col, T.ArrayType(T.IntegerType(), False), False)]
+    if decoded_col is not None:
+        made.append(T.StructField(decoded_col, T.BinaryType(), False))
     names = [*others, *(f.name for f in made)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,7 +207,9 @@ def encode(df: DataFrame, rank_path: str, pattern: str, text_col: str = "text",
                     held += len(rows[-1])
                     if held >= BATCH_BYTES or k + 1 == b.num_rows:
                         part = b.slice(lo, len(rows))
-                        cells = [_ids_cell(rows)] + [pa.array([tokenizer.decode(r) for r in rows], pa.binary())] * (decoded_col is not None)
+                        cells = [_ids_cell(rows)]
+                        if decoded_col is not None:
+                            cells.append(pa.array([tokenizer.decode(r) for r in rows], pa.binary()))
                         yield pa.RecordBatch.from_arrays([*(part.column(c) for c in others), *cells], names=names)
                         lo, rows, held = k + 1, [], 0
 
