@@ -10,10 +10,15 @@ out). The registers of a candidate pair give an estimate of its similarity, corr
 accident at the two set sizes; pairs whose estimate is beyond ``MARGIN`` standard errors under the threshold go. All
 others are confirmed on their full sets.
 
+A bucket is a band's registers and a size class: sets that reach the threshold are of the same or neighbouring classes, so
+each set goes to its own and the next class's bucket.
+
 Groups of any size: documents with equal sets are one class from the start (so copies cost nothing). Round 1 compares
-each class of a bucket with the bucket's smallest only, a star. Round 2 looks at the buckets whose classes are still in
-different components, and there at all pairs of different components, in blocks, so that no link between different
-texts is lost and no bucket is gathered in one task.
+each class with one other, the smallest of the bucket it shares with most: a star. Round 2 looks at the buckets whose
+classes are still in different components, and there at all pairs of different components, in blocks of bounded size:
+first by sketch, each pair in the first of the buckets it shares; then, for classes with a pair left, on the full sets.
+Pairs never become rows; a block returns the links that join components. So no link between different texts is lost, and
+no bucket is gathered in one task.
 
 Defined cases: a null or blank text has an empty set and is linked with nothing; repeated rows are documents of their
 own with one id; an empty table gives an empty table; other columns stay as they are, whatever their names.
@@ -29,13 +34,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import bound_batches, components, durable, lean
+from palimpsest.llm.common import bound_batches, components, discard, durable, lean
 
 REGISTERS, BAND = 128, 4
 MANTISSA = 11
 MARGIN = 5.0
-#: Classes of a bucket that meet in one block of round 2.
-BLOCK = 1500
+#: Classes, and n-grams of theirs, that a block of round 2 holds.
+BLOCK, BLOCK_GRAMS = 1500, 1 << 20
 
 _UPPER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -142,23 +147,35 @@ def _sketched(n: int):
     return run
 
 
-BANDS = "band long, node long"
+def size_class(sizes: np.ndarray, percent: int) -> np.ndarray:
+    """Sizes whose ratio reaches the threshold are at most one class apart (classes are a little wide, for rounding)."""
+    return np.floor(np.log(sizes) / (np.log(100 / percent) * 1.001)).astype(np.int64)
 
 
-def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each band of a class that holds an n-gram; the key covers the band's place and registers."""
-    place = (np.arange(REGISTERS // BAND, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))[None, :]
-    lean()
-    for b in batches:
-        if not b.num_rows:
-            continue
-        nodes = b.column(0).to_numpy()
-        regs = np.frombuffer(b"".join(b.column(1).to_pylist()), dtype=np.uint16).reshape(len(nodes), REGISTERS // BAND, BAND)
-        key = place + regs.astype(np.uint64) @ (np.uint64(1) << np.arange(0, 16 * BAND, 16, dtype=np.uint64))
-        for shift, factor in ((31, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-            key = (key ^ (key >> np.uint64(shift))) * np.uint64(factor)
-        row, col = np.nonzero(regs.any(-1))
-        yield pa.RecordBatch.from_arrays([pa.array(key[row, col].view(np.int64)), pa.array(nodes[row], pa.int64())], names=["band", "node"])
+BANDS = "band long, place int, class int, node long"
+
+
+def _bands(percent: int):
+    """Two rows for each band of a class that holds an n-gram: its own size class's bucket, and the next one's."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
+        salt = (np.arange(REGISTERS // BAND, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))[None, :]
+        for b in batches:
+            if not b.num_rows:
+                continue
+            nodes = b.column(0).to_numpy()
+            regs = np.frombuffer(b"".join(b.column(2).to_pylist()), dtype=np.uint64).reshape(len(nodes), REGISTERS // BAND)
+            own = size_class(b.column(1).to_numpy(), percent)
+            row, col = np.nonzero(regs)
+            for step in (0, 1):
+                at = own[row] + step
+                key = salt[0, col] + regs[row, col] + at.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25)
+                for shift, factor in ((31, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+                    key = (key ^ (key >> np.uint64(shift))) * np.uint64(factor)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(col, pa.int32()), pa.array(at, pa.int32()), pa.array(nodes[row], pa.int64())], names=["band", "place", "class", "node"])
+
+    return run
 
 
 PAIRS = "a long, b long"
@@ -191,39 +208,135 @@ def _sets(n: int):
     return run
 
 
-def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs whose full sets reach the threshold. Only texts that occur in a pair are cut into n-grams again."""
-    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    ids = classes.join(nodes, "node", "left_semi").select(F.col("rep").alias("doc_id")).distinct()
-    sets = durable(docs.join(ids, "doc_id", "left_semi").select("content").mapInArrow(_sets(n), "node long, grams array<long>").dropDuplicates(["node"]), "sets")
+def _full_sets(nodes: DataFrame, classes: DataFrame, docs: DataFrame, n: int) -> DataFrame:
+    """``node, grams`` (sorted) of the classes in ``nodes(node)``; only texts of theirs are cut into n-grams again."""
+    ids = classes.join(nodes.distinct(), "node", "left_semi").select(F.col("rep").alias("doc_id")).distinct()
+    return durable(docs.join(ids, "doc_id", "left_semi").select("content").mapInArrow(_sets(n), "node long, grams array<long>").dropDuplicates(["node"]), "sets")
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose full sets reach the threshold."""
     left = sets.select(F.col("node").alias("a"), F.col("grams").alias("ga"))
     right = sets.select(F.col("node").alias("b"), F.col("grams").alias("gb"))
     both = F.size(F.array_intersect("ga", "gb"))
     return pairs.join(left, "a").join(right, "b").where(100 * both >= percent * (F.size("ga") + F.size("gb") - both)).select("a", "b")
 
 
-def _block_pairs(percent: int):
-    """Pairs of different components within a block pair of one bucket, by sketch."""
-    import pandas as pd
-
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        _, i, j = key
-        rows = rows.sort_values("node")
-        regs = np.frombuffer(b"".join(rows["sketch"]), dtype=np.uint16).reshape(-1, REGISTERS)
-        node, size, part, block = (rows[c].to_numpy() for c in ("node", "n_shingles", "component", "block"))
-        first, second = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        out_a, out_b = [], []
-        for x in first:
-            others = second[(part[second] != part[x]) & ((node[second] > node[x]) | (i != j))]
-            if len(others):
-                ok = others[passes(regs[others], regs[x][None, :], size[others], np.full(len(others), size[x]), percent)]
-                out_a += np.minimum(node[ok], node[x]).tolist()
-                out_b += np.maximum(node[ok], node[x]).tolist()
-        return pd.DataFrame({"a": np.array(out_a, dtype=np.int64), "b": np.array(out_b, dtype=np.int64)})
+#: Rows of whole groups handled at once, and pairs looked at in one step.
+_ROWS, _STEP = 4096, 40_000
+
+
+def _groups(batches: Iterator[pa.RecordBatch], size: int = _ROWS) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole groups from rows sorted by ``band, i, j``, with each row's group number."""
+    held: list[pa.RecordBatch] = []
+
+    def numbered(t: pa.Table) -> np.ndarray:
+        keys = [t.column(c).to_numpy() for c in ("band", "i", "j")]
+        new = np.ones(t.num_rows, dtype=bool)
+        new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+        return np.cumsum(new) - 1
+
+    for b in batches:
+        held.append(b)
+        if sum(x.num_rows for x in held) < size:
+            continue
+        t = pa.Table.from_batches(held)
+        group = numbered(t)
+        cut = int(np.searchsorted(group, group[-1]))
+        if cut:
+            yield t.slice(0, cut), group[:cut]
+        held = t.slice(cut).combine_chunks().to_batches()
+    if held and (t := pa.Table.from_batches(held)).num_rows:
+        yield t, numbered(t)
+
+
+def _near_pairs(t: pa.Table, group: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of rows that make a pair within their group: of different components (and, in a pair of blocks, one of each),
+    of fitting size, sharing no earlier bucket, and near by sketch. Left places ascend."""
+    regs = np.frombuffer(b"".join(t.column("sketch").to_pylist()), dtype=np.uint16).reshape(-1, REGISTERS)
+    keys = regs.view(np.uint64)
+    size, part, block, place, at, i, j = (t.column(c).to_numpy() for c in ("n_shingles", "component", "block", "place", "class", "i", "j"))
+    own, across = size_class(size, percent), i != j
+    n = len(group)
+    last = np.searchsorted(group, group, side="right")
+    todo = last - np.arange(n) - 1  # partners after each row
+    upto = np.concatenate([[0], np.cumsum(todo)])
+    lo = 0
+    while lo < n:
+        hi = max(lo + 1, int(np.searchsorted(upto, upto[lo] + _STEP, side="right")) - 1)
+        x = np.repeat(np.arange(lo, hi), todo[lo:hi])
+        y = x + 1 + np.arange(len(x)) - np.repeat(upto[lo:hi] - upto[lo], todo[lo:hi])
+        lo = hi
+        ok = (part[x] != part[y]) & (np.maximum(own[x], own[y]) == at[x]) & (~across[x] | (block[x] != block[y]))
+        ok &= 100 * np.minimum(size[x], size[y]) >= percent * np.maximum(size[x], size[y])
+        x, y = x[ok], y[ok]
+        if len(x):
+            shared = (keys[x] == keys[y]) & (keys[x] != 0)
+            ok = shared.argmax(1) == place[x]
+            x, y = x[ok], y[ok]
+        if len(x):
+            ok = passes(regs[x], regs[y], size[x], size[y], percent)
+            yield x[ok], y[ok]
+
+
+OPEN = "band long, i int, j int, node long"
+
+
+def _open_nodes(percent: int):
+    """The classes of a block that have a partner by sketch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
+        for t, group in _groups(batches):
+            hit = np.zeros(len(group), dtype=bool)
+            for x, y in _near_pairs(t, group, percent):
+                hit[x] = hit[y] = True
+            yield from t.select(["band", "i", "j", "node"]).filter(pa.array(hit)).combine_chunks().to_batches()
+
+    return run
+
+
+def _block_links(percent: int):
+    """The links on full sets that join components within a block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
+        for t, group in _groups(batches, 512):
+            node, size = t.column("node").to_numpy(), t.column("n_shingles").to_numpy()
+            # sorted as unsigned numbers
+            cell = t.column("grams").combine_chunks()
+            cell = cell.chunk(0) if isinstance(cell, pa.ChunkedArray) else cell
+            ends, flat = cell.offsets.to_numpy(), cell.values.to_numpy().view(np.uint64)
+            parts = np.unique(np.stack([group, t.column("component").to_numpy()]), axis=1, return_inverse=True)[1].reshape(-1)
+            out: list[tuple[int, int]] = []
+            for xs, ys in _near_pairs(t, group, percent):
+                cuts = np.flatnonzero(np.diff(xs, prepend=-1))
+                for lo, hi in zip(cuts, [*cuts[1:], len(xs)], strict=True):
+                    x, o = xs[lo], ys[lo:hi]
+                    o = o[parts[o] != parts[x]]
+                    if not len(o):
+                        continue
+                    mine = flat[ends[x] : ends[x + 1]]
+                    theirs = np.concatenate([flat[ends[y] : ends[y + 1]] for y in o])
+                    at = np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)
+                    starts = np.concatenate([[0], np.cumsum(size[o])[:-1]])
+                    both = np.add.reduceat((mine[at] == theirs).astype(np.int64), starts)
+                    for y in o[100 * both >= percent * (size[o] + size[x] - both)]:
+                        if parts[y] != parts[x]:
+                            out.append((int(node[x]), int(node[y])))
+                            parts[parts == parts[y]] = parts[x]
+            if out:
+                a, b = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return run
 
 
+def _by_block(rows: DataFrame) -> DataFrame:
+    """The rows of a block side by side in one partition."""
+    return rows.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "node")
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of ``df``: ``doc_id, n_shingles, component_id, kept``. Documents are linked when 100 times their
     intersection is at least ``percent`` times their union; ``component_id`` is the smallest id reachable over links."""
@@ -236,9 +349,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # a set of fewer n-grams can reach the threshold with no other set
     least = -(-percent // (100 - percent)) if percent < 100 else 1 << 60
     facts = classes.where((F.col("n_shingles") >= least) & F.col("rep").isNotNull()).select("node", "n_shingles", "sketch")
-    bands = facts.select("node", "sketch").mapInArrow(_bands, BANDS)
+    bands = facts.mapInArrow(_bands(percent), BANDS)
     stars = bands.groupBy("band").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    # of the bands, only those shared by two classes or more are written
+    # of the buckets, only those shared by two classes or more are written
     shared = durable(bands.join(stars, "band"), "bands")
 
     def screened(pairs: DataFrame) -> DataFrame:
@@ -247,21 +360,30 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         rows = pairs.join(left, "a").join(right, "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
         return rows.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_filter_pairs(percent), PAIRS)
 
-    first = durable(screened(shared.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()), "pairs")
-    links = durable(_confirmed(first, classes, docs, words, percent), "links")
+    often = shared.where("node <> head").groupBy("node", "head").agg(F.count(F.lit(1)).alias("times"))
+    star = often.groupBy("node").agg(F.max(F.struct("times", "head")).alias("m")).select(F.col("m.head").alias("a"), F.col("node").alias("b"))
+    first = durable(screened(star), "pairs")
+    sets = _full_sets(first.select(F.col("a").alias("node")).unionByName(first.select(F.col("b").alias("node"))), classes, docs, words)
+    links = durable(_confirmed(first, sets, percent), "links")
+    discard(spark, sets)
     parts = components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
 
     # round 2: buckets with classes of different components
-    placed = shared.join(parts, "node", "left").select("band", "node", "n", F.coalesce("component", "node").alias("component"))
-    open_bands = placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("band")
-    members = placed.join(open_bands, "band").join(facts, "node").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    placed = shared.join(parts, "node", "left").join(facts.select("node", "n_shingles"), "node").select("band", "place", "class", "node", "n", "n_shingles", F.coalesce("component", "node").alias("component"))
+    blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("grams") / BLOCK_GRAMS)).cast("int").alias("blocks")
+    open_bands = placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("n").alias("n"), F.sum("n_shingles").alias("grams")).where("lo <> hi").select("band", blocks)
+    members = placed.join(open_bands, "band").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-    met = dealt.select("band", "i", "j", "node", "n_shingles", "sketch", "component", "block").groupBy("band", "i", "j").applyInPandas(_block_pairs(percent), PAIRS)
-    second = durable(met.distinct().join(first, ["a", "b"], "left_anti"), "pairs")
-    if not second.isEmpty():
-        more = _confirmed(second, classes, docs, words, percent)
+    dealt = durable(dealt.select("band", "i", "j", "node", "n_shingles", "component", "block", "place", "class"), "blocks")
+    seen = durable(_by_block(dealt.join(facts.select("node", "sketch"), "node")).mapInArrow(_open_nodes(percent), OPEN), "open")
+    if not seen.isEmpty():
+        sets = _full_sets(seen.select("node"), classes, docs, words)
+        rows = dealt.join(seen, ["band", "i", "j", "node"]).join(facts.select("node", "sketch"), "node").join(sets, "node")
+        more = durable(_by_block(rows).mapInArrow(_block_links(percent), PAIRS), "links")
+        discard(spark, sets)
         known = parts.where("node <> component").select(F.col("node").alias("src"), F.col("component").alias("dst"))
         parts = components(known.unionByName(more.select(F.col("a").alias("src"), F.col("b").alias("dst"))))
+    discard(spark, dealt, shared)
 
     grouped = classes.select("node", "rep").join(parts, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component"))
     least_doc = grouped.groupBy("component").agg(F.min("rep").alias("least"))
