@@ -7,7 +7,8 @@ is its residual condition. A hot host makes many captures with one key but few i
 
 Defined cases: null or unparsable URLs and null fetch times match nothing and pass; of entries for one key at one time a
 removal wins; repeated entries count once; repeated captures are evaluated as rows; an empty list passes everything;
-other columns of the captures stay as they are. The captures must give the same rows in the same order when read again
+other columns of the captures stay as they are, but for those named like
+an output column, which it replaces. The captures must give the same rows in the same order when read again
 (files or a written table): rows are matched by their place.
 """
 
@@ -53,7 +54,15 @@ def evaluate(captures: DataFrame, entries: DataFrame, url_col: str = "url", time
     hits = asked.join(intervals(entries), ["kind", "value"]).where(active)
     order = F.struct(-F.length("value"), F.element_at(F.create_map(F.lit("prefix"), F.lit(0), F.lit("host"), F.lit(1), F.lit("domain"), F.lit(2)), F.col("kind")), F.col("list"))
     best = F.min_by(F.struct("list", "kind", "value", "valid_from"), order)
-    found = hits.groupBy("__row").agg(F.count(F.lit(1)).alias("n"), best.alias("b"))
-    return marked.withColumn("host", F.nullif(host_of(F.col(url_col)), F.lit(""))).join(found, "__row", "left").select(
-        *[F.col(f"`{c}`") for c in captures.columns], "host", F.col("n").isNotNull().alias("blocked"), F.coalesce("n", F.lit(0)).alias("n_matches"), F.col("b.list").alias("matched_list"), F.col("b.kind").alias("matched_kind"), F.col("b.value").alias("matched_value"), F.col("b.valid_from").alias("valid_from")
-    )
+    found = hits.groupBy("__row").agg(F.count(F.lit(1)).alias("__n"), best.alias("__best"))
+    made = {
+        "host": F.nullif(host_of(F.col(url_col)), F.lit("")),
+        "blocked": F.col("__n").isNotNull(),
+        "n_matches": F.coalesce("__n", F.lit(0)),
+        "matched_list": F.col("__best.list"),
+        "matched_kind": F.col("__best.kind"),
+        "matched_value": F.col("__best.value"),
+        "valid_from": F.col("__best.valid_from"),
+    }
+    own = [F.col(f"`{c}`") for c in captures.columns if c not in made]
+    return marked.join(found, "__row", "left").select(*own, *[v.alias(k) for k, v in made.items()])
