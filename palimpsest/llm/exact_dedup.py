@@ -267,7 +267,8 @@ def text_key(text: str) -> F.Column:
 
 def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", memory: int = MEMORY_BYTES) -> DataFrame:
     """The rows of ``df`` that stay, with all their columns: of equal texts, the one with the smallest id."""
-    kept = duplicates(df, id_col, text_col, memory).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
-    found = df.withColumn("__key", text_key(text_col))
-    found = found.join(kept, found[id_col].cast("long").eqNullSafe(kept["__id"]) & (found["__key"] == kept["__sha"]))
-    return found.dropDuplicates(["__id", "__key"]).select(*[found[f"`{c}`"] for c in df.columns])
+    key = lambda c: F.coalesce(c, F.lit(_NO_ID))
+    kept = duplicates(df, id_col, text_col, memory).where("kept").select(key(F.col("doc_id")).alias("__id"), F.col("text_sha256").alias("__key"))
+    # rows that tie in both are one after the join, which has already brought them together
+    found = df.withColumn("__id", key(F.col(id_col).cast("long"))).withColumn("__key", text_key(text_col)).join(kept, ["__id", "__key"])
+    return found.dropDuplicates(["__id", "__key"]).select(*[F.col(f"`{c}`") for c in df.columns])
