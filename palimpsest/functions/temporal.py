@@ -141,7 +141,8 @@ def waterfall(*dates: Column) -> Column:
 def to_datetime(value: Column, reference: Column) -> Column:
     """An ISO string (a trailing Z is dropped), else what the expression resolves to."""
     plain = F.regexp_replace(value, r"Z$", "")
-    return F.coalesce(plain.try_cast("timestamp_ntz"), resolve_date(value, reference))
+    iso = F.when(plain.rlike(r"^\s*\d{4}-\d"), plain).try_cast("timestamp_ntz")  # the cast itself knows words like "today"
+    return F.coalesce(iso, resolve_date(value, reference))
 
 
 def session_timestamp(value: Column) -> Column:

@@ -18,13 +18,15 @@ def confirmed(writes: DataFrame, revive: bool = False) -> DataFrame:
     current. A tombstoned edge stays as it was, unless ``revive``."""
     order = F.struct(F.col("id"))
     last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), order)).alias(c)
-    other = [c for c in writes.columns if c not in ("id", "user_id", "source_text_hash", "subject", "predicate", "object", "source_timestamp", "is_current", "tombstoned_at")]
+    other = [c for c in writes.columns if c not in ("id", "user_id", "source_text_hash", "subject", "predicate", "object", "is_current", "tombstoned_at", "first_learned_at", "last_confirmed_at", "writes")]
+    learned = F.coalesce("first_learned_at", "source_timestamp") if "first_learned_at" in writes.columns else F.col("source_timestamp")
+    seen = F.coalesce("last_confirmed_at", "source_timestamp") if "last_confirmed_at" in writes.columns else F.col("source_timestamp")
     grouped = writes.groupBy("user_id", "source_text_hash").agg(
         F.min("id").alias("id"),
         *[F.min_by(c, order).alias(c) for c in other],
         *[last(c) for c in ("subject", "predicate", "object")],
-        F.min("source_timestamp").alias("first_learned_at"),
-        F.max("source_timestamp").alias("last_confirmed_at"),
+        F.min(learned).alias("first_learned_at"),
+        F.max(seen).alias("last_confirmed_at"),
         F.count(F.lit(1)).alias("writes"),
         F.min_by("is_current", order).alias("__current"),
         F.min_by("tombstoned_at", order).alias("__tombstone"),
@@ -37,7 +39,7 @@ def superseded(edges: DataFrame, keys: tuple[str, ...] = ("user_id", "subject",
     """Slowly changing facts: within a key, a run of equal objects is superseded by the first row of the next run. Adds
     ``island, superseded_by, superseded_at, now_current``. Tombstoned rows take no part."""
     w = _ROWS(*keys)
-    rows = live(edges)
+    rows = live(edges).drop("superseded_by", "superseded_at")
     changed = rows.withColumn("__new", F.coalesce((~F.col("object").eqNullSafe(F.lag("object").over(w))).cast("int"), F.lit(1)))
     rows = changed.withColumn("island", F.sum("__new").over(w))
     heads = rows.groupBy(*keys, "island").agg(F.min("id").alias("superseded_by"), F.min_by("source_timestamp", "id").alias("superseded_at"))
@@ -175,3 +177,7 @@ def quality_gate(speaker: Column) -> Column:
 def relational_type() -> Column:
     """The schema's relation where the parser only says personal."""
     return F.when(F.coalesce("relational_type", F.lit("personal")) == "personal", dims.mapped(F.col("schematic"), dims.SCHEMA_RELATION, "personal")).otherwise(F.col("relational_type"))
+
+
+def relational_type_of(schematic: str) -> Column:
+    return dims.mapped(F.col(schematic), dims.SCHEMA_RELATION, "personal")

@@ -6,19 +6,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-EDGE = T._parse_datatype_string(
-    "id LONG, user_id LONG, subject STRING, predicate STRING, object STRING, object_full STRING, source_text STRING, source_text_hash STRING, source_tag STRING, "
-    "created_at TIMESTAMP_NTZ, source_timestamp TIMESTAMP_NTZ, resolved_event_date TIMESTAMP_NTZ, temporal_expression STRING, schematic STRING, temporal_context STRING, "
-    "relational_type STRING, significance STRING, valence DOUBLE, emotion STRING, emotion_target STRING, entities ARRAY<STRING>, context_entity STRING, episodic_fact STRING, "
-    "mood STRING, negated BOOLEAN, is_historical BOOLEAN, is_current BOOLEAN, superseded_at TIMESTAMP_NTZ, superseded_by LONG, tombstoned_at TIMESTAMP_NTZ, tombstone_reason STRING, "
-    "first_learned_at TIMESTAMP_NTZ, last_confirmed_at TIMESTAMP_NTZ, cluster_id LONG, arc_id STRING, sequence_number LONG, subject_type STRING, object_type STRING, "
-    "affiliation DOUBLE, confidence DOUBLE, embedding ARRAY<FLOAT>, pqs ARRAY<STRUCT<text STRING, embedding ARRAY<FLOAT>>>, vqs ARRAY<STRING>"
-)
+_KINDS = {"long": T.LongType(), "string": T.StringType(), "double": T.DoubleType(), "boolean": T.BooleanType(), "time": T.TimestampNTZType(), "strings": T.ArrayType(T.StringType()), "vector": T.ArrayType(T.FloatType())}
+
+
+def _struct(fields: str) -> T.StructType:
+    """``"a b: string, c: long"``: columns by kind."""
+    groups = (g.split(":") for g in fields.split(","))
+    return T.StructType([T.StructField(n, _KINDS[kind.strip()]) for names, kind in groups for n in names.split()])
+
+
+_QUESTION = T.StructType([T.StructField("text", T.StringType()), T.StructField("embedding", T.ArrayType(T.FloatType()))])
+
+EDGE = _struct(
+    "id user_id: long, subject predicate object object_full source_text source_text_hash source_tag: string, created_at source_timestamp resolved_event_date: time, "
+    "temporal_expression schematic temporal_context relational_type significance: string, valence: double, emotion emotion_target: string, entities: strings, "
+    "context_entity episodic_fact mood: string, negated is_historical is_current: boolean, superseded_at: time, superseded_by: long, tombstoned_at: time, tombstone_reason: string, "
+    "first_learned_at last_confirmed_at: time, cluster_id: long, arc_id: string, sequence_number: long, subject_type object_type: string, affiliation confidence: double, embedding: vector, vqs: strings"
+).add("pqs", T.ArrayType(_QUESTION))
 
 #: What a column holds in rows written before it existed.
 EDGE_DEFAULTS = {"schematic": "uncategorized", "temporal_context": "present", "relational_type": "personal", "significance": "routine", "valence": 0.5, "confidence": 0.9, "is_current": True, "negated": False, "is_historical": False, "subject_type": "GENERIC", "object_type": "GENERIC"}
 
-UTTERANCE = T._parse_datatype_string("user_id LONG, text STRING, speaker STRING, listener STRING, ts TIMESTAMP_NTZ, tag STRING")
+UTTERANCE = _struct("user_id: long, text speaker listener: string, ts: time, tag: string")
 
 
 def conform(df: DataFrame, schema: T.StructType = EDGE, defaults: dict | None = None) -> DataFrame:
