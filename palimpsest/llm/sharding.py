@@ -22,7 +22,9 @@ from pyspark.sql import Window as W
 
 from palimpsest.llm.common import durable, number_within
 
-MAX_ROUNDS = 8
+MAX_ROUNDS = 24
+#: A shard may hold so many times its quota while labels move; at the end it holds its quota.
+SLACK = 2
 
 
 def _quota(total: int, shards: int) -> list[int]:
@@ -60,24 +62,29 @@ def balance(nodes: DataFrame, shards: int = 8, rounds: int = MAX_ROUNDS) -> Data
     quota = _quota(total, shards)
     for _ in range(rounds if n_linked else 0):
         counts = linked.groupBy("grp", "shard").agg(F.count(F.lit(1)).alias("here"))
-        # the fullest shard of the group; between equals, the one that comes first counting from the group's own place
-        turn = F.pmod(F.col("shard") - F.xxhash64("grp"), F.lit(shards))
-        best = counts.groupBy("grp").agg(F.max(F.struct(F.col("here"), -turn, F.col("shard"))).alias("b")).select("grp", F.col("b.shard").alias("goal"), F.col("b.here").alias("there"))
         load = {r["shard"]: r["n"] for r in linked.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}
-        wish = linked.join(counts, ["grp", "shard"]).join(best, "grp").withColumn("move", (F.col("goal") != F.col("shard")) & (F.col("there") >= F.col("here")))
-        movers = number_within(wish.where("move").select("row", "grp", "n", "goal"), ["goal"], _spread(), [F.col("grp"), F.col("row")], "nth", SPREAD)
-        room = [max(0, q - load.get(s, 0)) for s, q in enumerate(quota)]
+        room = [max(0, SLACK * q - load.get(s, 0)) for s, q in enumerate(quota)]
+        # of the shards with room, the one with most of the group; between equals, the one that comes first counting from the
+        # group's own place
+        turn = F.pmod(F.col("shard") - F.xxhash64("grp"), F.lit(shards))
+        best = counts.where(_pick(F.col("shard"), room) > 0).groupBy("grp").agg(F.max(F.struct(F.col("here"), -turn, F.col("shard"))).alias("b")).select("grp", F.col("b.shard").alias("goal"), F.col("b.here").alias("there"))
+        # decided for each group and shard, then joined to the documents once
+        moves = counts.join(best, "grp").where((F.col("goal") != F.col("shard")) & (F.col("there") >= F.col("here"))).select("grp", "shard", "goal")
+        wish = linked.join(moves, ["grp", "shard"])
+        movers = number_within(wish.select("row", "grp", "n", "goal"), ["goal"], _spread(), [F.col("grp"), F.col("row")], "nth", SPREAD)
         admitted = durable(movers.where(F.col("nth") < _pick(F.col("goal"), room)).select("row", "goal"), "moves")
         if admitted.isEmpty():
             break
         linked = durable(linked.join(admitted, "row", "left").select("row", "grp", "n", F.coalesce("goal", "shard").alias("shard")), "linked")
-    # what a shard holds beyond its quota goes to the documents that may go anywhere
+    # what a shard holds beyond its quota fills, together with the documents without links, the shards that have room; both
+    # are taken group by group
     ranked = number_within(linked, ["shard"], _spread(), [F.col("grp"), F.col("row")], "nth", SPREAD)
-    placed = durable(ranked.withColumn("over", F.col("nth") >= _pick(F.col("shard"), quota)).select("row", "shard", "over"), "placed")
+    placed = durable(ranked.withColumn("over", F.col("nth") >= _pick(F.col("shard"), quota)).select("row", "grp", "n", "shard", "over"), "placed")
     load = {r["shard"]: r["n"] for r in placed.where("not over").groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}
     room = [q - load.get(s, 0) for s, q in enumerate(quota)]
-    free = nodes.join(placed.where("not over"), "row", "left_anti").select("row", F.lit(0).alias("all"))
-    spread = number_within(free, ["all"], F.xxhash64("row"), [F.col("row")], "nth", buckets=512)
+    alone = nodes.join(placed, "row", "left_anti").select("row", F.col("row").cast("string").alias("grp"), F.lit(1).cast("long").alias("n"))
+    free = placed.where("over").select("row", "grp", "n").unionByName(alone).withColumn("all", F.lit(0))
+    spread = number_within(free, ["all"], _spread(), [F.col("grp"), F.col("row")], "nth", SPREAD)
     return placed.where("not over").select("row", "shard").unionByName(spread.select("row", _where(F.col("nth"), room).alias("shard")))
 
 
