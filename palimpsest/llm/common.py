@@ -16,6 +16,8 @@ from pyspark.sql import Window as W
 BATCH_ROWS, BATCH_BYTES = 500, 2 << 20
 
 _own_dir: str | None = None
+#: Folders made in this process, for ``release``.
+_made: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,7 +34,20 @@ def shared_dir(spark: SparkSession) -> str:
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that no other run uses."""
-    return f"{shared_dir(spark)}/palimpsest/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/palimpsest/{name}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+def release(spark: SparkSession) -> None:
+    """Delete every table this process has written to the shared folder; results not written elsewhere by then are lost."""
+    while _made:
+        _delete(spark, _made.pop())
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def durable(df: DataFrame, name: str) -> DataFrame:
@@ -48,9 +63,8 @@ def discard(spark: SparkSession, *frames: DataFrame) -> None:
     for df in frames:
         for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
             if "/palimpsest/" not in folder:
-                continue
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+                continue  # not ours
+            _delete(spark, folder)
 
 
 def bound_batches(spark: SparkSession) -> None:

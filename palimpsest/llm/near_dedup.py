@@ -21,7 +21,8 @@ Pairs never become rows; a block returns the links that join components. So no l
 no bucket is gathered in one task.
 
 Defined cases: a null or blank text has an empty set and is linked with nothing; repeated rows are documents of their
-own with one id; an empty table gives an empty table; other columns stay as they are, whatever their names.
+own with one id, and share a component if any of them is linked; a null id is linked with nothing but copies of a
+known id; an empty table gives an empty table; other columns stay as they are, whatever their names.
 """
 
 from __future__ import annotations
