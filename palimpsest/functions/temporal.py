@@ -168,3 +168,16 @@ def is_duration(span: Column, before: Column | None = None) -> Column:
 
 def hours_any(at: Column, hours: list[int]) -> Column:
     return reduce(lambda a, h: a | (F.hour(at) == h), hours, F.lit(False))
+
+
+def since_seconds(sentence: Column, reference: Column) -> Column:
+    """The length a sentence names: ``for`` a count of units, or ``since`` a date up to the reference."""
+    s = F.lower(sentence)
+    count = F.regexp_extract(s, rf"\bfor (\d+|an?|{'|'.join(NUMBERS)}) (second|minute|hour|day|week|month|year)s?\b", 1)
+    unit = F.regexp_extract(s, rf"\bfor (\d+|an?|{'|'.join(NUMBERS)}) (second|minute|hour|day|week|month|year)s?\b", 2)
+    word = F.array_position(F.array(*map(F.lit, NUMBERS)), count).cast("int")
+    n = F.when(count.isin("a", "an"), 1).when(word > 0, word).otherwise(F.nullif(count, F.lit("")).try_cast("int"))
+    sizes = {"second": 1, "minute": 60, "hour": 3600, "day": 86400, "week": 604800, "month": 2592000, "year": 31536000}
+    per = F.try_element_at(F.create_map(*[F.lit(x) for kv in sizes.items() for x in kv]), unit)
+    start = resolve_date(F.nullif(F.regexp_extract(s, r"\bsince (.+?)[.?!]?$", 1), F.lit("")), reference)
+    return F.coalesce((n * per).cast("double"), F.abs(seconds_between(reference, start)))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.operators import analyze, dataset
+from palimpsest.functions import text
+from palimpsest.operators import analyze, dataset, grading
 from palimpsest.plans.memory import WITH, values
 from palimpsest.plans.registered import query
 from palimpsest.sources.fixtures import edges, table
@@ -153,3 +154,23 @@ def pq_templates(spark: SparkSession, d: str) -> DataFrame:
 def decompose(spark: SparkSession, d: str) -> DataFrame:
     """Every turn of the conversations, cleaned, cut into sentences and decomposed."""
     return analyze.decomposed(table(spark, d, "conversations").select("conv_id", "turn", F.col("role").alias("speaker"), "text"))
+
+
+UNSAFE = [(1, "I want to end my life", "self_harm"), (2, "they attack people", "violence"), (3, "he will steal it", "illegal"), (4, "a quiet day", None), (5, "kill myself with drugs", "self_harm")]
+
+
+@query("WITH v(id, class) AS (VALUES " + ", ".join(f"({i}, {'NULL' if c is None else chr(39) + c + chr(39)})" for i, _, c in UNSAFE) + ") SELECT CAST(id AS BIGINT) AS id, class FROM v")
+def safety(spark: SparkSession, d: str) -> DataFrame:
+    rows = values(spark, "id long, said string", [r[:2] for r in UNSAFE])
+    return rows.select("id", text.safety_class(F.col("said")).alias("class"))
+
+
+@query("SELECT event_type, min(value) AS least, quantile_cont(value, 0.5) AS middle, quantile_cont(value, 0.95) AS p95, max(value) AS largest FROM events GROUP BY event_type")
+def latency_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    return grading.latencies(table(spark, d, "events"), "value", "event_type")
+
+
+@query(WITH + ", g AS (SELECT *, negated AS must_refuse, k % 3 = 0 AS refused FROM edges), p AS (SELECT predicate, CASE WHEN must_refuse THEN refused ELSE NOT refused AND k % 2 = 0 END AS passed FROM g) SELECT predicate, count(*) AS n, count(*) FILTER (passed) AS n_passed, avg(CASE WHEN passed THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS rate, grouping(predicate) AS level FROM p GROUP BY ROLLUP (predicate)")
+def grade_rollup(spark: SparkSession, d: str) -> DataFrame:
+    e = edges(spark, d).select("predicate", F.col("object").alias("answer"), F.when(F.col("k") % 2 == 0, F.col("object")).otherwise("none").alias("gold"), F.col("negated").alias("must_refuse"), (F.col("k") % 3 == 0).alias("refused"))
+    return grading.pass_rates(grading.graded(e), "predicate")

@@ -144,3 +144,26 @@ def test_rules_decompose_a_sentence():
 def test_query_decomposition(spark):
     q = one(spark, analyze.decomposed_query(F.lit("Where does Anna's brother work?")))
     assert (q["wh"], q["return_field"], q["entity"], q["situational"]) == ("where", "episodic", "Anna", False)
+
+
+@pytest.mark.parametrize(("said", "seconds"), [("I slept for two hours", 7200), ("for 3 days it rained", 259200), ("I have been here since yesterday.", 86400), ("I was there", None)])
+def test_named_lengths(spark, said, seconds):
+    assert one(spark, temporal.since_seconds(F.lit(said), NTZ("2024-01-17 00:00:00"))) == seconds
+
+
+def test_keywords_against_distractors(spark):
+    from palimpsest.operators import grading
+
+    v = lambda *x: F.array(*map(F.lit, map(float, x)))
+    assert one(spark, grading.above_distractors(v(1, 0), v(1, 0.1), F.array(v(0, 1), v(1, 1))))
+    assert not one(spark, grading.above_distractors(v(1, 0), v(0, 1), F.array(v(1, 0))))
+
+
+def test_copy_and_reembed(spark, tmp_path):
+    from palimpsest.sources import migrate
+
+    old = spark.createDataFrame([(1, 2, "a", "likes_to", "b", "text")], "id long, user_id long, subject string, predicate string, object string, source_text string")
+    new = migrate.copied(old, str(tmp_path / "t"))
+    assert new.first()["source_text_hash"] == one(spark, F.sha2(F.lit("text").cast("binary"), 256))
+    row = migrate.reembedded(new, embed.embedder()).first()
+    assert np.allclose(row["embedding"], embed.hash_vector("a likes to b"))
