@@ -140,6 +140,7 @@ def tasks(master: DataFrame) -> DataFrame:
     return master.select(F.explode(made).alias("t")).select("t.*")
 
 
+#: What announces a fact, by predicate (fixed values); what follows is a name or the rest of the text.
 MARKERS = [
     ("works_at", ["i work at ", "i work for ", "i work in "], "name"),
     ("occupation", ["i am a ", "i'm a ", "i'm an ", "i am an "], "rest"),

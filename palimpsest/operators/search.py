@@ -16,13 +16,14 @@ def top_k(vectors: DataFrame, query: Column, k: int = 8, id_col: str = "vec_id",
     return vectors.select(id_col, vector.dot(F.col(vector_col), query).alias("score")).orderBy(F.desc("score"), id_col).limit(k)
 
 
-def top_k_each(vectors: DataFrame, queries: DataFrame, k: int = 8, block: int = 64) -> DataFrame:
-    """``queries(query_id, query)``: the k nearest of each, exactly. Queries travel in blocks of ``block`` to every batch of vectors;
-    a batch answers with its best k a query, so that what is shuffled is k rows a query and batch."""
+def top_k_each(vectors: DataFrame, queries: DataFrame, k: int = 8, block: int = 64, spread: int = 64) -> DataFrame:
+    """``queries(query_id, query)``: the k nearest of each, exactly. Queries travel in blocks of about ``block`` to each of ``spread``
+    shares of the vectors; a batch answers with its best k a query, so that what is shuffled is k rows a query and batch."""
     import numpy as np
     import pandas as pd
 
-    asked = queries.withColumn("__b", F.floor((F.row_number().over(W.orderBy("query_id")) - 1) / block)).groupBy("__b").agg(F.sort_array(F.collect_list(F.struct("query_id", "query"))).alias("qs"))
+    blocks = max(1, -(-queries.count() // block))
+    asked = queries.withColumn("__b", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).groupBy("__b").agg(F.sort_array(F.collect_list(F.struct("query_id", "query"))).alias("qs"))
 
     def best(batches):
         for rows in batches:
@@ -38,8 +39,9 @@ def top_k_each(vectors: DataFrame, queries: DataFrame, k: int = 8, block: int =
                     top = np.lexsort((ids, -row))[:k]
                     yield pd.DataFrame({"query_id": x["query_id"], "vec_id": ids[top], "score": row[top]})
 
-    one = F.lit(1).alias("__one")
-    met = vectors.select("vec_id", "embedding", one).join(asked.select("*", one), "__one").drop("__one")
+    share = F.pmod(F.xxhash64("vec_id"), F.lit(spread)).alias("__share")
+    sent = asked.withColumn("__share", F.explode(F.sequence(F.lit(0), F.lit(spread - 1)).cast("array<long>")))
+    met = vectors.select("vec_id", "embedding", share).join(sent, "__share").drop("__share")
     found = met.mapInPandas(best, "query_id long, vec_id long, score double")
     r = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", r).where(F.col("rank") <= k)
