@@ -114,11 +114,11 @@ def topk_each(spark: SparkSession, d: str) -> DataFrame:
     return search.top_k_each(e, q, 5).select("query_id", "vec_id", "rank", F.round("score", 6).alias("score"))
 
 
-@query(f"""WITH m AS (SELECT vec_id AS mention_id, vec_id % 20 AS user_id, embedding FROM embeddings WHERE vec_id % 10 = 0), e AS (SELECT vec_id % 20 AS user_id, 'entity_' || vec_id AS name, embedding FROM embeddings WHERE vec_id % 10 <> 0),
+@query(f"""WITH m AS (SELECT vec_id AS mention_id, vec_id % 7 AS user_id, embedding FROM embeddings WHERE vec_id % 10 = 0), e AS (SELECT vec_id % 7 AS user_id, 'entity_' || vec_id AS name, embedding FROM embeddings WHERE vec_id % 10 <> 0),
 s AS (SELECT mention_id, name, {DOT.format(a='m.embedding', b='e.embedding')} AS s FROM m JOIN e USING (user_id))
 SELECT mention_id, CASE WHEN count(*) < 3 OR max(s) >= avg(s) + stddev_pop(s) THEN arg_max(name, s) END AS name, round(max(s), 6) AS score, count(*) AS n FROM s GROUP BY mention_id""")
 def entity_link(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "embeddings").withColumn("user_id", F.col("vec_id") % 20)
+    e = table(spark, d, "embeddings").withColumn("user_id", F.col("vec_id") % 7)
     mentions = e.where("vec_id % 10 = 0").select(F.col("vec_id").alias("mention_id"), "user_id", "embedding")
     known = e.where("vec_id % 10 <> 0").select("user_id", F.concat(F.lit("entity_"), "vec_id").alias("name"), "embedding")
     return E.linked(mentions, known).select("mention_id", "name", F.round("score", 6).alias("score"), "n")
@@ -171,10 +171,10 @@ def components(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(SMALL.replace("WITH edges", "WITH RECURSIVE edges") + """, n AS (SELECT id, user_id, object AS key FROM b), l AS (SELECT user_id, key, min(id) AS cluster_id FROM n GROUP BY ALL)
-SELECT l.user_id, cluster_id, count(*) AS n, avg(sequence_number) AS mean_sequence, array_to_string(list(b.id ORDER BY b.id), ',') AS members, l.key AS participants FROM b JOIN l ON l.user_id = b.user_id AND l.key = b.object GROUP BY ALL""")
+SELECT l.user_id, cluster_id, count(*) AS n, round(avg(sequence_number), 6) AS mean_sequence, array_to_string(list(b.id ORDER BY b.id), ',') AS members, l.key AS participants FROM b JOIN l ON l.user_id = b.user_id AND l.key = b.object GROUP BY ALL""")
 def recluster(spark: SparkSession, d: str) -> DataFrame:
     c = graph.clusters(_small(spark, d).withColumn("entities", F.array("object")))
-    return c.select("user_id", "cluster_id", F.size("members").cast("long").alias("n"), "mean_sequence", F.array_join("members", ",").alias("members"), F.array_join("participants", ",").alias("participants"))
+    return c.select("user_id", "cluster_id", F.size("members").cast("long").alias("n"), F.round("mean_sequence", 6).alias("mean_sequence"), F.array_join("members", ",").alias("members"), F.array_join("participants", ",").alias("participants"))
 
 
 @query(WITH + f""", adj AS (SELECT DISTINCT user_id, lower(predicate) AS a, lower(object) AS b FROM edges WHERE {LIVE} UNION SELECT user_id, lower(object), lower(predicate) FROM edges WHERE {LIVE}),
@@ -249,10 +249,10 @@ def timeline_document(spark: SparkSession, d: str) -> DataFrame:
 F1 = [(1, "the red car", "a red car", None), (2, "May 2023", "may 2023", None), (3, "", "x", None), (4, "one two", "three", None), (5, "a a b", "a b c d", None)]
 
 
-@query("WITH v(id, a, b) AS (VALUES (1, 'the red car', 'a red car'), (2, 'May 2023', 'may 2023'), (3, '', 'x'), (4, 'one two', 'three'), (5, 'a a b', 'a b c d')), t AS (SELECT id, list_filter(list_distinct(string_split(lower(a), ' ')), lambda x: x <> '') AS x, list_filter(list_distinct(string_split(lower(b), ' ')), lambda x: x <> '') AS y FROM v) SELECT CAST(id AS BIGINT) AS id, CASE WHEN len(x) = 0 OR len(y) = 0 THEN 0.0::DOUBLE ELSE 2.0::DOUBLE * len(list_intersect(x, y)) / (len(x) + len(y)) END AS f1 FROM t")
+@query("WITH v(id, a, b) AS (VALUES (1, 'the red car', 'a red car'), (2, 'May 2023', 'may 2023'), (3, '', 'x'), (4, 'one two', 'three'), (5, 'a a b', 'a b c d')), t AS (SELECT id, list_filter(list_distinct(string_split(lower(a), ' ')), lambda x: x <> '') AS x, list_filter(list_distinct(string_split(lower(b), ' ')), lambda x: x <> '') AS y FROM v) SELECT CAST(id AS BIGINT) AS id, CASE WHEN len(x) = 0 OR len(y) = 0 THEN 0.0::DOUBLE ELSE round(2.0::DOUBLE * len(list_intersect(x, y)) / (len(x) + len(y)), 6) END AS f1 FROM t")
 def token_f1(spark: SparkSession, d: str) -> DataFrame:
     rows = values(spark, "id long, a string, b string, c string", F1)
-    return rows.select("id", text.token_f1(F.col("a"), F.col("b")).alias("f1"))
+    return rows.select("id", F.round(text.token_f1(F.col("a"), F.col("b")), 6).alias("f1"))
 
 
 @query(WITH + "SELECT id, contains(lower(source_text), 'item_1') OR contains(lower(source_text), 'signup') AS passed FROM edges")
@@ -260,9 +260,9 @@ def keyword_grade(spark: SparkSession, d: str) -> DataFrame:
     return edges(spark, d).select("id", text.contains_keyword(F.col("source_text"), F.array(F.lit("ITEM_1"), F.lit("signup"))).alias("passed"))
 
 
-@query(WITH + "SELECT schematic, temporal_context, count(*) AS n, avg(valence) AS mean, grouping(schematic, temporal_context) AS level FROM edges GROUP BY ROLLUP (schematic, temporal_context)")
+@query(WITH + "SELECT schematic, temporal_context, count(*) AS n, round(avg(valence), 6) AS mean, grouping(schematic, temporal_context) AS level FROM edges GROUP BY ROLLUP (schematic, temporal_context)")
 def score_rollup(spark: SparkSession, d: str) -> DataFrame:
-    return edges(spark, d).rollup("schematic", "temporal_context").agg(F.count(F.lit(1)).alias("n"), F.avg("valence").alias("mean"), F.grouping_id().alias("level"))
+    return edges(spark, d).rollup("schematic", "temporal_context").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("valence"), 6).alias("mean"), F.grouping_id().alias("level"))
 
 
 @query(WITH + f"SELECT user_id, predicate, count(*) AS n FROM (SELECT user_id, predicate FROM edges WHERE {LIVE} INTERSECT SELECT user_id, predicate FROM edges WHERE NOT ({LIVE})) GROUP BY ALL")

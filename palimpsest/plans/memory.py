@@ -86,9 +86,9 @@ def valid_at(spark: SparkSession, d: str) -> DataFrame:
     return scan.valid_at(edges(spark, d), as_of()).select("id", stamp("resolved_event_date"))
 
 
-@query(WITH + f"SELECT id, epoch_us(resolved_event_date - {NOW}) / 86400e6 AS days_until FROM edges WHERE {LIVE} AND {CURRENT} AND resolved_event_date BETWEEN {NOW} AND {NOW} + to_days(7)".replace("epoch_us(resolved_event_date - " + NOW + ")", "(epoch_us(resolved_event_date) - epoch_us(" + NOW + "))"))
+@query(WITH + f"SELECT id, round(epoch_us(resolved_event_date - {NOW}) / 86400e6, 6) AS days_until FROM edges WHERE {LIVE} AND {CURRENT} AND resolved_event_date BETWEEN {NOW} AND {NOW} + to_days(7)".replace("epoch_us(resolved_event_date - " + NOW + ")", "(epoch_us(resolved_event_date) - epoch_us(" + NOW + "))"))
 def upcoming(spark: SparkSession, d: str) -> DataFrame:
-    return scan.upcoming(edges(spark, d), as_of()).select("id", "days_until")
+    return scan.upcoming(edges(spark, d), as_of()).select("id", F.round("days_until", 6).alias("days_until"))
 
 
 @query(WITH + f"SELECT p.id AS probe_id, e.id FROM edges p JOIN edges e ON e.user_id = p.user_id AND e.sequence_number BETWEEN p.sequence_number - 50 AND p.sequence_number + 50 AND e.id <> p.id WHERE p.id % 97 = 0 AND coalesce(e.is_current, TRUE)")
@@ -126,9 +126,9 @@ def humanize(spark: SparkSession, d: str) -> DataFrame:
     return e.select("id", temporal.humanize(temporal.seconds_between(as_of(), F.col("source_timestamp"))).alias("age"))
 
 
-@query(WITH + f"SELECT id, CASE WHEN source_timestamp >= {NOW} THEN 1.0 ELSE exp(-((epoch_us({NOW}) - epoch_us(source_timestamp)) / 1e6) / 2592000.0) END AS staleness FROM edges")
+@query(WITH + f"SELECT id, CASE WHEN source_timestamp >= {NOW} THEN 1.0 ELSE round(exp(-((epoch_us({NOW}) - epoch_us(source_timestamp)) / 1e6) / 2592000.0), 6) END AS staleness FROM edges")
 def staleness(spark: SparkSession, d: str) -> DataFrame:
-    return edges(spark, d).select("id", temporal.staleness(F.col("source_timestamp"), as_of()).alias("staleness"))
+    return edges(spark, d).select("id", F.round(temporal.staleness(F.col("source_timestamp"), as_of()), 6).alias("staleness"))
 
 
 @query(WITH + "SELECT id, CAST(year(source_timestamp) AS INT) AS year, CAST(month(source_timestamp) AS INT) AS month, CAST(day(source_timestamp) AS INT) AS day, CAST(hour(source_timestamp) AS INT) AS hour, dayname(source_timestamp) AS weekday, isodow(source_timestamp) >= 6 AS is_weekend FROM edges")
@@ -270,11 +270,11 @@ def ambiguity(spark: SparkSession, d: str) -> DataFrame:
 
 def _patterns(unit: str, cells: int, expr: str) -> str:
     return WITH + f""", n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY source_timestamp DESC, id DESC) AS r FROM edges WHERE {LIVE}), k AS (SELECT user_id, CAST({expr} AS INT) AS bucket, id, count(*) OVER (PARTITION BY user_id) AS total FROM n WHERE r <= 200)
-SELECT user_id, bucket, count(*) AS n, any_value(total) AS total, count(*) / any_value(total) AS confidence, array_to_string(list(id ORDER BY id)[1:5], ',') AS example_ids FROM k GROUP BY user_id, bucket HAVING count(*) > any_value(total) / {cells}.0"""
+SELECT user_id, bucket, count(*) AS n, any_value(total) AS total, round(count(*) / any_value(total), 6) AS confidence, array_to_string(list(id ORDER BY id)[1:5], ',') AS example_ids FROM k GROUP BY user_id, bucket HAVING count(*) > any_value(total) / {cells}.0"""
 
 
 for _unit, _cells, _expr in (("hour", 24, "hour(source_timestamp)"), ("dow", 7, "isodow(source_timestamp) - 1")):
-    query(_patterns(_unit, _cells, _expr), name=f"patterns_{_unit}")(lambda spark, d, u=_unit: E.patterns(edges(spark, d), u).select("user_id", "bucket", "n", "total", "confidence", F.array_join("example_ids", ",").alias("example_ids")))
+    query(_patterns(_unit, _cells, _expr), name=f"patterns_{_unit}")(lambda spark, d, u=_unit: E.patterns(edges(spark, d), u).select("user_id", "bucket", "n", "total", F.round("confidence", 6).alias("confidence"), F.array_join("example_ids", ",").alias("example_ids")))
 
 
 @query(f"SELECT user_id, ((user_id * 37) % 11) / 10.0 AS warmth, CASE WHEN (user_id * 53) % 7 = 0 THEN 0.5 ELSE ((user_id * 53) % 7) / 10.0 END AS formality FROM (SELECT DISTINCT user_id FROM events) WHERE (user_id * 37) % 11 <> 0 UNION ALL SELECT user_id, 0.5, CASE WHEN (user_id * 53) % 7 = 0 THEN 0.5 ELSE ((user_id * 53) % 7) / 10.0 END FROM (SELECT DISTINCT user_id FROM events) WHERE (user_id * 37) % 11 = 0")
@@ -362,10 +362,10 @@ def two_pass_ingest(spark: SparkSession, d: str) -> DataFrame:
     return e.select("id", F.lit("user").alias("tag")).unionByName(e.where("source_tag <> 'user'").select("id", F.col("source_tag").alias("tag")))
 
 
-@query("""SELECT user_id, strftime(time_bucket(INTERVAL 1 DAY, ts), '%Y-%m-%d') AS day, count(*) AS n, sum(value) AS total FROM events GROUP BY ALL""")
+@query("""SELECT user_id, strftime(time_bucket(INTERVAL 1 DAY, ts), '%Y-%m-%d') AS day, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL""")
 def windowed_tumbling(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events")
-    return e.groupBy("user_id", F.window(F.col("ts").cast("timestamp_ntz"), "1 day").alias("w")).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select("user_id", F.date_format("w.start", "yyyy-MM-dd").alias("day"), "n", "total")
+    return e.groupBy("user_id", F.window(F.col("ts").cast("timestamp_ntz"), "1 day").alias("w")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 6).alias("total")).select("user_id", F.date_format("w.start", "yyyy-MM-dd").alias("day"), "n", "total")
 
 
 @query("""WITH b AS (SELECT user_id, time_bucket(INTERVAL 12 HOUR, ts) AS h FROM events), s AS (SELECT user_id, h AS start FROM b UNION ALL SELECT user_id, h - INTERVAL 12 HOUR FROM b)

@@ -38,11 +38,24 @@ def rejection_shares(spark: SparkSession, d: str) -> DataFrame:
     return dataset.reason_shares(candidates(spark, d))
 
 
-@query("WITH " + CANDIDATES_SQL + """, g AS (SELECT DISTINCT candidate_id FROM c WHERE contains(source_type, 'user') AND NOT contains(source_text_raw, '?')
+SAID_SQL = """, c AS (SELECT 'c_' || (id % 3000) AS candidate_id, CASE k % 4 WHEN 0 THEN 'I like ' || object WHEN 1 THEN 'do we like ' || object || '?' WHEN 2 THEN 'I''ve seen it and so ' || object ELSE source_text END AS source_text_raw,
+  CASE predicate WHEN 'click' THEN 'chat_User' WHEN 'view' THEN 'human' ELSE 'assistant' END AS source_type FROM edges WHERE id < 3000)"""
+
+
+def said(spark: SparkSession, d: str) -> DataFrame:
+    """Candidates in the first person, which the invented words of the tables have none of."""
+    k, o = F.col("k") % 4, F.col("object")
+    raw = F.when(k == 0, F.concat(F.lit("I like "), o)).when(k == 1, F.concat(F.lit("do we like "), o, F.lit("?"))).when(k == 2, F.concat(F.lit("I've seen it and so "), o)).otherwise(F.col("source_text"))
+    kind = F.when(F.col("predicate") == "click", "chat_User").when(F.col("predicate") == "view", "human").otherwise("assistant")
+    e = edges(spark, d).where("id < 3000").select(F.concat(F.lit("c_"), F.col("id") % 3000).alias("candidate_id"), raw.alias("source_text_raw"), kind.alias("source_type"))
+    return e.unionByName(e)
+
+
+@query(WITH + SAID_SQL + """, g AS (SELECT DISTINCT candidate_id, source_text_raw FROM c WHERE (contains(lower(source_type), 'user') OR contains(lower(source_type), 'human')) AND NOT contains(source_text_raw, '?')
   AND (len(list_filter([' i ', ' me ', ' my ', ' we ', ' us ', ' our '], lambda p: contains(' ' || lower(source_text_raw) || ' ', p))) > 0 OR len(list_filter([' i''m', ' i''ve', ' i''d', ' i''ll', ' we''re', ' we''ve', ' we''d', ' we''ll'], lambda p: contains(lower(source_text_raw), p))) > 0))
-SELECT candidate_id FROM g ORDER BY candidate_id LIMIT 25""")
+SELECT candidate_id, source_text_raw FROM g ORDER BY candidate_id LIMIT 25""")
 def gold_queue(spark: SparkSession, d: str) -> DataFrame:
-    return dataset.gold_queue(candidates(spark, d), 25).select("candidate_id")
+    return dataset.gold_queue(said(spark, d), 25).select("candidate_id", "source_text_raw")
 
 
 @query(WITH + "SELECT id, line FROM (SELECT id, CAST(row_number() OVER (ORDER BY id) AS INT) AS line FROM edges) WHERE line BETWEEN 11 AND 40")
@@ -165,12 +178,12 @@ def safety(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("id", text.safety_class(F.col("said")).alias("class"))
 
 
-@query("SELECT event_type, min(value) AS least, quantile_cont(value, 0.5) AS middle, quantile_cont(value, 0.95) AS p95, max(value) AS largest FROM events GROUP BY event_type")
+@query("SELECT event_type, min(value) AS least, round(quantile_cont(value, 0.5), 6) AS middle, round(quantile_cont(value, 0.95), 6) AS p95, max(value) AS largest FROM events GROUP BY event_type")
 def latency_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    return grading.latencies(table(spark, d, "events"), "value", "event_type")
+    return grading.latencies(table(spark, d, "events"), "value", "event_type").withColumns({c: F.round(c, 6) for c in ("middle", "p95")})
 
 
-@query(WITH + ", g AS (SELECT *, negated AS must_refuse, k % 3 = 0 AS refused FROM edges), p AS (SELECT predicate, CASE WHEN must_refuse THEN refused ELSE NOT refused AND k % 2 = 0 END AS passed FROM g) SELECT predicate, count(*) AS n, count(*) FILTER (passed) AS n_passed, avg(CASE WHEN passed THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS rate, grouping(predicate) AS level FROM p GROUP BY ROLLUP (predicate)")
+@query(WITH + ", g AS (SELECT *, negated AS must_refuse, k % 3 = 0 AS refused FROM edges), p AS (SELECT predicate, CASE WHEN must_refuse THEN refused ELSE NOT refused AND k % 2 = 0 END AS passed FROM g) SELECT predicate, count(*) AS n, count(*) FILTER (passed) AS n_passed, round(avg(CASE WHEN passed THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS rate, grouping(predicate) AS level FROM p GROUP BY ROLLUP (predicate)")
 def grade_rollup(spark: SparkSession, d: str) -> DataFrame:
     e = edges(spark, d).select("predicate", F.col("object").alias("answer"), F.when(F.col("k") % 2 == 0, F.col("object")).otherwise("none").alias("gold"), F.col("negated").alias("must_refuse"), (F.col("k") % 3 == 0).alias("refused"))
-    return grading.pass_rates(grading.graded(e), "predicate")
+    return grading.pass_rates(grading.graded(e), "predicate").withColumn("rate", F.round("rate", 6))
