@@ -47,11 +47,23 @@ def top_k_each(vectors: DataFrame, queries: DataFrame, k: int = 8, block: int =
     return found.withColumn("rank", r).where(F.col("rank") <= k)
 
 
-def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, term, tf, length``: the inverted index of a text column; terms are runs of letters and digits in lower case."""
+def _terms(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``doc_id, t, length``: terms are runs of letters and digits in lower case."""
     terms = F.filter(F.split(F.lower(F.coalesce(text_col, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda t: t != "")
-    rows = docs.select(F.col(id_col).alias("doc_id"), terms.alias("t")).withColumn("length", F.size("t"))
-    return rows.select("doc_id", "length", F.explode("t").alias("term")).groupBy("doc_id", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
+    return docs.select(F.col(id_col).alias("doc_id"), terms.alias("t")).withColumn("length", F.size("t"))
+
+
+def lengths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    return _terms(docs, id_col, text_col).select("doc_id", "length")
+
+
+def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", only: DataFrame | None = None) -> DataFrame:
+    """``doc_id, term, tf, length``: the inverted index of a text column; ``only(term)`` limits it to these terms, before anything is
+    shuffled."""
+    rows = _terms(docs, id_col, text_col).select("doc_id", "length", F.explode("t").alias("term"))
+    if only is not None:
+        rows = rows.join(only.select("term").distinct(), "term", "left_semi")
+    return rows.groupBy("doc_id", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def refreshed(index: DataFrame, docs: DataFrame, changed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -60,17 +72,29 @@ def refreshed(index: DataFrame, docs: DataFrame, changed: DataFrame, id_col: str
     return index.join(ids, "doc_id", "left_anti").unionByName(postings(docs.join(ids.withColumnRenamed("doc_id", id_col), id_col, "left_semi"), id_col, text_col))
 
 
-def bm25(index: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+def wanted(queries: DataFrame) -> DataFrame:
+    """``query_id, term`` of ``queries(query_id, terms array)``."""
+    return queries.select("query_id", F.explode(F.array_distinct("terms")).alias("term"))
+
+
+def search_documents(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """BM25 without a stored index: only the queries' terms are counted."""
+    return bm25(postings(docs, id_col, text_col, wanted(queries)), queries, k, lengths(docs, id_col, text_col).where("length > 0"))
+
+
+def bm25(index: DataFrame, queries: DataFrame, k: int = 10, sizes: DataFrame | None = None) -> DataFrame:
     """``queries(query_id, terms array)`` against an index: ``query_id, doc_id, score, rank``. The index is filtered by the queries'
-    terms before anything else is joined to it; the corpus counts come from two aggregates."""
-    asked = queries.select("query_id", F.explode(F.array_distinct("terms")).alias("term"))
-    lengths = index.select("doc_id", "length").distinct().agg(F.count(F.lit(1)).alias("n_docs"), F.avg("length").alias("mean_length"))
+    terms before anything else is joined to it; the corpus counts come from two aggregates, over ``sizes(doc_id, length)`` of all
+    documents, if given, else over the index."""
+    asked = wanted(queries)
+    every = index.select("doc_id", "length").distinct() if sizes is None else sizes
+    totals = every.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("length").alias("mean_length"))
     hit = index.join(asked.select("term").distinct(), "term", "left_semi")
     df = hit.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
     one = F.lit(1).alias("__one")
-    weighed = hit.join(df, "term").select("*", one).join(F.broadcast(lengths.select("*", one)), "__one").select("doc_id", "term", (idf * tf).alias("w"))
+    weighed = hit.join(df, "term").select("*", one).join(F.broadcast(totals.select("*", one)), "__one").select("doc_id", "term", (idf * tf).alias("w"))
     scores = weighed.join(asked, "term").groupBy("query_id", "doc_id").agg(F.sum("w").alias("score"))
     r = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "doc_id"))
     return scores.withColumn("rank", r).where(F.col("rank") <= k)
