@@ -10,7 +10,7 @@ its row of the manifest table; what a lost or repeated task wrote is in no manif
 
 Revisits: of rows with equal payloads of at least ``min_bytes`` bytes, the one with the smallest id (and, of rows that
 repeat that id, one) is the response, the others are revisits without payload. Hot payloads: the smallest id is a ``min``
-combined before the shuffle, and goes back to the rows by a join that Spark can split.
+combined before the shuffle and written, and goes back to the rows by a join whose hot keys Spark can split.
 
 Defined cases: a null payload counts as empty; a null id sorts last and is read back as null; a null URL is left out;
 control characters and blanks in URLs are percent-encoded; an empty table gives no archives and an empty result; other
@@ -141,7 +141,7 @@ def write_archives(df: DataFrame, id_col: str = "page_id", url_col: str = "url",
     payload = F.coalesce(F.col(payload_col).cast("binary"), F.lit(b""))
     rows = df.select(F.col(id_col).cast("long").alias("page"), F.col(url_col).alias("url"), payload.alias("payload")).select("*", F.monotonically_increasing_id().alias("row"), F.sha1("payload").alias("digest"))
     order = F.struct(F.coalesce("page", F.lit(_LAST_ID)).alias("at"), "row")
-    groups = rows.where(F.octet_length("payload") >= min_bytes).groupBy("digest").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", F.col("first.at").alias("first_at"), F.col("first.row").alias("first_row"))
+    groups = durable(rows.where(F.octet_length("payload") >= min_bytes).groupBy("digest").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", F.col("first.at").alias("first_at"), F.col("first.row").alias("first_row")), "copies")
     known = rows.join(groups, "digest", "left").select("page", "url", "payload", "row", "first_at", "first_row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
