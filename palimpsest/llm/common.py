@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -74,14 +75,22 @@ def bound_batches(spark: SparkSession) -> None:
 
 
 def lean() -> None:
-    """For a Python worker: have Arrow give freed memory back to the system rather than keep it for the next task."""
+    """For a Python worker: have Arrow, and the C library where it can, give freed memory back to the system rather than
+    keep it from one task to the next."""
     pa.set_memory_pool(pa.system_memory_pool())
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def buckets_for(rows: int, least: int = 64, each: int = 50_000) -> int:
+    """So many buckets that one holds about ``each`` rows, however large the table."""
+    return max(least, -(-rows // each))
+
+
 def number_within(df: DataFrame, keys: list[str], spread: Column, order: list[Column], out: str, buckets: int = 64) -> DataFrame:
     """Number the rows of each ``keys`` group from 0 without gaps, with no group in one task.
 
@@ -105,8 +114,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     an edge, ``component`` being the smallest node it reaches.
 
     Alternating large-star and small-star rounds (each node's larger, then smaller, neighbours move to its least
-    neighbour); stops when a round changes nothing. Each round is one written table. No adjacency list is ever gathered:
-    both stars are a ``min`` aggregate, combined before the shuffle, joined back to the edges.
+    neighbour); stops when a round changes nothing. No adjacency list is ever gathered: both stars are a ``min`` aggregate,
+    combined before the shuffle, written, and joined back to the edges. The join is one of two written tables, so a node
+    with very many edges is a skewed key that adaptive execution splits (it cannot below an aggregate on the same key).
     """
     step = durable(
         edges.where("src is not null and dst is not null and src <> dst").select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct(),
@@ -116,14 +126,14 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     state = None
     for _ in range(max_rounds):
         both = step.unionByName(step.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-        least = both.groupBy("src").agg(F.least(F.min("dst"), F.col("src")).alias("m"))
+        least = durable(both.groupBy("src").agg(F.least(F.min("dst"), F.col("src")).alias("m")), "least")
         large = both.where("dst > src").join(least, "src").select(F.col("dst").alias("src"), F.col("m").alias("dst")).where("src <> dst").distinct()
         large = durable(large, "large")
-        low = large.groupBy("src").agg(F.min("dst").alias("m"))
+        low = durable(large.groupBy("src").agg(F.min("dst").alias("m")), "least")
         small = large.join(low, "src").select(F.when(F.col("dst") == F.col("m"), F.col("src")).otherwise(F.col("dst")).alias("src"), F.col("m").alias("dst"))
         new = durable(small.where("src <> dst").distinct(), "small")
         now = new.agg(F.count(F.lit(1)), F.sum(F.xxhash64("src", "dst").cast("decimal(20,0)"))).first()
-        discard(spark, large, step)
+        discard(spark, large, step, least, low)
         step = new
         if now == state:
             break

@@ -224,7 +224,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 #: Rows of whole groups handled at once, and pairs looked at in one step.
-_ROWS, _STEP = 4096, 40_000
+_ROWS, _STEP = 2048, 20_000
 
 
 def _groups(batches: Iterator[pa.RecordBatch], size: int = _ROWS) -> Iterator[tuple[pa.Table, np.ndarray]]:
@@ -351,7 +351,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     least = -(-percent // (100 - percent)) if percent < 100 else 1 << 60
     facts = classes.where((F.col("n_shingles") >= least) & F.col("rep").isNotNull()).select("node", "n_shingles", "sketch")
     bands = facts.mapInArrow(_bands(percent), BANDS)
-    stars = bands.groupBy("band").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    # aggregates are written before they are joined back to their rows: a hot bucket is then a skewed key that can be split
+    stars = durable(bands.groupBy("band").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1"), "stars")
     # of the buckets, only those shared by two classes or more are written
     shared = durable(bands.join(stars, "band"), "bands")
 
@@ -372,7 +373,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # round 2: buckets with classes of different components
     placed = shared.join(parts, "node", "left").join(facts.select("node", "n_shingles"), "node").select("band", "place", "class", "node", "n", "n_shingles", F.coalesce("component", "node").alias("component"))
     blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("grams") / BLOCK_GRAMS)).cast("int").alias("blocks")
+    placed = durable(placed, "placed")
     open_bands = placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("n").alias("n"), F.sum("n_shingles").alias("grams")).where("lo <> hi").select("band", blocks)
+    open_bands = durable(open_bands, "open-bands")
     members = placed.join(open_bands, "band").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
     dealt = durable(dealt.select("band", "i", "j", "node", "n_shingles", "component", "block", "place", "class"), "blocks")
@@ -384,10 +387,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         discard(spark, sets)
         known = parts.where("node <> component").select(F.col("node").alias("src"), F.col("component").alias("dst"))
         parts = components(known.unionByName(more.select(F.col("a").alias("src"), F.col("b").alias("dst"))))
-    discard(spark, dealt, shared)
+    discard(spark, dealt, shared, placed, stars, open_bands)
 
     grouped = classes.select("node", "rep").join(parts, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component"))
-    least_doc = grouped.groupBy("component").agg(F.min("rep").alias("least"))
+    least_doc = durable(grouped.groupBy("component").agg(F.min("rep").alias("least")), "least")
     named = grouped.join(least_doc, "component").select("node", "least")
     out = sketched.join(named, "node", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
