@@ -76,17 +76,17 @@ def answer_render(spark: SparkSession, d: str) -> DataFrame:
   CASE WHEN NOT h.refused THEN r.id END AS edge_id, CASE WHEN NOT h.refused THEN round(r.activation, 6) END AS activation, CASE WHEN coalesce(h.refused, TRUE) THEN 'This information is not mentioned in the conversation.' ELSE {ANSWER_SQL.replace('wh IS NULL', 'r.wh IS NULL').replace('return_field', 'r.return_field')} END AS answer
 FROM queries q LEFT JOIN h ON h.query_id = q.query_id LEFT JOIN r ON r.query_id = q.query_id AND r.rank = 1""")
 def reconstruct(spark: SparkSession, d: str) -> DataFrame:
-    """The flagship: 50 questions over all users' edges, each answered from its dominant edge or refused."""
+    """The flagship: a question for each vector over all users' edges, each answered from its dominant edge or refused."""
     e, q = _lifted(spark, d)
     return scoring.reconstruct(e, q).select("query_id", "refused", "reason", "edge_id", F.round("activation", 6).alias("activation"), "answer")
 
 
-@query(WITH + f""", r AS (SELECT DISTINCT user_id FROM edges WHERE user_id < 40), m AS (SELECT r.user_id, schematic, episodic_fact, coalesce(strftime(resolved_event_date, '%Y-%m-%d'), '') AS day, id FROM edges JOIN r USING (user_id) WHERE {LIVE} AND {CURRENT}),
+@query(WITH + f""", r AS (SELECT DISTINCT user_id FROM edges), m AS (SELECT r.user_id, schematic, episodic_fact, coalesce(strftime(resolved_event_date, '%Y-%m-%d'), '') AS day, id FROM edges JOIN r USING (user_id) WHERE {LIVE} AND {CURRENT}),
 n AS (SELECT user_id, schematic, arg_max(episodic_fact, (day, id)) AS fact FROM m GROUP BY ALL)
 SELECT r.user_id AS request_id, string_agg(fact, '. ' ORDER BY schematic) AS situation, CASE WHEN count(fact) = 0 THEN 'empty_situation' END AS reason FROM r LEFT JOIN n USING (user_id) GROUP BY r.user_id""")
 def situation(spark: SparkSession, d: str) -> DataFrame:
     e = edges(spark, d)
-    asked = e.where("user_id < 40").select(F.col("user_id").alias("request_id"), "user_id", F.lit(None).cast("string").alias("entity")).distinct()
+    asked = e.select(F.col("user_id").alias("request_id"), "user_id", F.lit(None).cast("string").alias("entity")).distinct()
     return scoring.situation(e, asked).select("request_id", "situation", "reason")
 
 
@@ -106,11 +106,11 @@ def topk_cosine(spark: SparkSession, d: str) -> DataFrame:
     return search.top_k(scored, F.col("q"), 8).select("vec_id", F.round("score", 6).alias("score"))
 
 
-@query(f"""WITH s AS (SELECT q.vec_id AS query_id, e.vec_id, {DOT.format(a='e.embedding', b='q.embedding')} AS s FROM embeddings q JOIN embeddings e ON TRUE WHERE q.vec_id % 25 = 0)
+@query(f"""WITH s AS (SELECT q.vec_id AS query_id, e.vec_id, {DOT.format(a='e.embedding', b='q.embedding')} AS s FROM embeddings q JOIN embeddings e ON TRUE WHERE q.vec_id % 50 = 0)
 SELECT query_id, vec_id, CAST(rank AS INT) AS rank, round(s, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS rank FROM s) WHERE rank <= 5""")
 def topk_each(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings")
-    q = e.where("vec_id % 25 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
     return search.top_k_each(e, q, 5).select("query_id", "vec_id", "rank", F.round("score", 6).alias("score"))
 
 
@@ -162,46 +162,41 @@ def rank_fusion(spark: SparkSession, d: str) -> DataFrame:
     return search.fused(first, second).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
-SMALL = f"{WITH}, b AS (SELECT * FROM edges WHERE {LIVE} AND user_id < 60 AND k < 40)"
+RECURSIVE = f"{WITH}, b AS (SELECT * FROM edges WHERE {LIVE})".replace("WITH edges", "WITH RECURSIVE edges")
 
 
-def _small(spark: SparkSession, d: str) -> DataFrame:
-    """A smaller graph, because the recursive SQL beside it is slow; the operator itself has no such bound."""
-    return edges(spark, d).where("user_id < 60 and k < 40")
-
-
-@query(SMALL.replace("WITH edges", "WITH RECURSIVE edges") + """, n AS (SELECT id, user_id, object AS key FROM b UNION ALL SELECT id, user_id, predicate FROM b),
+@query(RECURSIVE + """, n AS (SELECT id, user_id, object AS key FROM b UNION ALL SELECT id, user_id, predicate FROM b),
 l AS (SELECT DISTINCT x.id AS a, y.id AS c FROM n x JOIN n y ON x.user_id = y.user_id AND x.key = y.key), w AS (SELECT id AS a, id AS c FROM b UNION SELECT w.a, l.c FROM w JOIN l ON w.c = l.a)
 SELECT a AS id, min(c) AS cluster_id FROM w GROUP BY a""")
 def components(spark: SparkSession, d: str) -> DataFrame:
-    e = _small(spark, d).withColumn("entities", F.array("object", "predicate"))
+    e = edges(spark, d).withColumn("entities", F.array("object", "predicate"))
     return graph.components(e)
 
 
-@query(SMALL.replace("WITH edges", "WITH RECURSIVE edges") + """, n AS (SELECT id, user_id, object AS key FROM b), l AS (SELECT user_id, key, min(id) AS cluster_id FROM n GROUP BY ALL)
+@query(RECURSIVE + """, n AS (SELECT id, user_id, object AS key FROM b), l AS (SELECT user_id, key, min(id) AS cluster_id FROM n GROUP BY ALL)
 SELECT l.user_id, cluster_id, count(*) AS n, round(avg(sequence_number), 6) AS mean_sequence, array_to_string(list(b.id ORDER BY b.id), ',') AS members, l.key AS participants FROM b JOIN l ON l.user_id = b.user_id AND l.key = b.object GROUP BY ALL""")
 def recluster(spark: SparkSession, d: str) -> DataFrame:
-    c = graph.clusters(_small(spark, d).withColumn("entities", F.array("object")))
+    c = graph.clusters(edges(spark, d).withColumn("entities", F.array("object")))
     return c.select("user_id", "cluster_id", F.size("members").cast("long").alias("n"), F.round("mean_sequence", 6).alias("mean_sequence"), F.array_join("members", ",").alias("members"), F.array_join("participants", ",").alias("participants"))
 
 
 @query(WITH + f""", adj AS (SELECT DISTINCT user_id, lower(predicate) AS a, lower(object) AS b FROM edges WHERE {LIVE} UNION SELECT user_id, lower(object), lower(predicate) FROM edges WHERE {LIVE}),
-d0 AS (SELECT DISTINCT user_id, 'item_' || (user_id % 10) AS node, 0 AS d FROM edges WHERE user_id % 2 = 0), d1 AS (SELECT adj.user_id, b AS node, 1 AS d FROM adj JOIN d0 ON d0.user_id = adj.user_id AND d0.node = a),
+d0 AS (SELECT DISTINCT user_id, 'item_' || (user_id % 10) AS node, 0 AS d FROM edges), d1 AS (SELECT adj.user_id, b AS node, 1 AS d FROM adj JOIN d0 ON d0.user_id = adj.user_id AND d0.node = a),
 d2 AS (SELECT adj.user_id, b AS node, 2 AS d FROM adj JOIN d1 ON d1.user_id = adj.user_id AND d1.node = a), d3 AS (SELECT adj.user_id, b AS node, 3 AS d FROM adj JOIN d2 ON d2.user_id = adj.user_id AND d2.node = a),
 m AS (SELECT user_id, node, min(d) AS d FROM (SELECT * FROM d0 UNION ALL SELECT * FROM d1 UNION ALL SELECT * FROM d2 UNION ALL SELECT * FROM d3) GROUP BY ALL)
 SELECT e.id, CAST(coalesce(least(coalesce(s.d, 99), coalesce(o.d, 99)) % 99, -1) AS INT) + CASE WHEN s.d IS NULL AND o.d IS NULL THEN -1 ELSE 0 END AS hops FROM edges e LEFT JOIN m s ON s.user_id = e.user_id AND s.node = lower(predicate) LEFT JOIN m o ON o.user_id = e.user_id AND o.node = lower(object) WHERE {LIVE}""")
 def khop(spark: SparkSession, d: str) -> DataFrame:
     e = edges(spark, d).withColumn("subject", F.col("predicate"))
-    goals = e.where("user_id % 2 = 0").select("user_id", F.concat(F.lit("item_"), F.col("user_id") % 10).alias("goal")).distinct()
+    goals = e.select("user_id", F.concat(F.lit("item_"), F.col("user_id") % 10).alias("goal")).distinct()
     return graph.hops(e, goals)
 
 
-FACTS_SQL = f""", c AS (SELECT DISTINCT user_id * 10 + r AS fact_id, user_id AS query_id, r AS rank, user_id, 'item_' || ((user_id + r) % 10) AS entity, 'click' AS predicate, '' AS object FROM edges, range(1, 4) t(r) WHERE user_id < 100),
+FACTS_SQL = f""", c AS (SELECT DISTINCT user_id * 10 + r AS fact_id, user_id AS query_id, r AS rank, user_id, 'item_' || ((user_id + r) % 10) AS entity, 'click' AS predicate, '' AS object FROM edges, range(1, 4) t(r)),
 s AS (SELECT fact_id, arg_max(e.id, sequence_number) AS edge_id FROM c JOIN edges e ON e.user_id = c.user_id AND list_contains(e.entities, c.entity) AND e.predicate = c.predicate WHERE {LIVE} GROUP BY fact_id)"""
 
 
 def _candidates(spark: SparkSession, d: str) -> DataFrame:
-    users = edges(spark, d).where("user_id < 100").select("user_id").distinct().withColumn("rank", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))))
+    users = edges(spark, d).select("user_id").distinct().withColumn("rank", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))))
     return users.select(F.col("user_id").alias("query_id"), "rank", "user_id", F.concat(F.lit("item_"), (F.col("user_id") + F.col("rank")) % 10).alias("entity"), F.lit("click").alias("predicate"), F.lit("").alias("object"))
 
 

@@ -32,9 +32,9 @@ def edge_projection(spark: SparkSession, d: str) -> DataFrame:
     return edges(spark, d).select("id", "user_id", "subject", "predicate", "object", "source_text_hash", "schematic", "valence", "negated", stamp("resolved_event_date"), F.array_join("entities", ",").alias("entities"), "source_tag")
 
 
-@query(WITH + f"SELECT id, subject, object, temporal_context FROM edges WHERE user_id = 42 AND {LIVE}")
+@query(WITH + f"SELECT id, subject, object, temporal_context FROM edges WHERE {LIVE}")
 def live_scan(spark: SparkSession, d: str) -> DataFrame:
-    return scan.live(edges(spark, d)).where("user_id = 42").select("id", "subject", "object", "temporal_context")
+    return scan.live(edges(spark, d)).select("id", "subject", "object", "temporal_context")
 
 
 @query(WITH + f"SELECT id, user_id FROM edges WHERE {LIVE} AND {CURRENT} AND len(list_filter(entities, lambda x: contains(lower(x), 'item_3'))) > 0")
@@ -43,10 +43,11 @@ def entity_filter(spark: SparkSession, d: str) -> DataFrame:
     return e.where(scan.is_current() & scan.mentions("ITEM_3", strict=False)).select("id", "user_id")
 
 
-@query(WITH + f"""SELECT query_id, id, is_current FROM (SELECT e.user_id AS query_id, id, is_current, max(CASE WHEN {CURRENT} THEN 1 ELSE 0 END) OVER (PARTITION BY e.user_id) AS any_current
-  FROM edges e WHERE {LIVE} AND k >= 98 - e.user_id % 3) WHERE {CURRENT} OR any_current = 0""")
+@query(WITH + f"""SELECT query_id, id, is_current FROM (SELECT user_id || ':' || object AS query_id, id, is_current, max(CASE WHEN {CURRENT} THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, object) AS any_current
+  FROM edges WHERE {LIVE}) WHERE {CURRENT} OR any_current = 0""")
 def currency_fallback(spark: SparkSession, d: str) -> DataFrame:
-    e = scan.live(edges(spark, d)).where(F.col("k") >= 98 - F.col("user_id") % 3).withColumn("query_id", F.col("user_id"))
+    """A question about each user and object; some objects have no current edge."""
+    e = scan.live(edges(spark, d)).withColumn("query_id", F.concat_ws(":", "user_id", "object"))
     return scan.with_fallback(e).select("query_id", "id", "is_current")
 
 
@@ -91,10 +92,10 @@ def upcoming(spark: SparkSession, d: str) -> DataFrame:
     return scan.upcoming(edges(spark, d), as_of()).select("id", F.round("days_until", 6).alias("days_until"))
 
 
-@query(WITH + f"SELECT p.id AS probe_id, e.id FROM edges p JOIN edges e ON e.user_id = p.user_id AND e.sequence_number BETWEEN p.sequence_number - 50 AND p.sequence_number + 50 AND e.id <> p.id WHERE p.id % 97 = 0 AND coalesce(e.is_current, TRUE)")
+@query(WITH + f"SELECT p.id AS probe_id, e.id FROM edges p JOIN edges e ON e.user_id = p.user_id AND e.sequence_number BETWEEN p.sequence_number - 50 AND p.sequence_number + 50 AND e.id <> p.id WHERE coalesce(e.is_current, TRUE)")
 def neighbours(spark: SparkSession, d: str) -> DataFrame:
     e = edges(spark, d)
-    return scan.neighbours(e, e.where("id % 97 = 0").select(F.col("id").alias("probe_id")), 50).select("probe_id", "id")
+    return scan.neighbours(e, e.select(F.col("id").alias("probe_id")), 50).select("probe_id", "id")
 
 
 PROXIMITY_SQL = """CASE WHEN a < 0.04 THEN 'right now' WHEN a < 1 THEN CASE WHEN d > 0 THEN 'today' ELSE 'earlier today' END WHEN a < 2 THEN CASE WHEN d > 0 THEN 'tomorrow' ELSE 'yesterday' END
@@ -258,13 +259,12 @@ def cooldown(spark: SparkSession, d: str) -> DataFrame:
     return E.cooldown(table(spark, d, "events")).select("event_id", F.col("nth").cast("long").alias("nth"), "allowed")
 
 
-@query(WITH + f""", l AS (SELECT id, user_id, object, row_number() OVER (PARTITION BY user_id ORDER BY id) AS n, list_distinct(string_split(lower(source_text), ' ')) AS w FROM edges WHERE {LIVE}),
-m AS (SELECT p.id, max(o.id) AS other_id FROM l p JOIN l o ON p.user_id = o.user_id AND o.n < p.n AND o.n >= p.n - 30 AND o.object <> p.object AND list_contains(o.w, (string_split(lower(p.w[1]), ' '))[1]) IS NOT NULL
-  AND len(list_intersect(o.w, [(SELECT e.predicate FROM edges e WHERE e.id = p.id)])) > 0 WHERE p.id % 7 = 0 GROUP BY p.id)
+@query(WITH + f""", l AS (SELECT id, user_id, object, predicate, row_number() OVER (PARTITION BY user_id ORDER BY id) AS n, list_distinct(string_split(lower(source_text), ' ')) AS w FROM edges WHERE {LIVE}),
+m AS (SELECT p.id, max(o.id) AS other_id FROM l p JOIN l o ON p.user_id = o.user_id AND o.n < p.n AND o.n >= p.n - 30 AND o.object <> p.object AND list_contains(o.w, p.predicate) GROUP BY p.id)
 SELECT m.id, other_id, 'Did you mean ' || p.object || ' or ' || o.object || '?' AS question FROM m JOIN l p ON p.id = m.id JOIN l o ON o.id = m.other_id""")
 def ambiguity(spark: SparkSession, d: str) -> DataFrame:
     e = edges(spark, d)
-    probes = scan.live(e).where("id % 7 = 0").select("id", "user_id", "object", F.array("predicate").alias("terms"))
+    probes = scan.live(e).select("id", "user_id", "object", F.array("predicate").alias("terms"))
     return E.ambiguities(e, probes)
 
 
@@ -355,10 +355,10 @@ def tiers(spark: SparkSession, d: str) -> DataFrame:
     return edges(spark, d).withColumn("significance", kind).groupBy("user_id", state.tier().alias("tier")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(WITH + "SELECT id, 'user' AS tag FROM edges WHERE k % 5 = 0 UNION ALL SELECT id, source_tag FROM edges WHERE k % 5 = 0 AND source_tag <> 'user'")
+@query(WITH + "SELECT id, 'user' AS tag FROM edges UNION ALL SELECT id, source_tag FROM edges WHERE source_tag <> 'user'")
 def two_pass_ingest(spark: SparkSession, d: str) -> DataFrame:
     """A user's text and the model's response to it are two passes over one utterance."""
-    e = edges(spark, d).where("k % 5 = 0")
+    e = edges(spark, d)
     return e.select("id", F.lit("user").alias("tag")).unionByName(e.where("source_tag <> 'user'").select("id", F.col("source_tag").alias("tag")))
 
 

@@ -38,8 +38,8 @@ def rejection_shares(spark: SparkSession, d: str) -> DataFrame:
     return dataset.reason_shares(candidates(spark, d))
 
 
-SAID_SQL = """, c AS (SELECT 'c_' || (id % 3000) AS candidate_id, CASE k % 4 WHEN 0 THEN 'I like ' || object WHEN 1 THEN 'do we like ' || object || '?' WHEN 2 THEN 'I''ve seen it and so ' || object ELSE source_text END AS source_text_raw,
-  CASE predicate WHEN 'click' THEN 'chat_User' WHEN 'view' THEN 'human' ELSE 'assistant' END AS source_type FROM edges WHERE id < 3000)"""
+SAID_SQL = """, c AS (SELECT 'c_' || id AS candidate_id, CASE k % 4 WHEN 0 THEN 'I like ' || object WHEN 1 THEN 'do we like ' || object || '?' WHEN 2 THEN 'I''ve seen it and so ' || object ELSE source_text END AS source_text_raw,
+  CASE predicate WHEN 'click' THEN 'chat_User' WHEN 'view' THEN 'human' ELSE 'assistant' END AS source_type FROM edges)"""
 
 
 def said(spark: SparkSession, d: str) -> DataFrame:
@@ -47,7 +47,7 @@ def said(spark: SparkSession, d: str) -> DataFrame:
     k, o = F.col("k") % 4, F.col("object")
     raw = F.when(k == 0, F.concat(F.lit("I like "), o)).when(k == 1, F.concat(F.lit("do we like "), o, F.lit("?"))).when(k == 2, F.concat(F.lit("I've seen it and so "), o)).otherwise(F.col("source_text"))
     kind = F.when(F.col("predicate") == "click", "chat_User").when(F.col("predicate") == "view", "human").otherwise("assistant")
-    e = edges(spark, d).where("id < 3000").select(F.concat(F.lit("c_"), F.col("id") % 3000).alias("candidate_id"), raw.alias("source_text_raw"), kind.alias("source_type"))
+    e = edges(spark, d).select(F.concat(F.lit("c_"), F.col("id")).alias("candidate_id"), raw.alias("source_text_raw"), kind.alias("source_type"))
     return e.unionByName(e)
 
 
@@ -86,10 +86,10 @@ def validate_master(spark: SparkSession, d: str) -> DataFrame:
     return bad.select("id", F.array_join("problems", ",").alias("problems"))
 
 
-@query(WITH + ", j AS (SELECT 'key_' || (id % 2000) AS key, id % 3 AS judge, user_id % 2 || '|' || predicate AS signature FROM edges WHERE id < 4500), g AS (SELECT key, count(DISTINCT judge) AS judges, list_sort(list(DISTINCT signature)) AS variants FROM j GROUP BY key) SELECT key, judges, CASE WHEN judges = 1 THEN 'single_judge' WHEN len(variants) = 1 THEN 'agreed' ELSE 'disagreement' END AS outcome, array_to_string(variants, ';') AS variants FROM g")
+@query(WITH + ", j AS (SELECT CASE WHEN k % 5 = 0 THEN 'one_' || id ELSE 'key_' || (id // 3) END AS key, id % 3 AS judge, CAST(user_id % 2 AS VARCHAR) AS signature FROM edges), g AS (SELECT key, count(DISTINCT judge) AS judges, list_sort(list(DISTINCT signature)) AS variants FROM j GROUP BY key) SELECT key, judges, CASE WHEN judges = 1 THEN 'single_judge' WHEN len(variants) = 1 THEN 'agreed' ELSE 'disagreement' END AS outcome, array_to_string(variants, ';') AS variants FROM g")
 def adjudicate(spark: SparkSession, d: str) -> DataFrame:
-    e = edges(spark, d).where("id < 4500")
-    j = e.select(F.concat(F.lit("key_"), F.col("id") % 2000).alias("key"), (F.col("id") % 3).alias("judge"), F.concat((F.col("user_id") % 2).cast("string"), F.lit("|"), "predicate").alias("signature"))
+    key = F.when(F.col("k") % 5 == 0, F.concat(F.lit("one_"), "id")).otherwise(F.concat(F.lit("key_"), F.expr("id div 3")))
+    j = edges(spark, d).select(key.alias("key"), (F.col("id") % 3).alias("judge"), (F.col("user_id") % 2).cast("string").alias("signature"))
     return dataset.adjudicated(j).withColumn("variants", F.array_join("variants", ";"))
 
 

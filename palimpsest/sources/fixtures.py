@@ -78,9 +78,9 @@ def embedded_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt.join(vectors, "__vec").drop("__vec")
 
 
-def queries(spark: SparkSession, sf_dir: str, n: int = 50) -> DataFrame:
-    """The first ``n`` vectors as questions, each of one user."""
-    q, i = table(spark, sf_dir, "embeddings").where(F.col("vec_id") < n), F.col("vec_id")
+def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector as a question of one user."""
+    q, i = table(spark, sf_dir, "embeddings"), F.col("vec_id")
     pick = lambda values, by: F.element_at(F.array(*[F.lit(v) for v in values]), (by % len(values)).cast("int") + 1)
     return q.select(
         i.alias("query_id"),
@@ -101,4 +101,4 @@ QUERIES_SQL = """queries AS (
     (['when', 'how', 'what', 'who', NULL])[vec_id % 5 + 1] AS wh, (['temporal', 'emotional', 'relational', 'episodic'])[vec_id % 4 + 1] AS return_field,
     CASE WHEN vec_id % 3 = 0 THEN 'item_' || (vec_id % 10) END AS entity,
     CASE WHEN vec_id % 4 = 1 THEN ['glad'] WHEN vec_id % 4 = 2 THEN ['angry'] END AS emotions, 'question ' || vec_id || '?' AS text
-  FROM embeddings WHERE vec_id < 50)"""
+  FROM embeddings)"""
