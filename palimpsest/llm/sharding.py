@@ -18,9 +18,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from palimpsest.llm.common import durable, number_within
+from palimpsest.llm.common import buckets_for, durable, number_within
 
 MAX_ROUNDS = 24
 #: A shard may hold so many times its quota while labels move; at the end it holds its quota.
@@ -45,18 +44,20 @@ def _where(rank: Column, room: list[int]) -> Column:
 
 
 #: Buckets for numbering linked rows: 64 by group, and 256 within one for the rows of large groups.
-SPREAD, LARGE = 64 * 256, 5000
+SPREAD, LARGE = 64 * 256, 500
 
 
-def _spread() -> Column:
-    """Keeps the rows of a group next to each other, and still lets no large group into one task."""
+def _spread(times: int = 1) -> Column:
+    """Keeps the rows of a group next to each other, and still lets no large group into one task; ``times`` the 64 buckets for
+    groups where all rows are numbered at once."""
     inner = F.when(F.col("n") > LARGE, F.pmod(F.xxhash64("row"), F.lit(256))).otherwise(0)
-    return F.pmod(F.xxhash64("grp"), F.lit(64)) * 256 + inner
+    return F.pmod(F.xxhash64("grp"), F.lit(64 * times)) * 256 + inner
 
 
 def balance(nodes: DataFrame, shards: int = 8, rounds: int = MAX_ROUNDS) -> DataFrame:
     """``nodes(row long unique, grp)`` -> ``(row, shard int)``; rows of one ``grp`` are linked, a null ``grp`` links nothing."""
-    sizes = nodes.where("grp is not null").groupBy("grp").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # written, so that its join with the rows can split a hot group
+    sizes = durable(nodes.where("grp is not null").groupBy("grp").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "sizes")
     linked = durable(nodes.join(sizes, "grp").withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int")), "linked")
     total, n_linked = nodes.count(), linked.count()
     quota = _quota(total, shards)
@@ -84,7 +85,7 @@ def balance(nodes: DataFrame, shards: int = 8, rounds: int = MAX_ROUNDS) -> Data
     room = [q - load.get(s, 0) for s, q in enumerate(quota)]
     alone = nodes.join(placed, "row", "left_anti").select("row", F.col("row").cast("string").alias("grp"), F.lit(1).cast("long").alias("n"))
     free = placed.where("over").select("row", "grp", "n").unionByName(alone).withColumn("all", F.lit(0))
-    spread = number_within(free, ["all"], _spread(), [F.col("grp"), F.col("row")], "nth", SPREAD)
+    spread = number_within(free, ["all"], _spread(max(1, total // LARGE // 64)), [F.col("grp"), F.col("row")], "nth", SPREAD * max(1, total // LARGE // 64))
     return placed.where("not over").select("row", "shard").unionByName(spread.select("row", _where(F.col("nth"), room).alias("shard")))
 
 
@@ -94,5 +95,5 @@ def shard_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     text = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
     rows = durable(df.select(F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.sha2(text, 256).alias("grp")).withColumn("row", F.monotonically_increasing_id()), "sizes")
     where = durable(balance(rows.select("row", "grp"), shards), "shards")
-    out = number_within(rows.drop("grp").join(where, "row"), ["shard"], F.xxhash64("row"), [F.col("doc_id"), F.col("row")], "slot", buckets=512)
+    out = number_within(rows.drop("grp").join(where, "row"), ["shard"], F.xxhash64("row"), [F.col("doc_id"), F.col("row")], "slot", buckets_for(rows.count() // shards))
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
