@@ -36,7 +36,7 @@ from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from palimpsest.llm.bpe import read_ranks
-from palimpsest.llm.common import bound_batches, durable, lean, number_within
+from palimpsest.llm.common import bound_batches, buckets_for, durable, lean, number_within
 
 Pattern = tuple[tuple[int, int], ...]
 
@@ -197,7 +197,8 @@ def places(patterns: dict[Pattern, int]) -> list[tuple[int, int, int, int, int,
 
 
 def pack(pieces: DataFrame, length_col: str = "length", order: list[str] | None = None, capacity: int = 2048) -> DataFrame:
-    """``pieces`` with ``sequence_id long`` and ``offset long`` added. ``order``: columns that tell pieces apart."""
+    """``pieces`` with ``sequence_id long`` and ``offset long`` added (columns of these names are replaced). ``order``: columns that
+    tell pieces apart."""
     spark = pieces.sparkSession
     order = order or [c for c in pieces.columns if c != length_col]
     held = durable(pieces, "pieces")
@@ -205,14 +206,14 @@ def pack(pieces: DataFrame, length_col: str = "length", order: list[str] | None
     if bad := [s for s in histogram if s is None or not 0 < s <= capacity]:
         raise ValueError(f"lengths outside 1..{capacity}: {bad[:5]}")
     rows = places(solve({int(s): n for s, n in histogram.items()}, capacity))
-    numbered = number_within(held, [length_col], F.xxhash64(*order), [F.col(c) for c in order], "__nth", buckets=256)
+    numbered = number_within(held, [length_col], F.xxhash64(*order), [F.col(c) for c in order], "__nth", buckets_for(max(histogram.values(), default=0), 256, 2_000))
     where = F.broadcast(spark.createDataFrame(rows, _PLACES))
     fits = (F.col(length_col) == F.col("__length")) & (F.col("__nth") >= F.col("__low")) & (F.col("__nth") < F.col("__high"))
     return (
         numbered.join(where, fits)
         .withColumn("sequence_id", F.col("__first") + F.expr("(__nth - __low) div __per"))
         .withColumn("offset", (F.col("__at") + F.pmod(F.col("__nth") - F.col("__low"), F.col("__per")) * F.col("__length")).cast("long"))
-        .select(*[F.col(f"`{c}`") for c in pieces.columns], "sequence_id", "offset")
+        .select(*[F.col(f"`{c}`") for c in pieces.columns if c not in ("sequence_id", "offset")], "sequence_id", "offset")
     )
 
 

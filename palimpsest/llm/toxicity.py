@@ -26,6 +26,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from palimpsest.llm.common import bound_batches, durable, lean
 
@@ -33,6 +34,7 @@ ORDERS = (3, 4, 5, 6)
 BUCKETS = 1 << 19
 FEATURES = 2000
 FIT_ROWS = 20_000
+PARTS = 64
 SMOOTH, PENALTY, ROUNDS = 1.0, 1e-3, 400
 _BLOCK = 1 << 13
 #: Code points hashed at a time; n-grams across the cut are kept by an overlap.
@@ -135,7 +137,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).where(~held_out(F.col(id_col))).groupBy(F.col(id_col).cast("long").alias("__id")).agg(F.max(F.col(label_col).cast("int")).alias("__label"))
     sample = known.orderBy(F.xxhash64("__id"), "__id").limit(fit_rows)
     rows = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(sample), "__id")
-    rows = durable(rows.select("__id", "__text", "__label"), "labelled")
+    # a bounded table in a bounded number of parts, each of which adds one vector of counts
+    rows = durable(rows.select("__id", "__text", "__label"), "labelled").coalesce(PARTS)
     sums = rows.select("__text", "__label").mapInArrow(_counts, "label int, block int, counts binary").groupBy("label", "block").applyInPandas(_added, "label int, block int, counts binary")
     count, texts = np.zeros((2, BUCKETS)), [0, 0]
     for r in sums.collect():
@@ -183,7 +186,6 @@ def score(df: DataFrame, model: Model, text_col: str = "text", out: str = "score
     bound_batches(spark)
     held = spark.sparkContext.broadcast(model)
     kept = [c for c in df.columns if c != out]
-    from pyspark.sql import types as T
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lean()
