@@ -167,3 +167,12 @@ def test_copy_and_reembed(spark, tmp_path):
     assert new.first()["source_text_hash"] == one(spark, F.sha2(F.lit("text").cast("binary"), 256))
     row = migrate.reembedded(new, embed.embedder()).first()
     assert np.allclose(row["embedding"], embed.hash_vector("a likes to b"))
+
+
+def test_style_deltas_and_supersession_shape(spark):
+    v = lambda *x: F.array(*map(F.lit, map(float, x)))
+    anchors = {"vulnerability": v(1, 0), "gratitude": v(0.5, 0), "formal": v(0, 1), "casual": v(0, 0.25)}
+    d = one(spark, embed.style_deltas(v(1, 1), anchors, vector.dot))
+    assert (d["warmth"], d["formality"]) == (pytest.approx(0.015), pytest.approx(0.0075))
+    assert one(spark, embed.has_supersession_shape(F.lit(0.6), [F.lit(0.5), F.lit(0.1)]))
+    assert not one(spark, embed.has_supersession_shape(F.lit(0.4), [F.lit(0.5), F.lit(0.1)]))

@@ -153,3 +153,13 @@ def test_engine(spark, tmp_path):
     assert dispatch(e, "tools/call", {"name": "nothing"})["error"]["code"] == -32601
     assert json.dumps(plain(dispatch(e, "tools/call", {"name": "show", "arguments": {"facet": "time"}})))
     assert e.clear() >= 1 and e.show("time") == []
+
+
+def test_windowed_activity_of_a_stream_equals_the_batch(spark, tmp_path):
+    rows = [(1, "a", "x", "y", dt.datetime(2024, 1, 1, h), "user") for h in (1, 5, 23)] + [(1, "b", "x", "y", dt.datetime(2024, 1, 9), "user")]
+    df = spark.createDataFrame(rows, schemas.UTTERANCE)
+    df.coalesce(1).write.json(str(tmp_path / "in"))
+    q = ingest.activity(ingest.read_utterances(spark, str(tmp_path / "in"))).writeStream.format("memory").queryName("act").outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    key = lambda d: sorted((r["user_id"], r["window"]["start"], r["n"]) for r in d.collect())
+    assert key(spark.table("act")) == key(ingest.activity(df)) and len(key(ingest.activity(df))) == 2
