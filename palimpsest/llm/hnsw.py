@@ -25,6 +25,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from palimpsest.llm.common import bound_batches, durable, lean
@@ -106,7 +107,7 @@ def _spread(unit: np.ndarray, cand: np.ndarray, sims: np.ndarray, keep: int) ->
 def build(vectors: np.ndarray, neighbours: int = NEIGHBOURS, breadth: int = BUILD_BREADTH) -> tuple[Graph, np.ndarray]:
     """A graph over distinct, non-zero vectors, and the vector's number of each of its nodes."""
     n = len(vectors)
-    unit = (vectors / np.linalg.norm(vectors, axis=1, keepdims=True)).astype(np.float32)
+    unit = _unit(vectors)
     draw = np.random.default_rng(n).random(n)
     height = np.floor(-np.log(np.maximum(draw, 1e-12)) / np.log(neighbours)).astype(int)
     height = np.minimum(height, 8)
@@ -163,10 +164,15 @@ def search(g: Graph, queries: np.ndarray, k: int, breadth: int = SEARCH_BREADTH)
     return ids[:, :k]
 
 
-INDEX = "shard int, width int, top int, counts binary, ids binary, vectors binary, unit binary, links binary"
+INDEX = "shard int, width int, top int, item int, counts binary, ids binary, vectors binary, links binary"
 
 
-def _pack(shard: int, ids: np.ndarray, vectors: np.ndarray) -> tuple:
+def _unit(vectors: np.ndarray) -> np.ndarray:
+    return (vectors / np.linalg.norm(vectors, axis=1, keepdims=True)).astype(np.float32)
+
+
+def _pack(shard: int, ids: np.ndarray, vectors: np.ndarray, item: int) -> tuple:
+    """A row of ``INDEX``; components take ``item`` bytes, 4 where the source has single precision, which is then exact."""
     distinct, back = np.unique(vectors, axis=0, return_inverse=True)
     g, order = build(distinct)
     place = np.empty(len(order), dtype=np.int64)
@@ -174,13 +180,16 @@ def _pack(shard: int, ids: np.ndarray, vectors: np.ndarray) -> tuple:
     node = place[back.reshape(-1)]
     by = np.lexsort((ids, node))
     counts = np.bincount(node, minlength=len(distinct))
-    return shard, vectors.shape[1], g.top, counts.astype("<i8").tobytes(), ids[by].astype("<i8").tobytes(), distinct[order].astype("<f8").tobytes(), g.unit.tobytes(), b"".join(x.tobytes() for x in g.levels)
+    return shard, vectors.shape[1], g.top, item, counts.astype("<i8").tobytes(), ids[by].astype("<i8").tobytes(), distinct[order].astype(f"<f{item}").tobytes(), b"".join(x.tobytes() for x in g.levels)
 
 
-def _index(rows: pd.DataFrame) -> pd.DataFrame:
-    vectors = np.stack(rows["embedding"].to_numpy()).astype(np.float64)
-    packed = _pack(int(rows["shard"].iloc[0]), rows["vec_id"].to_numpy(dtype=np.int64), vectors)
-    return pd.DataFrame([packed], columns=[c.split()[0] for c in INDEX.split(", ")])
+def _index(item: int):
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        vectors = np.stack(rows["embedding"].to_numpy()).astype(np.float64)
+        packed = _pack(int(rows["shard"].iloc[0]), rows["vec_id"].to_numpy(dtype=np.int64), vectors, item)
+        return pd.DataFrame([packed], columns=[c.split()[0] for c in INDEX.split(", ")])
+
+    return run
 
 
 def usable(embedding: Column) -> Column:
@@ -200,7 +209,8 @@ def build_index(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     width, total = widths[0]["w"], widths[0]["count"]
     shards = max(1, round(total / shard_rows))
     dealt = rows.where(F.size("embedding") == width).withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
-    return durable(dealt.groupBy("shard").applyInPandas(_index, INDEX), "hnsw")
+    item = 4 if df.schema[vector_col].dataType == T.ArrayType(T.FloatType(), df.schema[vector_col].dataType.containsNull) else 8
+    return durable(dealt.groupBy("shard").applyInPandas(_index(item), INDEX), "hnsw")
 
 
 FOUND = "query_id long, vec_id long, score double"
@@ -213,8 +223,8 @@ def _answers(k: int, breadth: int):
         for b in batches:
             for r in b.to_pylist():
                 width = r["width"]
-                unit = np.frombuffer(r["unit"], dtype=np.float32).reshape(-1, width)
-                vectors = np.frombuffer(r["vectors"], dtype="<f8").reshape(-1, width)
+                vectors = np.frombuffer(r["vectors"], dtype=f"<f{r['item']}").astype(np.float64).reshape(-1, width)
+                unit = _unit(vectors)
                 counts, ids = np.frombuffer(r["counts"], dtype="<i8"), np.frombuffer(r["ids"], dtype="<i8")
                 first = np.concatenate([[0], np.cumsum(counts)])
                 flat, n = np.frombuffer(r["links"], dtype=np.int32), len(unit)
@@ -271,9 +281,10 @@ def nearest(index: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector
     blocks = max(1, -(-asked.count() // QUERY_BLOCK))
     asked = asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
     packed = asked.groupBy("block").applyInPandas(_blocked, "block int, query_ids binary, queries binary")
-    # every block of queries goes to every shard; one task reads a shard's row with one block
-    sent = packed.withColumn("shard", F.explode(F.array(*[F.lit(r["shard"]) for r in known])))
-    met = sent.join(index, "shard").repartition(max(1, min(len(known) * blocks, 2000)), "shard", "block")
+    # every block of queries goes to every shard, whose row stays where it is for all of them
+    parts = max(1, min(2 * len(known), 2000))
+    sent = packed.withColumn("shard", F.explode(F.array(*[F.lit(r["shard"]) for r in known]))).repartition(parts, "shard")
+    met = sent.join(index.repartition(parts, "shard"), "shard")
     found = met.mapInArrow(_answers(k, breadth), FOUND)
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
