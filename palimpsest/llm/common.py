@@ -7,6 +7,8 @@ import ctypes
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,9 +18,14 @@ from pyspark.sql import Window as W
 #: Rows and bytes an Arrow batch holds at most, so that a Python worker's memory has a bound.
 BATCH_ROWS, BATCH_BYTES = 500, 2 << 20
 
+#: Consecutive buckets whose counts are added up on their own when numbering.
+RUN = 1024
+
 _own_dir: str | None = None
 #: Folders made in this process, for ``release``.
 _made: list[str] = []
+#: Lists that note what is made while they are open, in this thread (``settled``).
+_open: ContextVar[tuple[list[str], ...]] = ContextVar("open", default=())
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,6 +44,8 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that no other run uses."""
     path = f"{shared_dir(spark)}/palimpsest/{name}-{uuid.uuid4().hex}"
     _made.append(path)
+    for own in _open.get():
+        own.append(path)
     return path
 
 
@@ -63,9 +72,31 @@ def discard(spark: SparkSession, *frames: DataFrame) -> None:
     """Delete the tables behind ``durable`` frames whose last reader has been written itself."""
     for df in frames:
         for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            if "/palimpsest/" not in folder:
-                continue  # not ours
-            _delete(spark, folder)
+            drop_folder(spark, folder)
+
+
+def drop_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder, if ``fresh_path`` has made it in this process; leave all others alone."""
+    own = folder.rsplit("/", 1)[1]
+    for path in [p for p in _made if p.rsplit("/", 1)[1] == own]:
+        _delete(spark, path)
+        _made.remove(path)
+
+
+def settled(read: DataFrame, make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """What ``make`` returns, written; every other table that this thread has written for it is deleted, and so is the one
+    behind ``read``, if it is ours."""
+    spark = read.sparkSession
+    own: list[str] = []
+    held = _open.set((*_open.get(), own))
+    try:
+        out = durable(make(), name)
+    finally:
+        _open.reset(held)
+    for folder in own[:-1]:
+        drop_folder(spark, folder)
+    discard(spark, read)
+    return out
 
 
 def bound_batches(spark: SparkSession) -> None:
@@ -91,24 +122,38 @@ def buckets_for(rows: int, least: int = 64, each: int = 50_000) -> int:
     return max(least, -(-rows // each))
 
 
-def number_within(df: DataFrame, keys: list[str], spread: Column, order: list[Column], out: str, buckets: int = 64) -> DataFrame:
-    """Number the rows of each ``keys`` group from 0 without gaps, with no group in one task.
+def sums_before(df: DataFrame, keys: list[str], spread: Column, order: list[Column], amount: str | None, out: str, buckets: int = 64) -> DataFrame:
+    """``df`` with ``out long`` added: the sum of ``amount`` (None: 1 a row) over the rows before it in its ``keys`` group, with no
+    group in one task.
 
-    A group is cut into ``buckets`` by ``spread``; buckets are numbered on their own and shifted by the counts of the
-    buckets before. The table of counts has groups x ``buckets`` rows at most. ``order`` must tell rows of a bucket apart
-    as far as their outcome matters; rows that agree on all of it may swap numbers.
+    A group is cut into ``buckets`` by ``spread``; buckets are summed on their own and shifted by the sums of the buckets
+    before. Those come from two levels: runs of ``RUN`` buckets on their own, and the runs; so that a task reads ``RUN`` of
+    a group's counts, or one of ``RUN`` of them. ``order`` must tell rows of a bucket apart as far as their outcome
+    matters; rows that agree on all of it may swap places.
     """
-    spark = df.sparkSession
     b, before = f"__{out}_bucket", f"__{out}_before"
+    upto = lambda w: w.rowsBetween(W.unboundedPreceding, -1)
+    zero = lambda c: F.coalesce(c, F.lit(0))
     dealt = df.withColumn(b, F.pmod(spread, F.lit(buckets)).cast("int"))
-    counts = dealt.groupBy(*keys, b).agg(F.count(F.lit(1)).alias("__n"))
-    w = W.partitionBy(*keys).orderBy(b).rowsBetween(W.unboundedPreceding, -1)
-    shifts = counts.withColumn(before, F.coalesce(F.sum("__n").over(w), F.lit(0))).select(*keys, b, before)
+    counts = dealt.groupBy(*keys, b).agg((F.count(F.lit(1)) if amount is None else F.sum(amount)).alias("__n"))
+    if buckets <= RUN:
+        shifts = counts.withColumn(before, zero(F.sum("__n").over(upto(W.partitionBy(*keys).orderBy(b))))).select(*keys, b, before)
+    else:
+        cut = durable(counts.withColumn("__run", F.expr(f"{b} div {RUN}")), "counts")
+        runs = cut.groupBy(*keys, "__run").agg(F.sum("__n").alias("__all"))
+        runs = runs.withColumn("__upto", zero(F.sum("__all").over(upto(W.partitionBy(*keys).orderBy("__run"))))).drop("__all")
+        inside = cut.withColumn("__in", zero(F.sum("__n").over(upto(W.partitionBy(*keys, "__run").orderBy(b)))))
+        shifts = inside.join(runs, [*keys, "__run"]).select(*keys, b, (F.col("__upto") + F.col("__in")).alias(before))
     inner = W.partitionBy(*keys, b).orderBy(*order)
-    ranked = dealt.withColumn("__r", F.row_number().over(inner) - 1)
+    ranked = dealt.withColumn("__r", F.row_number().over(inner) - 1 if amount is None else zero(F.sum(amount).over(upto(inner))))
     return ranked.join(shifts, [*keys, b]).withColumn(out, (F.col(before) + F.col("__r")).cast("long")).drop(b, before, "__r")
 
 
+def number_within(df: DataFrame, keys: list[str], spread: Column, order: list[Column], out: str, buckets: int = 64) -> DataFrame:
+    """Number the rows of each ``keys`` group from 0 without gaps, with no group in one task (``sums_before``)."""
+    return sums_before(df, keys, spread, order, None, out, buckets)
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of undirected ``edges(src long, dst long)``: a row ``(node, component)`` for every node that has
     an edge, ``component`` being the smallest node it reaches.
