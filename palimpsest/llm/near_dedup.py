@@ -13,21 +13,24 @@ others are confirmed on their full sets.
 A bucket is a band's registers and a size class: sets that reach the threshold are of the same or neighbouring classes, so
 each set goes to its own and the next class's bucket.
 
-Groups of any size: documents with equal sets are one class from the start (so copies cost nothing). Round 1 compares
+Groups of any size: documents with equal sets (by a 128-bit hash of the whole set) are one class from the start, so copies
+cost nothing; a class gets a number of its own when the classes are written. Round 1 compares
 each class with one other, the smallest of the bucket it shares with most: a star. Round 2 looks at the buckets whose
 classes are still in different components, and there at all pairs of different components, in blocks of bounded size:
 first by sketch, each pair in the first of the buckets it shares; then, for classes with a pair left, on the full sets.
-Pairs never become rows; a block returns the links that join components. So no link between different texts is lost, and
-no bucket is gathered in one task.
+Pairs never become rows; a block returns the links that join components. No bucket is gathered in one task, and no bucket,
+pair or partner is left out. What can be lost is lost by the sketch alone: a pair at the threshold shares no band with a
+probability under 1e-7, and falls under the screen at five standard errors; every pair that is reported is confirmed.
 
 Defined cases: a null or blank text has an empty set and is linked with nothing; repeated rows are documents of their
 own with one id, and share a component if any of them is linked; a null id is linked with nothing but copies of a
-known id; an empty table gives an empty table; other columns stay as they are, whatever their names.
+known id; an empty table gives an empty table. ``near_duplicates`` returns its four columns alone, ``keep_one`` the rows
+with all their columns, whatever their names.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -124,16 +127,14 @@ def set_key(hashes: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(hashes.tobytes())
 
 
-def _node(key: bytes) -> int:
-    """The class number that stands for a set in pairs and links."""
-    return int.from_bytes(key[:8], "little", signed=True)
+SKETCHED = "doc_id long, n_shingles long, set_key binary, sketch binary"
+_SKETCHED_PA = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("sketch", pa.binary())])
 
 
-SKETCHED = "doc_id long, n_shingles long, set_key binary, node long, sketch binary"
-_SKETCHED_PA = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("node", pa.int64()), ("sketch", pa.binary())])
+Key = Callable[[np.ndarray], bytes]
 
 
-def _sketched(n: int):
+def _sketched(n: int, key: Key):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lean()
         for b in batches:
@@ -141,9 +142,9 @@ def _sketched(n: int):
             for text in b.column(1).to_pylist():
                 s = shingles(text or b"", n)
                 sizes.append(len(s))
-                keys.append(set_key(s) if len(s) else None)
+                keys.append(key(s) if len(s) else None)
                 regs.append(sketch(s).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array([None if k is None else _node(k) for k in keys], pa.int64()), pa.array(regs, pa.binary())], schema=_SKETCHED_PA)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(regs, pa.binary())], schema=_SKETCHED_PA)
 
     return run
 
@@ -196,23 +197,28 @@ def _filter_pairs(percent: int):
     return run
 
 
-def _sets(n: int):
+def _sets(n: int, key: Key):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lean()
         for b in batches:
             rows = [s for t in b.column(0).to_pylist() if len(s := shingles(t or b"", n))]
             offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
             flat = np.concatenate(rows).view(np.int64) if rows else np.empty(0, dtype=np.int64)
-            nodes = pa.array([_node(set_key(r)) for r in rows], pa.int64())
-            yield pa.RecordBatch.from_arrays([nodes, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["node", "grams"])
+            keys = pa.array([key(r) for r in rows], pa.binary())
+            yield pa.RecordBatch.from_arrays([keys, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["set_key", "grams"])
 
     return run
 
 
-def _full_sets(nodes: DataFrame, classes: DataFrame, docs: DataFrame, n: int) -> DataFrame:
+def _full_sets(nodes: DataFrame, classes: DataFrame, docs: DataFrame, n: int, key: Key) -> DataFrame:
     """``node, grams`` (sorted) of the classes in ``nodes(node)``; only texts of theirs are cut into n-grams again."""
-    ids = classes.join(nodes.distinct(), "node", "left_semi").select(F.col("rep").alias("doc_id")).distinct()
-    return durable(docs.join(ids, "doc_id", "left_semi").select("content").mapInArrow(_sets(n), "node long, grams array<long>").dropDuplicates(["node"]), "sets")
+    wanted = durable(classes.join(nodes.distinct(), "node", "left_semi").select("node", "rep", "set_key"), "wanted")
+    texts = docs.join(wanted.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select("content")
+    # ids may repeat, so a class's own text is told by its set
+    own = texts.mapInArrow(_sets(n, key), "set_key binary, grams array<long>").dropDuplicates(["set_key"])
+    sets = durable(own.join(wanted.select("set_key", "node"), "set_key").select("node", "grams"), "sets")
+    discard(docs.sparkSession, wanted)
+    return sets
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -338,15 +344,18 @@ def _by_block(rows: DataFrame) -> DataFrame:
     return rows.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "node")
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """One row per row of ``df``: ``doc_id, n_shingles, component_id, kept``. Documents are linked when 100 times their
-    intersection is at least ``percent`` times their union; ``component_id`` is the smallest id reachable over links."""
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, key: Key = set_key) -> DataFrame:
+    """One row per row of ``df``: ``doc_id, n_shingles, component_id, kept``; a written table. Documents are linked when 100 times
+    their intersection is at least ``percent`` times their union; ``component_id`` is the smallest id reachable over links.
+    ``key`` tells sets apart."""
     spark = df.sparkSession
     bound_batches(spark)
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("content"))
-    sketched = durable(docs.mapInArrow(_sketched(words), SKETCHED), "sketches")
+    sketched = durable(docs.mapInArrow(_sketched(words, key), SKETCHED), "sketches")
     # classes of equal sets
-    classes = durable(sketched.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")), "classes")
+    by_set = sketched.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
+    # the number of a class is written with it, and read from there ever after
+    classes = durable(by_set.withColumn("node", F.monotonically_increasing_id()), "classes")
     # a set of fewer n-grams can reach the threshold with no other set
     least = -(-percent // (100 - percent)) if percent < 100 else 1 << 60
     facts = classes.where((F.col("n_shingles") >= least) & F.col("rep").isNotNull()).select("node", "n_shingles", "sketch")
@@ -365,8 +374,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     often = shared.where("node <> head").groupBy("node", "head").agg(F.count(F.lit(1)).alias("times"))
     star = often.groupBy("node").agg(F.max(F.struct("times", "head")).alias("m")).select(F.col("m.head").alias("a"), F.col("node").alias("b"))
     first = durable(screened(star), "pairs")
-    sets = _full_sets(first.select(F.col("a").alias("node")).unionByName(first.select(F.col("b").alias("node"))), classes, docs, words)
+    sets = _full_sets(first.select(F.col("a").alias("node")).unionByName(first.select(F.col("b").alias("node"))), classes, docs, words, key)
     links = durable(_confirmed(first, sets, percent), "links")
+    kept_links = [links]
     discard(spark, sets)
     parts = components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
 
@@ -381,19 +391,26 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     dealt = durable(dealt.select("band", "i", "j", "node", "n_shingles", "component", "block", "place", "class"), "blocks")
     seen = durable(_by_block(dealt.join(facts.select("node", "sketch"), "node")).mapInArrow(_open_nodes(percent), OPEN), "open")
     if not seen.isEmpty():
-        sets = _full_sets(seen.select("node"), classes, docs, words)
+        sets = _full_sets(seen.select("node"), classes, docs, words, key)
         rows = dealt.join(seen, ["band", "i", "j", "node"]).join(facts.select("node", "sketch"), "node").join(sets, "node")
         more = durable(_by_block(rows).mapInArrow(_block_links(percent), PAIRS), "links")
         discard(spark, sets)
+        kept_links.append(more)
         known = parts.where("node <> component").select(F.col("node").alias("src"), F.col("component").alias("dst"))
-        parts = components(known.unionByName(more.select(F.col("a").alias("src"), F.col("b").alias("dst"))))
-    discard(spark, dealt, shared, placed, stars, open_bands)
+        before, parts = parts, components(known.unionByName(more.select(F.col("a").alias("src"), F.col("b").alias("dst"))))
+        discard(spark, before)
+    discard(spark, dealt, shared, placed, stars, open_bands, seen, first)
 
-    grouped = classes.select("node", "rep").join(parts, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component"))
+    grouped = classes.select("node", "set_key", "rep").join(parts, "node", "left").select("set_key", "rep", F.coalesce("component", "node").alias("component"))
     least_doc = durable(grouped.groupBy("component").agg(F.min("rep").alias("least")), "least")
-    named = grouped.join(least_doc, "component").select("node", "least")
-    out = sketched.join(named, "node", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    named = grouped.join(least_doc, "component").select("set_key", "least")
+    rows = sketched.select("doc_id", "n_shingles", "set_key")
+    # documents without words apart: as keys of the join they would be one
+    linked = rows.where("set_key is not null").join(named, "set_key", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
+    out = linked.unionByName(rows.where("set_key is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    done = durable(out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))), "components")
+    discard(spark, sketched, classes, least_doc, parts, *kept_links)
+    return done
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
