@@ -8,7 +8,12 @@ Within a shard, equal vectors are one graph node; its ids are listed from the sm
 result can hold are returned, so copies neither disturb the graph nor get lost. Insertion and search work on blocks of
 points in lockstep: every step expands the best open candidate of each point at once.
 
-Scores are cosines of the original vectors in double precision, computed alike for equal vectors.
+Scores are cosines of the original vectors in double precision, computed alike for equal vectors. Vectors whose squares
+would leave the range of a double are first divided by a power of two, which changes no digit of a cosine.
+
+The number of shards grows with the table up to ``SHARDS``; from then on the shards grow, up to ``SHARD_MOST`` vectors each
+(what a task can hold), and only then their number again: a query visits every shard, but a graph ten times as large
+costs it little more.
 
 Defined cases: vectors that are null, zero, of another width than most, or that hold null or non-finite components take
 no part, neither as queries nor as candidates; ties go to the smaller id; repeated ids are candidates of their own but
@@ -32,8 +37,8 @@ from palimpsest.llm.common import bound_batches, durable, lean
 
 #: Neighbours kept per node (twice as many on the ground level), breadth of the search when inserting and when asked.
 NEIGHBOURS, BUILD_BREADTH, SEARCH_BREADTH = 16, 80, 160
-#: Vectors a shard holds about; queries a block holds.
-SHARD_ROWS, QUERY_BLOCK = 6000, 512
+#: Vectors a shard holds about, shards from which on these grow, vectors a shard holds at most; queries a block holds.
+SHARD_ROWS, SHARDS, SHARD_MOST, QUERY_BLOCK = 6000, 64, 250_000, 512
 _INSERT_BLOCK = 128
 
 
@@ -167,6 +172,21 @@ def search(g: Graph, queries: np.ndarray, k: int, breadth: int = SEARCH_BREADTH)
 INDEX = "shard int, width int, top int, item int, counts binary, ids binary, vectors binary, links binary"
 
 
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """Rows whose squares may over- or underflow, divided by the power of two next to their largest component."""
+    most = np.abs(vectors).max(axis=1, initial=0.0)
+    far = (most > 1e100) | ((most < 1e-100) & (most > 0))
+    if far.any():
+        vectors = vectors.copy()
+        vectors[far] = np.ldexp(vectors[far], -np.frexp(most[far])[1][:, None])
+    return vectors
+
+
+def shard_count(rows: int, shard_rows: int) -> int:
+    """So many shards that one holds about ``shard_rows``, then ``SHARDS``, then so many that none exceeds ``SHARD_MOST`` much."""
+    return max(1, min(round(rows / shard_rows), SHARDS), -(-rows // max(SHARD_MOST, shard_rows)))
+
+
 def _unit(vectors: np.ndarray) -> np.ndarray:
     return (vectors / np.linalg.norm(vectors, axis=1, keepdims=True)).astype(np.float32)
 
@@ -185,7 +205,7 @@ def _pack(shard: int, ids: np.ndarray, vectors: np.ndarray, item: int) -> tuple:
 
 def _index(item: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        vectors = np.stack(rows["embedding"].to_numpy()).astype(np.float64)
+        vectors = scaled(np.stack(rows["embedding"].to_numpy()).astype(np.float64))
         packed = _pack(int(rows["shard"].iloc[0]), rows["vec_id"].to_numpy(dtype=np.int64), vectors, item)
         return pd.DataFrame([packed], columns=[c.split()[0] for c in INDEX.split(", ")])
 
@@ -207,10 +227,11 @@ def build_index(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     if not widths:
         return spark.createDataFrame([], INDEX)
     width, total = widths[0]["w"], widths[0]["count"]
-    shards = max(1, round(total / shard_rows))
+    shards = shard_count(total, shard_rows)
     dealt = rows.where(F.size("embedding") == width).withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
     item = 4 if df.schema[vector_col].dataType == T.ArrayType(T.FloatType(), df.schema[vector_col].dataType.containsNull) else 8
-    return durable(dealt.groupBy("shard").applyInPandas(_index(item), INDEX), "hnsw")
+    # the number of partitions is given: adaptive execution would put several shards, which are small, into one task
+    return durable(dealt.repartition(4 * shards, "shard").groupBy("shard").applyInPandas(_index(item), INDEX), "hnsw")
 
 
 FOUND = "query_id long, vec_id long, score double"
@@ -265,25 +286,26 @@ def _others(ids: np.ndarray, first: np.ndarray, node: int, own: int, k: int) ->
 
 def _blocked(rows: pd.DataFrame) -> pd.DataFrame:
     rows = rows.sort_values("vec_id")
-    return pd.DataFrame({"block": rows["block"].iloc[:1], "query_ids": [rows["vec_id"].to_numpy(dtype="<i8").tobytes()], "queries": [np.stack(rows["embedding"].to_numpy()).astype("<f8").tobytes()]})
+    return pd.DataFrame({"block": rows["block"].iloc[:1], "query_ids": [rows["vec_id"].to_numpy(dtype="<i8").tobytes()], "queries": [scaled(np.stack(rows["embedding"].to_numpy()).astype(np.float64)).astype("<f8").tobytes()]})
 
 
 def nearest(index: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, breadth: int = SEARCH_BREADTH) -> DataFrame:
     """``query_id, rank, vec_id, score``: the k nearest found of each usable query, its own id left out."""
     spark = index.sparkSession
     bound_batches(spark)
-    known = index.select("shard", "width").collect()
-    if not known:
+    known = index.agg(F.max("shard").alias("last"), F.max("width").alias("width")).first()
+    if known["last"] is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    shards = known["last"] + 1
     asked = queries.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("embedding"))
-    asked = asked.where(usable(F.col("embedding")) & F.col("vec_id").isNotNull() & (F.size("embedding") == known[0]["width"]))
+    asked = asked.where(usable(F.col("embedding")) & F.col("vec_id").isNotNull() & (F.size("embedding") == known["width"]))
     asked = asked.dropDuplicates(["vec_id"])
     blocks = max(1, -(-asked.count() // QUERY_BLOCK))
     asked = asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
     packed = asked.groupBy("block").applyInPandas(_blocked, "block int, query_ids binary, queries binary")
     # every block of queries goes to every shard, whose row stays where it is for all of them
-    parts = max(1, min(2 * len(known), 2000))
-    sent = packed.withColumn("shard", F.explode(F.array(*[F.lit(r["shard"]) for r in known]))).repartition(parts, "shard")
+    parts = max(1, min(2 * shards, 2000))
+    sent = packed.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).repartition(parts, "shard")
     met = sent.join(index.repartition(parts, "shard"), "shard")
     found = met.mapInArrow(_answers(k, breadth), FOUND)
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
