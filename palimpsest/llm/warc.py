@@ -9,12 +9,14 @@ All files lie in the folder that ``spark.checkpoint.dir`` names. A task writes u
 its row of the manifest table; what a lost or repeated task wrote is in no manifest and is never read.
 
 Revisits: of rows with equal payloads of at least ``min_bytes`` bytes, the one with the smallest id (and, of rows that
-repeat that id, one) is the response, the others are revisits without payload. Hot payloads: the smallest id is a ``min``
-combined before the shuffle and written, and goes back to the rows by a join whose hot keys Spark can split.
+repeat that id, one) is the response, the others are revisits without payload. Equality is that of length, SHA-256 and
+SHA-1, so that payloads made to collide in SHA-1 are kept apart. Hot payloads: the smallest id is a ``min`` combined before
+the shuffle and written, and goes back to the rows by a join whose hot keys Spark can split. Rows are told apart by a
+number that is written with them once, while the archives are made.
 
 Defined cases: a null payload counts as empty; a null id sorts last and is read back as null; a null URL is left out;
 control characters and blanks in URLs are percent-encoded; an empty table gives no archives and an empty result; other
-columns are not archived. The input must give the same rows in the same order when read again (files or a written table).
+columns are not archived, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,10 +32,10 @@ from typing import BinaryIO
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import bound_batches, durable, fresh_path, lean
+from palimpsest.llm.common import bound_batches, discard, drop_folder, durable, fresh_path, lean
 
 #: An archive is closed once it holds so many bytes before compression.
 ARCHIVE_BYTES = 256 << 20
@@ -46,6 +48,11 @@ def payload_digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
+def same_payload(payload: Column) -> Column:
+    """What equal payloads, and no others, have in common: length, SHA-256 and SHA-1."""
+    return F.concat_ws(":", F.octet_length(payload).cast("string"), F.sha2(payload, 256), F.sha1(payload))
+
+
 def _safe_url(url: str) -> str:
     return re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url)
 
@@ -65,17 +72,22 @@ def record(record_id: str, kind: str, url: str | None, payload: bytes, digest: s
 
 
 def inflate(source: BinaryIO) -> Iterator[bytes]:
-    """The content of a gzip file of one member or many, in pieces."""
+    """The content of a gzip file of one member or many, in pieces of ``_CHUNK`` bytes at most, however well it is packed."""
     z, begun = zlib.decompressobj(31), False
     while data := source.read(_CHUNK):
         while data:
             begun = True
-            yield z.decompress(data)
-            data = z.unused_data
+            yield z.decompress(data, _CHUNK)
+            data = z.unconsumed_tail
             if z.eof:
-                z, begun = zlib.decompressobj(31), False
-    if begun:
-        raise ValueError("the gzip stream ends early")
+                data, z, begun = z.unused_data, zlib.decompressobj(31), False
+    while begun:  # what was held back for its size
+        piece = z.decompress(z.unconsumed_tail, _CHUNK)
+        begun = not z.eof
+        if piece:
+            yield piece
+        elif begun:
+            raise ValueError("the gzip stream ends early")
 
 
 def records(pieces: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes, bytes]]:
@@ -139,10 +151,11 @@ def write_archives(df: DataFrame, id_col: str = "page_id", url_col: str = "url",
     bound_batches(spark)
     folder = fresh_path(spark, "warc-whole")
     payload = F.coalesce(F.col(payload_col).cast("binary"), F.lit(b""))
-    rows = df.select(F.col(id_col).cast("long").alias("page"), F.col(url_col).alias("url"), payload.alias("payload")).select("*", F.monotonically_increasing_id().alias("row"), F.sha1("payload").alias("digest"))
+    rows = df.select(F.col(id_col).cast("long").alias("page"), F.col(url_col).alias("url"), payload.alias("payload"))
+    rows = durable(rows.select("*", F.monotonically_increasing_id().alias("row"), same_payload(F.col("payload")).alias("same")), "warc-rows")
     order = F.struct(F.coalesce("page", F.lit(_LAST_ID)).alias("at"), "row")
-    groups = durable(rows.where(F.octet_length("payload") >= min_bytes).groupBy("digest").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", F.col("first.at").alias("first_at"), F.col("first.row").alias("first_row")), "copies")
-    known = rows.join(groups, "digest", "left").select("page", "url", "payload", "row", "first_at", "first_row")
+    groups = durable(rows.where(F.octet_length("payload") >= min_bytes).groupBy("same").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("same", F.col("first.at").alias("first_at"), F.col("first.row").alias("first_row")), "copies")
+    known = rows.join(groups, "same", "left").select("page", "url", "payload", "row", "first_at", "first_row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lean()
@@ -169,7 +182,9 @@ def write_archives(df: DataFrame, id_col: str = "page_id", url_col: str = "url",
         if done:
             yield _listed(done)
 
-    return durable(known.mapInArrow(run, MANIFEST), "warc-manifest")
+    manifest = durable(known.mapInArrow(run, MANIFEST), "warc-manifest")
+    discard(spark, rows, groups)
+    return manifest
 
 
 def _one_each(manifest: DataFrame) -> DataFrame:
@@ -261,5 +276,11 @@ def _lines(source: BinaryIO) -> Iterator[bytes]:
 
 
 def round_trip(df: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 0, with_payload: bool = True) -> DataFrame:
-    """Archive the rows, normalise the archives and read the records back."""
-    return read_records(normalise(write_archives(df, id_col, url_col, payload_col, min_bytes)), with_payload)
+    """Archive the rows, normalise the archives and read the records back. The archives as first written are deleted once they
+    are normalised."""
+    whole = write_archives(df, id_col, url_col, payload_col, min_bytes)
+    members = normalise(whole)
+    for r in whole.select(F.regexp_replace("path", "/[^/]*$", "").alias("folder")).distinct().collect():
+        drop_folder(df.sparkSession, r["folder"])
+    discard(df.sparkSession, whole)
+    return read_records(members, with_payload)
