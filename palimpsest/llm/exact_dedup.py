@@ -5,8 +5,12 @@ Two texts are equal when they are identical after every run of ``[\\x20\\x09-\\x
 
 Plan: (1) each input partition combines its own copies in such a table, so that a text leaves a partition once however
 often it occurs there; (2) those representatives are shuffled by a hash of the whole text and each partition runs the
-Grace recursion; (3) the verdicts go back to the rows over the local group number. The group that holds a third of all
-rows is therefore one row per input partition in (2), and at most one input partition's rows in (3).
+Grace recursion; (3) the verdicts go back to the rows over the local group number.
+
+Hot texts: the group that holds a third of all rows is one representative for each table of (1), and a large input has many
+of those. Hashes with more than ``MEET`` representatives therefore take a level between (1) and (2): they are dealt to
+about the root of their number of tasks, each of which combines its share by the same recursion and passes one
+representative on. So a task meets the root of the number of copies, and content is sent once a level.
 
 Defined cases: a null text counts as empty; empty texts are equal to each other; ids may repeat or be null (nulls sort
 last) and of rows that tie exactly one is kept; an empty table gives an empty table; other columns of the input are
@@ -28,10 +32,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import bound_batches, durable, lean
+from palimpsest.llm.common import bound_batches, discard, durable, lean
 
 #: Bytes of distinct content a task holds in its table before it spills (or, in the combining pass, flushes).
 MEMORY_BYTES = 24 << 20
+#: Representatives of one hash that may meet in a task without a level between.
+MEET = 64
 FANOUT_BITS = 4
 _BLANKS = bytes.maketrans(b"\t\n\v\f\r", b"     ")
 _NO_ID = (1 << 63) - 1
@@ -145,6 +151,10 @@ VERDICT = "g long, keep_id long, keep_g long, group_size long, sha binary"
 _VERDICT_PA = pa.schema([("g", pa.int64()), ("keep_id", pa.int64()), ("keep_g", pa.int64()), ("group_size", pa.int64()), ("sha", pa.binary())])
 
 
+HEADS = VERDICT + ", h long, content binary"
+_HEADS_PA = pa.schema([*_VERDICT_PA, ("h", pa.int64()), ("content", pa.binary())])
+
+
 class _Spill:
     """Bucket files of one level of the recursion, in the scratch folder Spark gives its workers."""
 
@@ -175,7 +185,7 @@ def _read(path: str) -> Iterator[tuple]:
 
 
 def grace(records: Iterator[tuple], memory: int, scratch: str, depth: int = 0) -> Iterator[tuple]:
-    """``(hash, id, g, n, sha, content)`` -> ``(g, keep_id, keep_g, total n, sha)``.
+    """``(hash, id, g, n, sha, content)`` -> ``(g, keep_id, keep_g, total n, sha, hash, content)``; content only where g is keep_g.
 
     Fills a table; when its distinct contents outgrow ``memory``, that table's records and all further ones go to spill
     files by the next bits of the hash, each of which is treated alike. Copies take no table space, so a bucket of one
@@ -195,9 +205,9 @@ def grace(records: Iterator[tuple], memory: int, scratch: str, depth: int = 0) -
         if table.size > memory and len(table.hashes) > 1 and FANOUT_BITS * (depth + 1) < 60:
             break
     else:
-        for keep, keep_g, total, sha, own in members:
+        for h, content, (keep, keep_g, total, sha, own) in zip(table.hashes, table.contents, members, strict=True):
             for _, g, _ in own:
-                yield g, keep, keep_g, total, sha
+                yield g, keep, keep_g, total, sha, h, content if g == keep_g else None
         return
     spill, shift = _Spill(scratch), 60 - FANOUT_BITS * depth
     low = (1 << FANOUT_BITS) - 1
@@ -216,48 +226,84 @@ def grace(records: Iterator[tuple], memory: int, scratch: str, depth: int = 0) -
 
 
 def _scratch() -> str:
-    return os.environ.get("SPARK_LOCAL_DIRS", tempfile.gettempdir()).split(",")[0]
+    """Where Spark lets this worker spill: one of its own folders, by turns."""
+    folders = os.environ["SPARK_LOCAL_DIRS"].split(",")
+    return folders[TaskContext.get().partitionId() % len(folders)]
 
 
-def _resolve(memory: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lean()
+def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    for b in batches:
+        for h, i, g, n, sha, content in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            yield h & (1 << 64) - 1, _NO_ID if i is None else i, g, n, sha, content
+
 
-        def records() -> Iterator[tuple]:
-            for b in batches:
-                for h, i, g, n, sha, content in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                    yield h & (1 << 64) - 1, _NO_ID if i is None else i, g, n, sha, content
+def _resolve(memory: int, heads: bool = False):
+    """``heads``: with the hash and content of the rows that stay (``HEADS``)."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         out: list[tuple] = []
 
         def batch() -> pa.RecordBatch:
-            g, keep, keep_g, total, sha = zip(*out, strict=True)
-            return pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), pa.array([None if k == _NO_ID else k for k in keep], pa.int64()), pa.array(keep_g, pa.int64()), pa.array(total, pa.int64()), pa.array(sha, pa.binary())], schema=_VERDICT_PA)
+            g, keep, keep_g, total, sha, h, content = zip(*out, strict=True)
+            columns = [g, [None if k == _NO_ID else k for k in keep], keep_g, total, sha, *([list(map(_signed, h)), content] if heads else [])]
+            schema = _HEADS_PA if heads else _VERDICT_PA
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
-        for row in grace(records(), memory, _scratch()):
+        held = 0
+        for row in grace(_records(batches), memory, _scratch()):
             out.append(row)
-            if len(out) == 20_000:
+            held += len(row[-1] or b"") if heads else 0
+            if len(out) == 20_000 or held > _SLICE:
                 yield batch()
                 out.clear()
+                held = 0
         if out:
             yield batch()
 
     return run
 
 
-def duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", memory: int = MEMORY_BYTES) -> DataFrame:
-    """One row per row of ``df``: ``doc_id, keep_id, group_size, kept, text_sha256`` (of the normalised text)."""
-    bound_batches(df.sparkSession)
+REPS = "h long, id long, g long, n long, sha binary, content binary"
+
+
+def _meet(reps: DataFrame, memory: int) -> DataFrame:
+    """``VERDICT`` for representatives, after all of a hash have met."""
+    return reps.repartition("h").mapInArrow(_resolve(memory), VERDICT)
+
+
+def _verdicts(reps: DataFrame, memory: int, meet: int) -> DataFrame:
+    """``VERDICT`` for the representatives in ``reps(REPS)``, a written table; those of hot hashes meet in two levels."""
+    spark = reps.sparkSession
+    hot = durable(reps.groupBy("h").agg(F.count(F.lit(1)).alias("met")).where(F.col("met") > meet), "hot-hashes")
+    if hot.isEmpty():
+        return _meet(reps, memory)
+    # the number of tasks that share a hash: the root of its representatives
+    shared = reps.join(hot, "h").withColumn("__share", F.pmod(F.xxhash64("g"), F.ceil(F.sqrt("met")).cast("int")))
+    first = durable(shared.repartition("h", "__share").select(*_names(REPS)).mapInArrow(_resolve(memory, heads=True), HEADS), "first-level")
+    heads = first.where("g = keep_g").select("h", F.col("keep_id").alias("id"), "g", F.col("group_size").alias("n"), "sha", "content")
+    passed = reps.join(hot, "h", "left_anti").unionByName(heads)
+    last = durable(_meet(passed, memory), "last-level")
+    over = last.select(F.col("g").alias("keep_g"), F.col("keep_id").alias("__id"), F.col("keep_g").alias("__g"), F.col("group_size").alias("__n"))
+    lower = first.select("g", "keep_g", "sha").join(over, "keep_g").select("g", F.col("__id").alias("keep_id"), F.col("__g").alias("keep_g"), F.col("__n").alias("group_size"), "sha")
+    return last.join(first.select("g"), "g", "left_anti").unionByName(lower)
+
+
+def _names(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
+
+
+def duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", memory: int = MEMORY_BYTES, meet: int = MEET) -> DataFrame:
+    """One row per row of ``df``: ``doc_id, keep_id, group_size, kept, text_sha256`` (of the normalised text); a written table."""
+    spark = df.sparkSession
+    bound_batches(spark)
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("content"))
     local = durable(rows.mapInArrow(_combine(memory), LOCAL), "local-groups")
-    reps = local.where("rep").select("h", "id", "g", "n", "sha", "content").repartition("h")
-    verdicts = reps.mapInArrow(_resolve(memory), VERDICT)
-    return (
-        local.where("not rep")
-        .select("id", "g", "first")
-        .join(verdicts, "g")
-        .select(F.col("id").alias("doc_id"), "keep_id", "group_size", (F.col("first") & (F.col("g") == F.col("keep_g"))).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
-    )
+    verdicts = durable(_verdicts(local.where("rep").select(*_names(REPS)), memory, meet), "verdicts")
+    told = local.where("not rep").select("id", "g", "first").join(verdicts, "g")
+    out = durable(told.select(F.col("id").alias("doc_id"), "keep_id", "group_size", (F.col("first") & (F.col("g") == F.col("keep_g"))).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256")), "copies")
+    discard(spark, local, verdicts)
+    return out
 
 
 def text_key(text: str) -> F.Column:
