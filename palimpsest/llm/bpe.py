@@ -4,7 +4,7 @@ A block of texts is cut into words by the tokenizer's pattern. The block's disti
 byte ids, and an inverted index maps each mergeable token pair (named by the rank of the token it forms) to the positions
 where it stands. Ranks are then replayed in order, once for the whole block: each merge visits only the positions in its
 index entry and re-files only the two neighbours it touched. A merge can only create pairs of higher rank (its token did
-not exist before), so one ascending pass is complete.
+not exist before), so one ascending pass is complete; rank files for which that does not hold are refused.
 
 Blocks are cut by bytes, so memory has a bound; words found in earlier blocks come from a cache of bounded size. The cut
 has no effect on results: words are independent of each other.
@@ -19,6 +19,7 @@ import base64
 from array import array
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -64,6 +65,15 @@ class MergeReplay:
         self.byte_pairs = np.array([self.ranks.get(bytes([a, b]), -1) for a in range(256) for b in range(256)], dtype=np.int32)
         self.words: dict[str, bytes] = {}
 
+    def check(self) -> None:
+        """Refuses ranks for which one ascending pass could miss a merge: it cannot if the pass gives every token as itself. (A
+        merge that formed a pair of smaller rank would stand in the span of that pair's token, where the pass, which by
+        then has met no merge across the span's ends, had already formed that token.)"""
+        tokens = [t for t in self.ranks if len(t) > 1]
+        bad = [t for t, ids in zip(tokens, self._merge(tokens), strict=True) if ids != self.ranks[t].to_bytes(4, "little")]
+        if bad:
+            raise ValueError(f"tokens that an ascending pass does not form: {bad[:5]}")
+
     def replay(self, words: list[bytes]) -> list[bytes]:
         """The ids of each word, as little-endian 32-bit integers."""
         done: dict[int, bytes] = {}
@@ -156,6 +166,11 @@ class MergeReplay:
 _loaded: dict[tuple[int, str], MergeReplay] = {}
 
 
+@lru_cache(maxsize=8)
+def _checked(rank_file: bytes, pattern: str) -> None:
+    MergeReplay(rank_file, pattern).check()
+
+
 def _tokenizer(rank_file: bytes, pattern: str) -> MergeReplay:
     """One per worker process, kept from task to task with its cache."""
     key = (hash(rank_file), pattern)
@@ -187,7 +202,9 @@ def encode(df: DataFrame, rank_path: str, pattern: str, text_col: str = "text",
     these ids decode to; all other columns pass through."""
     spark = df.sparkSession
     bound_batches(spark)
-    ranks = spark.sparkContext.broadcast(read_ranks(spark, rank_path))
+    file = read_ranks(spark, rank_path)
+    _checked(file, pattern)
+    ranks = spark.sparkContext.broadcast(file)
     others = [c for c in df.columns if c not in (text_col, ids_col, decoded_col)]
     made = [T.StructField(ids_col, T.ArrayType(T.IntegerType(), False), False)]
     if decoded_col is not None:
