@@ -7,9 +7,8 @@ is its residual condition. A hot host makes many captures with one key but few i
 
 Defined cases: null or unparsable URLs and null fetch times match nothing and pass; of entries for one key at one time a
 removal wins; repeated entries count once; repeated captures are evaluated as rows; an empty list passes everything;
-other columns of the captures stay as they are, but for those named like
-an output column, which it replaces. The captures must give the same rows in the same order when read again
-(files or a written table): rows are matched by their place.
+other columns of the captures stay as they are, but for those named like an output column, which it replaces. Rows are told
+apart by a number that is written with them once.
 """
 
 from __future__ import annotations
@@ -18,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from palimpsest.llm.common import durable
+
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)"
 PATH = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)"
 
@@ -48,7 +49,7 @@ def evaluate(captures: DataFrame, entries: DataFrame, url_col: str = "url", time
     """``captures`` with ``host, blocked, n_matches, matched_list, matched_kind, matched_value, valid_from`` added: the last
     four of the most specific match, that is the longest value, then prefix before host before domain, then the first list
     by name."""
-    marked = captures.withColumn("__row", F.monotonically_increasing_id())
+    marked = durable(captures.withColumn("__row", F.monotonically_increasing_id()), "captures")
     asked = marked.select("__row", F.col(time_col).alias("__at"), F.explode(keys_of(F.col(url_col))).alias("__key")).select("__row", "__at", F.col("__key.kind").alias("kind"), F.col("__key.value").alias("value"))
     active = (F.col("valid_from") <= F.col("__at")) & (F.col("valid_to").isNull() | (F.col("__at") < F.col("valid_to")))
     hits = asked.join(intervals(entries), ["kind", "value"]).where(active)
