@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from palimpsest.llm.common import durable
+from palimpsest.llm.common import discard, durable
 
 START, END = "<|im_start|>", "<|im_end|>"
 
@@ -47,24 +47,27 @@ def reply_paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
     ``tree, leaf, branch (from 1), node, step (0 at the root)``. Better: larger score, then longer, then smaller leaf."""
     known = nodes.select("tree", "node")
     parents = nodes.join(known.withColumnRenamed("node", "parent").withColumn("found", F.lit(True)), ["tree", "parent"], "left")
+    spark = nodes.sparkSession
     jump = durable(parents.select("tree", "node", F.when(F.col("found"), F.col("parent")).alias("up"), F.lit(1).cast("long").alias("n"), F.coalesce("score", F.lit(0.0)).alias("total")), "jumps")
     inner = jump.where("up is not null").select("tree", F.col("up").alias("node")).distinct()
     size = jump.groupBy("tree").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    ups, reach = [jump.select("tree", "node", "up").where("up is not null")], 1
+    jumps, reach = [jump], 1
     while reach < size and not jump.where("up is not null").isEmpty():
         above = jump.select("tree", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("n").alias("n2"), F.col("total").alias("total2"))
         going = jump.where("up is not null").join(above, ["tree", "up"]).select("tree", "node", F.col("up2").alias("up"), (F.col("n") + F.col("n2")).alias("n"), (F.col("total") + F.col("total2")).alias("total"))
         jump = durable(going.unionByName(jump.where("up is null")), "jumps")
-        ups.append(jump.select("tree", "node", "up").where("up is not null"))
+        jumps.append(jump)
         reach *= 2
     rooted = jump.where("up is null")  # on a cycle, there is always a node further up
     leaves = rooted.join(inner, ["tree", "node"], "left_anti")
     rank = F.row_number().over(W.partitionBy("tree").orderBy(F.desc("total"), F.desc("n"), "node"))
     best = leaves.withColumn("branch", rank).where(F.col("branch") <= branches)
     path = durable(best.select("tree", F.col("node").alias("leaf"), "branch", "node", (F.col("n") - 1).alias("step")), "paths")
-    for k, up in enumerate(ups):
-        more = path.join(up, ["tree", "node"]).select("tree", "leaf", "branch", F.col("up").alias("node"), (F.col("step") - (1 << k)).alias("step"))
-        path = durable(path.unionByName(more), "paths")
+    for k, jump in enumerate(jumps):
+        more = path.join(jump.select("tree", "node", "up").where("up is not null"), ["tree", "node"]).select("tree", "leaf", "branch", F.col("up").alias("node"), (F.col("step") - (1 << k)).alias("step"))
+        longer = durable(path.unionByName(more), "paths")
+        discard(spark, path, jump)
+        path = longer
     return path
 
 
