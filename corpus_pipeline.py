@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm import exact_dedup, near_dedup, packing, toxicity
-from palimpsest.llm.common import durable, table
+from palimpsest.llm.common import settled, table
 
 #: A document is rejected from this score on.
 TOXIC_FROM = 0.3
@@ -49,5 +49,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = durable(stage(spark, docs, sf_dir), name)
+        # a stage's own tables, and the rows it read, go once its result is written
+        docs = settled(docs, lambda: stage(spark, docs, sf_dir), name)  # noqa: B023
     return STAGES[-1][1](spark, docs, sf_dir)
