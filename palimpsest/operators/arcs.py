@@ -6,16 +6,18 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from palimpsest.operators.scan import arrival
+
 LOOK = 20
 
 
 def arcs(edges: DataFrame) -> DataFrame:
-    """``edges(user_id, id, embedding)`` -> ``user_id, id, arc_id, opened``: an edge joins the most similar of its user's newest arcs if
+    """``edges(user_id, id, embedding, sequence_number?)`` -> ``user_id, id, arc_id, opened``: an edge joins the most similar of its user's newest arcs if
     that similarity is above their mean, else it opens an arc. An arc is named by its first edge. The fold keeps at most ``LOOK``
     arcs of a user in memory."""
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("id")
+        rows = rows.sort_values(["place", "id"])
         names: list[int] = []
         vectors: list[np.ndarray] = []
         out, opened = [], []
@@ -33,4 +35,4 @@ def arcs(edges: DataFrame) -> DataFrame:
             names, vectors = names[-LOOK:], vectors[-LOOK:]
         return pd.DataFrame({"user_id": rows["user_id"], "id": rows["id"], "arc_id": out, "opened": opened})
 
-    return edges.select("user_id", "id", "embedding").groupBy("user_id").applyInPandas(fold, "user_id long, id long, arc_id long, opened boolean")
+    return edges.select("user_id", "id", "embedding", arrival(edges)[0].alias("place")).groupBy("user_id").applyInPandas(fold, "user_id long, id long, arc_id long, opened boolean")

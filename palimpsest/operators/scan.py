@@ -13,6 +13,13 @@ def live(edges: DataFrame) -> DataFrame:
     return edges.where(F.col("tombstoned_at").isNull())
 
 
+def arrival(edges: DataFrame, last: bool = False) -> list[Column]:
+    """What orders a user's edges: their place in the order of arrival (``last``: of the last confirmation), where it is known,
+    then the id. Ids say nothing about time."""
+    places = [c for c in (*(("last_sequence",) if last else ()), "sequence_number") if c in edges.columns]
+    return [*([F.coalesce(*places)] if places else []), F.col("id")]
+
+
 def is_current() -> Column:
     """Unknown counts as current."""
     return F.coalesce(F.col("is_current"), F.lit(True))
@@ -32,12 +39,16 @@ def with_fallback(candidates: DataFrame, key: str = "query_id", temporal_col: st
 
 
 def relationships(edges: DataFrame, subject: str | None = None, predicate: str | None = None, object_: str | None = None, only_current: bool = True) -> DataFrame:
-    """Live edges equal in the parts given, without regard to case, newest id first."""
+    """Live edges equal in the parts given, without regard to case, newest first."""
     found = live(edges)
     for name, value in (("subject", subject), ("predicate", predicate), ("object", object_)):
         if value is not None:
             found = found.where(F.lower(name) == value.lower())
-    return (found.where(is_current()) if only_current else found).orderBy(F.desc("id"))
+    return (found.where(is_current()) if only_current else found).orderBy(*newest(found))
+
+
+def newest(edges: DataFrame) -> list[Column]:
+    return [c.desc_nulls_last() for c in arrival(edges)]
 
 
 FACETS = ("time", "entity", "source", "trace")
@@ -57,7 +68,7 @@ def by_facet(edges: DataFrame, facet: str, value: str | None = None, limit: int
     if value:
         tests = {"entity": lambda: mentions(value) | (F.lower("subject") == value.lower()) | (F.lower("object") == value.lower()), "source": lambda: F.col("source_tag") == value, "trace": lambda: F.col("schematic") == value}
         found = found.where(tests[facet]())
-    return found.orderBy(F.desc("id")).limit(limit)
+    return found.orderBy(*newest(found)).limit(limit)
 
 
 def show(edges: DataFrame, facet: str, value: str | None = None, limit: int | None = 100, export_raw_text: bool = False) -> DataFrame:

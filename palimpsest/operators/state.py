@@ -7,26 +7,25 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from palimpsest.functions import dims
-from palimpsest.operators.scan import live
-
-_ROWS = lambda *keys: W.partitionBy(*keys).orderBy("id")
-
+from palimpsest.operators.scan import arrival, live
 
 def confirmed(writes: DataFrame, revive: bool = False) -> DataFrame:
-    """One edge for each (user, source hash): the first write keeps its id, later ones confirm it. Subject, predicate and
-    object are the last known; ``first_learned_at`` and ``last_confirmed_at`` span the writes; a confirmation makes the edge
-    current. A tombstoned edge stays as it was, unless ``revive``."""
-    order = F.struct(F.col("id"))
+    """One edge for each (user, source hash): the first write to arrive keeps its id, later ones confirm it. Subject, predicate
+    and object are the last known; ``first_learned_at`` and ``last_confirmed_at`` span the writes; a confirmation makes the edge
+    current. A tombstoned edge stays as it was, unless ``revive``. ``last_sequence`` is the last write's place."""
+    order, have = F.struct(*arrival(writes)), set(writes.columns)
     last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), order)).alias(c)
-    other = [c for c in writes.columns if c not in ("id", "user_id", "source_text_hash", "subject", "predicate", "object", "is_current", "tombstoned_at", "first_learned_at", "last_confirmed_at", "writes")]
-    learned = F.coalesce("first_learned_at", "source_timestamp") if "first_learned_at" in writes.columns else F.col("source_timestamp")
-    seen = F.coalesce("last_confirmed_at", "source_timestamp") if "last_confirmed_at" in writes.columns else F.col("source_timestamp")
+    other = [c for c in writes.columns if c not in ("id", "user_id", "source_text_hash", "subject", "predicate", "object", "is_current", "tombstoned_at", "first_learned_at", "last_confirmed_at", "last_sequence", "writes")]
+    learned = F.coalesce("first_learned_at", "source_timestamp") if "first_learned_at" in have else F.col("source_timestamp")
+    seen = F.coalesce("last_confirmed_at", "source_timestamp") if "last_confirmed_at" in have else F.col("source_timestamp")
+    place = F.coalesce(*[c for c in ("last_sequence", "sequence_number", "id") if c in have])
     grouped = writes.groupBy("user_id", "source_text_hash").agg(
-        F.min("id").alias("id"),
+        F.min_by("id", order).alias("id"),
         *[F.min_by(c, order).alias(c) for c in other],
         *[last(c) for c in ("subject", "predicate", "object")],
         F.min(learned).alias("first_learned_at"),
         F.max(seen).alias("last_confirmed_at"),
+        F.max(place).alias("last_sequence"),
         F.count(F.lit(1)).alias("writes"),
         F.min_by("is_current", order).alias("__current"),
         F.min_by("tombstoned_at", order).alias("__tombstone"),
@@ -35,25 +34,39 @@ def confirmed(writes: DataFrame, revive: bool = False) -> DataFrame:
     return grouped.withColumn("is_current", F.when((F.col("writes") > 1) & ~dead, True).otherwise(F.coalesce("__current", F.lit(True)))).withColumn("tombstoned_at", F.when(dead, F.col("__tombstone"))).drop("__current", "__tombstone")
 
 
-def superseded(edges: DataFrame, keys: tuple[str, ...] = ("user_id", "subject", "predicate")) -> DataFrame:
-    """Slowly changing facts: within a key, a run of equal objects is superseded by the first row of the next run. Adds
-    ``island, superseded_by, superseded_at, now_current``. Tombstoned rows take no part."""
-    w = _ROWS(*keys)
-    rows = live(edges).drop("superseded_by", "superseded_at")
-    changed = rows.withColumn("__new", F.coalesce((~F.col("object").eqNullSafe(F.lag("object").over(w))).cast("int"), F.lit(1)))
-    rows = changed.withColumn("island", F.sum("__new").over(w))
-    heads = rows.groupBy(*keys, "island").agg(F.min("id").alias("superseded_by"), F.min_by("source_timestamp", "id").alias("superseded_at"))
-    nxt = heads.withColumn("island", F.col("island") - 1)
-    return rows.drop("__new").join(nxt, [*keys, "island"], "left").withColumn("now_current", F.col("superseded_by").isNull())
+KEYS = ("user_id", "subject", "predicate")
+
+
+def superseded(edges: DataFrame, keys: tuple[str, ...] = KEYS, value: str = "object", dead: bool = False) -> DataFrame:
+    """Slowly changing facts: within a key, in order of arrival (of the last confirmation, where that is known), a run of equal
+    values is superseded by the first row of the next run. Adds ``island, superseded_by, superseded_at, now_current``.
+    Tombstoned rows take no part, unless ``dead``. One shuffle: the next run's head is the last head seen when the key is
+    read backwards."""
+    rows = (edges if dead else live(edges)).drop("superseded_by", "superseded_at")
+    order = arrival(rows, last=True)
+    forth, back = W.partitionBy(*keys).orderBy(*order), W.partitionBy(*keys).orderBy(*[c.desc() for c in order])
+    starts = F.coalesce(~F.col(value).eqNullSafe(F.lag(value).over(forth)), F.lit(True)) | (F.row_number().over(forth) == 1)
+    rows = rows.withColumn("__new", starts).withColumn("island", F.sum(F.col("__new").cast("int")).over(forth))
+    head = F.when(F.col("__new"), F.struct(F.col("id").alias("by"), F.col("source_timestamp").alias("at")))
+    rows = rows.withColumn("__next", F.last(head, ignorenulls=True).over(back.rowsBetween(W.unboundedPreceding, -1)))
+    return rows.withColumn("superseded_by", F.col("__next.by")).withColumn("superseded_at", F.col("__next.at")).drop("__new", "__next").withColumn("now_current", F.col("superseded_by").isNull())
+
 
+def retired(edges: DataFrame) -> DataFrame:
+    """Supersession applied: a superseded edge is no longer current, names its successor and loses its predicted questions. Subjects,
+    predicates and objects are compared without regard to case; an edge forgotten later has still superseded."""
+    low = {f"__{c}": F.lower(F.trim(c)) for c in ("subject", "predicate", "object")}
+    rows = superseded(edges.withColumns(low), ("user_id", "__subject", "__predicate"), "__object", dead=True)
+    return rows.withColumn("is_current", F.coalesce("is_current", F.lit(True)) & F.col("now_current")).withColumn("pqs", F.when(F.col("now_current"), F.col("pqs"))).drop("island", "now_current", *low)
 
-def superseded_one_each(edges: DataFrame, keys: tuple[str, ...] = ("user_id", "subject", "predicate")) -> DataFrame:
+
+def superseded_one_each(edges: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """The row-by-row variant: each insert retires one edge, the newest live one of its key with another object among the
     key's last 20. An ordered fold of each key, in Arrow batches."""
     import pandas as pd
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("id")
+        rows = rows.sort_values(["place", "id"])
         alive, by = [], {}
         for i, obj in zip(rows["id"], rows["object"], strict=True):
             for k in range(len(alive) - 1, max(-1, len(alive) - 21), -1):
@@ -64,14 +77,15 @@ def superseded_one_each(edges: DataFrame, keys: tuple[str, ...] = ("user_id", "s
             alive.append((i, obj))
         return pd.DataFrame({"id": rows["id"], "superseded_by": pd.array([by.get(i) for i in rows["id"]], dtype="Int64")})
 
-    return live(edges).select(*keys, "id", "object").groupBy(*keys).applyInPandas(fold, "id long, superseded_by long")
+    rows = live(edges)
+    return rows.select(*keys, arrival(rows)[0].alias("place"), "id", "object").groupBy(*keys).applyInPandas(fold, "id long, superseded_by long")
 
 
 def history(edges: DataFrame, subject: str, predicate: str) -> DataFrame:
     """A fact's values, oldest first, each with the value that followed it in the same user's history."""
-    w = W.partitionBy("user_id").orderBy("sequence_number")
+    order = arrival(edges)
     found = edges.where((F.lower("subject") == subject.lower()) & (F.lower("predicate") == predicate.lower()))
-    return found.withColumn("next_object", F.lead("object").over(w)).orderBy("sequence_number")
+    return found.withColumn("next_object", F.lead("object").over(W.partitionBy("user_id").orderBy(*order))).orderBy(*order)
 
 
 def fact_key() -> Column:
@@ -80,11 +94,12 @@ def fact_key() -> Column:
 
 def facts(edges: DataFrame) -> DataFrame:
     """The newest value of each (user, fact key), with the number of changes and the values before."""
-    w = _ROWS("user_id", "key")
     rows = live(edges).withColumn("key", fact_key())
+    order = arrival(rows)
+    w, at = W.partitionBy("user_id", "key").orderBy(*order), F.struct(*order)
     rows = rows.withColumn("__before", F.lag("object").over(w)).withColumn("__changed", F.col("__before").isNotNull() & (F.col("__before") != F.col("object")))
-    change = F.struct(F.col("id").alias("id"), F.col("__before").alias("value"), F.col("source_timestamp").alias("at"), change_kind().alias("type"))
-    return rows.groupBy("user_id", "key").agg(F.max_by("object", "id").alias("value"), F.max("id").alias("edge_id"), F.sort_array(F.collect_list(F.when(F.col("__changed"), change))).alias("history")).withColumn("changes", F.size("history"))
+    change = F.struct(at.alias("place"), F.col("__before").alias("value"), F.col("source_timestamp").alias("at"), change_kind().alias("type"))
+    return rows.groupBy("user_id", "key").agg(F.max_by("object", at).alias("value"), F.max_by("id", at).alias("edge_id"), F.sort_array(F.collect_list(F.when(F.col("__changed"), change))).alias("history")).withColumn("changes", F.size("history"))
 
 
 def change_kind() -> Column:
@@ -92,6 +107,17 @@ def change_kind() -> Column:
     return F.when(F.col("negated"), "correction").when(F.col("temporal_context") == "past", "reversal").otherwise("update")
 
 
+def profiles(deltas: DataFrame) -> DataFrame:
+    """``deltas(user_id, warmth, formality)`` -> a user's style: 0.5 moved by the sum of the deltas, within 0 and 1; a value of 0 reads
+    as 0.5."""
+
+    def value(c: str) -> Column:
+        v = F.least(F.lit(1.0), F.greatest(F.lit(0.0), 0.5 + F.coalesce(F.sum(c), F.lit(0.0))))
+        return F.when(v == 0, 0.5).otherwise(v).alias(c)
+
+    return deltas.groupBy("user_id").agg(value("warmth"), value("formality"))
+
+
 def tier() -> Column:
     """Where an edge also goes: milestones, facts or plain episodes."""
     return F.when(F.col("significance") == "milestone", "milestone").when(F.col("significance") == "stative", "fact").otherwise("episode")
@@ -112,7 +138,7 @@ def significance(tense: Column, aspect: Column, verb_class: Column, emphatic: Co
 
 def milestones(edges: DataFrame) -> DataFrame:
     """The first row of each distinct text of a user."""
-    w = W.partitionBy("user_id", "source_text").orderBy("id")
+    w = W.partitionBy("user_id", "source_text").orderBy(*arrival(edges))
     return edges.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
 
 

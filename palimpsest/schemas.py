@@ -21,7 +21,7 @@ EDGE = _struct(
     "id user_id: long, subject predicate object object_full source_text source_text_hash source_tag: string, created_at source_timestamp resolved_event_date: time, "
     "temporal_expression schematic temporal_context relational_type significance: string, valence: double, emotion emotion_target: string, entities: strings, "
     "context_entity episodic_fact mood: string, negated is_historical is_current: boolean, superseded_at: time, superseded_by: long, tombstoned_at: time, tombstone_reason: string, "
-    "first_learned_at last_confirmed_at: time, cluster_id: long, arc_id: string, sequence_number: long, subject_type object_type: string, affiliation confidence: double, embedding: vector, vqs: strings"
+    "first_learned_at last_confirmed_at: time, cluster_id: long, arc_id: string, sequence_number last_sequence: long, subject_type object_type: string, affiliation confidence: double, embedding: vector, vqs: strings"
 ).add("pqs", T.ArrayType(_QUESTION))
 
 #: What a column holds in rows written before it existed.

@@ -47,7 +47,7 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 10 != 9, k % 10 != 8).alias("is_current"),
         F.when(k % 13 == 0, F.col("ts") + F.make_interval(days=F.lit(5))).alias("tombstoned_at"),
         F.array(subject, item, F.concat(F.lit("zone_"), F.col("user_id") % 15)).alias("entities"),
-        F.when(k % 4 == 0, "llm:a").when(k % 4 == 1, "llm:b").otherwise("user").alias("source_tag"),
+        F.when(k % 4 == 0, "llm:gpt").when(k % 4 == 1, "llm:gemini").otherwise("user").alias("source_tag"),
         F.col("event_id").alias("sequence_number"),
         text.alias("episodic_fact"),
         "k",
@@ -64,7 +64,7 @@ EDGES_SQL = """edges AS (
     CASE event_type WHEN 'error' THEN 'angry' WHEN 'signup' THEN 'happy' END AS emotion, CASE WHEN k % 2 = 0 THEN 'item_' || (k % 10) END AS emotion_target,
     k % 7 = 0 AS negated, CASE WHEN k % 10 <> 9 THEN k % 10 <> 8 END AS is_current, CASE WHEN k % 13 = 0 THEN ts + to_days(5) END AS tombstoned_at,
     ['user_' || user_id, 'item_' || (k % 10), 'zone_' || (user_id % 15)] AS entities,
-    CASE WHEN k % 4 = 0 THEN 'llm:a' WHEN k % 4 = 1 THEN 'llm:b' ELSE 'user' END AS source_tag, event_id AS sequence_number,
+    CASE WHEN k % 4 = 0 THEN 'llm:gpt' WHEN k % 4 = 1 THEN 'llm:gemini' ELSE 'user' END AS source_tag, event_id AS sequence_number,
     'user_' || user_id || ' ' || event_type || ' item_' || k AS episodic_fact, k
   FROM (SELECT *, CAST(regexp_extract(props, '"k": *([0-9]+)', 1) AS INT) AS k FROM events))"""
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from threading import Event
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from palimpsest import schemas
+from palimpsest.functions.embed import question_vectors
 from palimpsest.operators import analyze, state
 from palimpsest.sources.store import EdgeStore
 
@@ -16,9 +19,11 @@ def edges_of(utterances: DataFrame) -> DataFrame:
     kind = analyze.utterance_kind(F.col("said"))
     rows = analyze.decomposed(utterances.withColumn("said", F.col("text")))
     kept = analyze.mood_gate(rows.withColumn("__kind", kind), F.col("__kind")).where(state.quality_gate(F.col("speaker")))
-    kept = state.store_gate(kept.withColumn("subject_pos", F.lit(None).cast("string")))
+    kept = state.store_gate(kept)
     text_hash = F.sha2(F.col("source_text").cast("binary"), 256)
     made = kept.withColumn("source_text_hash", text_hash).withColumn("id", F.xxhash64("user_id", "source_text_hash", "ts").bitwiseAND(F.lit((1 << 62) - 1)))
+    # the place of a sentence in its text, from which the store numbers on
+    made = made.withColumn("sequence_number", F.col("sentence").cast("long")).withColumn("pqs", question_vectors(analyze.predicted_questions()))
     return made.withColumn("source_timestamp", F.col("ts")).withColumn("source_tag", F.col("tag")).withColumn("created_at", F.col("ts")).withColumn("relational_type", state.relational_type_of("schematic")).withColumn("confidence", F.lit(0.9))
 
 
@@ -35,13 +40,20 @@ def read_utterances(spark: SparkSession, folder: str, files_per_batch: int = 10)
 
 
 def start(utterances: DataFrame, store: EdgeStore, checkpoint: str, available_now: bool = False) -> StreamingQuery:
-    """Write the edges of each batch to the store; a batch that comes twice is written once."""
+    """Write the edges of each batch to the store; a batch that comes twice is written once. Batches go by the query's id, which its
+    checkpoint keeps over restarts: another query on the same store, or one with a new checkpoint, has batches of its own."""
+    name: list[str] = []
+    begun = Event()
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        store.append(edges_of(batch), batch_id)
+        begun.wait()
+        store.append(edges_of(batch), batch_id, name[0])
 
     writer = utterances.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if available_now else writer).start()
+    query = (writer.trigger(availableNow=True) if available_now else writer).start()
+    name.append(str(query.id))
+    begun.set()
+    return query
 
 
 def flush(query: StreamingQuery) -> None:

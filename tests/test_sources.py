@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from palimpsest import schemas
-from palimpsest.facade import Engine, Outcome, dispatch, plain
+from palimpsest.facade import Answer, Engine, Outcome, Situation, dispatch, plain
 from palimpsest.operators import dataset, entities
 from palimpsest.sources import files
 from palimpsest.sources.store import EdgeStore
@@ -30,6 +30,7 @@ def test_store_appends_forgets_and_compacts(spark, tmp_path):
     assert set(got) == {1, 2, 21}
     assert got[1]["tombstoned_at"] is not None and got[1]["tombstone_reason"] == "by_entity:x"
     assert got[2]["last_confirmed_at"] == T0 + dt.timedelta(hours=20)
+    assert got[1]["superseded_by"] == 2 and not got[1]["is_current"] and got[2]["is_current"]
     assert s.current(2).count() == 1
     filled = s.backfill({"cluster_id": F.lit(7).cast("long")})
     assert {r["cluster_id"] for r in filled.collect()} == {7}
@@ -38,7 +39,7 @@ def test_store_appends_forgets_and_compacts(spark, tmp_path):
 def test_a_users_read_prunes_to_its_bucket(spark, tmp_path):
     s = EdgeStore(spark, str(tmp_path / "store"), buckets=4)
     s.append(edges(spark, [(i, i % 9, "a", "p", f"o{i}") for i in range(30)]))
-    df = s._read("writes", schemas.EDGE, 3)
+    df = s._read(schemas.EDGE, s._pending(), 3)
     assert "PartitionFilters: [isnotnull(user_bucket" in df._jdf.queryExecution().toString()
 
 
@@ -142,13 +143,19 @@ def test_engine(spark, tmp_path):
     assert [r["object"] for r in e.trace("Ann", "move_to")] == ["Oslo"]
     answer = e.retrieve("I moved to Oslo.")
     assert isinstance(answer.text, str)
-    assert "Oslo" in e.reconstruct("Tell me about Oslo").text
+    assert "Oslo" in e.situation("Tell me about Oslo").text
+    assert e.ingest("I moved to Paris.", speaker="Ann", at=dt.datetime(2024, 1, 11)) == 1
+    assert {r["object"]: r["is_current"] for r in e.trace("Ann", "move_to")} == {"Oslo": False, "Paris": True}
+    assert e._question("How angry did my sister feel?").first()["match_schema"] == "family"
     asked = e.process("Where did Ann move to?", speaker="Guest")
-    assert asked.status in ("answered", "reconstructed")
+    assert asked.status in ("answered", "situation")
+    quiet = Engine(spark, str(tmp_path / "mem"), 5, explicit_only=True)
+    assert isinstance(quiet.retrieve("Describe Oslo"), Answer) and isinstance(quiet.retrieve("Give me a summary of Oslo"), Situation)
     assert e.process("Please forget Oslo", speaker="Ann").status == "forgot"
     assert "Oslo" not in {r["object"] for r in e.show("time")}
     assert all(c["status"] == "ok" for c in e.status())
-    assert e.profile()["warmth"] == 0.5 and e.check_proactive() == []
+    p = e.profile()
+    assert p["initiative"] == 0.5 and p["warmth"] != 0.5 and abs(p["warmth"] - 0.5) < 0.05 and e.check_proactive() == []
     assert dispatch(e, "tools/list")["tools"]
     assert dispatch(e, "tools/call", {"name": "nothing"})["error"]["code"] == -32601
     assert json.dumps(plain(dispatch(e, "tools/call", {"name": "show", "arguments": {"facet": "time"}})))
