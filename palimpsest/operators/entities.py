@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from palimpsest.functions import vector
-from palimpsest.operators.scan import last_n, live
+from palimpsest.operators.scan import arrival, last_n, live
 
 
 def named(edges: DataFrame) -> DataFrame:
@@ -19,13 +19,15 @@ def named(edges: DataFrame) -> DataFrame:
 
 def mentions(edges: DataFrame) -> DataFrame:
     """``user_id, key, name, mention_count, first_id, last_id`` of live edges."""
-    return named(live(edges)).groupBy("user_id", "key").agg(F.min_by("name", "id").alias("name"), F.count(F.lit(1)).alias("mention_count"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
+    rows = named(live(edges))
+    at = F.struct(*arrival(rows))
+    return rows.groupBy("user_id", "key").agg(F.min_by("name", at).alias("name"), F.count(F.lit(1)).alias("mention_count"), F.min_by("id", at).alias("first_id"), F.max_by("id", at).alias("last_id"))
 
 
 def affiliation(edges: DataFrame, speaker: Column) -> DataFrame:
     """``id, affiliation``: 1 for a speaker's own fact; else the best level of the entities named, by how often they have been
     named up to that edge: 5 or more 0.8, 2 or more 0.6, else 0.4; without entities 0.1."""
-    running = F.count(F.lit(1)).over(W.partitionBy("user_id", "key").orderBy("id").rangeBetween(W.unboundedPreceding, 0))
+    running = F.count(F.lit(1)).over(W.partitionBy("user_id", "key").orderBy(*arrival(edges)).rowsBetween(W.unboundedPreceding, 0))
     counted = named(live(edges)).withColumn("__speaker", F.lower(speaker)).withColumn("n", running).where(F.col("key") != F.col("__speaker"))
     best = counted.groupBy("id").agg(F.max("n").alias("n"))
     level = F.when(F.lower("subject") == F.lower(speaker), 1.0).when(F.col("n") >= 5, 0.8).when(F.col("n") >= 2, 0.6).when(F.col("n") >= 1, 0.4).otherwise(0.1)
@@ -35,7 +37,7 @@ def affiliation(edges: DataFrame, speaker: Column) -> DataFrame:
 def context_entity(edges: DataFrame, speaker: Column, window: int = 5) -> DataFrame:
     """``id, context_entity``: the name most often in the user's previous edges, the speaker and single letters left out; of
     equals, the first by name."""
-    w = W.partitionBy("user_id").orderBy("id").rowsBetween(-window, -1)
+    w = W.partitionBy("user_id").orderBy(*arrival(edges)).rowsBetween(-window, -1)
     own = F.array_distinct(F.concat(F.array("subject", "object"), F.coalesce("entities", F.array().cast("array<string>"))))
     before = live(edges).select("id", F.lower(speaker).alias("__speaker"), F.flatten(F.collect_list(own).over(w)).alias("names"))
     each = before.select("id", "__speaker", F.explode("names").alias("name")).where((F.length("name") > 1) & (F.lower("name") != F.col("__speaker")))
@@ -87,14 +89,17 @@ def cooldown(events: DataFrame, limit: int = 3) -> DataFrame:
 
 def ambiguities(edges: DataFrame, probes: DataFrame, look: int = 30) -> DataFrame:
     """``probes(id, user_id, object, terms array)`` against the ``look`` live edges before each: the newest that shares a term and
-    has another object. Terms are exploded, so the join has equality keys."""
-    e = live(edges).select("user_id", F.col("id").alias("other_id"), F.col("object").alias("other_object"), F.split(F.lower("source_text"), r"\s+").alias("w"))
-    numbered = e.withColumn("n", F.row_number().over(W.partitionBy("user_id").orderBy("other_id")))
-    terms = numbered.withColumn("term", F.explode(F.array_distinct("w"))).drop("w")
-    own = live(edges).select("id", "user_id").withColumn("at", F.row_number().over(W.partitionBy("user_id").orderBy("id")))
-    asked = probes.join(own, ["id", "user_id"]).withColumn("term", F.explode(F.array_distinct("terms")))
-    met = asked.join(terms, ["user_id", "term"]).where((F.col("n") < F.col("at")) & (F.col("n") >= F.col("at") - look) & (F.col("other_object") != F.col("object")))
-    return met.groupBy("id").agg(F.max("other_id").alias("other_id"), F.max_by(F.struct("object", "other_object"), "other_id").alias("o")).select("id", "other_id", F.concat(F.lit("Did you mean "), F.col("o.object"), F.lit(" or "), F.col("o.other_object"), F.lit("?")).alias("question"))
+    has another object. Edges are numbered and cut into cells of ``look``, so that the join has equality keys: user, term, and
+    the probe's own or previous cell; a probe meets at most twice ``look`` edges, however often its term occurs."""
+    rows = live(edges)
+    n = F.row_number().over(W.partitionBy("user_id").orderBy(*arrival(rows))) - 1
+    own = rows.select("user_id", "id", "object", F.array_distinct(F.split(F.lower("source_text"), r"\s+")).alias("w"), n.alias("n"))
+    terms = own.select("user_id", F.col("id").alias("other_id"), F.col("object").alias("other_object"), F.col("n").alias("other_n"), F.expr(f"n div {look}").alias("cell"), F.explode("w").alias("term"))
+    asked = probes.join(own.select("user_id", "id", "n"), ["id", "user_id"]).withColumn("term", F.explode(F.array_distinct("terms"))).drop("terms")
+    asked = asked.withColumn("cell", F.explode(F.array(F.expr(f"n div {look}"), F.expr(f"n div {look} - 1"))))
+    met = asked.join(terms, ["user_id", "term", "cell"]).where((F.col("other_n") < F.col("n")) & (F.col("other_n") >= F.col("n") - look) & (F.col("other_object") != F.col("object")))
+    best = met.groupBy("id").agg(F.max_by(F.struct("other_id", "object", "other_object"), "other_n").alias("o"))
+    return best.select("id", F.col("o.other_id").alias("other_id"), F.concat(F.lit("Did you mean "), F.col("o.object"), F.lit(" or "), F.col("o.other_object"), F.lit("?")).alias("question"))
 
 
 def patterns(edges: DataFrame, unit: str, keep: int = 200) -> DataFrame:

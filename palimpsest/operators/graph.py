@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.operators.entities import named
 from palimpsest.operators.scan import live
+from palimpsest.sources.durable import Written
 
 EXCLUDED = ["user", "i", "me", "my"]
 
@@ -20,45 +21,55 @@ def adjacency(edges: DataFrame) -> DataFrame:
 
 def hops(edges: DataFrame, goals: DataFrame, depth: int = 3) -> DataFrame:
     """``goals(user_id, goal)``: the fewest steps (0 to ``depth``) from either end of an edge to one of its user's goals, -1 if it
-    is further or there is none. Distances spread from the goals, one self-join a step."""
-    links = adjacency(edges)
-    reached = goals.select("user_id", F.lower("goal").alias("node")).distinct().withColumn("d", F.lit(0))
+    is further or there is none. Distances spread from the goals: a step joins the nodes reached last with the links, and
+    drops what an earlier step has reached. Links and each step's nodes are written once."""
+    work = Written(edges.sparkSession)
+    links = work.table(adjacency(edges), "links")
+    reached = last = work.table(goals.select("user_id", F.lower("goal").alias("node"), F.lit(0).alias("d")).distinct(), "reached")
     for step in range(1, depth + 1):
-        edge_of = reached.where(F.col("d") == step - 1).select("user_id", F.col("node").alias("a"))
-        reached = reached.unionByName(links.join(edge_of, ["user_id", "a"]).select("user_id", F.col("b").alias("node"), F.lit(step).alias("d"))).groupBy("user_id", "node").agg(F.min("d").alias("d"))
-    s = reached.select("user_id", F.col("node").alias("__s"), F.col("d").alias("ds"))
-    o = reached.select("user_id", F.col("node").alias("__o"), F.col("d").alias("do"))
-    rows = live(edges).withColumn("__s", F.lower("subject")).withColumn("__o", F.lower("object"))
-    out = rows.join(s, ["user_id", "__s"], "left").join(o, ["user_id", "__o"], "left")
-    return out.select("id", F.coalesce(F.least("ds", "do"), F.lit(-1)).alias("hops"))
+        near = links.join(last.select("user_id", F.col("node").alias("a")), ["user_id", "a"]).select("user_id", F.col("b").alias("node")).distinct()
+        last = work.table(near.join(reached, ["user_id", "node"], "left_anti").withColumn("d", F.lit(step)), "reached")
+        reached = reached.unionByName(last)
+    ends = live(edges).select("id", "user_id", F.explode(F.array(F.lower("subject"), F.lower("object"))).alias("node"))
+    found = ends.join(reached, ["user_id", "node"], "left").groupBy("id").agg(F.min("d").alias("d"))
+    out = work.table(found.select("id", F.coalesce("d", F.lit(-1)).alias("hops")), "hops")
+    work.drop(keep=1)
+    return out
 
 
-def components(edges: DataFrame, excluded: list[str] | None = None, checkpoint_every: int = 4, max_rounds: int = 50) -> DataFrame:
-    """``id, cluster_id``: edges of a user that share an entity, directly or through others, get the least id among them. Labels
-    spread over the bipartite graph of edges and entities, with pointer jumping, until none changes."""
+def components(edges: DataFrame, excluded: list[str] | None = None, max_rounds: int = 50) -> DataFrame:
+    """``id, cluster_id``: edges of a user that share an entity, directly or through others, get the least id among them; a written
+    table.
+
+    Each entity links the edges that name it to the least of them: a star, so that no pairs are made. Then rounds of large
+    and small stars: a node's larger, then its smaller, neighbours move to its least neighbour, until a round changes
+    nothing. Every least neighbour is a ``min`` that is written before it is joined back to the links: a node with very
+    many links is then a skewed key of a join of two tables, which adaptive execution splits."""
     stop = EXCLUDED if excluded is None else excluded
     spark = edges.sparkSession
-    _shared_folder(spark)
-    own = named(live(edges)).where(~F.col("key").isin(stop)).select("user_id", "id", "key").distinct().checkpoint()
-    labels = live(edges).select("user_id", "id", F.col("id").alias("label")).checkpoint()
+    work = Written(spark)
+    own = work.table(named(live(edges)).where(~F.col("key").isin(stop)).select("user_id", "id", "key").distinct(), "named")
+    heads = work.table(own.groupBy("user_id", "key").agg(F.min("id").alias("head")), "heads")
+    star = own.join(heads, ["user_id", "key"]).where("id <> head").select(F.col("id").alias("src"), F.col("head").alias("dst")).distinct()
+    links, before = work.table(star, "links"), None
     for _ in range(max_rounds):
-        by_entity = own.join(labels, ["user_id", "id"]).groupBy("user_id", "key").agg(F.min("label").alias("label"))
-        by_edge = own.join(by_entity, ["user_id", "key"]).groupBy("user_id", "id").agg(F.min("label").alias("seen"))
-        near = labels.join(by_edge, ["user_id", "id"], "left").select("user_id", "id", "label", F.least("label", "seen").alias("new"))
-        jump = near.select("user_id", F.col("id").alias("new"), F.col("new").alias("further"))
-        step = near.join(jump, ["user_id", "new"], "left").select("user_id", "id", "label", F.least("new", "further").alias("new")).checkpoint()
-        labels = step.select("user_id", "id", F.col("new").alias("label"))
-        if step.where("new <> label").isEmpty():
-            return labels.select("id", F.col("label").alias("cluster_id"))
-    raise RuntimeError(f"labels did not settle in {max_rounds} rounds")
-
-
-def _shared_folder(spark) -> None:
-    """The folder for checkpoints: the cluster's own; a temporary one only where none is set, as in tests."""
-    import tempfile
-
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="palimpsest-"))
+        both = links.unionByName(links.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        least = work.table(both.groupBy("src").agg(F.least(F.min("dst"), F.col("src")).alias("m")), "least")
+        large = work.table(both.where("dst > src").join(least, "src").select(F.col("dst").alias("src"), F.col("m").alias("dst")).where("src <> dst").distinct(), "large")
+        low = work.table(large.groupBy("src").agg(F.min("dst").alias("m")), "least")
+        small = large.join(low, "src").select(F.when(F.col("dst") == F.col("m"), F.col("src")).otherwise(F.col("dst")).alias("src"), F.col("m").alias("dst"))
+        links = work.table(small.where("src <> dst").distinct(), "links")
+        now = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("src", "dst").cast("decimal(20,0)"))).first()
+        work.drop(keep=1)
+        if now == before:
+            break
+        before = now
+    else:
+        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    joined = live(edges).select("id").join(links.select(F.col("src").alias("id"), "dst"), "id", "left")
+    out = work.table(joined.select("id", F.coalesce("dst", "id").alias("cluster_id")), "clusters")
+    work.drop(keep=1)
+    return out
 
 
 def clusters(edges: DataFrame, subset: DataFrame | None = None) -> DataFrame:

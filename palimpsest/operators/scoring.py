@@ -8,20 +8,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from palimpsest.functions import dims, temporal, text, vector
-from palimpsest.operators.scan import is_current, live, mentions
+from palimpsest.operators.scan import arrival, is_current, live, mentions, newest
 
 ECHO_RATIO, ECHO_FLOOR, ECHO_LEAST, SIGNIFICANT = 3.0, 1e-6, 3, 0.1
 
 
-def content_factor() -> Column:
-    """The non-negative cosine of the query with the edge's vector; 0 without one."""
-    return F.greatest(F.lit(0.0), F.coalesce(vector.dot(F.col("query_embedding"), F.col("embedding")), F.lit(0.0)))
-
-
-def content_factor_many(vectors: Column) -> Column:
-    """The same over an array of vectors, nulls left out."""
-    known = F.filter(vectors, lambda v: v.isNotNull())
-    return F.greatest(F.lit(0.0), F.coalesce(F.array_max(F.transform(known, lambda v: vector.dot(F.col("query_embedding"), v))), F.lit(0.0)))
+def content_factor(edges: DataFrame) -> Column:
+    """The largest non-negative cosine of the query with the edge's vector and those of its predicted questions (``pqs``, where the
+    edges have them); 0 without any."""
+    near = lambda v: vector.dot(F.col("query_embedding"), v)
+    own = [near(F.col("embedding"))]
+    if "pqs" in edges.columns:
+        known = F.filter(F.coalesce("pqs", F.array().cast(edges.schema["pqs"].dataType)), lambda q: q["embedding"].isNotNull())
+        own.append(F.array_max(F.transform(known, lambda q: near(q["embedding"]))))
+    return F.coalesce(F.greatest(F.lit(0.0), *own), F.lit(0.0))
 
 
 def emotional_factor() -> Column:
@@ -71,7 +71,7 @@ def candidates(edges: DataFrame, queries: DataFrame, temporal_aware: bool = True
 def activated(edges: DataFrame, queries: DataFrame) -> DataFrame:
     """Candidates with ``content, emotional, temporal, relational, schematic_match, activation``; the activation is the product of
     the factors' cubes."""
-    scored = candidates(edges, queries).select("*", content_factor().alias("content"), emotional_factor().alias("emotional"), temporal_factor().alias("temporal"), relational_factor().alias("relational"), schematic_factor().alias("schematic_match"))
+    scored = candidates(edges, queries).select("*", content_factor(edges).alias("content"), emotional_factor().alias("emotional"), temporal_factor().alias("temporal"), relational_factor().alias("relational"), schematic_factor().alias("schematic_match"))
     return scored.withColumn("activation", F.pow(F.col("content") * F.col("emotional") * F.col("temporal") * F.col("relational") * F.col("schematic_match"), F.lit(3)))
 
 
@@ -85,8 +85,12 @@ def echo(rank: DataFrame) -> DataFrame:
     out: a top under the floor, or, among three or more with a positive middle, under three times the middle."""
     middle = F.max(F.when(F.col("rank") == F.floor(F.col("n") / 2) + 1, F.col("activation")))
     s = rank.groupBy("query_id").agg(F.max("n").alias("n"), F.max("activation").alias("top"), middle.alias("middle"))
+    return s.withColumn("refused", echo_refuses())
+
+
+def echo_refuses() -> Column:
     flat = (F.col("n") >= ECHO_LEAST) & (F.col("middle") > 0) & (F.col("top") < ECHO_RATIO * F.col("middle"))
-    return s.withColumn("refused", flat | (F.col("top") < ECHO_FLOOR))
+    return flat | (F.col("top") < ECHO_FLOOR)
 
 
 def significant(rank: DataFrame, ids: int = 10, texts: int = 5) -> DataFrame:
@@ -111,35 +115,40 @@ def rendered() -> Column:
     return F.when(yes_no, F.when(F.col("negated"), "No").otherwise("Yes")).otherwise(answer)
 
 
-def reconstruct(edges: DataFrame, queries: DataFrame) -> DataFrame:
-    """A row for each query: ``query_id, refused, reason, edge_id, activation, answer, edge_ids, grounding``."""
+def answered(edges: DataFrame, queries: DataFrame, ids: int = 10, texts: int = 5) -> DataFrame:
+    """A row for each query: ``query_id, refused, reason, edge_id, activation, answer, edge_ids, grounding``. Edges are scored once:
+    ranking, echo, dominant edge and grounding come from one window and one aggregate over it."""
     rank = ranked(activated(edges, queries))
-    first = rank.where("rank = 1").select("query_id", F.col("id").alias("edge_id"), "activation", rendered().alias("said"))
-    out = queries.select("query_id").join(echo(rank), "query_id", "left").join(first, "query_id", "left").join(significant(rank), "query_id", "left")
-    refused = F.coalesce("refused", F.lit(True))
+    middle = F.max(F.when(F.col("rank") == F.floor(F.col("n") / 2) + 1, F.col("activation")))
+    first = F.max(F.when(F.col("rank") == 1, F.struct(F.col("id"), F.col("activation"), rendered().alias("said"))))
+    some = F.sort_array(F.collect_list(F.when(F.col("rank") <= ids, F.struct("rank", "activation", "id", "source_text"))))
+    s = rank.groupBy("query_id").agg(F.max("n").alias("n"), middle.alias("middle"), first.alias("first"), some.alias("some"))
+    s = s.withColumn("top", F.col("first.activation")).withColumn("some", F.filter("some", lambda e: e["activation"] > SIGNIFICANT * F.col("first.activation")))
+    out = queries.select("query_id").join(s, "query_id", "left")
+    refused = F.coalesce(echo_refuses(), F.lit(True))
     return out.select(
         "query_id",
         refused.alias("refused"),
         F.when(F.col("n").isNull(), "no_edges").when(refused, "echo_below_noise").alias("reason"),
-        F.when(~refused, F.col("edge_id")).alias("edge_id"),
-        F.when(~refused, F.col("activation")).alias("activation"),
-        F.when(refused, dims.REFUSAL).otherwise(F.col("said")).alias("answer"),
-        F.when(~refused, F.col("edge_ids")).alias("edge_ids"),
-        F.when(~refused, F.col("grounding")).alias("grounding"),
+        F.when(~refused, F.col("first.id")).alias("edge_id"),
+        F.when(~refused, F.col("top")).alias("activation"),
+        F.when(refused, dims.REFUSAL).otherwise(F.col("first.said")).alias("answer"),
+        F.when(~refused, F.col("some.id")).alias("edge_ids"),
+        F.when(~refused, F.slice(F.col("some.source_text"), 1, texts)).alias("grounding"),
     )
 
 
 def situation(edges: DataFrame, requests: DataFrame) -> DataFrame:
     """``requests(request_id, user_id, entity)``: the newest fact of each schema about the entity, in schema order, as one text."""
     met = live(edges).where(is_current()).join(requests, "user_id").where(F.col("entity").isNull() | mentions(F.col("entity"), strict=False))
-    newest = met.groupBy("request_id", "schematic").agg(F.max_by("episodic_fact", F.struct(F.coalesce(F.date_format("resolved_event_date", "yyyy-MM-dd"), F.lit("")), F.col("id"))).alias("fact")).where(F.length("fact") > 3)
+    newest = met.groupBy("request_id", "schematic").agg(F.max_by("episodic_fact", F.struct(F.coalesce(F.date_format("resolved_event_date", "yyyy-MM-dd"), F.lit("")), *arrival(edges))).alias("fact")).where(F.length("fact") > 3)
     parts = newest.groupBy("request_id").agg(F.sort_array(F.collect_list(F.struct("schematic", "fact"))).alias("p"))
     return requests.select("request_id").join(parts, "request_id", "left").select("request_id", F.array_join(F.col("p.fact"), ". ").alias("situation"), F.slice(F.col("p.fact"), 1, 5).alias("grounding"), F.when(F.col("p").isNull(), "empty_situation").alias("reason"))
 
 
 def summary(edges: DataFrame, keep: int = 10) -> DataFrame:
     """``user_id, subject, summary``: a subject's newest current facts."""
-    w = W.partitionBy("user_id", "subject").orderBy(F.desc("id"))
-    newest = live(edges).where(is_current()).withColumn("r", F.row_number().over(w)).where(F.col("r") <= keep)
-    facts = newest.groupBy("user_id", "subject").agg(F.sort_array(F.collect_list(F.struct("r", "episodic_fact"))).alias("f"))
+    w = W.partitionBy("user_id", "subject").orderBy(*newest(edges))
+    last = live(edges).where(is_current()).withColumn("r", F.row_number().over(w)).where(F.col("r") <= keep)
+    facts = last.groupBy("user_id", "subject").agg(F.sort_array(F.collect_list(F.struct("r", "episodic_fact"))).alias("f"))
     return facts.select("user_id", "subject", F.concat(F.array_join(F.col("f.episodic_fact"), ". "), F.lit(".")).alias("summary"))

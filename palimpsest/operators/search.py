@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from palimpsest.functions import vector
+from palimpsest.sources.durable import Written
 
 K1, B, FUSION = 1.2, 0.75, 60
 
@@ -16,33 +17,45 @@ def top_k(vectors: DataFrame, query: Column, k: int = 8, id_col: str = "vec_id",
     return vectors.select(id_col, vector.dot(F.col(vector_col), query).alias("score")).orderBy(F.desc("score"), id_col).limit(k)
 
 
-def top_k_each(vectors: DataFrame, queries: DataFrame, k: int = 8, block: int = 64, spread: int = 64) -> DataFrame:
-    """``queries(query_id, query)``: the k nearest of each, exactly. Queries travel in blocks of about ``block`` to each of ``spread``
-    shares of the vectors; a batch answers with its best k a query, so that what is shuffled is k rows a query and batch."""
+#: Bytes of queries that are broadcast at once.
+ASKED_BYTES = 32 << 20
+
+
+def top_k_each(vectors: DataFrame, queries: DataFrame, k: int = 8, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """``queries(query_id, query)``: the k nearest of each by inner product, exactly: ``query_id, vec_id, score, rank``.
+
+    Queries are broadcast in blocks of ``ASKED_BYTES`` bytes at most, and each block takes one pass over the vectors: a task
+    multiplies its batches with the whole block and keeps k a query, so that what is shuffled is k rows a query and task."""
     import numpy as np
     import pandas as pd
 
-    blocks = max(1, -(-queries.count() // block))
-    asked = queries.withColumn("__b", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).groupBy("__b").agg(F.sort_array(F.collect_list(F.struct("query_id", "query"))).alias("qs"))
-
-    def best(batches):
-        for rows in batches:
-            if not len(rows):
-                continue
-            for _, part in rows.groupby("__b"):
-                qs = part["qs"].iloc[0]
-                q = np.array([np.asarray(x["query"], dtype=np.float64) for x in qs])
-                v = np.stack(part["embedding"].to_numpy()).astype(np.float64)
-                s = q @ v.T
-                ids = part["vec_id"].to_numpy()
-                for row, x in zip(s, qs, strict=True):
-                    top = np.lexsort((ids, -row))[:k]
-                    yield pd.DataFrame({"query_id": x["query_id"], "vec_id": ids[top], "score": row[top]})
-
-    share = F.pmod(F.xxhash64("vec_id"), F.lit(spread)).alias("__share")
-    sent = asked.withColumn("__share", F.explode(F.sequence(F.lit(0), F.lit(spread - 1)).cast("array<long>")))
-    met = vectors.select("vec_id", "embedding", share).join(sent, "__share").drop("__share")
-    found = met.mapInPandas(best, "query_id long, vec_id long, score double")
+    spark = vectors.sparkSession
+    asked = queries.where(F.col("query").isNotNull()).select("query_id", F.col("query").cast("array<double>").alias("query"))
+    size = asked.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("query")).alias("width")).first()
+    blocks = max(1, -(-size["n"] * (size["width"] or 0) * 8 // ASKED_BYTES))
+    kind = vectors.schema[id_col].dataType.simpleString()
+    schema = f"query_id {asked.schema['query_id'].dataType.simpleString()}, vec_id {kind}, score double"
+    found = None
+    for n in range(blocks):
+        rows = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n).collect()
+        held = spark.sparkContext.broadcast(([r["query_id"] for r in rows], np.array([r["query"] for r in rows], dtype=np.float64).reshape(len(rows), size["width"] or 0)))
+
+        def best(batches, held=held):
+            names, q = held.value
+            ids, score = np.empty((len(names), 0), dtype=np.int64), np.empty((len(names), 0))
+            for part in batches:
+                if not len(part) or not names:
+                    continue
+                s = q @ np.stack(part[vector_col].to_numpy()).astype(np.float64).T
+                own = np.broadcast_to(part[id_col].to_numpy(), s.shape)
+                ids, score = np.concatenate([ids, own], axis=1), np.concatenate([score, s], axis=1)
+                top = np.lexsort((ids, -score))[:, :k]
+                ids, score = np.take_along_axis(ids, top, 1), np.take_along_axis(score, top, 1)
+            if ids.size:
+                yield pd.DataFrame({"query_id": np.repeat(np.array(names), ids.shape[1]), "vec_id": ids.reshape(-1), "score": score.reshape(-1)})
+
+        part = vectors.where(F.col(vector_col).isNotNull()).select(id_col, vector_col).mapInPandas(best, schema)
+        found = part if found is None else found.unionByName(part)
     r = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", r).where(F.col("rank") <= k)
 
@@ -78,22 +91,37 @@ def wanted(queries: DataFrame) -> DataFrame:
 
 
 def search_documents(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """BM25 without a stored index: only the queries' terms are counted."""
-    return bm25(postings(docs, id_col, text_col, wanted(queries)), queries, k, lengths(docs, id_col, text_col).where("length > 0"))
+    """BM25 without a stored index, in one pass over the texts: a document's length and its counts of the queries' terms come from one
+    cut into terms, and are written; the corpus counts are aggregates of that."""
+    asked = wanted(queries)
+    terms = [r["term"] for r in asked.select("term").distinct().limit(MOST_TERMS + 1).collect()]
+    if len(terms) > MOST_TERMS:
+        return bm25(postings(docs, id_col, text_col, asked), queries, k, lengths(docs, id_col, text_col).where("length > 0"))
+    work = Written(docs.sparkSession)
+    hits = F.filter("t", lambda t: t.isin(terms))
+    rows = work.table(_terms(docs, id_col, text_col).where("length > 0").select("doc_id", "length", hits.alias("t")), "terms")
+    index = rows.select("doc_id", "length", F.explode("t").alias("term")).groupBy("doc_id", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
+    return bm25(index, queries, k, rows)
+
+
+#: Terms of all queries together up to which they are literals of the plan.
+MOST_TERMS = 1000
 
 
 def bm25(index: DataFrame, queries: DataFrame, k: int = 10, sizes: DataFrame | None = None) -> DataFrame:
     """``queries(query_id, terms array)`` against an index: ``query_id, doc_id, score, rank``. The index is filtered by the queries'
-    terms before anything else is joined to it; the corpus counts come from two aggregates, over ``sizes(doc_id, length)`` of all
-    documents, if given, else over the index."""
+    terms before anything else is joined to it, and those postings are written: document frequencies and scores are read
+    from there. The corpus counts are one aggregate over ``sizes(doc_id, length)`` of all documents, if given, else over the
+    index."""
     asked = wanted(queries)
     every = index.select("doc_id", "length").distinct() if sizes is None else sizes
     totals = every.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("length").alias("mean_length"))
-    hit = index.join(asked.select("term").distinct(), "term", "left_semi")
+    hit = Written(index.sparkSession).table(index.join(asked.select("term").distinct(), "term", "left_semi").select("doc_id", "length", "term", "tf"), "postings")
     df = hit.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
     one = F.lit(1).alias("__one")
+    # one row, broadcast
     weighed = hit.join(df, "term").select("*", one).join(F.broadcast(totals.select("*", one)), "__one").select("doc_id", "term", (idf * tf).alias("w"))
     scores = weighed.join(asked, "term").groupBy("query_id", "doc_id").agg(F.sum("w").alias("score"))
     r = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "doc_id"))

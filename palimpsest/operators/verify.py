@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from palimpsest.functions import dims, text
-from palimpsest.operators.scan import live
+from palimpsest.operators.scan import arrival, live
 
 _WH = r"(?:who|what|where|when|why|how|which|whose|whom)"
 _AUX = r"(?:do|does|did|is|are|was|were|has|have|had|will|would|can|could|should)"
@@ -41,21 +41,27 @@ def content_words(value: Column) -> Column:
     return F.filter(F.array_distinct(F.split(text.normalised(value), " ")), lambda w: (F.length(w) > 1) & ~w.isin(STOP))
 
 
+def _names() -> Column:
+    """The names an edge goes by, in lower case, each once: the parts of its subject and its entities."""
+    have = F.coalesce("entities", F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(F.coalesce(compound_parts(F.lower("subject")), F.array().cast("array<string>")), F.transform(have, lambda x: F.lower(x))))
+
+
 def supporting(edges: DataFrame, facts: DataFrame) -> DataFrame:
     """``facts(fact_id, user_id, entity, predicate, object)``: the newest live edge that names the entity and either holds the
-    predicate's lemma and a word of the object, or shares two content words with one of its questions (``pqs``, if any)."""
+    predicate's lemma and a word of the object, or shares two content words with one of its questions (``pqs``, if any). Edges
+    are joined by user and name, so a fact meets the edges that name its entity only."""
     own = live(edges)
+    order = arrival(own)[0]
     lemmas = F.transform(F.split(text.normalised(F.col("episodic_fact")), " "), lambda w: text.verb_lemma(w))
-    e = own.select("user_id", F.col("id").alias("edge_id"), "sequence_number", "subject", "entities", content_words(F.col("episodic_fact")).alias("__words"), lemmas.alias("__lemmas"), *([F.expr("transform(coalesce(pqs, array()), q -> q.text)").alias("__pqs")] if "pqs" in own.columns else [F.array().cast("array<string>").alias("__pqs")]))
-    met = facts.join(e, "user_id")
-    name = F.lower("entity")
-    named = F.exists(compound_parts(F.lower("subject")), lambda p: p == name) | F.exists("entities", lambda x: F.lower(x) == name)
+    e = own.select("user_id", F.col("id").alias("edge_id"), order.alias("__place"), F.explode(_names()).alias("__name"), content_words(F.col("episodic_fact")).alias("__words"), lemmas.alias("__lemmas"), *([F.expr("transform(coalesce(pqs, array()), q -> q.text)").alias("__pqs")] if "pqs" in own.columns else [F.array().cast("array<string>").alias("__pqs")]))
+    met = facts.withColumn("__name", F.lower("entity")).join(e, ["user_id", "__name"])
     wanted = content_words(F.col("object"))
     holds = F.array_contains("__lemmas", F.col("predicate")) & ((F.size(wanted) == 0) | F.arrays_overlap(wanted, F.col("__words")))
     asked = content_words(F.concat_ws(" ", "predicate", "object"))
     near = F.exists("__pqs", lambda q: F.size(F.array_intersect(content_words(q), asked)) >= 2)
-    ok = met.where(F.coalesce(named, F.lit(False)) & (F.coalesce(holds, F.lit(False)) | F.coalesce(near, F.lit(False))))
-    return ok.groupBy("fact_id").agg(F.max_by("edge_id", F.struct("sequence_number", "edge_id")).alias("edge_id"))
+    ok = met.where(F.coalesce(holds, F.lit(False)) | F.coalesce(near, F.lit(False)))
+    return ok.groupBy("fact_id").agg(F.max_by("edge_id", F.struct("__place", "edge_id")).alias("edge_id"))
 
 
 def verified(edges: DataFrame, candidates: DataFrame, rejected: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ def test_query_without_sql(spark, small, name):
 
 
 def test_both_outcomes_occur(spark, medium):
-    refused = {r["refused"] for r in QUERIES["reconstruct"](spark, medium).select("refused").distinct().collect()}
+    refused = {r["refused"] for r in QUERIES["answer_questions"](spark, medium).select("refused").distinct().collect()}
     assert refused == {True, False}
 
 
