@@ -9,8 +9,8 @@ from pyspark.sql import Row, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest import schemas
-from palimpsest.functions import dims, text
-from palimpsest.functions.embed import embedder, hash_vector
+from palimpsest.functions import dims, text, vector
+from palimpsest.functions.embed import STYLE_ANCHORS, embedder, hash_vector, style_deltas
 from palimpsest.operators import analyze, scan, scoring, state, timeline
 from palimpsest.sources.store import EdgeStore
 from palimpsest.streaming import ingest
@@ -33,7 +33,7 @@ class Situation:
 
 @dataclass(frozen=True)
 class Outcome:
-    status: str  # skipped, forgot, stored, answered or reconstructed
+    status: str  # skipped, forgot, stored, answered or situation
     stored: int = 0
     answer: Answer | None = None
     situation: Situation | None = None
@@ -69,29 +69,37 @@ class Engine:
 
     def ingest(self, said: str, speaker: str = "user", listener: str = "assistant", at: dt.datetime | None = None, model_response: str | None = None, llm_id: str | None = None) -> int:
         """Store a text, and the response to it; the number of edges written."""
-        made = ingest.edges_of(self._utterances(said, speaker, listener, at or self.now(), model_response, llm_id))
+        turn = self._utterances(said, speaker, listener, at or self.now(), model_response, llm_id)
+        made = ingest.edges_of(turn)
         rows = schemas.conform(made.withColumn("embedding", embedder()(F.col("source_text")))).collect()
         if rows:
             self.store.append(self.spark.createDataFrame(rows, schemas.EDGE))
         self._recent = [*self._recent, speaker][-10:]
+        anchors = {k: F.array(*[F.lit(float(x)) for x in hash_vector(v)]) for k, v in STYLE_ANCHORS.items()}
+        style = turn.where("tag = 'user'").select("user_id", style_deltas(embedder()(F.col("text")), anchors, vector.dot).alias("d"))
+        self.store.adapt(style.select("user_id", "d.warmth", "d.formality"))
         return len(rows)
 
     # reading
     def _question(self, question: str):
         q = self.spark.createDataFrame([(1, self.user_id, question, [float(x) for x in hash_vector(question)])], "query_id long, user_id long, text string, query_embedding array<float>")
         d = analyze.decomposed_query(F.col("text"))
-        return q.withColumn("d", d).select("query_id", "user_id", "text", "query_embedding", "d.wh", "d.return_field", "d.entity", F.lit(None).cast("string").alias("match_schema"), F.lit(None).cast("array<string>").alias("emotions"))
+        return q.withColumn("d", d).withColumn("p", analyze.parsed_question(F.col("text"))).select("query_id", "user_id", "text", "query_embedding", "d.wh", "d.return_field", "d.entity", "p.match_schema", "p.emotions", "p.subject", "p.predicate", "p.object")
 
     def _situational(self, question: str) -> bool:
+        if self.explicit_only:
+            return any(t in question.lower() for t in dims.EXPLICIT_TRIGGERS)
         return bool(self.spark.range(1).select(text.is_situational(F.lit(question))).first()[0])
 
     def retrieve(self, question: str) -> Answer | Situation:
-        if not self.explicit_only and self._situational(question):
-            return self.reconstruct(question)
-        r = scoring.reconstruct(self._edges(), self._question(question)).first()
+        return self.situation(question) if self._situational(question) else self.lookup(question)
+
+    def lookup(self, question: str) -> Answer:
+        """The answer to a question, never a situation."""
+        r = scoring.answered(self._edges(), self._question(question).drop("subject", "predicate", "object")).first()
         return Answer(r["answer"], r["refused"], r["reason"], r["edge_id"], list(r["grounding"] or []))
 
-    def reconstruct(self, question: str) -> Situation:
+    def situation(self, question: str) -> Situation:
         asked = self._question(question).select(F.lit(1).alias("request_id"), "user_id", "entity")
         r = scoring.situation(self._edges(), asked).first()
         return Situation(r["situation"] or dims.REFUSAL, list(r["grounding"] or []))
@@ -112,7 +120,9 @@ class Engine:
         return scan.upcoming(self._edges(), F.lit(self.now()).cast("timestamp_ntz")).collect()
 
     def profile(self) -> dict[str, float]:
-        return {"warmth": 0.5, "formality": 0.5, "verbosity": 0.5}
+        """The user's style, as their turns have moved it; what nothing has moved reads 0.5."""
+        r = self.store.profiles(self.user_id).first()
+        return {"warmth": 0.5, "formality": 0.5, "initiative": 0.5, "check_in_frequency": 0.5} | ({} if r is None else {"warmth": r["warmth"], "formality": r["formality"]})
 
     def timeline(self) -> list[Row]:
         return timeline.document(self._edges()).collect()
@@ -132,7 +142,7 @@ class Engine:
         if not asking:
             return Outcome("stored", stored)
         found = self.retrieve(said)
-        return Outcome("reconstructed", stored, situation=found) if isinstance(found, Situation) else Outcome("answered", stored, answer=found)
+        return Outcome("situation", stored, situation=found) if isinstance(found, Situation) else Outcome("answered", stored, answer=found)
 
     def status(self) -> list[dict[str, str]]:
         """A self-check of the store's view against the declared schema."""
@@ -149,7 +159,7 @@ def forget_target(said: str) -> str | None:
 
 # a small dispatcher over the engine, for transports -------------------------------------------------------------------------------
 
-TOOLS = ("ingest", "retrieve", "reconstruct", "forget", "clear", "show", "trace", "check_proactive", "profile", "process", "status", "timeline")
+TOOLS = ("ingest", "retrieve", "lookup", "situation", "forget", "clear", "show", "trace", "check_proactive", "profile", "process", "status", "timeline")
 EXPOSED = ("process", "retrieve", "forget")
 
 
@@ -190,7 +200,7 @@ def dispatch(engine: Engine, method: str, params: dict | None = None) -> dict:
 _engines: dict[tuple[str, int], Engine] = {}
 
 
-def reconstruct(spark: SparkSession, path: str, said: str, user_id: int = 1, **options: object) -> Outcome:
+def respond(spark: SparkSession, path: str, said: str, user_id: int = 1, **options: object) -> Outcome:
     """One call: the user's engine is made once and processes the text."""
     engine = _engines.setdefault((path, user_id), Engine(spark, path, user_id))
     return engine.process(said, **options)

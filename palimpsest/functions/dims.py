@@ -56,10 +56,12 @@ SUPERSENSE_SCHEMA = {
     "change": "experience",
 }
 
-#: The timeline's domain of a schema; schemas not named here go to ``emotional``.
-SCHEMA_DOMAIN = {"career": "career", "finance": "financial", "education": "career", "health": "health", "hobby": "experience", "family": "relational", "social": "relational", "experience": "experience", "emotional": "emotional", "identity": "emotional"}
+#: The timeline's domain of a schema, of five: the one whose anchors (occupation, money, education; health, sport, diversion; feeling,
+#: mood; person, family, group; place, travel) are nearest in a taxonomy. Schemas not named here go to ``emotional``.
+SCHEMA_DOMAIN = {"career": "career", "finance": "career", "education": "career", "health": "health", "hobby": "health", "family": "relationship", "social": "relationship", "emotional": "emotional", "housing": "spatial", "travel": "spatial"}
 
-TAG_HOST = {"llm:a": "assistant_a", "llm:b": "assistant_b", "user": "claude"}
+#: Hosts by source tag (in lower case, trimmed), and the host of all other tags.
+TAG_HOST = {"llm:claude": "claude", "llm:gpt": "chatgpt", "llm:chatgpt": "chatgpt", "llm:gemini": "gemini", "user": "claude"}
 DEFAULT_HOST = "claude"
 
 EMOTION_SYNONYMS = {"happy": ["glad", "joyful", "excited"], "angry": ["mad", "furious", "annoyed"], "sad": ["unhappy", "down", "upset"]}
@@ -81,7 +83,22 @@ SITUATIONAL_PREFIXES = [
     "what do we know about",
 ]
 
-SAFETY_TERMS = {"self_harm": ["suicide", "kill myself", "self harm", "end my life"], "violence": ["kill", "murder", "attack", "bomb"], "illegal": ["drugs", "steal", "hack", "fraud"]}
+#: Phrases that ask for a situation even where only explicit requests do (one more is the tool's own name).
+EXPLICIT_TRIGGERS = ["what's going on", "whats going on", "summarize", "tell me about", "what is going on", "what's happening", "whats happening", "how is everything", "catch me up", "give me a summary", "overview"]
+
+SAFETY_TERMS = {
+    "self_harm": ["suicide", "kill myself", "end my life", "self harm", "self-harm", "cut myself", "overdose", "i want to die", "i don't want to live"],
+    "violence": ["kill them", "hurt them", "shoot", "stab", "bomb", "attack", "murder"],
+    "illegal": ["make a bomb", "build a bomb", "buy a gun illegally", "credit card fraud", "steal a car", "hack", "phishing", "malware"],
+}
+
+#: What a text that takes itself back ends with.
+RETRACTIONS = ["never mind", "nevermind", "forget it", "forget that", "scratch that", "disregard that", "ignore that"]
+
+#: Idioms, verbs and nouns of frames around what is said.
+IDIOM_FRAMES = ["long story short", "bottom line", "at the end of the day", "truth be told", "between you and me", "to be honest", "to be fair", "for what it's worth", "if you ask me", "believe it or not", "here's the thing", "here's the deal"]
+FRAME_VERBS = ["wait", "remind", "mean", "say", "tell", "know", "think", "wonder", "guess", "suppose", "remember", "hear", "listen", "look"]
+FRAME_NOUNS = ["thing", "point", "deal", "fact", "truth", "matter", "problem", "issue", "question"]
 
 NEGATIONS = ["not", "no", "never", "hardly", "barely", "scarcely", "rarely", "seldom"]
 

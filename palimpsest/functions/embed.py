@@ -35,6 +35,29 @@ def embedder(model: Callable[[list[str]], np.ndarray] | None = None, dimensions:
     return run
 
 
+def question_vectors(questions: Column, model: Callable[[list[str]], np.ndarray] | None = None, dimensions: int = DIMENSIONS) -> Column:
+    """An array of questions as ``array<struct<text, embedding>>``."""
+
+    @F.pandas_udf("array<struct<text:string,embedding:array<float>>>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for rows in batches:
+            distinct = list(dict.fromkeys(q for row in rows if row is not None for q in row))
+            vectors = model(distinct) if model and distinct else [hash_vector(q, dimensions) for q in distinct]
+            known = dict(zip(distinct, vectors, strict=True))
+            yield pd.Series([None if row is None else [{"text": q, "embedding": known[q]} for q in row] for row in rows])
+
+    return run(questions)
+
+
+#: What a turn's vector is held against (fixed values).
+STYLE_ANCHORS = {
+    "vulnerability": "struggling overwhelmed scared anxious worried lonely",
+    "gratitude": "thankful grateful appreciate blessed happy touched",
+    "formal": "sir madam please kindly respectfully formal correspondence",
+    "casual": "hey yeah gonna kinda sorta whatever dude",
+}
+
+
 def decode_vector(blob: bytes | None) -> list[float] | None:
     """A stored little-endian float32 vector; empty gives None."""
     return None if not blob else list(struct.unpack(f"<{len(blob) // 4}f", blob))

@@ -81,6 +81,48 @@ def decomposed_query(question: Column) -> Column:
     return F.struct(wh_word(question).alias("wh"), return_field(question).alias("return_field"), query_entity(question).alias("entity"), text.is_situational(question).alias("situational"))
 
 
+QUESTION = "struct<subject:string,predicate:string,object:string,match_schema:string,emotions:array<string>>"
+
+
+def asked(question: str) -> dict:
+    """A question's subject (``user`` for the first person), content verb, what follows it, the schema of that verb's sense (family
+    where kin is named), and the words of feeling in it."""
+    words = [(w, t) for w, t in tagged(question) if t != "PUNCT"]
+    while words and re.fullmatch(_WH, words[0][0].lower()):
+        words.pop(0)
+    lead = words and words[0][1] == "AUX"
+    if lead:
+        words.pop(0)
+    low = [w.lower() for w, _ in words]
+    known = [i for i, w in enumerate(low) if lemma(w) in _VERB_SENSE]
+    guess = [i for i, (_, t) in enumerate(words) if t == "VERB"]
+    v = next(iter(known or guess), None)
+    names = [i for i, (_, t) in enumerate(words) if t in ("PROPN", "NOUN", "PRON", "NUM")]
+    if v is None and lead and len(names) > 1:
+        v = names[-1] if words[names[-1]][1] != "PROPN" else None
+    before = words[:v] if v is not None else words
+    plain = [(w, t) for w, t in before if t in ("PROPN", "NOUN", "PRON", "ADJ", "NUM")]
+    subject = " ".join(w for w, _ in plain) or None
+    if subject and _PRON.get(subject.lower()) == "1":
+        subject = "user"
+    predicate = lemma(low[v]) if v is not None else None
+    after = [w for w, t in words[v + 1 :] if t not in ("DET", "AUX", "ADV", "ADP")] if v is not None else []
+    sense = _VERB_SENSE.get(predicate or "")
+    schema = "family" if any(w in _KIN for w in low) else dims.SUPERSENSE_SCHEMA.get(sense) if sense and sense != "stative" else None
+    return {"subject": subject, "predicate": predicate, "object": " ".join(after) or None, "match_schema": schema, "emotions": [w for w in low if w in _MOODS] or None}
+
+
+def parsed_question(question: Column) -> Column:
+    """``QUESTION`` of a question: rules that need its words in order, so an Arrow UDF over the (few) questions."""
+
+    @F.pandas_udf(QUESTION)
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for said in batches:
+            yield pd.DataFrame([asked(q or "") for q in said], columns=["subject", "predicate", "object", "match_schema", "emotions"])
+
+    return run(question)
+
+
 def predicted_questions(most: int = 4) -> Column:
     """The questions an edge would answer, from its parts; at most ``most``, none twice."""
     s, p, o = F.col("subject"), F.translate("predicate", "_", " "), F.col("object")
@@ -96,20 +138,25 @@ def predicted_questions(most: int = 4) -> Column:
 
 # cleaning -----------------------------------------------------------------------------------------------------------------------
 
-_RETRACTIONS = ["never mind", "forget it", "scratch that", "ignore that", "forget i said", "just kidding", "let me start over"]
-_FRAMES = ["you know", "i mean", "i guess", "i think", "i suppose", "you see", "to be honest", "kind of", "sort of", "at the end of the day", "as a matter of fact", "the thing is", "believe it or not", "by the way", "long story short"]
 _FILLERS = r"\b(?:um+|uh+|er+|hmm+|oh|ah|wow|well|like|so|anyway|basically|literally|honestly)\b,?\s*"
+_IDIOMS = "|".join(dims.IDIOM_FRAMES)
+_SUBJECT = r"(?:i|you|he|she|it|we|they|my|your|his|her|our|their|this|that|the|there)\b|(?-i:[A-Z]\w+(?: [A-Z]\w+)*\s+(?!(?:from|at|in|on|of|with|and|or|very|well|too)\b)[a-z])"
+#: A speaker's verb of saying or thinking before another clause with a subject of its own.
+_FRAME = rf"(?i:^\s*(?:i|we|you) (?:{'|'.join(dims.FRAME_VERBS)})\b,?(?: that)?\s+)(?=(?i:{_SUBJECT}))"
+_NOUN_FRAME = rf"(?i)^\s*(?:the|my) (?:{'|'.join(dims.FRAME_NOUNS)}) is,?(?: that)?\s+"
 
 
 def stripped(said: Column) -> Column:
-    """A text without retractions (then empty), discourse frames, interjections at its start and leading conjunctions."""
-    low = F.lower(said)
-    out = said
-    for f in _FRAMES:
-        out = F.regexp_replace(out, rf"(?i),?\s*\b{f}\b,?", " ")
+    """A text without what is no fact: nothing is left of one that ends by taking itself back; of a question that only leads to its
+    answer, the answer; and idioms, frames of saying and thinking, interjections and conjunctions at its start go."""
+    back = dims.any_of([F.regexp_replace(F.lower(said), r"[.,!? ]+$", "").endswith(p) for p in dims.RETRACTIONS])
+    out = F.regexp_replace(said, rf"(?i)^\s*(?:you know|{_IDIOMS}|(?:guess|remember|listen|wait|know))\b[^?.!]*\?\s+(?=\S)", "")
+    out = F.regexp_replace(out, rf"(?i),?\s*\b(?:{_IDIOMS}|you know|i mean)\b,?", " ")
     out = F.regexp_replace(out, rf"(?i)^(?:\s*{_FILLERS})+", "")
+    out = F.regexp_replace(out, _NOUN_FRAME, "")
+    out = F.regexp_replace(out, _FRAME, "")
     out = F.regexp_replace(out, r"(?i)^\s*(?:and|but|or|so|because)\s+", "")
-    return F.when(dims.contains_any(low, _RETRACTIONS), F.lit("")).otherwise(text.squeezed(out))
+    return F.when(back, F.lit("")).otherwise(text.squeezed(out))
 
 
 def needs_correction(said: Column, cleaned: Column) -> Column:
@@ -126,8 +173,8 @@ _AUXES = set(_AUX.split("|")) | {"be", "been", "being", "'m", "'re", "'s", "'ve"
 _NEG = set(dims.NEGATIONS) | {"n't"}
 _FREQ = set("always usually often sometimes rarely seldom never daily weekly monthly".split())
 _ADV = _FREQ | set("very really quite just also too still already yet soon now then here there again almost ever".split())
-_IRREGULAR = dict(pair.split(":") for pair in "was:be were:be is:be are:be am:be been:be had:have has:have did:do does:do went:go gone:go said:say got:get made:make knew:know thought:think took:take taken:take saw:see seen:see came:come gave:give given:give found:find told:tell felt:feel left:leave met:meet bought:buy moved:move ate:eat ran:run wrote:write written:write began:begin won:win lost:lose broke:break fell:fall sold:sell paid:pay sent:send kept:keep slept:sleep taught:teach caught:catch drove:drive flew:fly".split())
-_VERB_SENSE = dict(pair.split(":") for pair in "work:social meet:social marry:social join:social buy:possession sell:possession own:possession pay:possession make:creation build:creation write:creation paint:creation learn:cognition study:cognition think:cognition know:cognition feel:emotion love:emotion hate:emotion go:motion move:motion travel:motion fly:motion say:communication tell:communication talk:communication eat:consumption drink:consumption sleep:body hurt:body play:competition win:competition see:perception hear:perception be:stative have:stative live:stative touch:contact hit:contact become:change start:change stop:change".split())
+_IRREGULAR = {"was": "be", "were": "be", "is": "be", "are": "be", "am": "be", "been": "be", "had": "have", "has": "have", "did": "do", "does": "do", "went": "go", "gone": "go", "said": "say", "got": "get", "made": "make", "knew": "know", "thought": "think", "took": "take", "taken": "take", "saw": "see", "seen": "see", "came": "come", "gave": "give", "given": "give", "found": "find", "told": "tell", "felt": "feel", "left": "leave", "met": "meet", "bought": "buy", "moved": "move", "ate": "eat", "ran": "run", "wrote": "write", "written": "write", "began": "begin", "won": "win", "lost": "lose", "broke": "break", "fell": "fall", "sold": "sell", "paid": "pay", "sent": "send", "kept": "keep", "slept": "sleep", "taught": "teach", "caught": "catch", "drove": "drive", "flew": "fly", "became": "become", "brought": "bring", "built": "build", "chose": "choose", "cut": "cut", "did": "do", "drew": "draw", "fed": "feed", "fought": "fight", "forgot": "forget", "grew": "grow", "held": "hold", "hid": "hide", "hit": "hit", "led": "lead", "lent": "lend", "lay": "lie", "put": "put", "read": "read", "rode": "ride", "rose": "rise", "sang": "sing", "sat": "sit", "set": "set", "shot": "shoot", "shut": "shut", "spent": "spend", "spoke": "speak", "stood": "stand", "stole": "steal", "swam": "swim", "threw": "throw", "understood": "understand", "woke": "wake", "wore": "wear", "married": "marry", "studied": "study"}
+_VERB_SENSE = {"work": "social", "meet": "social", "marry": "social", "join": "social", "buy": "possession", "sell": "possession", "own": "possession", "pay": "possession", "make": "creation", "build": "creation", "write": "creation", "paint": "creation", "learn": "cognition", "study": "cognition", "think": "cognition", "know": "cognition", "feel": "emotion", "love": "emotion", "hate": "emotion", "go": "motion", "move": "motion", "travel": "motion", "fly": "motion", "say": "communication", "tell": "communication", "talk": "communication", "eat": "consumption", "drink": "consumption", "sleep": "body", "hurt": "body", "play": "competition", "win": "competition", "see": "perception", "hear": "perception", "be": "stative", "have": "stative", "live": "stative", "touch": "contact", "hit": "contact", "become": "change", "start": "change", "stop": "change", "divorce": "social", "date": "social", "visit": "social", "invite": "social", "help": "social", "lead": "social", "hire": "social", "fire": "social", "serve": "social", "vote": "social", "celebrate": "social", "lend": "possession", "borrow": "possession", "give": "possession", "get": "possession", "receive": "possession", "steal": "possession", "spend": "possession", "save": "possession", "earn": "possession", "invest": "possession", "donate": "possession", "cook": "creation", "bake": "creation", "draw": "creation", "design": "creation", "compose": "creation", "sing": "creation", "knit": "creation", "plant": "creation", "remember": "cognition", "forget": "cognition", "understand": "cognition", "decide": "cognition", "believe": "cognition", "read": "cognition", "teach": "cognition", "plan": "cognition", "research": "cognition", "graduate": "cognition", "enjoy": "emotion", "like": "emotion", "miss": "emotion", "fear": "emotion", "worry": "emotion", "regret": "emotion", "hope": "emotion", "arrive": "motion", "leave": "motion", "walk": "motion", "run": "motion", "drive": "motion", "ride": "motion", "return": "motion", "come": "motion", "hike": "motion", "swim": "motion", "relocate": "motion", "ask": "communication", "call": "communication", "speak": "communication", "promise": "communication", "text": "communication", "email": "communication", "smoke": "consumption", "order": "consumption", "taste": "perception", "watch": "perception", "listen": "perception", "smell": "perception", "notice": "perception", "exercise": "body", "wake": "body", "rest": "body", "cry": "body", "train": "body", "lose": "competition", "compete": "competition", "beat": "competition", "race": "competition", "stay": "stative", "keep": "stative", "need": "stative", "belong": "stative", "grow": "change", "begin": "change", "finish": "change", "quit": "change", "retire": "change", "improve": "change", "break": "contact", "cut": "contact", "hold": "contact", "push": "contact"}
 _VERB_CLASS = {"social": "SOCIAL", "possession": "POSSESSION", "creation": "CREATION", "cognition": "COGNITION", "emotion": "EMOTION", "motion": "LOCATION", "communication": "COMMUNICATION", "consumption": "CONSUMPTION", "body": "BODY", "competition": "ACHIEVEMENT", "perception": "EXPERIENCE", "stative": "STATIVE", "contact": "ACTION", "change": "CHANGE"}
 _KIN = set("mother father mom dad sister brother son daughter wife husband aunt uncle cousin grandmother grandfather parents family".split())
 _MOODS = {"happy": 0.8, "glad": 0.7, "excited": 0.8, "proud": 0.7, "love": 0.9, "sad": -0.7, "angry": -0.8, "upset": -0.7, "afraid": -0.7, "anxious": -0.6, "worried": -0.6, "lonely": -0.7, "tired": -0.3, "scared": -0.7, "hate": -0.9}
@@ -135,7 +182,7 @@ _TIME = re.compile(r"\b(yesterday|today|tomorrow|tonight|(?:last|next|this) (?:w
 _TOKEN = re.compile(r"n't|'(?:m|re|s|ve|ll|d)\b|\d+(?:[.,:]\d+)*|[^\W\d_]+(?:-[^\W\d_]+)*(?=n't)|[^\W\d_]+(?:-[^\W\d_]+)*|[^\w\s]", re.I)
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 
-DECOMPOSITION = "sentence int, subject string, predicate string, object string, source_text string, mood string, tense string, aspect string, voice string, negated boolean, emotion string, valence double, emotion_target string, temporal_expression string, temporal_context string, entities array<string>, schematic string, verb_class string, significance string, episodic_fact string, object_pos array<string>"
+DECOMPOSITION = "sentence int, subject string, predicate string, object string, source_text string, mood string, tense string, aspect string, voice string, negated boolean, emotion string, valence double, emotion_target string, temporal_expression string, temporal_context string, entities array<string>, schematic string, verb_class string, significance string, episodic_fact string, object_pos array<string>, subject_pos string"
 
 
 def lemma(word: str) -> str:
@@ -252,6 +299,7 @@ def rules(said: str, speaker: str, listener: str) -> list[dict]:
         while plain and plain[0][1] == "DET" and plain[0][0].lower() not in _PRON:
             plain.pop(0)
         subject = _resolved(" ".join(w for w, _ in plain), speaker, listener) or speaker
+        subject_pos = plain[0][1] if len(plain) == 1 and subject == plain[0][0] else None
         after = [(w, t) for w, t in words[v + 1 :] if t != "PUNCT"]
         low = [w.lower() for w, _ in words]
         predicate = lemma(words[v][0])
@@ -281,7 +329,7 @@ def rules(said: str, speaker: str, listener: str) -> list[dict]:
             {
                 "sentence": k, "subject": subject, "predicate": predicate, "object": _resolved(" ".join(w for w, _ in obj), speaker, listener), "source_text": sentence.strip(), "mood": _mood(sentence, words), "tense": tense, "aspect": aspect, "voice": "passive" if passive else "active", "negated": negated,
                 "emotion": feeling, "valence": None if feeling is None else (-_MOODS[feeling] if negated else _MOODS[feeling]), "emotion_target": target, "temporal_expression": time[0] if time else None, "temporal_context": tense, "entities": _names(words), "schematic": "family" if kin else dims.SUPERSENSE_SCHEMA.get(sense, "uncategorized"),
-                "verb_class": verb_class, "significance": significance, "episodic_fact": re.sub(r"\s+", " ", " ".join([subject, predicate.replace("_", " "), *(w for w, _ in obj)])).strip(), "object_pos": [t for _, t in obj],
+                "verb_class": verb_class, "significance": significance, "episodic_fact": re.sub(r"\s+", " ", " ".join([subject, predicate.replace("_", " "), *(w for w, _ in obj)])).strip(), "object_pos": [t for _, t in obj], "subject_pos": subject_pos,
             }
         )
     return out

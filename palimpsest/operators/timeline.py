@@ -14,7 +14,7 @@ def domain() -> Column:
 
 
 def host() -> Column:
-    return dims.mapped(F.coalesce("source_tag", F.lit("")), dims.TAG_HOST, dims.DEFAULT_HOST)
+    return dims.mapped(F.lower(F.trim(F.coalesce("source_tag", F.lit("")))), dims.TAG_HOST, dims.DEFAULT_HOST)
 
 
 def event_type() -> Column:

@@ -47,6 +47,20 @@ def activation(spark: SparkSession, d: str) -> DataFrame:
     return scoring.activated(e, q).select("query_id", "id", *[F.round(c, 6).alias(c) for c in ("emotional", "temporal", "relational", "schematic_match", "activation")])
 
 
+_OTHER = "(e.id * 7 + 3) % n.n"
+PQS_SQL = ACTIVATION_SQL.replace("SELECT e.*, m.embedding FROM edges e, n JOIN embeddings m ON m.vec_id = e.id % n.n", f"SELECT e.*, m.embedding, o.embedding AS other FROM edges e, n JOIN embeddings m ON m.vec_id = e.id % n.n JOIN embeddings o ON o.vec_id = {_OTHER}").replace(f"(1 + {COSINE}) / 2", f"(1 + greatest({COSINE}, {COSINE.replace('transform(embedding', 'transform(other')})) / 2")
+
+
+@query(PQS_SQL + " SELECT query_id, id, round(content, 6) AS content, round(activation, 6) AS activation FROM s")
+def activation_pqs(spark: SparkSession, d: str) -> DataFrame:
+    """Edges that also carry the vector of a predicted question: the nearer of the two counts."""
+    e, q = _lifted(spark, d)
+    v = table(spark, d, "embeddings")
+    other = v.select(F.col("vec_id").alias("__other"), F.array(F.struct(F.lit("?").alias("text"), vector.lifted(F.col("embedding")).alias("embedding"))).alias("pqs"))
+    e = e.withColumn("__other", (F.col("id") * 7 + 3) % F.lit(max(v.count(), 1))).join(other, "__other").drop("__other")
+    return scoring.activated(e, q).select("query_id", "id", F.round("content", 6).alias("content"), F.round("activation", 6).alias("activation"))
+
+
 @query(ACTIVATION_SQL + " SELECT query_id, n, round(top, 6) AS top, round(middle, 6) AS middle, refused FROM h")
 def echo_refusal(spark: SparkSession, d: str) -> DataFrame:
     e, q = _lifted(spark, d)
@@ -75,10 +89,10 @@ def answer_render(spark: SparkSession, d: str) -> DataFrame:
 @query(ACTIVATION_SQL + f""" SELECT q.query_id, coalesce(h.refused, TRUE) AS refused, CASE WHEN h.query_id IS NULL THEN 'no_edges' WHEN h.refused THEN 'echo_below_noise' END AS reason,
   CASE WHEN NOT h.refused THEN r.id END AS edge_id, CASE WHEN NOT h.refused THEN round(r.activation, 6) END AS activation, CASE WHEN coalesce(h.refused, TRUE) THEN 'This information is not mentioned in the conversation.' ELSE {ANSWER_SQL.replace('wh IS NULL', 'r.wh IS NULL').replace('return_field', 'r.return_field')} END AS answer
 FROM queries q LEFT JOIN h ON h.query_id = q.query_id LEFT JOIN r ON r.query_id = q.query_id AND r.rank = 1""")
-def reconstruct(spark: SparkSession, d: str) -> DataFrame:
+def answer_questions(spark: SparkSession, d: str) -> DataFrame:
     """The flagship: a question for each vector over all users' edges, each answered from its dominant edge or refused."""
     e, q = _lifted(spark, d)
-    return scoring.reconstruct(e, q).select("query_id", "refused", "reason", "edge_id", F.round("activation", 6).alias("activation"), "answer")
+    return scoring.answered(e, q).select("query_id", "refused", "reason", "edge_id", F.round("activation", 6).alias("activation"), "answer")
 
 
 @query(WITH + f""", r AS (SELECT DISTINCT user_id FROM edges), m AS (SELECT r.user_id, schematic, episodic_fact, coalesce(strftime(resolved_event_date, '%Y-%m-%d'), '') AS day, id FROM edges JOIN r USING (user_id) WHERE {LIVE} AND {CURRENT}),
@@ -215,8 +229,8 @@ def rejection_memory(spark: SparkSession, d: str) -> DataFrame:
     return verify.verified(edges(spark, d), c, verify.remember(empty, bad))
 
 
-DIMS_SQL = """, t AS (SELECT *, CASE schematic WHEN 'career' THEN 'career' WHEN 'education' THEN 'career' WHEN 'finance' THEN 'financial' WHEN 'health' THEN 'health' WHEN 'hobby' THEN 'experience' WHEN 'experience' THEN 'experience' WHEN 'family' THEN 'relational' WHEN 'social' THEN 'relational' ELSE 'emotional' END AS domain,
-  CASE source_tag WHEN 'llm:a' THEN 'assistant_a' WHEN 'llm:b' THEN 'assistant_b' ELSE 'claude' END AS host, CASE WHEN NOT coalesce(is_current, TRUE) THEN 'correction' ELSE 'new' END AS type, lower(subject) AS thread, CAST(source_timestamp AS DATE) AS day FROM edges)"""
+DIMS_SQL = """, t AS (SELECT *, CASE schematic WHEN 'career' THEN 'career' WHEN 'education' THEN 'career' WHEN 'finance' THEN 'career' WHEN 'health' THEN 'health' WHEN 'hobby' THEN 'health' WHEN 'family' THEN 'relationship' WHEN 'social' THEN 'relationship' ELSE 'emotional' END AS domain,
+  CASE source_tag WHEN 'llm:gpt' THEN 'chatgpt' WHEN 'llm:gemini' THEN 'gemini' ELSE 'claude' END AS host, CASE WHEN NOT coalesce(is_current, TRUE) THEN 'correction' ELSE 'new' END AS type, lower(subject) AS thread, CAST(source_timestamp AS DATE) AS day FROM edges)"""
 SESSIONS_SQL = DIMS_SQL + """, g AS (SELECT user_id, domain, thread, day, count(*) AS n_events, arg_min(host, id) AS host, count(*) FILTER (type <> 'new') AS n_changes FROM t GROUP BY ALL),
 s AS (SELECT *, dense_rank() OVER w AS session, coalesce(lag(host) OVER w <> host, FALSE) AS host_switch FROM g WINDOW w AS (PARTITION BY user_id, domain, thread ORDER BY day))"""
 
@@ -244,18 +258,31 @@ def timeline_branches(spark: SparkSession, d: str) -> DataFrame:
     return timeline.branches(edges(spark, d)).withColumns({c: F.date_format(c, "yyyy-MM-dd") for c in ("first_day", "last_day")})
 
 
-@query()
-def timeline_document(spark: SparkSession, d: str) -> DataFrame:
-    return timeline.document(edges(spark, d)).select("user_id", F.to_json("timeline").alias("timeline"))
+DOCUMENT_SQL = SESSIONS_SQL + """, e AS (SELECT user_id, domain, thread, day, string_agg(id || ':' || type || ':' || episodic_fact || ':' || host, ',' ORDER BY id) AS events FROM t GROUP BY ALL),
+x AS (SELECT s.*, session || ' ' || strftime(day, '%Y-%m-%d') || ' ' || host || ' ' || CAST(host_switch AS VARCHAR) || ' ' || events AS line FROM s JOIN e USING (user_id, domain, thread, day)),
+y AS (SELECT user_id, domain, thread, thread || '[' || string_agg(line, ';' ORDER BY session) || ']' AS line FROM x GROUP BY user_id, domain, thread),
+z AS (SELECT user_id, domain, domain || '{' || string_agg(line, '|' ORDER BY thread) || '}' AS line FROM y GROUP BY user_id, domain)"""
 
 
-F1 = [(1, "the red car", "a red car", None), (2, "May 2023", "may 2023", None), (3, "", "x", None), (4, "one two", "three", None), (5, "a a b", "a b c d", None)]
+@query(WITH + DOCUMENT_SQL + " SELECT user_id, md5(string_agg(line, '/' ORDER BY domain)) AS timeline FROM z GROUP BY user_id")
+def timeline_document(spark: SparkSession, d: str) -> DataFrame:
+    """The nested document of each user, read back level by level."""
+    event = lambda e: F.concat_ws(":", e["id"], e["type"], e["fact"], e["host"])
+    session = lambda s: F.concat_ws(" ", s["session"], F.date_format(s["day"], "yyyy-MM-dd"), s["host"], s["host_switch"].cast("string"), F.array_join(F.transform(s["events"], event), ","))
+    thread = lambda t: F.concat(t["thread"], F.lit("["), F.array_join(F.transform(t["sessions"], session), ";"), F.lit("]"))
+    domain = lambda x: F.concat(x["domain"], F.lit("{"), F.array_join(F.transform(x["threads"], thread), "|"), F.lit("}"))
+    return timeline.document(edges(spark, d)).select("user_id", F.md5(F.array_join(F.transform("timeline", domain), "/").cast("binary")).alias("timeline"))
 
 
-@query("WITH v(id, a, b) AS (VALUES (1, 'the red car', 'a red car'), (2, 'May 2023', 'may 2023'), (3, '', 'x'), (4, 'one two', 'three'), (5, 'a a b', 'a b c d')), t AS (SELECT id, list_filter(list_distinct(string_split(lower(a), ' ')), lambda x: x <> '') AS x, list_filter(list_distinct(string_split(lower(b), ' ')), lambda x: x <> '') AS y FROM v) SELECT CAST(id AS BIGINT) AS id, CASE WHEN len(x) = 0 OR len(y) = 0 THEN 0.0::DOUBLE ELSE round(2.0::DOUBLE * len(list_intersect(x, y)) / (len(x) + len(y)), 6) END AS f1 FROM t")
+@query(r"""WITH p AS (SELECT conv_id, turn, coalesce(text, '') AS a, coalesce(lead(text) OVER (PARTITION BY conv_id ORDER BY turn), '') AS b FROM conversations),
+t AS (SELECT conv_id, turn, list_filter(list_distinct(regexp_split_to_array(lower(a), '\s+')), lambda x: x <> '') AS x, list_filter(list_distinct(regexp_split_to_array(lower(b), '\s+')), lambda x: x <> '') AS y FROM p)
+SELECT conv_id, turn, CASE WHEN len(x) = 0 OR len(y) = 0 THEN 0.0::DOUBLE ELSE round(2.0::DOUBLE * len(list_intersect(x, y)) / (len(x) + len(y)), 6) END AS f1 FROM t""")
 def token_f1(spark: SparkSession, d: str) -> DataFrame:
-    rows = values(spark, "id long, a string, b string, c string", F1)
-    return rows.select("id", F.round(text.token_f1(F.col("a"), F.col("b")), 6).alias("f1"))
+    """Each turn against the next one of its conversation."""
+    from pyspark.sql import Window as W
+
+    rows = table(spark, d, "conversations").withColumn("b", F.lead("text").over(W.partitionBy("conv_id").orderBy("turn")))
+    return rows.select("conv_id", "turn", F.round(text.token_f1(F.col("text"), F.col("b")), 6).alias("f1"))
 
 
 @query(WITH + "SELECT id, contains(lower(source_text), 'item_1') OR contains(lower(source_text), 'signup') AS passed FROM edges")

@@ -10,7 +10,9 @@ from palimpsest.functions import temporal, text
 from palimpsest.operators import entities as E
 from palimpsest.operators import scan, state
 from palimpsest.plans.registered import query
+from palimpsest.sources.durable import fresh_path
 from palimpsest.sources.fixtures import AS_OF, EDGES_SQL, as_of, edges, table
+from palimpsest.sources.store import EdgeStore
 
 WITH = f"WITH {EDGES_SQL}\n"
 STAMP = "yyyy-MM-dd HH:mm:ss"
@@ -71,10 +73,10 @@ def extraction(spark: SparkSession, d: str) -> DataFrame:
     return edges(spark, d).select(F.col("id").alias("edge_id"), "source_tag", "negated", "emotion_target")
 
 
-@query(WITH + f", x AS (SELECT id AS edge_id, source_tag AS tag FROM edges) SELECT id, tag FROM edges JOIN x ON id = edge_id WHERE {LIVE} AND tag = 'llm:b' ORDER BY id DESC LIMIT 1000")
+@query(WITH + f", x AS (SELECT id AS edge_id, source_tag AS tag FROM edges) SELECT id, tag FROM edges JOIN x ON id = edge_id WHERE {LIVE} AND tag = 'llm:gemini' ORDER BY id DESC LIMIT 1000")
 def facet_source(spark: SparkSession, d: str) -> DataFrame:
     e = edges(spark, d).drop("source_tag").join(extraction(spark, d).select(F.col("edge_id").alias("id"), "source_tag"), "id")
-    return scan.by_facet(e, "source", "llm:b", 5000).select("id", F.col("source_tag").alias("tag"))
+    return scan.by_facet(e, "source", "llm:gemini", 5000).select("id", F.col("source_tag").alias("tag"))
 
 
 @query(WITH + f"SELECT id, schematic FROM edges WHERE {LIVE} AND schematic = 'health' ORDER BY id DESC LIMIT 100")
@@ -200,7 +202,7 @@ for _by, _scope, _sql in (
     ("id", 17, "id = 17"),
     ("entity", "ITEM_3", "(lower(subject) = 'item_3' OR lower(object) = 'item_3' OR list_contains(list_transform(entities, lambda x: lower(x)), 'item_3'))"),
     ("time", ("2024-01-05 00:00:00", "2024-01-09 12:00:00"), "source_timestamp BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-09 12:00:00'"),
-    ("source", "llm:a", "source_tag = 'llm:a'"),
+    ("source", "llm:gpt", "source_tag = 'llm:gpt'"),
     ("all", "", "TRUE"),
 ):
     query(WITH + f'SELECT user_id, count(*) FILTER ({LIVE} AND {_sql}) AS forgotten, count(*) FILTER ({LIVE} AND NOT {_sql}) AS "left" FROM edges GROUP BY user_id', name=f"forget_{_by}")(_forget(_by, _scope))
@@ -277,12 +279,53 @@ for _unit, _cells, _expr in (("hour", 24, "hour(source_timestamp)"), ("dow", 7,
     query(_patterns(_unit, _cells, _expr), name=f"patterns_{_unit}")(lambda spark, d, u=_unit: E.patterns(edges(spark, d), u).select("user_id", "bucket", "n", "total", F.round("confidence", 6).alias("confidence"), F.array_join("example_ids", ",").alias("example_ids")))
 
 
-@query(f"SELECT user_id, ((user_id * 37) % 11) / 10.0 AS warmth, CASE WHEN (user_id * 53) % 7 = 0 THEN 0.5 ELSE ((user_id * 53) % 7) / 10.0 END AS formality FROM (SELECT DISTINCT user_id FROM events) WHERE (user_id * 37) % 11 <> 0 UNION ALL SELECT user_id, 0.5, CASE WHEN (user_id * 53) % 7 = 0 THEN 0.5 ELSE ((user_id * 53) % 7) / 10.0 END FROM (SELECT DISTINCT user_id FROM events) WHERE (user_id * 37) % 11 = 0")
+@query("""WITH s AS (SELECT user_id, least(1.0, greatest(0.0, 0.5 + sum((event_id % 7 - 3) / 500.0))) AS warmth, least(1.0, greatest(0.0, 0.5 + sum((event_id % 5 - 3) / 200.0))) AS formality FROM events GROUP BY user_id)
+SELECT user_id, round(CASE WHEN warmth < 1e-9 THEN 0.5 ELSE warmth END, 6)::DOUBLE AS warmth, round(CASE WHEN formality < 1e-9 THEN 0.5 ELSE formality END, 6)::DOUBLE AS formality FROM s""")
 def profile_read(spark: SparkSession, d: str) -> DataFrame:
-    """An adaptation profile, where an absent value or 0 reads as the default 0.5."""
-    u = table(spark, d, "events").select("user_id").distinct()
-    value = lambda c: F.when(F.coalesce(c, F.lit(0.0)) == 0, F.lit(0.5)).otherwise(c)
-    return u.select("user_id", value((F.col("user_id") * 37) % 11 / 10.0).alias("warmth"), value((F.col("user_id") * 53) % 7 / 10.0).alias("formality"))
+    """Profiles read from a store whose users' turns have moved them; one at 0 reads as the default 0.5."""
+    turns = table(spark, d, "events")
+    store = EdgeStore(spark, fresh_path(spark, "profiles"), buckets=8)
+    moved = lambda n, per: ((F.col("event_id") % n - 3) / float(per)).alias("x")
+    store.adapt(turns.select("user_id", moved(7, 500).alias("warmth"), moved(5, 200).alias("formality")))
+    return store.profiles().select("user_id", F.round("warmth", 6).alias("warmth"), F.round("formality", 6).alias("formality"))
+
+
+ARRIVED_SQL = """, w AS (SELECT *, (id * 2654435761) % 4294967296 AS hid FROM edges), q AS (SELECT *, row_number() OVER (ORDER BY source_timestamp, hid) AS seq FROM w),
+c AS (SELECT user_id, source_text_hash, first(hid ORDER BY seq) AS id, min(seq) AS seq, max(seq) AS last_seq, last(object ORDER BY seq) AS object, first(subject ORDER BY seq) AS subject, first(predicate ORDER BY seq) AS predicate,
+  first(source_timestamp ORDER BY seq) AS source_timestamp, first(tombstoned_at ORDER BY seq) AS dead, count(*) AS n, first(is_current ORDER BY seq) AS own FROM q GROUP BY user_id, source_text_hash)"""
+RETIRED_SQL = ARRIVED_SQL + """, d AS (SELECT *, CASE WHEN object IS DISTINCT FROM lag(object) OVER k OR row_number() OVER k = 1 THEN 1 ELSE 0 END AS new FROM c WINDOW k AS (PARTITION BY user_id, subject, predicate ORDER BY last_seq)),
+i AS (SELECT *, sum(new) OVER (PARTITION BY user_id, subject, predicate ORDER BY last_seq) AS island FROM d), h AS (SELECT user_id, subject, predicate, island - 1 AS island, id AS by, source_timestamp AS at FROM i WHERE new = 1)"""
+
+
+def arrived(spark: SparkSession, d: str) -> EdgeStore:
+    """A store of the edges under ids that are in no order of time, written in two batches of one stream with a compaction between."""
+    e = edges(spark, d).withColumn("id", (F.col("id") * 2654435761) % 4294967296).withColumn("sequence_number", F.lit(None).cast("long"))
+    store = EdgeStore(spark, fresh_path(spark, "arrived"), buckets=8)
+    early = F.col("source_timestamp") < F.lit("2024-01-15 00:00:00").cast("timestamp_ntz")
+    store.append(e.where(early), 0, "events")
+    store.compact()
+    store.append(e.where(~early), 1, "events")
+    return store
+
+
+@query(WITH + RETIRED_SQL + f""" SELECT i.id, CASE WHEN n > 1 AND dead IS NULL THEN TRUE ELSE coalesce(own, TRUE) END AND h.by IS NULL AS is_current, h.by AS superseded_by, {sql_stamp('h.at', 'superseded_at')}, i.seq AS sequence_number, i.last_seq AS last_sequence
+FROM i LEFT JOIN h USING (user_id, subject, predicate, island)""")
+def ingested_supersession(spark: SparkSession, d: str) -> DataFrame:
+    """What the store says is current, after confirmations, supersession and tombstones, in order of arrival."""
+    return arrived(spark, d).current().select("id", "is_current", "superseded_by", stamp("superseded_at"), "sequence_number", "last_sequence")
+
+
+@query(WITH + ARRIVED_SQL + " SELECT id, object, lead(object) OVER (PARTITION BY user_id ORDER BY seq) AS next_object FROM c WHERE lower(subject) = 'user_5' AND lower(predicate) = 'purchase'")
+def ingested_history(spark: SparkSession, d: str) -> DataFrame:
+    return state.history(arrived(spark, d).current(), "User_5", "purchase").select("id", "object", "next_object")
+
+
+@query(WITH + ARRIVED_SQL + """, l AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY seq DESC) AS r FROM c WHERE dead IS NULL) SELECT user_id, string_agg(CAST(id AS VARCHAR), ',' ORDER BY seq DESC) AS newest FROM l WHERE r <= 5 GROUP BY user_id""")
+def ingested_newest(spark: SparkSession, d: str) -> DataFrame:
+    """Each user's last five edges by arrival."""
+    e = scan.live(arrived(spark, d).merged())
+    last = scan.last_n(e, 5, ["user_id"], scan.newest(e))
+    return last.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct(-F.col("sequence_number"), "id"))).alias("n")).select("user_id", F.array_join("n.id", ",").alias("newest"))
 
 
 @query(WITH + f"SELECT user_id, id, 'event' AS reason FROM edges WHERE {LIVE} AND {CURRENT} AND resolved_event_date BETWEEN {NOW} AND {NOW} + to_days(7) UNION ALL SELECT user_id, arg_max(id, source_timestamp) AS id, 'stale_arc' FROM edges WHERE {LIVE} AND source_timestamp <= {NOW} GROUP BY user_id, object HAVING max(source_timestamp) < {NOW} - to_days(7)")
@@ -333,6 +376,30 @@ def date_rules(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("id", F.date_format(temporal.resolve_date(F.col("expression"), at, F.col("sentence")), "yyyy-MM-dd").alias("resolved"))
 
 
+RULES = [
+    ("yesterday", "date_trunc('day', ts) - INTERVAL 1 DAY"),
+    ("Tomorrow", "date_trunc('day', ts) + INTERVAL 1 DAY"),
+    ("last monday", "date_trunc('day', ts) - to_days(CAST(CASE WHEN isodow(ts) = 1 THEN 7 ELSE isodow(ts) - 1 END AS INT))"),
+    ("next friday", "date_trunc('day', ts) + to_days(CAST(CASE WHEN isodow(ts) < 5 THEN 5 - isodow(ts) ELSE 12 - isodow(ts) END AS INT))"),
+    ("last week", "date_trunc('day', ts) - INTERVAL 7 DAY"),
+    ("three days ago", "date_trunc('day', ts) - INTERVAL 3 DAY"),
+    ("2 weeks ago", "date_trunc('day', ts) - INTERVAL 14 DAY"),
+    ("a month ago", "date_trunc('day', ts) - INTERVAL 1 MONTH"),
+    ("5 years ago", "date_trunc('day', ts) - INTERVAL 5 YEAR"),
+    ("7 may 2023", "TIMESTAMP '2023-05-07'"),
+    ("in march", "make_timestamp(year(ts), 3, 1, 0, 0, 0)"),
+    ("2019", "TIMESTAMP '2019-01-01'"),
+    ("maybe", "NULL"),
+]
+
+
+@query("SELECT event_id, strftime(CASE event_id % " + str(len(RULES)) + " " + " ".join(f"WHEN {i} THEN {sql}" for i, (_, sql) in enumerate(RULES)) + " END, '%Y-%m-%d') AS resolved FROM events")
+def dates_of_events(spark: SparkSession, d: str) -> DataFrame:
+    """An expression for each event, seen from its time."""
+    said = F.element_at(F.array(*[F.lit(e) for e, _ in RULES]), (F.col("event_id") % len(RULES)).cast("int") + 1)
+    return table(spark, d, "events").select("event_id", F.date_format(temporal.resolve_date(said, F.col("ts").cast("timestamp_ntz"), said), "yyyy-MM-dd").alias("resolved"))
+
+
 SAID = [(1, "Tell me about Anna", True), (2, "What's going on with work?", True), (3, "  describe the trip", True), (4, "When did Anna leave?", False), (5, "", False), (6, "What do we know about Bob", True)]
 
 

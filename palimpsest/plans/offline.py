@@ -100,62 +100,94 @@ def derive_tasks(spark: SparkSession, d: str) -> DataFrame:
 
 
 MARKED = [
-    (1, "I work at Acme now.", "works_at=Acme"),
-    (2, "My boss is karen smith and I live in Oslo.", "manager_name=Karen;lives_in=oslo"),
-    (3, "I'm a nurse", "occupation=nurse"),
-    (4, "the weather is fine", ""),
-    (5, "I love hiking!", "likes=hiking"),
-    (6, "", ""),
+    ("I work at #corp now.", "works_at=#corp"),
+    ("My boss is karen smith and I live in #.", "manager_name=Karen;lives_in=@"),
+    ("I'm a nurse", "occupation=nurse"),
+    ("the weather is fine", ""),
+    ("I love hiking!", "likes=hiking"),
+    ("", ""),
 ]
 
 
-@query("WITH v(id, facts) AS (VALUES " + ", ".join(f"({i}, '{f}')" for i, _, f in MARKED) + ") SELECT CAST(id AS BIGINT) AS id, facts FROM v")
-def marker_facts(spark: SparkSession, d: str) -> DataFrame:
-    rows = values(spark, "id long, said string", [r[:2] for r in MARKED])
-    return rows.select("id", F.array_join(F.transform(dataset.marked_facts(F.col("said")), lambda f: F.concat_ws("=", f["predicate"], f["object"])), ";").alias("facts"))
-
-
 @query()
 def seeded_sample(spark: SparkSession, d: str) -> DataFrame:
     return dataset.sample(candidates(spark, d), 20, seed=7).select("candidate_id")
 
 
+def spoken(spark: SparkSession, d: str, frames: list[str], column: str = "said") -> DataFrame:
+    """The turns of the conversations, each with a sentence about its length, by turns from ``frames`` (``#`` stands for the length's
+    word)."""
+    at = F.pmod(F.col("conv_id") * 7 + F.col("turn"), F.lit(len(frames))).cast("int") + 1
+    word = F.concat(F.lit("Ann"), F.translate(F.length(F.coalesce("text", F.lit(""))).cast("string"), "0123456789", "abcdefghij"))
+    return table(spark, d, "conversations").select("conv_id", "turn", F.replace(F.element_at(F.array(*map(F.lit, frames)), at), F.lit("#"), word).alias(column))
+
+
+#: The word that stands for ``#``, in SQL.
+NAME = "'Ann' || translate(CAST(length(coalesce(text, '')) AS VARCHAR), '0123456789', 'abcdefghij')"
+
+
+def sql_case(values_: list[str]) -> str:
+    """The same choice in SQL."""
+    return f"CASE (conv_id * 7 + turn) % {len(values_)} " + " ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(values_)) + " END"
+
+
+def _text(v: str | None) -> str:
+    return "NULL" if v is None else "'" + v.replace("'", "''") + "'"
+
+
 SURFACE = [
-    (1, "What a day!", "exclamatory", 4),
-    (2, "You came, didn't you?", "tag_question", 5),
-    (3, "Where is it?", "question", 5),
-    (4, "Is he home", "question", 5),
-    (5, "yeah", "backchannel", 1),
-    (6, "Call my mother.", "command", 2),
-    (7, "I feel sad", "emotion", 3),
-    (8, "She moved to Oslo.", "statement", 4),
-    (9, "It was Anna who called.", "cleft", 5),
+    ("What a day for #!", "exclamatory", 4),
+    ("You saw #, didn't you?", "tag_question", 5),
+    ("Where is #?", "question", 5),
+    ("Is he with #", "question", 5),
+    ("yeah", "backchannel", 1),
+    ("Call #.", "command", 2),
+    ("I feel sad about #", "emotion", 3),
+    ("She moved to #.", "statement", 4),
+    ("It was # who called.", "cleft", 5),
+    ("# sold the car!!", "exclamatory", 4),
 ]
 
 
-@query("WITH v(id, kind, class) AS (VALUES " + ", ".join(f"({i}, '{k}', {c})" for i, _, k, c in SURFACE) + ") SELECT CAST(id AS BIGINT) AS id, kind, CAST(class AS INT) AS class FROM v")
+@query("SELECT conv_id, turn, " + sql_case([_text(k) for _, k, _ in SURFACE]) + " AS kind, CAST(" + sql_case([str(c) for _, _, c in SURFACE]) + " AS INT) AS class FROM conversations")
 def utterance_surface(spark: SparkSession, d: str) -> DataFrame:
-    rows = values(spark, "id long, said string", [r[:2] for r in SURFACE])
-    return rows.select("id", analyze.utterance_kind(F.col("said")).alias("kind"), analyze.utterance_class(analyze.utterance_kind(F.col("said"))).alias("class"))
+    kind = analyze.utterance_kind(F.col("said"))
+    return spoken(spark, d, [f for f, _, _ in SURFACE]).select("conv_id", "turn", kind.alias("kind"), analyze.utterance_class(kind).alias("class"))
 
 
 ASKED = [
-    (1, "When did Anna move?", "when", "temporal"),
-    (2, "How long did it last?", "how", "temporal"),
-    (3, "How did she feel?", "how", "emotional"),
-    (4, "Whose car is it?", "whose", "relational"),
-    (5, "Who came?", "who", "relational"),
-    (6, "Where is Bob?", "where", "episodic"),
-    (7, "Did he go?", None, "episodic"),
-    (8, "How happy is he?", "how", "emotional"),
-    (9, "What does he want?", "what", "episodic"),
+    ("When did # move?", "when", "temporal"),
+    ("How long did # stay?", "how", "temporal"),
+    ("How did # feel?", "how", "emotional"),
+    ("Whose car did # take?", "whose", "relational"),
+    ("Who saw #?", "who", "relational"),
+    ("Where is #?", "where", "episodic"),
+    ("Did # go?", None, "episodic"),
+    ("How happy is #?", "how", "emotional"),
+    ("What does # want?", "what", "episodic"),
 ]
 
 
-@query("WITH v(id, wh, return_field) AS (VALUES " + ", ".join(f"({i}, {'NULL' if w is None else chr(39) + w + chr(39)}, '{r}')" for i, _, w, r in ASKED) + ") SELECT CAST(id AS BIGINT) AS id, wh, return_field FROM v")
+@query("SELECT conv_id, turn, " + sql_case([_text(w) for _, w, _ in ASKED]) + " AS wh, " + sql_case([_text(r) for _, _, r in ASKED]) + f" AS return_field, {NAME} AS entity FROM conversations")
 def wh_surface(spark: SparkSession, d: str) -> DataFrame:
-    rows = values(spark, "id long, said string", [r[:2] for r in ASKED])
-    return rows.select("id", analyze.wh_word(F.col("said")).alias("wh"), analyze.return_field(F.col("said")).alias("return_field"))
+    q = F.col("said")
+    return spoken(spark, d, [f for f, _, _ in ASKED]).select("conv_id", "turn", analyze.wh_word(q).alias("wh"), analyze.return_field(q).alias("return_field"), analyze.query_entity(q).alias("entity"))
+
+
+PARSED = [
+    ("Where did # move to?", "#", "move", "experience", None),
+    ("What did my sister buy?", "sister", "buy", "family", None),
+    ("When did I buy the car?", "user", "buy", "finance", "car"),
+    ("Who won the race?", None, "win", "hobby", "race"),
+    ("What does # study?", "#", "study", "education", None),
+    ("Why does # cry?", "#", "cry", "health", None),
+]
+
+
+@query("SELECT conv_id, turn, " + ", ".join(f"{sql_case([_text(r[k]) if r[k] != '#' else NAME for r in PARSED])} AS {c}" for k, c in ((1, "subject"), (2, "predicate"), (3, "match_schema"), (4, "object"))) + " FROM conversations")
+def question_parts(spark: SparkSession, d: str) -> DataFrame:
+    rows = spoken(spark, d, [r[0] for r in PARSED]).withColumn("p", analyze.parsed_question(F.col("said")))
+    return rows.select("conv_id", "turn", "p.subject", "p.predicate", "p.match_schema", "p.object")
 
 
 @query(WITH + "SELECT id, array_to_string(list_filter([CASE WHEN object <> '' THEN 'What did ' || subject || ' ' || predicate || '?' END, 'What do we know about ' || subject || '?', CASE WHEN emotion IS NOT NULL THEN 'How does ' || subject || ' feel about ' || object || '?' END, CASE WHEN temporal_expression IS NOT NULL THEN 'When did ' || subject || ' ' || predicate || '?' END, 'What about ' || object || '?'], lambda x: x IS NOT NULL)[1:4], '|') AS questions FROM edges")
@@ -169,13 +201,39 @@ def decompose(spark: SparkSession, d: str) -> DataFrame:
     return analyze.decomposed(table(spark, d, "conversations").select("conv_id", "turn", F.col("role").alias("speaker"), "text"))
 
 
-UNSAFE = [(1, "I want to end my life", "self_harm"), (2, "they attack people", "violence"), (3, "he will steal it", "illegal"), (4, "a quiet day", None), (5, "kill myself with drugs", "self_harm")]
+@query(f"SELECT conv_id, turn, replace(replace({sql_case([_text(f) for _, f in MARKED])}, '#', {NAME}), '@', lower({NAME})) AS facts FROM conversations")
+def marker_facts(spark: SparkSession, d: str) -> DataFrame:
+    facts = F.transform(dataset.marked_facts(F.col("said")), lambda f: F.concat_ws("=", f["predicate"], f["object"]))
+    return spoken(spark, d, [f for f, _ in MARKED]).select("conv_id", "turn", F.array_join(facts, ";").alias("facts"))
 
 
-@query("WITH v(id, class) AS (VALUES " + ", ".join(f"({i}, {'NULL' if c is None else chr(39) + c + chr(39)})" for i, _, c in UNSAFE) + ") SELECT CAST(id AS BIGINT) AS id, class FROM v")
+UNSAFE = ["I want to die", "they attack people", "a phishing mail", "a quiet day", "an overdose, then a bomb", "he can hack it", "Cut Myself", "we stab a cake", "steal a car", "self-harm", "nothing of it"]
+
+
+@query("""WITH s AS (SELECT conv_id, turn, lower(coalesce(text, '') || ' ' || """ + sql_case([_text(u) for u in UNSAFE]) + """) AS low FROM conversations),
+t AS (SELECT *, ['suicide', 'kill myself', 'end my life', 'self harm', 'self-harm', 'cut myself', 'overdose', 'i want to die', 'i don''t want to live'] AS a, ['kill them', 'hurt them', 'shoot', 'stab', 'bomb', 'attack', 'murder'] AS b,
+  ['make a bomb', 'build a bomb', 'buy a gun illegally', 'credit card fraud', 'steal a car', 'hack', 'phishing', 'malware'] AS c FROM s)
+SELECT conv_id, turn, CASE WHEN len(list_filter(a, lambda x: contains(low, x))) > 0 THEN 'self_harm' WHEN len(list_filter(b, lambda x: contains(low, x))) > 0 THEN 'violence' WHEN len(list_filter(c, lambda x: contains(low, x))) > 0 THEN 'illegal' END AS class FROM t""")
 def safety(spark: SparkSession, d: str) -> DataFrame:
-    rows = values(spark, "id long, said string", [r[:2] for r in UNSAFE])
-    return rows.select("id", text.safety_class(F.col("said")).alias("class"))
+    rows = spoken(spark, d, UNSAFE).join(table(spark, d, "conversations"), ["conv_id", "turn"])
+    return rows.select("conv_id", "turn", text.safety_class(F.concat_ws(" ", F.coalesce("text", F.lit("")), "said")).alias("class"))
+
+
+CLEANED = [
+    ("I think that # moved to Oslo.", "# moved to Oslo."),
+    ("You know what? I saw #.", "I saw #."),
+    ("Long story short, # sold it.", "# sold it."),
+    ("The thing is that I like #.", "I like #."),
+    ("I met #, never mind.", ""),
+    ("Um, well, # came.", "# came."),
+    ("And # left.", "# left."),
+    ("# stayed, to be honest, for weeks.", "# stayed for weeks."),
+]
+
+
+@query("SELECT conv_id, turn, replace(" + sql_case([_text(c) for _, c in CLEANED]) + f", '#', {NAME}) AS cleaned FROM conversations")
+def noise_strip(spark: SparkSession, d: str) -> DataFrame:
+    return spoken(spark, d, [f for f, _ in CLEANED]).select("conv_id", "turn", analyze.stripped(F.col("said")).alias("cleaned"))
 
 
 @query("SELECT event_type, min(value) AS least, round(quantile_cont(value, 0.5), 6) AS middle, round(quantile_cont(value, 0.95), 6) AS p95, max(value) AS largest FROM events GROUP BY event_type")
