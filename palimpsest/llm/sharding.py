@@ -178,5 +178,6 @@ def shard_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     text = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
     rows = durable(df.select(F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.unhex(F.sha2(text, 256)).alias("grp")).withColumn("row", F.monotonically_increasing_id()), "sizes")
     where = durable(balance(rows.select("row", "grp"), shards), "shards")
-    out = number_within(rows.drop("grp").join(where, "row"), ["shard"], F.xxhash64("row"), [F.col("doc_id"), F.col("row")], "slot", buckets_for(rows.count() // shards))
+    # a hash of its own: the one of the row alone has dealt the shards
+    out = number_within(rows.drop("grp").join(where, "row"), ["shard"], F.xxhash64(F.lit("slot"), "row"), [F.col("doc_id"), F.col("row")], "slot", buckets_for(rows.count() // shards))
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
