@@ -42,8 +42,8 @@ def components(edges: DataFrame, excluded: list[str] | None = None, max_rounds:
     table.
 
     Each entity links the edges that name it to the least of them: a star, so that no pairs are made. Then rounds of large
-    and small stars: a node's larger, then its smaller, neighbours move to its least neighbour, until a round changes
-    nothing. Every least neighbour is a ``min`` that is written before it is joined back to the links: a node with very
+    and small stars: a node's larger, then its smaller, neighbours move to its least neighbour, until the links are
+    stars. Every least neighbour is a ``min`` that is written before it is joined back to the links: a node with very
     many links is then a skewed key of a join of two tables, which adaptive execution splits."""
     stop = EXCLUDED if excluded is None else excluded
     spark = edges.sparkSession
@@ -51,7 +51,7 @@ def components(edges: DataFrame, excluded: list[str] | None = None, max_rounds:
     own = work.table(named(live(edges)).where(~F.col("key").isin(stop)).select("user_id", "id", "key").distinct(), "named")
     heads = work.table(own.groupBy("user_id", "key").agg(F.min("id").alias("head")), "heads")
     star = own.join(heads, ["user_id", "key"]).where("id <> head").select(F.col("id").alias("src"), F.col("head").alias("dst")).distinct()
-    links, before = work.table(star, "links"), None
+    links = work.table(star, "links")
     for _ in range(max_rounds):
         both = links.unionByName(links.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
         least = work.table(both.groupBy("src").agg(F.least(F.min("dst"), F.col("src")).alias("m")), "least")
@@ -59,11 +59,9 @@ def components(edges: DataFrame, excluded: list[str] | None = None, max_rounds:
         low = work.table(large.groupBy("src").agg(F.min("dst").alias("m")), "least")
         small = large.join(low, "src").select(F.when(F.col("dst") == F.col("m"), F.col("src")).otherwise(F.col("dst")).alias("src"), F.col("m").alias("dst"))
         links = work.table(small.where("src <> dst").distinct(), "links")
-        now = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("src", "dst").cast("decimal(20,0)"))).first()
         work.drop(keep=1)
-        if now == before:
+        if _stars(links):
             break
-        before = now
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     joined = live(edges).select("id").join(links.select(F.col("src").alias("id"), "dst"), "id", "left")
@@ -72,6 +70,12 @@ def components(edges: DataFrame, excluded: list[str] | None = None, max_rounds:
     return out
 
 
+def _stars(links: DataFrame) -> bool:
+    """Whether every node has one link, to a node that has none: then each star is a whole component."""
+    n = links.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("src").alias("nodes")).first()
+    return n["n"] == n["nodes"] and links.join(links.select(F.col("src").alias("dst")), "dst", "left_semi").isEmpty()
+
+
 def clusters(edges: DataFrame, subset: DataFrame | None = None) -> DataFrame:
     """Clusters among given edges, in order of their mean sequence number, with sorted members and participants."""
     chosen = edges if subset is None else edges.join(subset, "id", "left_semi")
