@@ -41,7 +41,8 @@ def components(edges: DataFrame, excluded: list[str] | None = None, max_rounds:
     """``id, cluster_id``: edges of a user that share an entity, directly or through others, get the least id among them; a written
     table.
 
-    Each entity links the edges that name it to the least of them: a star, so that no pairs are made. Then rounds of large
+    An entity stands for itself by the least edge that names it, its head, so that an edge links the few heads of its own
+    entities: no pairs are made, and the graph has as many nodes as entities, however many edges name them. Then rounds of large
     and small stars: a node's larger, then its smaller, neighbours move to its least neighbour, until the links are
     stars. Every least neighbour is a ``min`` that is written before it is joined back to the links: a node with very
     many links is then a skewed key of a join of two tables, which adaptive execution splits."""
@@ -50,32 +51,32 @@ def components(edges: DataFrame, excluded: list[str] | None = None, max_rounds:
     work = Written(spark)
     own = work.table(named(live(edges)).where(~F.col("key").isin(stop)).select("user_id", "id", "key").distinct(), "named")
     heads = work.table(own.groupBy("user_id", "key").agg(F.min("id").alias("head")), "heads")
-    star = own.join(heads, ["user_id", "key"]).where("id <> head").select(F.col("id").alias("src"), F.col("head").alias("dst")).distinct()
-    links = work.table(star, "links")
+    first = work.table(own.join(heads, ["user_id", "key"]).groupBy("id").agg(F.sort_array(F.collect_set("head")).alias("heads")), "first")
+    star = first.where(F.size("heads") > 1).select(F.explode(F.slice("heads", 2, F.size("heads") - 1)).alias("src"), F.col("heads")[0].alias("dst")).distinct()
+    rounds = Written(spark)
+    links = rounds.table(star, "links")
     for _ in range(max_rounds):
         both = links.unionByName(links.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-        least = work.table(both.groupBy("src").agg(F.least(F.min("dst"), F.col("src")).alias("m")), "least")
-        large = work.table(both.where("dst > src").join(least, "src").select(F.col("dst").alias("src"), F.col("m").alias("dst")).where("src <> dst").distinct(), "large")
-        low = work.table(large.groupBy("src").agg(F.min("dst").alias("m")), "least")
-        small = large.join(low, "src").select(F.when(F.col("dst") == F.col("m"), F.col("src")).otherwise(F.col("dst")).alias("src"), F.col("m").alias("dst"))
-        links = work.table(small.where("src <> dst").distinct(), "links")
-        work.drop(keep=1)
-        if _stars(links):
+        up, down = F.count_if(F.col("dst") < F.col("src")).alias("up"), F.count_if(F.col("dst") > F.col("src")).alias("down")
+        least = rounds.table(both.groupBy("src").agg(F.least(F.min("dst"), F.col("src")).alias("m"), up, down), "least")
+        # stars: every node has one link up, and then none down, or none up
+        if not least.agg(F.max((F.col("up") > 1) | ((F.col("up") > 0) & (F.col("down") > 0)))).first()[0]:
             break
+        large = rounds.table(both.where("dst > src").join(least, "src").select(F.col("dst").alias("src"), F.col("m").alias("dst")).where("src <> dst").distinct(), "large")
+        low = rounds.table(large.groupBy("src").agg(F.min("dst").alias("m")), "least")
+        small = large.join(low, "src").select(F.when(F.col("dst") == F.col("m"), F.col("src")).otherwise(F.col("dst")).alias("src"), F.col("m").alias("dst"))
+        links = rounds.table(small.where("src <> dst").distinct(), "links")
+        rounds.drop(keep=1)
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    joined = live(edges).select("id").join(links.select(F.col("src").alias("id"), "dst"), "id", "left")
-    out = work.table(joined.select("id", F.coalesce("dst", "id").alias("cluster_id")), "clusters")
+    placed = first.select("id", F.col("heads")[0].alias("src")).join(links, "src", "left").select("id", F.coalesce("dst", "src").alias("cluster_id"))
+    joined = live(edges).select("id").join(placed, "id", "left")
+    out = work.table(joined.select("id", F.coalesce("cluster_id", "id").alias("cluster_id")), "clusters")
     work.drop(keep=1)
+    rounds.drop()
     return out
 
 
-def _stars(links: DataFrame) -> bool:
-    """Whether every node has one link, to a node that has none: then each star is a whole component."""
-    n = links.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("src").alias("nodes")).first()
-    return n["n"] == n["nodes"] and links.join(links.select(F.col("src").alias("dst")), "dst", "left_semi").isEmpty()
-
-
 def clusters(edges: DataFrame, subset: DataFrame | None = None) -> DataFrame:
     """Clusters among given edges, in order of their mean sequence number, with sorted members and participants."""
     chosen = edges if subset is None else edges.join(subset, "id", "left_semi")
