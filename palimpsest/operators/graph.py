@@ -49,7 +49,7 @@ def components(edges: DataFrame, excluded: list[str] | None = None, max_rounds:
     stop = EXCLUDED if excluded is None else excluded
     spark = edges.sparkSession
     work = Written(spark)
-    own = work.table(named(live(edges)).where(~F.col("key").isin(stop)).select("user_id", "id", "key").distinct(), "named")
+    own = work.table(named(live(edges)).where(~F.col("key").isin(stop)).select("user_id", "id", "key"), "named")
     heads = work.table(own.groupBy("user_id", "key").agg(F.min("id").alias("head")), "heads")
     first = work.table(own.join(heads, ["user_id", "key"]).groupBy("id").agg(F.sort_array(F.collect_set("head")).alias("heads")), "first")
     star = first.where(F.size("heads") > 1).select(F.explode(F.slice("heads", 2, F.size("heads") - 1)).alias("src"), F.col("heads")[0].alias("dst")).distinct()
