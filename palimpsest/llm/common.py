@@ -159,7 +159,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     an edge, ``component`` being the smallest node it reaches.
 
     Alternating large-star and small-star rounds (each node's larger, then smaller, neighbours move to its least
-    neighbour); stops when a round changes nothing. No adjacency list is ever gathered: both stars are a ``min`` aggregate,
+    neighbour), until the links are stars. No adjacency list is ever gathered: both stars are a ``min`` aggregate,
     combined before the shuffle, written, and joined back to the edges. The join is one of two written tables, so a node
     with very many edges is a skewed key that adaptive execution splits (it cannot below an aggregate on the same key).
     """
@@ -168,21 +168,21 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         "edges",
     )
     spark = edges.sparkSession
-    state = None
     for _ in range(max_rounds):
         both = step.unionByName(step.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-        least = durable(both.groupBy("src").agg(F.least(F.min("dst"), F.col("src")).alias("m")), "least")
+        up, down = F.count_if(F.col("dst") < F.col("src")).alias("up"), F.count_if(F.col("dst") > F.col("src")).alias("down")
+        least = durable(both.groupBy("src").agg(F.least(F.min("dst"), F.col("src")).alias("m"), up, down), "least")
+        # in stars every node has one link up, and then none down, or none up
+        if not least.agg(F.max((F.col("up") > 1) | ((F.col("up") > 0) & (F.col("down") > 0)))).first()[0]:
+            discard(spark, least)
+            break
         large = both.where("dst > src").join(least, "src").select(F.col("dst").alias("src"), F.col("m").alias("dst")).where("src <> dst").distinct()
         large = durable(large, "large")
         low = durable(large.groupBy("src").agg(F.min("dst").alias("m")), "least")
         small = large.join(low, "src").select(F.when(F.col("dst") == F.col("m"), F.col("src")).otherwise(F.col("dst")).alias("src"), F.col("m").alias("dst"))
         new = durable(small.where("src <> dst").distinct(), "small")
-        now = new.agg(F.count(F.lit(1)), F.sum(F.xxhash64("src", "dst").cast("decimal(20,0)"))).first()
         discard(spark, large, step, least, low)
         step = new
-        if now == state:
-            break
-        state = now
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = step.select(F.col("dst").alias("node"), F.col("dst").alias("component")).distinct()
