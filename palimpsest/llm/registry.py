@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import bpe, chat, exact_dedup, hnsw, near_dedup, packing, sharding, toxicity, url_filter, warc
+from palimpsest.llm import bpe, chat, exact_dedup, hnsw, merkle, near_dedup, packing, sharding, toxicity, url_filter, warc
 from palimpsest.llm.common import table
 
 
@@ -169,6 +169,41 @@ SELECT page_id, payload_bytes,
 FROM b
 """
 
+def op11_sql_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    fixed = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    changed = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0, F.replace(F.col("text"), F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    return merkle.manifest(docs, "doc_id", "source", [*fixed, F.col("text")], [*fixed, changed])
+
+
+def _field_sql(value: str) -> str:
+    return f"CASE WHEN {value} IS NULL THEN '-' ELSE strlen(CAST({value} AS VARCHAR)) || ':' || CAST({value} AS VARCHAR) END"
+
+
+_FIXED_SQL = " || ".join(_field_sql(c) for c in ("doc_id", "source", "lang", "n_chars"))
+
+OP11_SQL = rf"""
+WITH RECURSIVE c AS (SELECT *, list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda ch: CAST(ascii(ch) AS BIGINT))),
+    lambda a, b: list_reduce(list_prepend(xor(a, b), list_transform(range(8), lambda z: CAST(z AS BIGINT))), lambda x, z: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)) AS crc FROM documents),
+l AS (SELECT doc_id, source, sha256({_FIXED_SQL} || {_field_sql("text")}) AS leaf,
+    sha256({_FIXED_SQL} || {_field_sql("(CASE WHEN xor(crc, 4294967295) % 2 = 0 THEN replace(text, chr(10), '') ELSE text END)")}) AS found FROM c),
+o AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf, found) - 1 AS idx, count(*) OVER (PARTITION BY source) AS n FROM l),
+t AS (SELECT source AS s, 0 AS lvl, idx, n, leaf AS h FROM o
+  UNION ALL SELECT s, lvl + 1, idx // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY idx)) FROM t WHERE n > 1 GROUP BY s, lvl, idx // 3, n),
+r AS (SELECT s, h AS subroot, row_number() OVER (ORDER BY s NULLS FIRST) - 1 AS idx, count(*) OVER () AS n FROM t WHERE n = 1),
+u AS (SELECT 0 AS lvl, idx, n, subroot AS h FROM r
+  UNION ALL SELECT lvl + 1, idx // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY idx)) FROM u WHERE n > 1 GROUP BY lvl, idx // 3, n),
+p AS (SELECT o.source AS s, o.idx, t.lvl, coalesce(string_agg(t.h, '' ORDER BY t.idx) FILTER (t.idx < o.idx // CAST(3 ** t.lvl AS BIGINT)), '') || '|' || coalesce(string_agg(t.h, '' ORDER BY t.idx) FILTER (t.idx > o.idx // CAST(3 ** t.lvl AS BIGINT)), '') AS step
+  FROM o JOIN t ON o.source IS NOT DISTINCT FROM t.s AND t.n > 1 AND t.idx // 3 = o.idx // CAST(3 ** (t.lvl + 1) AS BIGINT) GROUP BY o.source, o.idx, t.lvl),
+q AS (SELECT r.s, u.lvl, coalesce(string_agg(u.h, '' ORDER BY u.idx) FILTER (u.idx < r.idx // CAST(3 ** u.lvl AS BIGINT)), '') || '|' || coalesce(string_agg(u.h, '' ORDER BY u.idx) FILTER (u.idx > r.idx // CAST(3 ** u.lvl AS BIGINT)), '') AS step
+  FROM r JOIN u ON u.n > 1 AND u.idx // 3 = r.idx // CAST(3 ** (u.lvl + 1) AS BIGINT) GROUP BY r.s, r.idx, u.lvl),
+a AS (SELECT o.doc_id, o.leaf, o.found, r.subroot, (SELECT h FROM u WHERE n = 1) AS root,
+    coalesce((SELECT list(step ORDER BY lvl) FROM p WHERE p.s IS NOT DISTINCT FROM o.source AND p.idx = o.idx), []) || coalesce((SELECT list(step ORDER BY lvl) FROM q WHERE q.s IS NOT DISTINCT FROM o.source), []) AS path
+  FROM o JOIN r ON o.source IS NOT DISTINCT FROM r.s),
+b AS (SELECT *, sha256(replace(array_to_string(path, ''), '|', '')) AS proof_sha256, list_reduce(list_prepend(found, path), lambda x, y: sha256(split_part(y, '|', 1) || x || split_part(y, '|', 2))) AS folded_root FROM a)
+SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified FROM b
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hyperminhash": op1_hyperminhash,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -180,7 +215,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_label_propagation": op8_label_propagation,
     "op9_nb_ngram_toxicity": op9_nb_ngram_toxicity,
     "op10_warc_normaliser": op10_warc_normaliser,
+    "op11_sql_blocks": op11_sql_blocks,
 }
 
 #: Where SQL can say what a query returns. Tokenizing, packing and shard placement are tested against brute force.
-ORACLES: dict[str, str] = {"op5_temporal_url_filter": OP5_SQL, "op6_reply_trees": OP6_SQL, "op7_grace_dedup": OP7_SQL, "op10_warc_normaliser": OP10_SQL}
+ORACLES: dict[str, str] = {"op5_temporal_url_filter": OP5_SQL, "op6_reply_trees": OP6_SQL, "op7_grace_dedup": OP7_SQL, "op10_warc_normaliser": OP10_SQL, "op11_sql_blocks": OP11_SQL}
