@@ -23,9 +23,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from palimpsest.llm.common import discard, durable
+from palimpsest.llm.common import discard, durable, ordered
 
 ARITY, LEVELS = 3, 5
 BLOCK = ARITY**LEVELS
@@ -48,25 +47,6 @@ def _hash(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
-def ordered(rows: DataFrame, tree: str, order: list[str]) -> DataFrame:
-    """``rows`` with ``pos long`` (from 0 within its ``tree``, by ``order``) and ``n long`` (rows of the tree); a written table.
-
-    One range partitioning over all trees puts rows in order; a partition's rows of a tree are numbered on from the tree's
-    rows in the partitions before it, of which there is one count each. The two short tables are joined as they are."""
-    keys = [F.col(tree).asc_nulls_first(), *[F.col(c).asc_nulls_first() for c in order]]
-    sorted_ = rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
-    # the number that Spark gives is the partition's, in the upper 31 bits, and the row's in it
-    at = F.monotonically_increasing_id()
-    placed = durable(sorted_.withColumn("at", at).withColumn("part", F.expr("cast(at >> 33 as int)")), "ordered")
-    counts = durable(placed.groupBy(tree, "part").agg(F.count(F.lit(1)).alias("rows"), F.min("at").alias("first")), "counts")
-    up = W.partitionBy(tree).orderBy("part").rowsBetween(W.unboundedPreceding, -1)
-    whole = counts.groupBy(tree).agg(F.sum("rows").alias("n"))
-    shifts = counts.withColumn("before", F.coalesce(F.sum("rows").over(up), F.lit(0)) - F.col("first")).join(whole, tree).select(tree, "part", "before", "n")
-    out = durable(placed.join(shifts, [tree, "part"]).withColumn("pos", F.col("at") + F.col("before")).drop("at", "part", "before"), "numbered")
-    discard(rows.sparkSession, placed, counts)
-    return out
-
-
 def levels_of(n: Column) -> Column:
     """The least number of levels that leave one of ``n`` nodes, or ``LEVELS``."""
     out = F.lit(LEVELS)

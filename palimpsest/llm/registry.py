@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import bpe, chat, exact_dedup, hnsw, merkle, near_dedup, packing, sharding, toxicity, url_filter, warc
+from palimpsest.llm import bpe, chat, exact_dedup, hnsw, merkle, near_dedup, packing, sharding, syncmers, toxicity, url_filter, warc
 from palimpsest.llm.common import table
 
 
@@ -204,6 +204,11 @@ b AS (SELECT *, sha256(replace(array_to_string(path, ''), '|', '')) AS proof_sha
 SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified FROM b
 """
 
+
+def op13_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.edited(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hyperminhash": op1_hyperminhash,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -216,6 +221,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_nb_ngram_toxicity": op9_nb_ngram_toxicity,
     "op10_warc_normaliser": op10_warc_normaliser,
     "op11_sql_blocks": op11_sql_blocks,
+    "op13_closed_syncmers": op13_closed_syncmers,
 }
 
 #: Where SQL can say what a query returns. Tokenizing, packing and shard placement are tested against brute force.
