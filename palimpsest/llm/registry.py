@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import bpe, chat, exact_dedup, hnsw, merkle, near_dedup, packing, sharding, syncmers, toxicity, url_filter, warc
+from palimpsest.llm import bpe, chat, exact_dedup, hard_negatives, hnsw, merkle, near_dedup, packing, sharding, syncmers, toxicity, url_filter, warc
 from palimpsest.llm.common import table
 
 
@@ -205,6 +205,22 @@ SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = roo
 """
 
 
+def op12_pivot_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label"))
+    return hard_negatives.hard_negatives(rows, F.col("vec_id") % 50 == 0)
+
+
+OP12_SQL = """
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) <= 3
+"""
+
+
 def op13_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.edited(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -221,8 +237,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_nb_ngram_toxicity": op9_nb_ngram_toxicity,
     "op10_warc_normaliser": op10_warc_normaliser,
     "op11_sql_blocks": op11_sql_blocks,
+    "op12_pivot_table": op12_pivot_table,
     "op13_closed_syncmers": op13_closed_syncmers,
 }
 
 #: Where SQL can say what a query returns. Tokenizing, packing and shard placement are tested against brute force.
-ORACLES: dict[str, str] = {"op5_temporal_url_filter": OP5_SQL, "op6_reply_trees": OP6_SQL, "op7_grace_dedup": OP7_SQL, "op10_warc_normaliser": OP10_SQL, "op11_sql_blocks": OP11_SQL}
+ORACLES: dict[str, str] = {"op5_temporal_url_filter": OP5_SQL, "op6_reply_trees": OP6_SQL, "op7_grace_dedup": OP7_SQL, "op10_warc_normaliser": OP10_SQL, "op11_sql_blocks": OP11_SQL, "op12_pivot_table": OP12_SQL}
