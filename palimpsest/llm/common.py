@@ -113,6 +113,18 @@ def lean() -> None:
         trim(0)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each with so many underscores before it that ``df`` has no such column (Spark does not tell cases apart)."""
+    have = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in have:
+            name = f"_{name}"
+        have.add(name.lower())
+        out.append(name)
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import bound_batches, discard, durable, lean
+from palimpsest.llm.common import bound_batches, discard, durable, lean, unused
 
 #: Bytes of distinct content a task holds in its table before it spills (or, in the combining pass, flushes).
 MEMORY_BYTES = 24 << 20
@@ -313,8 +313,9 @@ def text_key(text: str) -> F.Column:
 
 def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", memory: int = MEMORY_BYTES) -> DataFrame:
     """The rows of ``df`` that stay, with all their columns: of equal texts, the one with the smallest id."""
+    own, told = unused(df, "id", "key")
     key = lambda c: F.coalesce(c, F.lit(_NO_ID))
-    kept = duplicates(df, id_col, text_col, memory).where("kept").select(key(F.col("doc_id")).alias("__id"), F.col("text_sha256").alias("__key"))
+    kept = duplicates(df, id_col, text_col, memory).where("kept").select(key(F.col("doc_id")).alias(own), F.col("text_sha256").alias(told))
     # rows that tie in both are one after the join, which has already brought them together
-    found = df.withColumn("__id", key(F.col(id_col).cast("long"))).withColumn("__key", text_key(text_col)).join(kept, ["__id", "__key"])
-    return found.dropDuplicates(["__id", "__key"]).select(*[F.col(f"`{c}`") for c in df.columns])
+    found = df.withColumn(own, key(F.col(f"`{id_col}`").cast("long"))).withColumn(told, text_key(f"`{text_col}`")).join(kept, [own, told])
+    return found.dropDuplicates([own, told]).select(*[F.col(f"`{c}`") for c in df.columns])

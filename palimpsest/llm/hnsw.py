@@ -1,8 +1,12 @@
 """Approximate nearest neighbours by a hierarchical navigable small-world graph per shard.
 
-Vectors are dealt to shards by a hash of their id; each shard's graph is built in one task and stored as one row of flat
-arrays (vectors, ids, and per level a neighbour array of fixed width), so an index is a small table that outlives its
-builder. A search visits all shards with every block of queries and merges the shards' results by exact score.
+Vectors are dealt to cells by their nearest centre (found by k-means on at most ``SAMPLE`` of them), and a cell's vectors by a
+hash of the id to as many shards of about ``SHARD_ROWS`` as it needs; each shard's graph is built in one task and stored as one
+row of flat arrays (vectors, ids, and per level a neighbour array of fixed width), so an index is a small table that
+outlives its builder. A query visits the shards of its ``PROBES`` nearest cells, all of them while there are no more, and the
+shards' results are merged by exact score. So a shard never grows, and a query's work is bounded by its cells, of which
+there are at most ``CELLS``; only from ``CELLS`` times ``SHARD_ROWS`` vectors on does it grow with the table, by a share of
+``PROBES`` in ``CELLS``.
 
 Within a shard, equal vectors are one graph node; its ids are listed from the smallest up, and of a node as many ids as a
 result can hold are returned, so copies neither disturb the graph nor get lost. Insertion and search work on blocks of
@@ -11,13 +15,9 @@ points in lockstep: every step expands the best open candidate of each point at
 Scores are cosines of the original vectors in double precision, computed alike for equal vectors. Vectors whose squares
 would leave the range of a double are first divided by a power of two, which changes no digit of a cosine.
 
-The number of shards grows with the table up to ``SHARDS``; from then on the shards grow, up to ``SHARD_MOST`` vectors each
-(what a task can hold), and only then their number again: a query visits every shard, but a graph ten times as large
-costs it little more.
-
 Defined cases: vectors that are null, zero, of another width than most, or that hold null or non-finite components take
 no part, neither as queries nor as candidates; ties go to the smaller id; repeated ids are candidates of their own but
-ask once and never answer themselves; an empty table gives an empty result; other columns are ignored.
+ask once, with the smallest of their vectors, and never answer themselves; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,12 +33,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from palimpsest.llm.common import bound_batches, durable, lean
+from palimpsest.llm.common import bound_batches, discard, durable, lean
 
 #: Neighbours kept per node (twice as many on the ground level), breadth of the search when inserting and when asked.
 NEIGHBOURS, BUILD_BREADTH, SEARCH_BREADTH = 16, 80, 160
-#: Vectors a shard holds about, shards from which on these grow, vectors a shard holds at most; queries a block holds.
-SHARD_ROWS, SHARDS, SHARD_MOST, QUERY_BLOCK = 6000, 64, 250_000, 512
+#: Vectors a shard holds about, cells at most, cells a query visits, vectors that centres are found from; queries of a block.
+SHARD_ROWS, CELLS, PROBES, SAMPLE, QUERY_BLOCK = 6000, 1024, 24, 16_384, 512
 _INSERT_BLOCK = 128
 
 
@@ -169,7 +169,7 @@ def search(g: Graph, queries: np.ndarray, k: int, breadth: int = SEARCH_BREADTH)
     return ids[:, :k]
 
 
-INDEX = "shard int, width int, top int, item int, counts binary, ids binary, vectors binary, links binary"
+INDEX = "shard int, cell int, centre binary, width int, top int, item int, counts binary, ids binary, vectors binary, links binary"
 
 
 def scaled(vectors: np.ndarray) -> np.ndarray:
@@ -182,16 +182,42 @@ def scaled(vectors: np.ndarray) -> np.ndarray:
     return vectors
 
 
-def shard_count(rows: int, shard_rows: int) -> int:
-    """So many shards that one holds about ``shard_rows``, then ``SHARDS``, then so many that none exceeds ``SHARD_MOST`` much."""
-    return max(1, min(round(rows / shard_rows), SHARDS), -(-rows // max(SHARD_MOST, shard_rows)))
+def centres(vectors: np.ndarray, count: int, rounds: int = 8) -> np.ndarray:
+    """Unit vectors in the middle of ``count`` groups of unit vectors, or of fewer, if there are not so many distinct ones."""
+    distinct = np.unique(vectors, axis=0)
+    out = distinct[np.random.default_rng(len(distinct)).permutation(len(distinct))[:count]].astype(np.float32)
+    for _ in range(rounds):
+        own = (vectors @ out.T).argmax(1)
+        sums = np.zeros_like(out)
+        np.add.at(sums, own, vectors)
+        norm = np.linalg.norm(sums, axis=1)
+        out = np.where((norm > 1e-6)[:, None], sums / np.maximum(norm, 1e-6)[:, None], out)
+    return out
+
+
+def _nearest_cells(middle: np.ndarray, count: int):
+    """The ``count`` nearest cells of each vector."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
+        for b in batches:
+            if b.num_rows:
+                v = _unit(scaled(np.stack(b.column("embedding").to_numpy(zero_copy_only=False)).astype(np.float64)))
+                near = np.argsort(-(v @ middle.T), axis=1, kind="stable")[:, :count].astype(np.int32)
+                flat = pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1, dtype=np.int32) * near.shape[1]), pa.array(near.reshape(-1)))
+                yield pa.RecordBatch.from_arrays([*b.columns, flat], names=[*b.schema.names, "cells"])
+
+    return run
+
+
+_CELLED = "vec_id long, embedding array<double>, cells array<int>"
 
 
 def _unit(vectors: np.ndarray) -> np.ndarray:
     return (vectors / np.linalg.norm(vectors, axis=1, keepdims=True)).astype(np.float32)
 
 
-def _pack(shard: int, ids: np.ndarray, vectors: np.ndarray, item: int) -> tuple:
+def _pack(shard: int, cell: int, centre: bytes, ids: np.ndarray, vectors: np.ndarray, item: int) -> tuple:
     """A row of ``INDEX``; components take ``item`` bytes, 4 where the source has single precision, which is then exact."""
     distinct, back = np.unique(vectors, axis=0, return_inverse=True)
     g, order = build(distinct)
@@ -200,13 +226,14 @@ def _pack(shard: int, ids: np.ndarray, vectors: np.ndarray, item: int) -> tuple:
     node = place[back.reshape(-1)]
     by = np.lexsort((ids, node))
     counts = np.bincount(node, minlength=len(distinct))
-    return shard, vectors.shape[1], g.top, item, counts.astype("<i8").tobytes(), ids[by].astype("<i8").tobytes(), distinct[order].astype(f"<f{item}").tobytes(), b"".join(x.tobytes() for x in g.levels)
+    return shard, cell, centre, vectors.shape[1], g.top, item, counts.astype("<i8").tobytes(), ids[by].astype("<i8").tobytes(), distinct[order].astype(f"<f{item}").tobytes(), b"".join(x.tobytes() for x in g.levels)
 
 
-def _index(item: int):
+def _index(item: int, middle: np.ndarray):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         vectors = scaled(np.stack(rows["embedding"].to_numpy()).astype(np.float64))
-        packed = _pack(int(rows["shard"].iloc[0]), rows["vec_id"].to_numpy(dtype=np.int64), vectors, item)
+        cell = int(rows["cell"].iloc[0])
+        packed = _pack(int(rows["shard"].iloc[0]), cell, middle[cell].astype("<f4").tobytes(), rows["vec_id"].to_numpy(dtype=np.int64), vectors, item)
         return pd.DataFrame([packed], columns=[c.split()[0] for c in INDEX.split(", ")])
 
     return run
@@ -227,11 +254,25 @@ def build_index(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     if not widths:
         return spark.createDataFrame([], INDEX)
     width, total = widths[0]["w"], widths[0]["count"]
-    shards = shard_count(total, shard_rows)
-    dealt = rows.where(F.size("embedding") == width).withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
+    alike = rows.where(F.size("embedding") == width)
+    cells = max(1, min(round(total / shard_rows), CELLS))
+    sample = alike.orderBy(F.xxhash64("vec_id", "embedding"), "vec_id").limit(min(SAMPLE, 64 * cells)).select("embedding").collect()
+    middle = centres(_unit(scaled(np.array([r["embedding"] for r in sample], dtype=np.float64))), cells)
+    dealt = durable(alike.mapInArrow(_nearest_cells(middle, 1), _CELLED).select("vec_id", "embedding", F.col("cells")[0].alias("cell")), "celled")
+    # at most ``CELLS`` counts, from which shards are numbered
+    counts = {r["cell"]: r["count"] for r in dealt.groupBy("cell").count().collect()}
+    first, plan = 0, []
+    for cell in sorted(counts):
+        parts = max(1, round(counts[cell] / shard_rows))
+        plan.append((cell, first, parts))
+        first += parts
+    placed = dealt.join(F.broadcast(spark.createDataFrame(plan, "cell int, first int, parts int")), "cell")
+    placed = placed.withColumn("shard", F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int")).select("vec_id", "embedding", "cell", "shard")
     item = 4 if df.schema[vector_col].dataType == T.ArrayType(T.FloatType(), df.schema[vector_col].dataType.containsNull) else 8
     # the number of partitions is given: adaptive execution would put several shards, which are small, into one task
-    return durable(dealt.repartition(4 * shards, "shard").groupBy("shard").applyInPandas(_index(item), INDEX), "hnsw")
+    index = durable(placed.repartition(4 * first, "shard").groupBy("shard").applyInPandas(_index(item, middle), INDEX), "hnsw")
+    discard(spark, dealt)
+    return index
 
 
 FOUND = "query_id long, vec_id long, score double"
@@ -286,27 +327,31 @@ def _others(ids: np.ndarray, first: np.ndarray, node: int, own: int, k: int) ->
 
 def _blocked(rows: pd.DataFrame) -> pd.DataFrame:
     rows = rows.sort_values("vec_id")
-    return pd.DataFrame({"block": rows["block"].iloc[:1], "query_ids": [rows["vec_id"].to_numpy(dtype="<i8").tobytes()], "queries": [scaled(np.stack(rows["embedding"].to_numpy()).astype(np.float64)).astype("<f8").tobytes()]})
+    return pd.DataFrame({"shard": rows["shard"].iloc[:1], "query_ids": [rows["vec_id"].to_numpy(dtype="<i8").tobytes()], "queries": [scaled(np.stack(rows["embedding"].to_numpy()).astype(np.float64)).astype("<f8").tobytes()]})
 
 
-def nearest(index: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, breadth: int = SEARCH_BREADTH) -> DataFrame:
+def nearest(index: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, breadth: int = SEARCH_BREADTH, probes: int = PROBES) -> DataFrame:
     """``query_id, rank, vec_id, score``: the k nearest found of each usable query, its own id left out."""
     spark = index.sparkSession
     bound_batches(spark)
-    known = index.agg(F.max("shard").alias("last"), F.max("width").alias("width")).first()
-    if known["last"] is None:
+    # a centre for each cell, of which there are at most ``CELLS``
+    known = index.groupBy("cell").agg(F.first("centre").alias("centre"), F.first("width").alias("width"), F.count(F.lit(1)).alias("shards")).collect()
+    if not known:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    shards = known["last"] + 1
+    names = np.array([r["cell"] for r in known], dtype=np.int32)
+    middle, width, shards = np.stack([np.frombuffer(r["centre"], dtype="<f4") for r in known]), known[0]["width"], sum(r["shards"] for r in known)
     asked = queries.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("embedding"))
-    asked = asked.where(usable(F.col("embedding")) & F.col("vec_id").isNotNull() & (F.size("embedding") == known["width"]))
-    asked = asked.dropDuplicates(["vec_id"])
-    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
-    packed = asked.groupBy("block").applyInPandas(_blocked, "block int, query_ids binary, queries binary")
-    # every block of queries goes to every shard, whose row stays where it is for all of them
+    asked = asked.where(usable(F.col("embedding")) & F.col("vec_id").isNotNull() & (F.size("embedding") == width))
+    asked = asked.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    near = asked.mapInArrow(_nearest_cells(middle, min(probes, len(names))), _CELLED)
+    number = spark.createDataFrame([(i, int(c)) for i, c in enumerate(names)], "place int, cell int")
+    of = index.select("cell", "shard").join(number, "cell").select("place", "shard")
+    sent = durable(near.select("vec_id", "embedding", F.explode("cells").alias("place")).join(of, "place").select("shard", "vec_id", "embedding"), "asked")
+    sizes = sent.groupBy("shard").agg(F.count(F.lit(1)).alias("asking"))
+    cut = sent.join(sizes, "shard").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.ceil(F.col("asking") / QUERY_BLOCK)))
+    packed = cut.groupBy("shard", "block").applyInPandas(_blocked, "shard int, query_ids binary, queries binary")
     parts = max(1, min(2 * shards, 2000))
-    sent = packed.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).repartition(parts, "shard")
-    met = sent.join(index.repartition(parts, "shard"), "shard")
+    met = packed.repartition(parts, "shard").join(index.repartition(parts, "shard"), "shard")
     found = met.mapInArrow(_answers(k, breadth), FOUND)
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -19,13 +19,17 @@ each class with one other, the smallest of the bucket it shares with most: a sta
 classes are still in different components, and there at all pairs of different components, in blocks of bounded size:
 first by sketch, each pair in the first of the buckets it shares; then, for classes with a pair left, on the full sets.
 Pairs never become rows; a block returns the links that join components. No bucket is gathered in one task, and no bucket,
-pair or partner is left out. What can be lost is lost by the sketch alone: a pair at the threshold shares no band with a
-probability under 1e-7, and falls under the screen at five standard errors; every pair that is reported is confirmed.
+pair or partner is left out. What can be lost is lost by the sketch alone: with all registers in use, a pair exactly at the
+threshold shares no band with a probability under 1e-7, and falls under the screen with one of under 1e-8 (the binomial's
+left tail at ``MARGIN``, for 0.8 and for 0.85). ``margin=None`` turns the screen off: then all pairs of fitting size that
+share a bucket are compared on full sets. Every pair that is reported is confirmed.
 
 Defined cases: a null or blank text has an empty set and is linked with nothing; repeated rows are documents of their
 own with one id, and share a component if any of them is linked; a null id is linked with nothing but copies of a
 known id; an empty table gives an empty table. ``near_duplicates`` returns its four columns alone, ``keep_one`` the rows
-with all their columns, whatever their names.
+with all their columns, whatever their names. ``keep_one`` decides by row, not by id: of linked texts, copies included, the
+row of the smallest id stays (known ids before null; then the smallest hash of the text), whatever other rows have its id;
+rows that agree in id and text are one document; texts without words all stay.
 """
 
 from __future__ import annotations
@@ -35,14 +39,14 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import bound_batches, components, discard, durable, lean
+from palimpsest.llm.common import bound_batches, components, discard, durable, lean, unused
 
 REGISTERS, BAND = 128, 4
 MANTISSA = 11
-MARGIN = 5.0
+MARGIN = 6.5
 #: Classes, and n-grams of theirs, that a block of round 2 holds.
 BLOCK, BLOCK_GRAMS = 1500, 1 << 20
 
@@ -111,24 +115,26 @@ def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np
     return (rate - p) / (1 - p)
 
 
-def least_estimate(threshold: float, used: np.ndarray) -> np.ndarray:
-    return threshold - MARGIN * np.sqrt(threshold * (1 - threshold) / np.maximum(used, 1)) - 1e-9
+def least_estimate(threshold: float, used: np.ndarray, margin: float = MARGIN) -> np.ndarray:
+    return threshold - margin * np.sqrt(threshold * (1 - threshold) / np.maximum(used, 1)) - 1e-9
 
 
-def passes(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
-    """Whether a pair may reach the threshold, by its sizes (certain) and by its sketches (within the margin)."""
+def passes(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, percent: int, margin: float | None = MARGIN) -> np.ndarray:
+    """Whether a pair may reach the threshold, by its sizes (certain) and by its sketches (within the margin, if there is one)."""
     small, large = np.minimum(na, nb), np.maximum(na, nb)
     fits = 100 * small >= percent * large
+    if margin is None:
+        return fits
     used = ((a != 0) | (b != 0)).sum(-1)
-    return fits & (estimate(a, b, na, nb) >= least_estimate(percent / 100, used))
+    return fits & (estimate(a, b, na, nb) >= least_estimate(percent / 100, used, margin))
 
 
 def set_key(hashes: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(hashes.tobytes())
 
 
-SKETCHED = "doc_id long, n_shingles long, set_key binary, sketch binary"
-_SKETCHED_PA = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("sketch", pa.binary())])
+SKETCHED = "doc_id long, mark long, n_shingles long, set_key binary, sketch binary"
+_SKETCHED_PA = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("sketch", pa.binary())])
 
 
 Key = Callable[[np.ndarray], bytes]
@@ -144,7 +150,7 @@ def _sketched(n: int, key: Key):
                 sizes.append(len(s))
                 keys.append(key(s) if len(s) else None)
                 regs.append(sketch(s).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(regs, pa.binary())], schema=_SKETCHED_PA)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(regs, pa.binary())], schema=_SKETCHED_PA)
 
     return run
 
@@ -183,7 +189,7 @@ def _bands(percent: int):
 PAIRS = "a long, b long"
 
 
-def _filter_pairs(percent: int):
+def _filter_pairs(percent: int, margin: float | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lean()
         for b in batches:
@@ -191,7 +197,7 @@ def _filter_pairs(percent: int):
                 continue
             a, c, na, nc = (b.column(k).to_numpy() for k in range(4))
             left, right = (np.frombuffer(b"".join(b.column(k).to_pylist()), dtype=np.uint16).reshape(-1, REGISTERS) for k in (4, 5))
-            ok = passes(left, right, na, nc, percent)
+            ok = passes(left, right, na, nc, percent, margin)
             yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(c[ok])], names=["a", "b"])
 
     return run
@@ -257,7 +263,7 @@ def _groups(batches: Iterator[pa.RecordBatch], size: int = _ROWS) -> Iterator[tu
         yield t, numbered(t)
 
 
-def _near_pairs(t: pa.Table, group: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _near_pairs(t: pa.Table, group: np.ndarray, percent: int, margin: float | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Places of rows that make a pair within their group: of different components (and, in a pair of blocks, one of each),
     of fitting size, sharing no earlier bucket, and near by sketch. Left places ascend."""
     regs = np.frombuffer(b"".join(t.column("sketch").to_pylist()), dtype=np.uint16).reshape(-1, REGISTERS)
@@ -282,28 +288,28 @@ def _near_pairs(t: pa.Table, group: np.ndarray, percent: int) -> Iterator[tuple[
             ok = shared.argmax(1) == place[x]
             x, y = x[ok], y[ok]
         if len(x):
-            ok = passes(regs[x], regs[y], size[x], size[y], percent)
+            ok = passes(regs[x], regs[y], size[x], size[y], percent, margin)
             yield x[ok], y[ok]
 
 
 OPEN = "band long, i int, j int, node long"
 
 
-def _open_nodes(percent: int):
+def _open_nodes(percent: int, margin: float | None):
     """The classes of a block that have a partner by sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lean()
         for t, group in _groups(batches):
             hit = np.zeros(len(group), dtype=bool)
-            for x, y in _near_pairs(t, group, percent):
+            for x, y in _near_pairs(t, group, percent, margin):
                 hit[x] = hit[y] = True
             yield from t.select(["band", "i", "j", "node"]).filter(pa.array(hit)).combine_chunks().to_batches()
 
     return run
 
 
-def _block_links(percent: int):
+def _block_links(percent: int, margin: float | None):
     """The links on full sets that join components within a block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -316,7 +322,7 @@ def _block_links(percent: int):
             ends, flat = cell.offsets.to_numpy(), cell.values.to_numpy().view(np.uint64)
             parts = np.unique(np.stack([group, t.column("component").to_numpy()]), axis=1, return_inverse=True)[1].reshape(-1)
             out: list[tuple[int, int]] = []
-            for xs, ys in _near_pairs(t, group, percent):
+            for xs, ys in _near_pairs(t, group, percent, margin):
                 cuts = np.flatnonzero(np.diff(xs, prepend=-1))
                 for lo, hi in zip(cuts, [*cuts[1:], len(xs)], strict=True):
                     x, o = xs[lo], ys[lo:hi]
@@ -344,16 +350,15 @@ def _by_block(rows: DataFrame) -> DataFrame:
     return rows.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "node")
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, key: Key = set_key) -> DataFrame:
-    """One row per row of ``df``: ``doc_id, n_shingles, component_id, kept``; a written table. Documents are linked when 100 times
-    their intersection is at least ``percent`` times their union; ``component_id`` is the smallest id reachable over links.
-    ``key`` tells sets apart."""
+def _linked(df: DataFrame, id_col: str, text_col: str, words: int, percent: int, key: Key, margin: float | None) -> tuple[DataFrame, DataFrame]:
+    """Written tables: ``SKETCHED``, and ``set_key, least, first`` of each class: the smallest id of its component, and the id and
+    mark of the document that stands for it."""
     spark = df.sparkSession
     bound_batches(spark)
-    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("content"))
+    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("content")).withColumn("mark", mark_of(F.col("content")))
     sketched = durable(docs.mapInArrow(_sketched(words, key), SKETCHED), "sketches")
     # classes of equal sets
-    by_set = sketched.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
+    by_set = sketched.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark")).alias("own"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
     # the number of a class is written with it, and read from there ever after
     classes = durable(by_set.withColumn("node", F.monotonically_increasing_id()), "classes")
     # a set of fewer n-grams can reach the threshold with no other set
@@ -369,7 +374,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         left = facts.select(F.col("node").alias("a"), F.col("n_shingles").alias("na"), F.col("sketch").alias("sa"))
         right = facts.select(F.col("node").alias("b"), F.col("n_shingles").alias("nb"), F.col("sketch").alias("sb"))
         rows = pairs.join(left, "a").join(right, "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-        return rows.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_filter_pairs(percent), PAIRS)
+        return rows.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_filter_pairs(percent, margin), PAIRS)
 
     often = shared.where("node <> head").groupBy("node", "head").agg(F.count(F.lit(1)).alias("times"))
     star = often.groupBy("node").agg(F.max(F.struct("times", "head")).alias("m")).select(F.col("m.head").alias("a"), F.col("node").alias("b"))
@@ -389,11 +394,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     members = placed.join(open_bands, "band").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
     dealt = durable(dealt.select("band", "i", "j", "node", "n_shingles", "component", "block", "place", "class"), "blocks")
-    seen = durable(_by_block(dealt.join(facts.select("node", "sketch"), "node")).mapInArrow(_open_nodes(percent), OPEN), "open")
+    seen = durable(_by_block(dealt.join(facts.select("node", "sketch"), "node")).mapInArrow(_open_nodes(percent, margin), OPEN), "open")
     if not seen.isEmpty():
         sets = _full_sets(seen.select("node"), classes, docs, words, key)
         rows = dealt.join(seen, ["band", "i", "j", "node"]).join(facts.select("node", "sketch"), "node").join(sets, "node")
-        more = durable(_by_block(rows).mapInArrow(_block_links(percent), PAIRS), "links")
+        more = durable(_by_block(rows).mapInArrow(_block_links(percent, margin), PAIRS), "links")
         discard(spark, sets)
         kept_links.append(more)
         known = parts.where("node <> component").select(F.col("node").alias("src"), F.col("component").alias("dst"))
@@ -401,20 +406,50 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         discard(spark, before)
     discard(spark, dealt, shared, placed, stars, open_bands, seen, first)
 
-    grouped = classes.select("node", "set_key", "rep").join(parts, "node", "left").select("set_key", "rep", F.coalesce("component", "node").alias("component"))
-    least_doc = durable(grouped.groupBy("component").agg(F.min("rep").alias("least")), "least")
-    named = grouped.join(least_doc, "component").select("set_key", "least")
+    grouped = classes.select("node", "set_key", "rep", "own").join(parts, "node", "left").select("set_key", "rep", "own", F.coalesce("component", "node").alias("component"))
+    least_doc = durable(grouped.groupBy("component").agg(F.min("rep").alias("least"), F.min("own").alias("first")), "least")
+    named = durable(grouped.select("set_key", "component").join(least_doc, "component").select("set_key", "least", "first"), "named")
+    discard(spark, classes, least_doc, parts, *kept_links)
+    return sketched, named
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, key: Key = set_key, margin: float | None = MARGIN) -> DataFrame:
+    """One row per row of ``df``: ``doc_id, n_shingles, component_id, kept``; a written table. Documents are linked when 100 times
+    their intersection is at least ``percent`` times their union; ``component_id`` is the smallest id reachable over links.
+    ``key`` tells sets apart; ``margin`` is the screen's, in standard errors (None: no screen)."""
+    sketched, named = _linked(df, id_col, text_col, words, percent, key, margin)
     rows = sketched.select("doc_id", "n_shingles", "set_key")
     # documents without words apart: as keys of the join they would be one
-    linked = rows.where("set_key is not null").join(named, "set_key", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
+    linked = rows.where("set_key is not null").join(named.select("set_key", "least"), "set_key", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
     out = linked.unionByName(rows.where("set_key is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
     done = durable(out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))), "components")
-    discard(spark, sketched, classes, least_doc, parts, *kept_links)
+    discard(df.sparkSession, sketched, named)
     return done
 
 
-def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``df`` whose document is the smallest of its component, with all their columns."""
-    found = near_duplicates(df, id_col, text_col, words, percent)
-    gone = found.where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return df.join(gone, df[id_col].cast("long") == gone["__gone"], "left_anti")
+def mark_of(content: Column) -> Column:
+    """With its id, what tells a row's text from others."""
+    return F.xxhash64(content)
+
+
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, margin: float | None = MARGIN) -> DataFrame:
+    """The rows of ``df`` whose document stands for its component, with all their columns."""
+    sketched, named = _linked(df, id_col, text_col, words, percent, set_key, margin)
+    rows = sketched.where("set_key is not null").select("doc_id", "mark", "set_key")
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("mark") == F.col("first.mark"))
+    gone = durable(rows.join(named.select("set_key", "first"), "set_key").where(~stays).select("doc_id", "mark").distinct(), "gone")
+    again = durable(rows.groupBy("doc_id", "mark").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id", "mark"), "again")
+    own, mark = unused(df, "own", "mark")
+    told = df.withColumn(own, F.col(f"`{id_col}`").cast("long")).withColumn(mark, mark_of(F.col(f"`{text_col}`").cast("binary")))
+
+    def met(with_: DataFrame, rows: DataFrame, how: str) -> DataFrame:
+        a, b = unused(df, "known", "seen")
+        keys = with_.select(F.col("doc_id").alias(a), F.col("mark").alias(b))
+        return rows.join(keys, F.col(own).eqNullSafe(F.col(a)) & (F.col(mark) == F.col(b)), how)
+
+    kept = met(gone, told, "left_anti")
+    if not again.isEmpty():
+        # rows that agree in id and text, of which one stays
+        kept = met(again, kept, "left_anti").unionByName(met(again, kept, "left_semi").dropDuplicates([own, mark]))
+    discard(df.sparkSession, sketched, named)
+    return kept.select(*[F.col(f"`{c}`") for c in df.columns])

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from palimpsest.llm.common import durable
+from palimpsest.llm.common import durable, unused
 
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)"
 PATH = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)"
@@ -49,21 +49,22 @@ def evaluate(captures: DataFrame, entries: DataFrame, url_col: str = "url", time
     """``captures`` with ``host, blocked, n_matches, matched_list, matched_kind, matched_value, valid_from`` added: the last
     four of the most specific match, that is the longest value, then prefix before host before domain, then the first list
     by name."""
-    marked = durable(captures.withColumn("__row", F.monotonically_increasing_id()), "captures")
-    asked = marked.select("__row", F.col(time_col).alias("__at"), F.explode(keys_of(F.col(url_col))).alias("__key")).select("__row", "__at", F.col("__key.kind").alias("kind"), F.col("__key.value").alias("value"))
-    active = (F.col("valid_from") <= F.col("__at")) & (F.col("valid_to").isNull() | (F.col("__at") < F.col("valid_to")))
+    row, best_, n = unused(captures, "row", "best", "n")
+    marked = durable(captures.withColumn(row, F.monotonically_increasing_id()), "captures")
+    asked = marked.select(F.col(row).alias("row"), F.col(f"`{time_col}`").alias("at"), F.explode(keys_of(F.col(f"`{url_col}`"))).alias("key")).select("row", "at", F.col("key.kind").alias("kind"), F.col("key.value").alias("value"))
+    active = (F.col("valid_from") <= F.col("at")) & (F.col("valid_to").isNull() | (F.col("at") < F.col("valid_to")))
     hits = asked.join(intervals(entries), ["kind", "value"]).where(active)
     order = F.struct(-F.length("value"), F.element_at(F.create_map(F.lit("prefix"), F.lit(0), F.lit("host"), F.lit(1), F.lit("domain"), F.lit(2)), F.col("kind")), F.col("list"))
     best = F.min_by(F.struct("list", "kind", "value", "valid_from"), order)
-    found = hits.groupBy("__row").agg(F.count(F.lit(1)).alias("__n"), best.alias("__best"))
+    found = hits.groupBy(F.col("row").alias(row)).agg(F.count(F.lit(1)).alias(n), best.alias(best_))
     made = {
-        "host": F.nullif(host_of(F.col(url_col)), F.lit("")),
-        "blocked": F.col("__n").isNotNull(),
-        "n_matches": F.coalesce("__n", F.lit(0)),
-        "matched_list": F.col("__best.list"),
-        "matched_kind": F.col("__best.kind"),
-        "matched_value": F.col("__best.value"),
-        "valid_from": F.col("__best.valid_from"),
+        "host": F.nullif(host_of(F.col(f"`{url_col}`")), F.lit("")),
+        "blocked": F.col(n).isNotNull(),
+        "n_matches": F.coalesce(n, F.lit(0)),
+        "matched_list": F.col(f"{best_}.list"),
+        "matched_kind": F.col(f"{best_}.kind"),
+        "matched_value": F.col(f"{best_}.value"),
+        "valid_from": F.col(f"{best_}.valid_from"),
     }
     own = [F.col(f"`{c}`") for c in captures.columns if c not in made]
-    return marked.join(found, "__row", "left").select(*own, *[v.alias(k) for k, v in made.items()])
+    return marked.join(found, row, "left").select(*own, *[v.alias(k) for k, v in made.items()])

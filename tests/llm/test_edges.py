@@ -98,8 +98,20 @@ def test_vectors_at_the_ends_of_the_range(spark):
     assert got[1][0] == (2, 1.0) and len(got) == 6
 
 
-def test_shards_grow_before_their_number_does():
-    assert [hnsw.shard_count(n, 6000) for n in (0, 5000, 54_000, 384_000, 10**7, 16 * 10**6, 10**9)] == [1, 1, 9, 64, 64, 64, 4000]
+def test_queries_visit_their_nearest_cells_alone(spark):
+    draw = np.random.default_rng(8)
+    middle = draw.normal(size=(40, 16))
+    v = {i: middle[i % 40] + 0.6 * draw.normal(size=16) for i in range(2400)}
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in v.items()], "vec_id long, embedding array<double>")
+    index = hnsw.build_index(df, shard_rows=40)
+    sizes = [len(r["ids"]) // 8 for r in index.select("ids").collect()]
+    assert len(sizes) > 40 and sum(sizes) == 2400 and max(sizes) <= 80
+    asked = df.where("vec_id % 50 = 0")
+    got = defaultdict(set)
+    for r in hnsw.nearest(index, asked, probes=12).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    hits = [len(got[q] & {i for i, _ in helpers.nearest(v, q, 5)}) for q in range(0, 2400, 50)]
+    assert sum(hits) >= 0.9 * 5 * len(hits)
 
 
 # URL filter
@@ -284,3 +296,66 @@ def test_tables_of_others_are_never_deleted(spark, tmp_path):
     spark.range(3).write.parquet(path)
     common.discard(spark, spark.read.parquet(path))
     assert spark.read.parquet(path).count() == 3
+
+
+# repeated ids, and values of columns that clash
+
+
+FOX = "the quick brown fox jumps over the lazy dog and runs far away into the deep green forest at night"
+
+
+def test_near_copies_go_by_row_not_by_id(spark):
+    keep = lambda rows: sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, DOCS), "").collect()), key=repr)
+    other = "nothing of this text is like any other text that stands in the same small table of rows"
+    assert keep([(1, FOX), (2, FOX + " again"), (2, other)]) == [(1, FOX), (2, other)]
+    assert keep([(5, "w"), (5, "v"), (4, "w")]) == [(4, "w"), (5, "v")]
+    # rows that agree in id and text are one document; of texts without words all stay
+    assert keep([(3, FOX), (3, FOX), (7, ""), (7, ""), (8, None)]) == sorted([(3, FOX), (7, ""), (7, ""), (8, None)], key=repr)
+    # known ids stay before null ones, and of null ones one does
+    assert keep([(None, FOX), (9, FOX)]) == [(9, FOX)]
+    assert len(keep([(None, FOX), (None, FOX), (None, FOX.upper())])) == 1
+    # one id, one set, two texts
+    assert len(keep([(1, FOX), (1, FOX.upper()), (1, other)])) == 2
+
+
+def test_without_a_screen_every_pair_of_a_bucket_is_compared(spark):
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(10**5)}" for _ in range(60)]
+    rows = [(i, " ".join(w if rng.random() > 0.02 else f"x{rng.randrange(10**5)}" for w in base)) for i in range(12)]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in near_dedup.near_duplicates(spark.createDataFrame(rows, DOCS), words=3, percent=85, margin=None).collect()}
+    assert got == helpers.components(rows, 3, 85)
+
+
+def test_the_odds_of_the_screen():
+    """The binomial tail that the docstring states: registers of a pair at the threshold that agree, of all in use."""
+    from math import comb
+
+    for p in (0.8, 0.85):
+        n = near_dedup.REGISTERS
+        cut = float(near_dedup.least_estimate(p, np.array([n]))[0]) * n
+        tail = sum(comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(n + 1) if k < cut)
+        assert tail < 1e-8
+
+
+def test_clashing_columns_keep_their_values(spark, small):
+    rows = [(1, FOX, "a"), (2, FOX, "b"), (3, "another text", "c")]
+    names = "id key own mark known seen first row best n at score doc_sha"
+    df = with_columns(spark.createDataFrame(rows, "doc_id long, text string, tag string"), names)
+    wide = lambda out: {(r["doc_id"], r["tag"], *(r[c] for c in names.split())) for r in out.collect()}
+    same = lambda *ids: {(i, tag, *(f"own {c}" for c in names.split())) for i, _, tag in rows if i in ids}
+    for out in (exact_dedup.deduplicate(df), near_dedup.keep_one(df), corpus_pipeline.drop_near_copies(spark, df, small)):
+        assert out.columns == df.columns and wide(out) == same(1, 3)
+    kept = corpus_pipeline.drop_toxic(spark, df, small)
+    assert kept.columns == df.columns and wide(kept) <= same(1, 2, 3)
+    marked = df.withColumn("url", F.lit("http://a.example/en")).withColumn("fetched_at", F.lit("2024-01-05").cast("timestamp_ntz")).withColumn("__row", F.lit("mine"))
+    entries = spark.createDataFrame([("l", "host", "a.example", "add", None)], "list string, kind string, value string, action string, at timestamp_ntz").withColumn("at", F.lit("2024-01-01").cast("timestamp_ntz"))
+    found = url_filter.evaluate(marked, entries)
+    assert wide(found) == same(1, 2, 3) and {(r["__row"], r["blocked"], r["n_matches"]) for r in found.collect()} == {("mine", True, 1)}
+
+
+def test_of_a_repeated_query_id_the_smallest_vector_asks(spark):
+    rows = [(i, [float(i), 1.0]) for i in range(1, 40)] + [(50, [9.0, 1.0]), (50, [-1.0, 5.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for _ in range(3):
+        got = hnsw.nearest(hnsw.build_index(df), df.where("vec_id = 50").repartition(4), k=3).collect()
+        assert [(r["rank"], r["vec_id"]) for r in got] == [(k + 1, v) for k, (v, _) in enumerate(helpers.nearest({i: np.array(v) for i, v in rows if i != 50} | {50: np.array([-1.0, 5.0])}, 50, 3))]
