@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm import exact_dedup, near_dedup, packing, toxicity
-from palimpsest.llm.common import settled, table
+from palimpsest.llm.common import settled, table, unused
 
 #: A document is rejected from this score on.
 TOXIC_FROM = 0.3
@@ -22,7 +22,8 @@ TOXIC_FROM = 0.3
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, trained on the labels of ``sf_dir``, scores below the limit."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, out="__score").where(F.col("__score") < TOXIC_FROM).select(*[f"`{c}`" for c in docs.columns])
+    (score,) = unused(docs, "score")
+    return toxicity.score(docs, model, out=score).where(F.col(score) < TOXIC_FROM).select(*[f"`{c}`" for c in docs.columns])
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
