@@ -44,6 +44,7 @@ class Engine:
         self.spark, self.user_id, self.explicit_only = spark, user_id, explicit_only
         self.store, self._frozen = EdgeStore(spark, path, buckets=8), clock
         self._recent: list[str] = []
+        self._said: list[tuple] = []
 
     # clock
     def now(self) -> dt.datetime:
@@ -63,18 +64,23 @@ class Engine:
         row = [(self.user_id, said, speaker, listener, at, response, llm_id)]
         return ingest.two_pass(self.spark.createDataFrame(row, "user_id long, text string, speaker string, listener string, ts timestamp_ntz, model_response string, llm_id string"))
 
+    def _before(self):
+        """What has been said last, in which a person may have been named."""
+        return self.spark.createDataFrame(self._said, schemas.UTTERANCE) if self._said else None
+
     def extract(self, said: str, speaker: str = "user", listener: str = "assistant") -> list[Row]:
         """What would be stored of a text; nothing is written."""
-        return ingest.edges_of(self._utterances(said, speaker, listener, self.now(), None, None)).collect()
+        return ingest.edges_of(self._utterances(said, speaker, listener, self.now(), None, None), self._before()).collect()
 
     def ingest(self, said: str, speaker: str = "user", listener: str = "assistant", at: dt.datetime | None = None, model_response: str | None = None, llm_id: str | None = None) -> int:
         """Store a text, and the response to it; the number of edges written."""
         turn = self._utterances(said, speaker, listener, at or self.now(), model_response, llm_id)
-        made = ingest.edges_of(turn)
+        made = ingest.edges_of(turn, self._before())
         rows = schemas.conform(made.withColumn("embedding", embedder()(F.col("source_text")))).collect()
         if rows:
             self.store.append(self.spark.createDataFrame(rows, schemas.EDGE))
         self._recent = [*self._recent, speaker][-10:]
+        self._said = [*self._said, (self.user_id, said, speaker, listener, at or self.now(), "user")][-10:]
         anchors = {k: F.array(*[F.lit(float(x)) for x in hash_vector(v)]) for k, v in STYLE_ANCHORS.items()}
         style = turn.where("tag = 'user'").select("user_id", style_deltas(embedder()(F.col("text")), anchors, vector.dot).alias("d"))
         self.store.adapt(style.select("user_id", "d.warmth", "d.formality"))

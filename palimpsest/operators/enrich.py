@@ -14,10 +14,11 @@ _GEO = ["city", "town", "village", "street", "road", "river", "lake", "mountain"
 _HEADS = {"ORG": ["company", "university", "school", "bank", "hospital", "team", "club", "inc", "ltd", "corp", "agency", "church"], "EVENT": ["wedding", "party", "festival", "conference", "meeting", "concert", "birthday", "war", "match"], "WORK_OF_ART": ["book", "novel", "song", "movie", "film", "album", "painting"], "PRODUCT": ["phone", "car", "laptop", "computer", "bike", "camera", "app"], "TIME": ["day", "week", "month", "year", "morning", "evening", "night", "summer", "winter"], "PERSON": ["mother", "father", "sister", "brother", "friend", "boss", "manager", "doctor", "teacher", "wife", "husband", "son", "daughter"]}
 
 
-def with_people(rows: DataFrame, key: str = "user_id", order: str = "turn", look: int = 10) -> DataFrame:
+def with_people(rows: DataFrame, key: str = "user_id", order: str | Column = "turn", look: int = 10, people: Column | None = None) -> DataFrame:
     """A third-person subject becomes the person named last in the user's previous ``look`` sentences; that person and the speaker
-    join the entities."""
-    before = F.flatten(F.collect_list(F.coalesce("entities", F.array().cast("array<string>"))).over(W.partitionBy(key).orderBy(order).rowsBetween(-look, -1)))
+    join the entities. ``people``: the names a sentence puts forward, its entities if not given."""
+    named = F.coalesce(F.col("entities") if people is None else people, F.array().cast("array<string>"))
+    before = F.flatten(F.collect_list(named).over(W.partitionBy(key).orderBy(order).rowsBetween(-look, -1)))
     person = F.try_element_at(before, F.lit(-1))
     third = F.lower("subject").isin(_THIRD)
     out = rows.withColumn("__person", F.when(third, person))
@@ -25,6 +26,12 @@ def with_people(rows: DataFrame, key: str = "user_id", order: str = "turn", look
     return out.withColumn("entities", F.array_union(F.coalesce("entities", F.array().cast("array<string>")), own)).withColumn("subject", F.coalesce("__person", "subject")).drop("__person")
 
 
+def people_of() -> Column:
+    """The names in a sentence that may be persons: not what it says somebody is in, at, or going to."""
+    place = F.coalesce(F.col("predicate").rlike("_(in|at|to|from|near|into|through|against)$"), F.lit(False))
+    return F.filter(F.coalesce("entities", F.array().cast("array<string>")), lambda e: ~(place & F.coalesce(F.lower("object").contains(F.lower(e)), F.lit(False))))
+
+
 def head_type(name: Column) -> Column:
     """The type of the nearest anchor of a name's head, its last word; null if no list has it."""
     head = F.lower(F.element_at(F.split(F.trim(name), r"\s+"), -1))

@@ -24,11 +24,15 @@ def mentions(edges: DataFrame) -> DataFrame:
     return rows.groupBy("user_id", "key").agg(F.min_by("name", at).alias("name"), F.count(F.lit(1)).alias("mention_count"), F.min_by("id", at).alias("first_id"), F.max_by("id", at).alias("last_id"))
 
 
-def affiliation(edges: DataFrame, speaker: Column) -> DataFrame:
+def affiliation(edges: DataFrame, speaker: Column, known: DataFrame | None = None) -> DataFrame:
     """``id, affiliation``: 1 for a speaker's own fact; else the best level of the entities named, by how often they have been
-    named up to that edge: 5 or more 0.8, 2 or more 0.6, else 0.4; without entities 0.1."""
+    named up to that edge: 5 or more 0.8, 2 or more 0.6, else 0.4; without entities 0.1. ``known(user_id, key, mention_count)``:
+    how often they had been named before all of ``edges``."""
     running = F.count(F.lit(1)).over(W.partitionBy("user_id", "key").orderBy(*arrival(edges)).rowsBetween(W.unboundedPreceding, 0))
     counted = named(live(edges)).withColumn("__speaker", F.lower(speaker)).withColumn("n", running).where(F.col("key") != F.col("__speaker"))
+    if known is not None:
+        earlier = known.select("user_id", "key", F.col("mention_count").alias("__earlier"))
+        counted = counted.join(earlier, ["user_id", "key"], "left").withColumn("n", F.col("n") + F.coalesce("__earlier", F.lit(0)))
     best = counted.groupBy("id").agg(F.max("n").alias("n"))
     level = F.when(F.lower("subject") == F.lower(speaker), 1.0).when(F.col("n") >= 5, 0.8).when(F.col("n") >= 2, 0.6).when(F.col("n") >= 1, 0.4).otherwise(0.1)
     return live(edges).join(best, "id", "left").select("id", level.alias("affiliation"))

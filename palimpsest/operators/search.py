@@ -17,53 +17,70 @@ def top_k(vectors: DataFrame, query: Column, k: int = 8, id_col: str = "vec_id",
     return vectors.select(id_col, vector.dot(F.col(vector_col), query).alias("score")).orderBy(F.desc("score"), id_col).limit(k)
 
 
-#: Bytes of queries that are broadcast at once.
-ASKED_BYTES = 32 << 20
+#: Bytes of vectors that a shard holds about, queries of a block, queries multiplied in one step.
+SHARD_BYTES, ASKED, STEP = 8 << 20, 1024, 256
 
 
-def top_k_each(vectors: DataFrame, queries: DataFrame, k: int = 8, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """``queries(query_id, query)``: the k nearest of each by inner product, exactly: ``query_id, vec_id, score, rank``.
+def _packed(rows: DataFrame, part: str, parts: int, id_col: str, vector_col: str) -> DataFrame:
+    """A row for each part: its ids, and its vectors as one flat array of doubles."""
+    dealt = rows.select(F.pmod(F.xxhash64(id_col), F.lit(parts)).cast("int").alias(part), F.struct(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v")).alias("r"))
+    return dealt.groupBy(part).agg(F.collect_list("r").alias("r")).select(part, F.col("r.id").alias(f"{part}_ids"), F.flatten("r.v").alias(f"{part}_flat"))
+
 
-    Queries are broadcast in blocks of ``ASKED_BYTES`` bytes at most, and each block takes one pass over the vectors: a task
-    multiplies its batches with the whole block and keeps k a query, so that what is shuffled is k rows a query and task."""
+def _best_of(k: int, width: int):
+    """For each block of queries and shard of vectors, the k best of each query; the product is made in steps of ``STEP`` queries."""
     import numpy as np
     import pandas as pd
 
-    spark = vectors.sparkSession
-    asked = queries.where(F.col("query").isNotNull()).select("query_id", F.col("query").cast("array<double>").alias("query"))
+    def run(batches):
+        for batch in batches:
+            for names, asked, ids, flat in zip(batch["block_ids"], batch["block_flat"], batch["shard_ids"], batch["shard_flat"], strict=True):
+                names, ids = np.asarray(names), np.asarray(ids)
+                q, v = np.asarray(asked, dtype=np.float64).reshape(-1, width), np.asarray(flat, dtype=np.float64).reshape(-1, width)
+                for lo in range(0, len(q), STEP):
+                    s = q[lo : lo + STEP] @ v.T
+                    kth = np.partition(s, -k, axis=1)[:, -k] if s.shape[1] > k else np.full(len(s), -np.inf)
+                    r, c = np.nonzero(s >= kth[:, None])
+                    # of equal scores the smaller id, so those at the k-th are all looked at
+                    order = np.lexsort((ids[c], -s[r, c], r))
+                    r, c = r[order], c[order]
+                    keep = np.arange(len(r)) - np.searchsorted(r, r) < k
+                    yield pd.DataFrame({"query_id": names[lo + r[keep]], "vec_id": ids[c[keep]], "score": s[r[keep], c[keep]]})
+
+    return run
+
+
+def top_k_each(vectors: DataFrame, queries: DataFrame, k: int = 8, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """``queries(query_id, query)``: the k nearest of each by inner product, exactly: ``query_id, vec_id, score, rank``.
+
+    Vectors are packed into shards and queries into blocks, every block meets every shard in a join by shard, and a task holds
+    one of each: what is shuffled is the vectors once, the queries once a shard, and k rows a query and shard. Nothing but two
+    counts comes to the driver. Vectors of another width than the queries' widest take no part; nor do null ones."""
+    asked = queries.where(F.col("query").isNotNull()).select("query_id", "query")
+    known = vectors.where(F.col(vector_col).isNotNull()).select(id_col, vector_col)
     size = asked.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("query")).alias("width")).first()
-    blocks = max(1, -(-size["n"] * (size["width"] or 0) * 8 // ASKED_BYTES))
-    kind = vectors.schema[id_col].dataType.simpleString()
-    schema = f"query_id {asked.schema['query_id'].dataType.simpleString()}, vec_id {kind}, score double"
-    found = None
-    for n in range(blocks):
-        rows = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n).collect()
-        held = spark.sparkContext.broadcast(([r["query_id"] for r in rows], np.array([r["query"] for r in rows], dtype=np.float64).reshape(len(rows), size["width"] or 0)))
-
-        def best(batches, held=held):
-            names, q = held.value
-            ids, score = np.empty((len(names), 0), dtype=np.int64), np.empty((len(names), 0))
-            for part in batches:
-                if not len(part) or not names:
-                    continue
-                s = q @ np.stack(part[vector_col].to_numpy()).astype(np.float64).T
-                own = np.broadcast_to(part[id_col].to_numpy(), s.shape)
-                ids, score = np.concatenate([ids, own], axis=1), np.concatenate([score, s], axis=1)
-                top = np.lexsort((ids, -score))[:, :k]
-                ids, score = np.take_along_axis(ids, top, 1), np.take_along_axis(score, top, 1)
-            if ids.size:
-                yield pd.DataFrame({"query_id": np.repeat(np.array(names), ids.shape[1]), "vec_id": ids.reshape(-1), "score": score.reshape(-1)})
-
-        part = vectors.where(F.col(vector_col).isNotNull()).select(id_col, vector_col).mapInPandas(best, schema)
-        found = part if found is None else found.unionByName(part)
+    width = size["width"] or 0
+    schema = f"query_id {asked.schema['query_id'].dataType.simpleString()}, vec_id {vectors.schema[id_col].dataType.simpleString()}, score double"
+    if not width:
+        return vectors.sparkSession.createDataFrame([], f"{schema}, rank int")
+    known, asked = known.where(F.size(vector_col) == width), asked.where(F.size("query") == width)
+    shards = max(1, -(-known.count() * width * 8 // SHARD_BYTES))
+    held = _packed(known, "shard", shards, id_col, vector_col)
+    blocks = _packed(asked, "block", max(1, -(-size["n"] // ASKED)), "query_id", "query")
+    sent = blocks.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    found = sent.join(held, "shard").select("block_ids", "block_flat", "shard_ids", "shard_flat").mapInPandas(_best_of(k, width), schema)
     r = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", r).where(F.col("rank") <= k)
 
 
+def terms_of(text: Column) -> Column:
+    """Runs of letters and digits in lower case."""
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+
+
 def _terms(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``doc_id, t, length``: terms are runs of letters and digits in lower case."""
-    terms = F.filter(F.split(F.lower(F.coalesce(text_col, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda t: t != "")
-    return docs.select(F.col(id_col).alias("doc_id"), terms.alias("t")).withColumn("length", F.size("t"))
+    """``doc_id, t, length`` of the documents' terms."""
+    return docs.select(F.col(id_col).alias("doc_id"), terms_of(F.col(text_col)).alias("t")).withColumn("length", F.size("t"))
 
 
 def lengths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -101,7 +118,9 @@ def search_documents(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: s
     hits = F.filter("t", lambda t: t.isin(terms))
     rows = work.table(_terms(docs, id_col, text_col).where("length > 0").select("doc_id", "length", hits.alias("t")), "terms")
     index = rows.select("doc_id", "length", F.explode("t").alias("term")).groupBy("doc_id", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
-    return bm25(index, queries, k, rows)
+    found = bm25(index, queries, k, rows)
+    work.drop()
+    return found
 
 
 #: Terms of all queries together up to which they are literals of the plan.
@@ -112,11 +131,12 @@ def bm25(index: DataFrame, queries: DataFrame, k: int = 10, sizes: DataFrame | N
     """``queries(query_id, terms array)`` against an index: ``query_id, doc_id, score, rank``. The index is filtered by the queries'
     terms before anything else is joined to it, and those postings are written: document frequencies and scores are read
     from there. The corpus counts are one aggregate over ``sizes(doc_id, length)`` of all documents, if given, else over the
-    index."""
+    index. The result is written, and what was written on the way to it is deleted."""
     asked = wanted(queries)
     every = index.select("doc_id", "length").distinct() if sizes is None else sizes
     totals = every.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("length").alias("mean_length"))
-    hit = Written(index.sparkSession).table(index.join(asked.select("term").distinct(), "term", "left_semi").select("doc_id", "length", "term", "tf"), "postings")
+    work = Written(index.sparkSession)
+    hit = work.table(index.join(asked.select("term").distinct(), "term", "left_semi").select("doc_id", "length", "term", "tf"), "postings")
     df = hit.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
@@ -125,7 +145,9 @@ def bm25(index: DataFrame, queries: DataFrame, k: int = 10, sizes: DataFrame | N
     weighed = hit.join(df, "term").select("*", one).join(F.broadcast(totals.select("*", one)), "__one").select("doc_id", "term", (idf * tf).alias("w"))
     scores = weighed.join(asked, "term").groupBy("query_id", "doc_id").agg(F.sum("w").alias("score"))
     r = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "doc_id"))
-    return scores.withColumn("rank", r).where(F.col("rank") <= k)
+    found = work.table(scores.withColumn("rank", r).where(F.col("rank") <= k), "ranking")
+    work.drop(keep=1)
+    return found
 
 
 def fused(*rankings: DataFrame, k: int = 10) -> DataFrame:

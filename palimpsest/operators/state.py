@@ -94,12 +94,17 @@ def fact_key() -> Column:
 
 def facts(edges: DataFrame) -> DataFrame:
     """The newest value of each (user, fact key), with the number of changes and the values before."""
-    rows = live(edges).withColumn("key", fact_key())
+    return facts_by_key(live(edges).withColumn("key", fact_key())).drop("sequence_number")
+
+
+def facts_by_key(rows: DataFrame) -> DataFrame:
+    """``facts`` of rows that have their ``key``, with the place of the newest value's edge."""
     order = arrival(rows)
     w, at = W.partitionBy("user_id", "key").orderBy(*order), F.struct(*order)
     rows = rows.withColumn("__before", F.lag("object").over(w)).withColumn("__changed", F.col("__before").isNotNull() & (F.col("__before") != F.col("object")))
     change = F.struct(at.alias("place"), F.col("__before").alias("value"), F.col("source_timestamp").alias("at"), change_kind().alias("type"))
-    return rows.groupBy("user_id", "key").agg(F.max_by("object", at).alias("value"), F.max_by("id", at).alias("edge_id"), F.sort_array(F.collect_list(F.when(F.col("__changed"), change))).alias("history")).withColumn("changes", F.size("history"))
+    place = F.max_by("sequence_number", at) if "sequence_number" in rows.columns else F.lit(None).cast("long")
+    return rows.groupBy("user_id", "key").agg(F.max_by("object", at).alias("value"), F.max_by("id", at).alias("edge_id"), place.alias("sequence_number"), F.sort_array(F.collect_list(F.when(F.col("__changed"), change))).alias("history")).withColumn("changes", F.size("history"))
 
 
 def change_kind() -> Column:

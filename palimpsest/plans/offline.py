@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.functions import text
-from palimpsest.operators import analyze, dataset, grading
+from palimpsest.operators import analyze, dataset, grading, grammar
 from palimpsest.plans.memory import WITH, values
 from palimpsest.plans.registered import query
 from palimpsest.sources.fixtures import edges, table
@@ -195,10 +195,78 @@ def pq_templates(spark: SparkSession, d: str) -> DataFrame:
     return edges(spark, d).select("id", F.array_join(analyze.predicted_questions(), "|").alias("questions"))
 
 
-@query()
+def _listed(words) -> str:
+    return ", ".join(_text(w) for w in sorted(words))
+
+
+def _rows(pairs) -> str:
+    return ", ".join(f"({_text(a)}, {_text(b)})" for a, b in sorted(pairs))
+
+
+def _person(which: str) -> str:
+    return _listed(w for w, p in analyze._PRON.items() if p == which)
+
+
+def _stem(k: int) -> str:
+    return f"left(low, length(low) - {k})"
+
+
+def _twice(stem: str) -> str:
+    return f"right({stem}, 1) = substr({stem}, length({stem}) - 1, 1)"
+
+
+def _whole(stem: str) -> str:
+    return f"CASE WHEN regexp_matches({stem}, '{grammar.BARE}') THEN {stem} || 'e' ELSE {stem} END"
+
+
+LEMMA_SQL = f"""CASE WHEN low LIKE '%ied' AND length(low) > 4 THEN {_stem(3)} || 'y'
+  WHEN low LIKE '%ing' AND length(low) > 5 THEN CASE WHEN {_twice(_stem(3))} THEN {_stem(4)} ELSE {_whole(_stem(3))} END
+  WHEN low LIKE '%ed' AND length(low) > 4 AND low NOT LIKE '%eed' THEN CASE WHEN {_twice(_stem(2))} AND right({_stem(2)}, 1) NOT IN ('l', 's') THEN {_stem(3)} ELSE {_whole(_stem(2))} END
+  WHEN regexp_matches(low, '(sh|ch|x|z|ss)es$') THEN {_stem(2)} WHEN low LIKE '%s' AND low NOT LIKE '%ss' AND length(low) > 3 THEN {_stem(1)} ELSE low END"""
+_NOMINAL = _listed(grammar.NOMINAL)
+_OWN = f"CASE WHEN low IN ({_listed(grammar.POSSESSIVE)}) THEN '''s' ELSE '' END"
+DECOMPOSE_SQL = rf"""WITH lex(low, closed) AS (VALUES {_rows(grammar.closed_words())}), vb(lemma, sense) AS (VALUES {_rows(analyze._VERB_SENSE.items())}), irr(low, base) AS (VALUES {_rows((analyze._IRREGULAR | grammar.CUT).items())}),
+c AS (SELECT row_number() OVER () AS row, conv_id, turn, role, coalesce(text, '') AS said FROM conversations),
+b AS (SELECT *, list_filter(string_split_regex(regexp_replace(trim(said), '([.!?])\s+', '\1' || chr(10), 'g'), '\n+'), lambda x: trim(x) <> '') AS ss FROM c),
+s AS (SELECT row, conv_id, turn, role, unnest(range(len(ss))) AS sentence, trim(unnest(ss)) AS source_text FROM b),
+w AS (SELECT *, regexp_extract_all(regexp_replace(source_text, '{grammar.NEGATED.replace("'", "''")}', ' n''t', 'g'), '{grammar.TOKEN.replace("'", "''")}') AS ws FROM s),
+t AS (SELECT * EXCLUDE (ws), unnest(range(len(ws))) AS pos, unnest(ws) AS word FROM w), l AS (SELECT *, lower(word) AS low FROM t),
+m0 AS (SELECT *, {LEMMA_SQL} AS cut FROM l), m AS (SELECT m0.*, closed, coalesce(base, cut) AS stem FROM m0 LEFT JOIN lex ON lex.low = m0.low LEFT JOIN irr ON irr.low = m0.low),
+n AS (SELECT m.*, coalesce(x.sense, y.sense) AS sense, CASE WHEN y.sense IS NOT NULL THEN y.lemma ELSE stem END AS lemma FROM m LEFT JOIN vb x ON x.lemma = stem
+  LEFT JOIN vb y ON x.sense IS NULL AND stem <> m.low AND y.lemma = CASE WHEN stem LIKE '%e' THEN left(stem, length(stem) - 1) ELSE stem || 'e' END),
+e AS (SELECT *, CASE WHEN NOT regexp_matches(word, '^[''\p{{L}}\p{{N}}]') THEN 'PUNCT' WHEN closed IS NOT NULL THEN closed WHEN low = 'going' AND coalesce(lead(low) OVER o, '') = 'to' THEN 'AUX' WHEN low LIKE '%ly' AND length(low) > 4 THEN 'ADV' WHEN regexp_matches(word, '^\d') THEN 'NUM'
+  WHEN left(word, 1) = upper(left(word, 1)) AND left(word, 1) <> lower(left(word, 1)) AND (pos > 0 OR sense IS NULL) THEN 'PROPN' END AS early FROM n WINDOW o AS (PARTITION BY row, sentence ORDER BY pos)),
+f AS (SELECT *, coalesce(lag(early) OVER (PARTITION BY row, sentence ORDER BY pos), '') AS before FROM e),
+g AS (SELECT *, early IS NULL AND sense IS NOT NULL AND before <> 'DET' AS verb, early IS NULL AND sense IS NULL AND (before IN ('PRON', 'PROPN', 'AUX') OR (low LIKE '%ed' AND before <> 'DET')) AS guess FROM f),
+h AS (SELECT *, min(CASE WHEN verb THEN pos END) OVER q AS known, min(CASE WHEN guess THEN pos END) OVER q AS guessed FROM g WINDOW q AS (PARTITION BY row, sentence)),
+i AS (SELECT * EXCLUDE (before), CASE WHEN verb OR coalesce(pos = guessed AND pos < coalesce(known, 1000000), FALSE) THEN 'VERB' WHEN early IS NOT NULL THEN early WHEN regexp_matches(low, '(ful|ous|ive|able|less)$') THEN 'ADJ' ELSE 'NOUN' END AS tag FROM h),
+j AS (SELECT *, coalesce(lag(tag) OVER o, '') AS before, lag(low) OVER o AS low_before, tag = 'SCONJ' OR ((tag = 'CCONJ' OR word IN (',', ';')) AND coalesce(lead(tag) OVER o, '') = 'PRON') AS opens FROM i WINDOW o AS (PARTITION BY row, sentence ORDER BY pos)),
+k AS (SELECT *, sum(opens::INT) OVER (PARTITION BY row, sentence ORDER BY pos) AS clause FROM j),
+a AS (SELECT row, sentence, clause, max(CASE WHEN tag = 'VERB' THEN 1 ELSE 0 END) AS full_verb, max(CASE WHEN opens AND tag = 'SCONJ' THEN 1 ELSE 0 END) AS lower_,
+  coalesce(min(CASE WHEN tag = 'VERB' THEN pos END), min(CASE WHEN tag = 'AUX' AND low NOT IN ({_listed(analyze._NEG)}) THEN pos END)) AS place FROM k GROUP BY row, sentence, clause),
+d AS (SELECT row, sentence, arg_min(clause, (-full_verb, lower_, clause)) AS main_clause, arg_min(place, (-full_verb, lower_, clause)) AS v FROM a WHERE place IS NOT NULL GROUP BY row, sentence),
+p AS (SELECT k.*, v, clause = main_clause AS main, tag IN ({_NOMINAL}) AS nominal,
+  tag IN ({_NOMINAL}) AND (NOT (before IN ({_NOMINAL}) AND NOT opens) OR tag IN ('DET', 'PRON') OR before = 'PRON' OR (before = 'PROPN' AND tag IN ('NOUN', 'ADJ', 'NUM'))) AS starts FROM k JOIN d USING (row, sentence)),
+r AS (SELECT *, CASE WHEN nominal THEN sum(starts::INT) OVER (PARTITION BY row, sentence ORDER BY pos) END AS np, CASE WHEN starts AND before = 'ADP' THEN low_before END AS governor,
+  CASE WHEN tag = 'DET' AND low NOT IN ({_listed(grammar.POSSESSIVE)}) THEN NULL WHEN low IN ({_person("1")}) THEN coalesce(role, 'user') || {_OWN} WHEN low IN ({_person("2")}) THEN 'assistant' || {_OWN} ELSE word END AS shown,
+  lower(regexp_extract(source_text, '{grammar.TIME}', 0)) AS time FROM p),
+u AS (SELECT row, sentence, np, any_value(v) AS v, min(pos) AS a, max(pos) AS z, max(governor) AS governor, coalesce(string_agg(shown, ' ' ORDER BY pos), '') AS said, any_value(time) <> '' AND contains(any_value(time), string_agg(low, ' ' ORDER BY pos)) AS timely FROM r WHERE np IS NOT NULL AND main GROUP BY row, sentence, np),
+x AS (SELECT row, sentence, arg_max(said, a) FILTER (governor IS NULL AND z < v) AS subject FROM u GROUP BY row, sentence),
+y AS (SELECT row, sentence, any_value(source_text) AS source_text, max(CASE WHEN pos = v THEN lemma END) AS lemma, min(pos) FILTER (main AND pos > v AND tag <> 'ADV') AS next_at, arg_min(tag, pos) FILTER (main AND pos > v AND tag <> 'ADV') AS next_tag, bool_or(low IN ({_listed(analyze._NEG)})) AS negated,
+  list_filter(list_transform(string_split(string_agg(CASE WHEN tag = 'PROPN' THEN word ELSE chr(10) END, ' ' ORDER BY pos), chr(10)), lambda q: trim(q)), lambda q: q <> '') AS names FROM r GROUP BY row, sentence),
+o AS (SELECT u.*, next_at, next_tag, row_number() OVER q AS nth, lag(z) OVER q AS z_before FROM u JOIN y USING (row, sentence) WHERE a > u.v AND NOT timely WINDOW q AS (PARTITION BY u.row, u.sentence, governor IS NULL ORDER BY a)),
+best AS (SELECT row, sentence, arg_min(said, (pick, a)) AS object, arg_min(coalesce(governor, ''), (pick, a)) AS governor FROM (SELECT *, CASE WHEN next_tag = 'ADP' AND governor IS NOT NULL AND a = next_at + 1 THEN 0 WHEN governor IS NULL AND nth = 2 AND a = z_before + 1 THEN 1
+  WHEN governor IS NULL AND nth = 1 THEN 2 WHEN governor IS NOT NULL AND nth = 1 THEN 3 ELSE 9 END AS pick FROM o) WHERE pick < 9 GROUP BY row, sentence)
+SELECT c.conv_id, c.turn, CAST(y.sentence AS INT) AS sentence, coalesce(nullif(x.subject, ''), c.role, 'user') AS subject, y.lemma || CASE WHEN coalesce(best.governor, '') <> '' THEN '_' || best.governor ELSE '' END AS predicate, coalesce(best.object, '') AS object,
+  y.negated, nullif(regexp_extract(y.source_text, '{grammar.TIME}', 0), '') AS temporal_expression, array_to_string(list_filter(y.names, lambda q, i: list_position(y.names, q) = i), '|') AS entities
+FROM y JOIN c USING (row) LEFT JOIN x USING (row, sentence) LEFT JOIN best USING (row, sentence)"""
+
+
+@query(DECOMPOSE_SQL)
 def decompose(spark: SparkSession, d: str) -> DataFrame:
-    """Every turn of the conversations, cleaned, cut into sentences and decomposed."""
-    return analyze.decomposed(table(spark, d, "conversations").select("conv_id", "turn", F.col("role").alias("speaker"), "text"))
+    """Every turn of the conversations, cut into sentences and taken apart."""
+    parts = grammar.decomposed(table(spark, d, "conversations").select("conv_id", "turn", F.col("role").alias("speaker"), "text"), clean=False)
+    return parts.select("conv_id", "turn", "sentence", "subject", "predicate", "object", "negated", "temporal_expression", F.array_join("entities", "|").alias("entities"))
 
 
 @query(f"SELECT conv_id, turn, replace(replace({sql_case([_text(f) for _, f in MARKED])}, '#', {NAME}), '@', lower({NAME})) AS facts FROM conversations")

@@ -9,8 +9,10 @@ counts once, and batches of different streams never meet. Each commit numbers it
 ``sequence_number`` is the order of arrival, within a commit that of time. One writer at a time; should two commit at once, their
 numbers may coincide, and ids decide.
 
-``compact`` writes the merged view as a snapshot folder, lists the commits it covers, and then names it; readers follow the
-newest name and read only commits it does not cover, so a failed compaction changes nothing.
+``compact`` writes the merged view as a snapshot folder and begins a new log of commits, which starts with a row for each
+stream (its last batch) in place of all commits before, and then names both; readers follow the newest names, so a failed
+compaction changes nothing, and a read costs the files of the snapshot and of the commits since. ``vacuum`` deletes what
+only older snapshots need; until then, readers that began before a compaction find all they have named.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ from palimpsest.sources.durable import Written
 OPS = T.StructType([T.StructField("op_id", T.StringType()), T.StructField("user_id", T.LongType()), T.StructField("edge_id", T.LongType()), T.StructField("reason", T.StringType()), T.StructField("at", T.TimestampNTZType())])
 DELTAS = T.StructType([T.StructField("user_id", T.LongType()), T.StructField("warmth", T.DoubleType()), T.StructField("formality", T.DoubleType())])
 COMMITS = "token string, stream string, batch_id long, first long, n long"
+FORGETS = "n long, op_id string, user_id long"
+SNAPSHOTS = "n long, name string, log string"
 _BUCKET = T.StructField("user_bucket", T.IntegerType())
 
 
@@ -44,7 +48,7 @@ class EdgeStore:
     def bucket(self, user: Column) -> Column:
         return F.pmod(F.xxhash64(user), F.lit(self.buckets)).cast("int")
 
-    def _read(self, schema: T.StructType, folders: list[str], user_id: int | None = None) -> DataFrame:
+    def _read(self, schema: T.StructType, folders: list[str], user_id: int | None = None, buckets: list[int] | None = None) -> DataFrame:
         """The rows of folders partitioned by user bucket; columns that older files lack are null."""
         if not folders:
             return self.spark.createDataFrame([], schema)
@@ -54,6 +58,8 @@ class EdgeStore:
         if user_id is not None:
             own = self.spark.range(1).select(self.bucket(F.lit(user_id).cast("long"))).first()[0]
             df = df.where((F.col("user_bucket") == own) & (F.col("user_id") == user_id))
+        if buckets is not None:
+            df = df.where(F.col("user_bucket").isin(buckets))
         return df.drop("user_bucket", "commit")
 
     def _put(self, df: DataFrame, folder: str, mode: str = "overwrite") -> None:
@@ -69,34 +75,55 @@ class EdgeStore:
         bring, then of id); False if the stream's batch is known."""
         log = self._commits()
         token = uuid.uuid4().hex if batch_id is None else f"{re.sub(r'[^A-Za-z0-9-]', '_', stream)}.{batch_id:012d}"
-        if batch_id is not None and not log.where((F.col("stream") == stream) & (F.col("batch_id") == batch_id)).isEmpty():
+        # batches of a stream come in order, so what was folded into one row has all up to its own
+        known = (F.col("batch_id") == batch_id) | (F.col("token").isNull() & (F.col("batch_id") >= batch_id))
+        if batch_id is not None and not log.where((F.col("stream") == stream) & known).isEmpty():
             return False
         first = log.agg(F.max(F.col("first") + F.col("n"))).first()[0] or 1
         work = Written(self.spark)
-        rows, n = numbered(work, schemas.conform(edges), first)
-        self._put(rows.withColumn("source_text_hash", F.coalesce("source_text_hash", F.sha2(F.col("source_text").cast("binary"), 256))), f"writes/commit={token}")
-        self._log("commits", [(token, stream, batch_id, first, n)], COMMITS)
+        hashed = F.coalesce("source_text_hash", F.sha2(F.col("source_text").cast("binary"), 256))
+        # what makes the edges runs once: dealing them out by ranges reads its input twice
+        made = work.table(schemas.conform(edges).withColumn("source_text_hash", hashed), "batch")
+        rows, n = numbered(work, made, first)
+        self._put(rows, f"writes/commit={token}")
+        self._log(self._log_name(), [(token, stream, batch_id, first, n)], COMMITS)
         work.drop()
         return True
 
+    def _log_name(self) -> str:
+        return self._snapshot()[2] or "commits"
+
     def _commits(self) -> DataFrame:
-        return self.spark.read.schema(COMMITS).parquet(f"{self.path}/commits") if self._exists("commits") else self.spark.createDataFrame([], COMMITS)
+        name = self._log_name()
+        return self.spark.read.schema(COMMITS).parquet(f"{self.path}/{name}") if self._exists(name) else self.spark.createDataFrame([], COMMITS)
+
+    def next_number(self) -> int:
+        """The number that the next write will have."""
+        return self._commits().agg(F.max(F.col("first") + F.col("n"))).first()[0] or 1
 
     # reading
 
-    def _pending(self) -> list[str]:
-        """Folders of the commits that the snapshot does not cover: as many as there were since the last compaction."""
-        log, n = self._commits(), self._snapshot()[0]
-        if n is not None:
+    def _pending(self, since: int = 0) -> list[str]:
+        """Folders of the commits that the snapshot does not cover, with numbers from ``since`` on: as many as there were since the
+        last compaction."""
+        log = self._commits().where((F.col("n") > 0) & (F.col("first") >= since))
+        n, _, own = self._snapshot()
+        if n is not None and own is None:
+            # a snapshot from before logs were folded
             log = log.join(self.spark.read.parquet(f"{self.path}/covered").where(F.col("n") <= n).select("token"), "token", "left_anti")
-        return [f"writes/commit={r['token']}" for r in log.where("n > 0").select("token").collect()]
+        return [f"writes/commit={r['token']}" for r in log.select("token").collect()]
+
+    def written(self, since: int) -> DataFrame | None:
+        """The writes numbered from ``since`` on, if all of them are in commits of their own; None if a snapshot has taken some in."""
+        begin = self._commits().where("token is null").agg(F.max(F.col("first") + F.col("n"))).first()[0] or 1
+        return None if since < begin and self._snapshot()[0] is not None else self._read(schemas.EDGE, self._pending(since))
 
-    def merged(self, user_id: int | None = None) -> DataFrame:
+    def merged(self, user_id: int | None = None, buckets: list[int] | None = None) -> DataFrame:
         """One edge for each user and text, with its tombstone, if it has one; before supersession."""
         name = self._snapshot()[1]
-        rows = self._read(schemas.EDGE, [name] if name else [], user_id).unionByName(self._read(schemas.EDGE, self._pending(), user_id))
+        rows = self._read(schemas.EDGE, [name] if name else [], user_id, buckets).unionByName(self._read(schemas.EDGE, self._pending(), user_id, buckets))
         edges = schemas.conform(state.confirmed(rows))
-        dead = self._read(OPS, ["ops"] if self._exists("ops") else [], user_id).groupBy("user_id", F.col("edge_id").alias("id")).agg(F.min("at").alias("__at"), F.min_by("reason", "at").alias("__reason"))
+        dead = self._read(OPS, ["ops"] if self._exists("ops") else [], user_id, buckets).groupBy("user_id", F.col("edge_id").alias("id")).agg(F.min("at").alias("__at"), F.min_by("reason", "at").alias("__reason"))
         return edges.join(dead, ["user_id", "id"], "left").withColumn("tombstoned_at", F.coalesce("tombstoned_at", "__at")).withColumn("tombstone_reason", F.coalesce("tombstone_reason", "__reason")).select(*[f.name for f in schemas.EDGE.fields])
 
     def current(self, user_id: int | None = None) -> DataFrame:
@@ -109,8 +136,18 @@ class EdgeStore:
         meant = self.merged(user_id).where(F.col("tombstoned_at").isNull() & state.forget_predicate(by, scope))
         rows = meant.select(F.lit(op).alias("op_id"), "user_id", F.col("id").alias("edge_id"), F.lit(f"by_{by}:{scope}").alias("reason"), now.cast("timestamp_ntz").alias("at"))
         self._put(rows, "ops", "append")
+        self._log("forgets", [(self.forgets() + 1, op, user_id)], FORGETS)
         return self._read(OPS, ["ops"], user_id).where(F.col("op_id") == op).count()
 
+    def forgets(self) -> int:
+        """The number of the last ``forget``."""
+        return (self._forgotten(0).agg(F.max("n")).first()[0] or 0) if self._exists("forgets") else 0
+
+    def _forgotten(self, since: int) -> DataFrame:
+        """``n, op_id, user_id`` of what was forgotten after number ``since``."""
+        log = self.spark.read.schema(FORGETS).parquet(f"{self.path}/forgets") if self._exists("forgets") else self.spark.createDataFrame([], FORGETS)
+        return log.where(F.col("n") > since)
+
     # the style profile
 
     def adapt(self, deltas: DataFrame) -> None:
@@ -158,23 +195,46 @@ class EdgeStore:
 
     # compaction
 
-    def _snapshot(self) -> tuple[int | None, str | None]:
+    def _snapshot(self) -> tuple[int | None, str | None, str | None]:
+        """The newest snapshot's number, name and log of later commits."""
         if not self._exists("snapshots"):
-            return None, None
-        row = self.spark.read.parquet(f"{self.path}/snapshots").orderBy(F.desc("n")).first()
-        return (row["n"], row["name"]) if row else (None, None)
+            return None, None, None
+        row = self.spark.read.schema(SNAPSHOTS).parquet(f"{self.path}/snapshots").orderBy(F.desc("n")).first()
+        return (row["n"], row["name"], row["log"]) if row else (None, None, None)
 
     def compact(self) -> str:
-        """Write the merged view as a snapshot, list what it covers, and only then name it."""
+        """Write the merged view as a snapshot, and a new log that begins with the last batch of each stream; only then name them."""
         last, pending = self._snapshot()[0], self._pending()
         n = 0 if last is None else last + 1
-        name = f"snapshot-{n:06d}-{uuid.uuid4().hex[:8]}"
+        own = uuid.uuid4().hex[:8]
+        name, log = f"snapshot-{n:06d}-{own}", f"commits-{n:06d}-{own}"
         rows = self.merged().withColumn("user_bucket", self.bucket(F.col("user_id")))
         rows.repartition("user_bucket").sortWithinPartitions("user_id", "id").write.partitionBy("user_bucket").parquet(f"{self.path}/{name}")
+        ends = self._commits().groupBy("stream").agg(F.max("batch_id").alias("batch_id"), F.max(F.col("first") + F.col("n")).alias("first"))
+        heads = ends.select(F.lit(None).cast("string").alias("token"), "stream", "batch_id", "first", F.lit(0).cast("long").alias("n"))
+        heads.coalesce(1).write.parquet(f"{self.path}/{log}")
         self._log("covered", [(n, f.removeprefix("writes/commit=")) for f in pending], "n long, token string")
-        self._log("snapshots", [(n, name)], "n long, name string")
+        self._log("snapshots", [(n, name, log)], SNAPSHOTS)
         return name
 
+    def vacuum(self) -> int:
+        """Delete the commits that the newest snapshot covers, and earlier snapshots with their logs; the number of folders."""
+        n, name, log = self._snapshot()
+        if n is None:
+            return 0
+        covered = self.spark.read.parquet(f"{self.path}/covered").where(F.col("n") <= n).select("token").distinct().toLocalIterator() if self._exists("covered") else []
+        gone = [f"writes/commit={r['token']}" for r in covered]
+        older = self.spark.read.schema(SNAPSHOTS).parquet(f"{self.path}/snapshots").where(F.col("n") < n).collect()
+        gone += [x for r in older for x in (r["name"], r["log"])] + (["commits"] if log else [])
+        gone = [f for f in gone if f and f not in (name, log) and self._exists(f)]
+        for folder in gone:
+            self._delete(folder)
+        return len(gone)
+
+    def _delete(self, folder: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{folder}")
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
     def backfill(self, compute: dict[str, Column]) -> DataFrame:
         """The current view with null columns computed; columns that are known stay."""
         return self.current().withColumns({c: F.coalesce(F.col(c), value) for c, value in compute.items()})

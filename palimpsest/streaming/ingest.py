@@ -9,19 +9,31 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from palimpsest import schemas
+from palimpsest.functions import temporal
 from palimpsest.functions.embed import question_vectors
-from palimpsest.operators import analyze, state
+from palimpsest.operators import analyze, enrich, grammar, state
 from palimpsest.sources.store import EdgeStore
 
 
-def edges_of(utterances: DataFrame) -> DataFrame:
-    """The edges of a batch of ``schemas.UTTERANCE`` rows: cleaned, decomposed, gated; ids follow from their content."""
+def edges_of(utterances: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """The edges of a batch of ``schemas.UTTERANCE`` rows: cleaned, decomposed, gated; ids follow from their content. The speaker is
+    among the entities, and so is the person that a third-person subject stands for, who may have been named in the batch or
+    in ``before``, earlier utterances of which nothing is stored. The event date is the first known of: the sentence's, its
+    temporal expression's, the time of the utterance."""
     kind = analyze.utterance_kind(F.col("said"))
-    rows = analyze.decomposed(utterances.withColumn("said", F.col("text")))
+    texts = utterances.withColumn("said", F.col("text")).withColumn("earlier", F.lit(False))
+    if before is not None:
+        texts = texts.unionByName(before.withColumn("said", F.col("text")).withColumn("earlier", F.lit(True)))
+    told = grammar.decomposed(texts)
+    rows = enrich.with_people(told.withColumn("spoken", F.col("subject")), "user_id", F.struct("ts", "tag", "sentence"), people=enrich.people_of()).where("not earlier").drop("earlier")
+    # a pronoun that stands for somebody is none any more
+    rows = rows.withColumn("subject_pos", F.when(F.col("subject").eqNullSafe(F.col("spoken")), F.col("subject_pos"))).drop("spoken")
     kept = analyze.mood_gate(rows.withColumn("__kind", kind), F.col("__kind")).where(state.quality_gate(F.col("speaker")))
     kept = state.store_gate(kept)
     text_hash = F.sha2(F.col("source_text").cast("binary"), 256)
     made = kept.withColumn("source_text_hash", text_hash).withColumn("id", F.xxhash64("user_id", "source_text_hash", "ts").bitwiseAND(F.lit((1 << 62) - 1)))
+    date = temporal.waterfall(temporal.resolve_date(F.col("source_text"), F.col("ts")), temporal.resolve_date(F.col("temporal_expression"), F.col("ts"), F.col("source_text")), F.col("ts").cast("timestamp_ntz"))
+    made = made.withColumn("resolved_event_date", date)
     # the place of a sentence in its text, from which the store numbers on
     made = made.withColumn("sequence_number", F.col("sentence").cast("long")).withColumn("pqs", question_vectors(analyze.predicted_questions()))
     return made.withColumn("source_timestamp", F.col("ts")).withColumn("source_tag", F.col("tag")).withColumn("created_at", F.col("ts")).withColumn("relational_type", state.relational_type_of("schematic")).withColumn("confidence", F.lit(0.9))

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import pytest
 
-from palimpsest.plans import answers, memory, offline
+from palimpsest.plans import answers, maintained, memory, offline
 from palimpsest.plans.registered import ORACLES, QUERIES
 from tests.compare import agree
 
-assert answers and memory and offline
+assert answers and maintained and memory and offline
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
