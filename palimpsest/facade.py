@@ -65,8 +65,10 @@ class Engine:
         return ingest.two_pass(self.spark.createDataFrame(row, "user_id long, text string, speaker string, listener string, ts timestamp_ntz, model_response string, llm_id string"))
 
     def _before(self):
-        """What has been said last, in which a person may have been named."""
-        return self.spark.createDataFrame(self._said, schemas.UTTERANCE) if self._said else None
+        """What has been said last, in which a person may have been named; in its order, though the clock may stand still."""
+        n = len(self._said)
+        rows = [(*r[:4], r[4] - dt.timedelta(microseconds=n - k), r[5]) for k, r in enumerate(self._said)]
+        return self.spark.createDataFrame(rows, schemas.UTTERANCE) if rows else None
 
     def extract(self, said: str, speaker: str = "user", listener: str = "assistant") -> list[Row]:
         """What would be stored of a text; nothing is written."""

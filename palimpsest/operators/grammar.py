@@ -19,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql import WindowSpec
 
 from palimpsest.functions import dims
 from palimpsest.operators import analyze
@@ -83,8 +84,12 @@ def tokens(texts: DataFrame) -> DataFrame:
     return sentences.select("row", "sentence", "source_text", F.posexplode(words).alias("at", "word"))
 
 
-_SENTENCE = W.partitionBy("row", "sentence")
-_IN_ORDER = _SENTENCE.orderBy("at")
+def _sentence() -> WindowSpec:
+    return W.partitionBy("row", "sentence")
+
+
+def _in_order() -> WindowSpec:
+    return _sentence().orderBy("at")
 
 
 def tagged(words: DataFrame, lexicon_: DataFrame, verbs_: DataFrame, irregular_: DataFrame) -> DataFrame:
@@ -101,17 +106,17 @@ def tagged(words: DataFrame, lexicon_: DataFrame, verbs_: DataFrame, irregular_:
     early = (
         F.when(~F.col("word").rlike(r"^['\p{L}\p{N}]"), "PUNCT")
         .when(F.col("closed").isNotNull(), F.col("closed"))
-        .when((F.col("low") == "going") & (F.coalesce(F.lead("low").over(_IN_ORDER), F.lit("")) == "to"), "AUX")
+        .when((F.col("low") == "going") & (F.coalesce(F.lead("low").over(_in_order()), F.lit("")) == "to"), "AUX")
         .when(F.col("low").endswith("ly") & (F.length("low") > 4), "ADV")
         .when(F.col("word").rlike(r"^\d"), "NUM")
         .when(capital & ((F.col("at") > 0) | F.col("sense").isNull()), "PROPN")
     )
-    rows = rows.withColumn("early", early).withColumn("before", F.coalesce(F.lag("early").over(_IN_ORDER), F.lit("")))
+    rows = rows.withColumn("early", early).withColumn("before", F.coalesce(F.lag("early").over(_in_order()), F.lit("")))
     verb = F.col("early").isNull() & F.col("sense").isNotNull() & (F.col("before") != "DET")
     guess = F.col("early").isNull() & F.col("sense").isNull() & (F.col("before").isin("PRON", "PROPN", "AUX") | (F.col("low").endswith("ed") & (F.col("before") != "DET")))
     rows = rows.withColumn("verb", verb)
-    known = F.min(F.when(F.col("verb"), F.col("at"))).over(_SENTENCE)
-    guessed = F.min(F.when(guess, F.col("at"))).over(_SENTENCE)
+    known = F.min(F.when(F.col("verb"), F.col("at"))).over(_sentence())
+    guessed = F.min(F.when(guess, F.col("at"))).over(_sentence())
     chosen = F.col("verb") | ((F.col("at") == guessed) & (F.col("at") < F.coalesce(known, F.lit(1 << 30))))
     tag = F.when(F.coalesce(chosen, F.lit(False)), "VERB").when(F.col("early").isNotNull(), F.col("early")).when(F.col("low").rlike("(ful|ous|ive|able|less)$"), "ADJ").otherwise("NOUN")
     return rows.withColumn("tag", tag).drop("closed", "early", "before", "verb")
@@ -120,10 +125,10 @@ def tagged(words: DataFrame, lexicon_: DataFrame, verbs_: DataFrame, irregular_:
 def grouped(rows: DataFrame) -> DataFrame:
     """Tagged tokens with ``clause``, ``main`` (whether it is the main clause), ``v`` (its verb's place), ``np`` (the noun group) and
     ``governor`` (the preposition before the group)."""
-    before, after = F.coalesce(F.lag("tag").over(_IN_ORDER), F.lit("")), F.coalesce(F.lead("tag").over(_IN_ORDER), F.lit(""))
+    before, after = F.coalesce(F.lag("tag").over(_in_order()), F.lit("")), F.coalesce(F.lead("tag").over(_in_order()), F.lit(""))
     opens = (F.col("tag") == "SCONJ") | (((F.col("tag") == "CCONJ") | F.col("word").isin(",", ";")) & (after == "PRON"))
     rows = rows.withColumn("opens", opens).withColumn("before", before)
-    rows = rows.withColumn("clause", F.sum(F.col("opens").cast("int")).over(_IN_ORDER))
+    rows = rows.withColumn("clause", F.sum(F.col("opens").cast("int")).over(_in_order()))
     clause = W.partitionBy("row", "sentence", "clause")
     head = (F.col("tag") == "AUX") & ~F.col("low").isin(*sorted(analyze._NEG))
     rows = rows.withColumn("lower", F.max(F.when(F.col("opens") & (F.col("tag") == "SCONJ"), 1).otherwise(0)).over(clause))
@@ -131,13 +136,13 @@ def grouped(rows: DataFrame) -> DataFrame:
     full = F.max(F.when(F.col("tag") == "VERB", 1).otherwise(0)).over(clause)
     rows = rows.withColumn("place", place).withColumn("full", full)
     # main: with a full verb before one without, not subordinate before subordinate, then the first
-    order = F.min(F.when(F.col("place").isNotNull(), F.struct(-F.col("full"), "lower", "clause", "place"))).over(_SENTENCE)
+    order = F.min(F.when(F.col("place").isNotNull(), F.struct(-F.col("full"), "lower", "clause", "place"))).over(_sentence())
     rows = rows.withColumn("m", order).withColumn("v", F.col("m.place")).withColumn("main", F.col("clause") == F.col("m.clause"))
     nominal = F.col("tag").isin(*NOMINAL)
-    was = F.coalesce(F.lag("tag").over(_IN_ORDER).isin(*NOMINAL), F.lit(False)) & ~F.col("opens")
+    was = F.coalesce(F.lag("tag").over(_in_order()).isin(*NOMINAL), F.lit(False)) & ~F.col("opens")
     starts = nominal & (~was | F.col("tag").isin("DET", "PRON") | (F.col("before") == "PRON") | ((F.col("before") == "PROPN") & F.col("tag").isin("NOUN", "ADJ", "NUM")))
-    rows = rows.withColumn("starts", starts).withColumn("np", F.when(nominal, F.sum(F.col("starts").cast("int")).over(_IN_ORDER)))
-    governor = F.when(F.col("starts") & (F.col("before") == "ADP"), F.lag("low").over(_IN_ORDER))
+    rows = rows.withColumn("starts", starts).withColumn("np", F.when(nominal, F.sum(F.col("starts").cast("int")).over(_in_order())))
+    governor = F.when(F.col("starts") & (F.col("before") == "ADP"), F.lag("low").over(_in_order()))
     return rows.withColumn("governor", governor).drop("opens", "before", "lower", "place", "full", "m", "starts")
 
 

@@ -25,7 +25,7 @@ def edges_of(utterances: DataFrame, before: DataFrame | None = None) -> DataFram
     if before is not None:
         texts = texts.unionByName(before.withColumn("said", F.col("text")).withColumn("earlier", F.lit(True)))
     told = grammar.decomposed(texts)
-    rows = enrich.with_people(told.withColumn("spoken", F.col("subject")), "user_id", F.struct("ts", "tag", "sentence"), people=enrich.people_of()).where("not earlier").drop("earlier")
+    rows = enrich.with_people(told.withColumn("spoken", F.col("subject")), "user_id", F.struct(~F.col("earlier"), "ts", "tag", "sentence"), people=enrich.people_of()).where("not earlier").drop("earlier")
     # a pronoun that stands for somebody is none any more
     rows = rows.withColumn("subject_pos", F.when(F.col("subject").eqNullSafe(F.col("spoken")), F.col("subject_pos"))).drop("spoken")
     kept = analyze.mood_gate(rows.withColumn("__kind", kind), F.col("__kind")).where(state.quality_gate(F.col("speaker")))
