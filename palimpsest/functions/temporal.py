@@ -181,3 +181,52 @@ def since_seconds(sentence: Column, reference: Column) -> Column:
     per = F.try_element_at(F.create_map(*[F.lit(x) for kv in sizes.items() for x in kv]), unit)
     start = resolve_date(F.nullif(F.regexp_extract(s, r"\bsince (.+?)[.?!]?$", 1), F.lit("")), reference)
     return F.coalesce((n * per).cast("double"), F.abs(seconds_between(reference, start)))
+
+
+_COUNT = rf"(?:\d+|an?|{'|'.join(NUMBERS)})"
+#: What names a time, by kind; matched in lower case.
+SPANS = {
+    "day": r"\b(?:yesterday|today|tomorrow|tonight)\b",
+    "weekday": rf"\b(?:(?:last|past|next|this|coming) )?(?:{'|'.join(DAYS)})\b",
+    "period": r"\b(?:last|past|next|this) (?:week|month|year)\b",
+    "ago": rf"\b{_COUNT} (?:day|week|month|year)s? ago\b",
+    "length": rf"\b{_COUNT} (?:second|minute|hour|day|week|month|year)s?\b",
+    "month": rf"\b(?:\d{{1,2}}(?:st|nd|rd|th)? (?:of )?)?(?:{'|'.join(MONTHS)})(?: \d{{1,2}}(?:st|nd|rd|th)?)?(?:,? (?:19|20)\d\d)?\b",
+    "year": r"\b(?:19|20)\d\d\b",
+}
+
+
+def _places(low: Column, pattern: str) -> Column:
+    """``array<struct<start, end>>`` of all matches, from 0."""
+    found, between = F.regexp_extract_all(low, F.lit(pattern), F.lit(0)), F.split(low, pattern)
+    size = lambda a, n: F.aggregate(F.slice(a, F.lit(1), n), F.lit(0), lambda s, x: s + F.length(x))
+    start = lambda i: size(between, i + 1) + size(found, i)
+    return F.transform(found, lambda x, i: F.struct(start(i).alias("start"), (start(i) + F.length(x)).alias("end")))
+
+
+def date_spans(said: Column) -> Column:
+    """``array<struct<start, end, span>>``: all spans of time in a text, in order; those that overlap are one, by a running maximum
+    of their ends over their starts."""
+    low = F.lower(said)
+    every = F.sort_array(F.concat(*[_places(low, p) for p in SPANS.values()]))
+    none = F.array().cast("array<struct<start:int,end:int>>")
+
+    def grown(done: Column, x: Column) -> Column:
+        last = F.try_element_at(done, F.lit(-1))
+        joined = F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"))))
+        return F.when((F.size(done) > 0) & (x["start"] < last["end"]), joined).otherwise(F.concat(done, F.array(x)))
+
+    merged = F.aggregate(every, none, grown)
+    return F.transform(merged, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.substring(said, x["start"] + 1, x["end"] - x["start"]).alias("span")))
+
+
+def dated_spans(said: Column, reference: Column) -> Column:
+    """``array<struct<start, end, span, date>>``: spans that tell a time rather than a length, and name a date."""
+    before = lambda x: F.regexp_extract(F.left(said, x["start"]), r"(\w+)\W*$", 1)
+    times = F.filter(date_spans(said), lambda x: ~is_duration(x["span"], before(x)))
+    return F.filter(F.transform(times, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["span"].alias("span"), resolve_date(x["span"], reference, said).alias("date"))), lambda x: x["date"].isNotNull())
+
+
+def event_date(said: Column, reference: Column) -> Column:
+    """The most specific date that a text names; of equals, the first."""
+    return most_specific(F.transform(dated_spans(said, reference), lambda x: x["date"]))

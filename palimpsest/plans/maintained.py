@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest.functions import temporal
+from palimpsest.operators import replay
 from palimpsest.plans.answers import BM25_SQL, RECURSIVE, TERMS
 from palimpsest.plans.memory import LIVE, NAMED_SQL, WITH, values
 from palimpsest.plans.registered import query
-from palimpsest.sources.durable import fresh_path
+from palimpsest.sources.durable import Written, fresh_path
 from palimpsest.sources.fixtures import edges, table
 from palimpsest.sources.index import SegmentedIndex
 from palimpsest.sources.maintained import Maintained, replayed
-from palimpsest.sources.store import EdgeStore
+from palimpsest.sources.store import EdgeStore, numbered
 
 #: When the second and the third commit begin.
 CUTS = ("2024-01-10 00:00:00", "2024-01-20 00:00:00")
@@ -76,3 +78,70 @@ def bm25_segments(spark: SparkSession, d: str) -> DataFrame:
     """BM25 over an index of four commits, with merged segments, deletions and replacements, of which blocks are skipped."""
     found, _ = segmented(spark, d).search(values(spark, "query_id long, terms array<string>", TERMS), 10)
     return found.select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+
+
+#: Checkpoints, evenly over the order of arrival.
+CHECKPOINTS = 20
+REPLAY_SQL = f""", t AS (SELECT count(*) AS total FROM edges), p AS (SELECT CAST(total * i // {CHECKPOINTS} AS BIGINT) AS checkpoint FROM t, range(1, {CHECKPOINTS} + 1) r(i)),
+q AS (SELECT *, row_number() OVER (ORDER BY source_timestamp, id) AS seq FROM edges), w AS (SELECT checkpoint, q.* FROM q JOIN p ON seq <= checkpoint),
+c AS (SELECT checkpoint, user_id, source_text_hash, arg_min(id, seq) AS id, max(seq) AS last_seq, arg_max(object, seq) AS object, any_value(subject) AS subject, any_value(predicate) AS predicate, first(tombstoned_at ORDER BY seq) AS dead FROM w GROUP BY checkpoint, user_id, source_text_hash),
+l AS (SELECT *, object IS DISTINCT FROM last_value(object) OVER k AS other, last_value(last_seq) OVER k AS newest FROM c WINDOW k AS (PARTITION BY checkpoint, user_id, subject, predicate ORDER BY last_seq ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+m AS (SELECT *, coalesce(max(CASE WHEN other THEN last_seq END) OVER (PARTITION BY checkpoint, user_id, subject, predicate), 0) < last_seq AND NOT other AS current FROM l)"""
+
+
+def replayed_questions(spark: SparkSession, d: str) -> DataFrame:
+    """Every user's edges as they were at each of the checkpoints."""
+    e = edges(spark, d)
+    writes = ordered_writes(spark, e)
+    total = writes.count()
+    points = spark.range(1, CHECKPOINTS + 1).select(F.expr(f"{total} * id div {CHECKPOINTS}").alias("checkpoint"))
+    # a few checkpoints for each user
+    asked = e.select("user_id").distinct().withColumn("checkpoint", F.explode(F.array(*[F.lit(r["checkpoint"]) for r in points.collect()])))
+    return replay.as_of(replay.versions(writes), asked)
+
+
+def ordered_writes(spark: SparkSession, e: DataFrame) -> DataFrame:
+    """The edges as a store numbers them on arrival."""
+    rows, _ = numbered(Written(spark), e.withColumn("sequence_number", F.lit(None).cast("long")))
+    return rows
+
+
+@query(WITH + REPLAY_SQL + " SELECT checkpoint, user_id, count(*) AS n, count(*) FILTER (current) AS n_current, md5(string_agg(CASE WHEN current THEN id || ':' || object ELSE '' END, ',' ORDER BY id)) AS known FROM m WHERE dead IS NULL GROUP BY checkpoint, user_id")
+def checkpoint_replay(spark: SparkSession, d: str) -> DataFrame:
+    """What each user's store held, and what of it was current, at twenty checkpoints; one plan for all."""
+    found = replayed_questions(spark, d)
+    shown = F.when(F.col("current"), F.concat_ws(":", "id", "object")).otherwise("")
+    told = F.transform(F.sort_array(F.collect_list(F.struct("id", shown.alias("s")))), lambda x: x["s"])
+    return found.groupBy("checkpoint", "user_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("current").alias("n_current"), F.md5(F.array_join(told, ",").cast("binary")).alias("known"))
+
+
+@query(WITH + REPLAY_SQL + """, a AS (SELECT checkpoint, count(*) AS n, count(*) FILTER (current) AS passed FROM m WHERE dead IS NULL GROUP BY checkpoint)
+SELECT checkpoint, n, passed, round(passed / n, 6) AS rate, round(sum(passed) OVER (ORDER BY checkpoint) / sum(n) OVER (ORDER BY checkpoint), 6)::DOUBLE AS cumulative_rate FROM a""")
+def checkpoint_rates(spark: SparkSession, d: str) -> DataFrame:
+    """The share of edges that were current at each checkpoint, and up to it."""
+    rates = replay.pass_rates(replayed_questions(spark, d).select("checkpoint", F.col("current").alias("passed")))
+    return rates.select("checkpoint", "n", "passed", F.round("rate", 6).alias("rate"), F.round("cumulative_rate", 6).alias("cumulative_rate"))
+
+
+FRAMES = ["# met it 3 weeks ago and yesterday", "# saw it on 5 March 2023, then last week", "# waited for 2 days in June 2022", "# left next Monday or on 12 May", "# saw nothing of it"]
+_LOW = "lower(said)"
+_SPAN_SQL = " UNION ALL ".join(
+    f"SELECT id, unnest(list_transform(range(len(m)), lambda i: list_sum(list_transform(list_slice(p, 1, i + 1), lambda x: length(x))) + coalesce(list_sum(list_transform(list_slice(m, 1, i), lambda x: length(x))), 0))) AS a, unnest(list_transform(m, lambda x: length(x))) AS n FROM (SELECT id, regexp_extract_all({_LOW}, '{p}') AS m, string_split_regex({_LOW}, '{p}') AS p FROM s)"
+    for p in temporal.SPANS.values()
+)
+SPANS_SQL = f""", s AS (SELECT id, source_timestamp AS ts, replace(CASE k % 5 {' '.join(f"WHEN {i} THEN '{f}'" for i, f in enumerate(FRAMES))} END, '#', subject) AS said FROM edges), x AS ({_SPAN_SQL}),
+y AS (SELECT id, a, a + n AS z, coalesce(a >= max(a + n) OVER (PARTITION BY id ORDER BY a, a + n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), TRUE) AS new FROM x),
+g AS (SELECT *, sum(new::INT) OVER (PARTITION BY id ORDER BY a, z) AS part FROM y), h AS (SELECT id, min(a) AS a, max(z) AS z FROM g GROUP BY id, part), t AS (SELECT h.*, ts, substr(said, CAST(a + 1 AS BIGINT), CAST(z - a AS BIGINT)) AS span FROM h JOIN s USING (id)),
+u AS (SELECT *, CASE span WHEN '3 weeks ago' THEN date_trunc('day', ts) - INTERVAL 21 DAY WHEN 'yesterday' THEN date_trunc('day', ts) - INTERVAL 1 DAY WHEN '5 March 2023' THEN TIMESTAMP '2023-03-05' WHEN 'last week' THEN date_trunc('day', ts) - INTERVAL 7 DAY WHEN 'June 2022' THEN TIMESTAMP '2022-06-01'
+  WHEN 'next Monday' THEN date_trunc('day', ts) + to_days(CAST(8 - isodow(ts) AS INT)) WHEN '12 May' THEN make_timestamp(year(ts), 5, 12, 0, 0, 0) END AS moment FROM t)"""
+
+
+@query(WITH + SPANS_SQL + """, v AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY CASE WHEN month(moment) <> 1 OR day(moment) <> 1 THEN 1 ELSE 0 END + CASE WHEN day(moment) <> 1 THEN 1 ELSE 0 END DESC, a) AS r FROM u WHERE moment IS NOT NULL)
+SELECT s.id, (SELECT string_agg(a || '-' || z || ':' || span, ';' ORDER BY a) FROM t WHERE t.id = s.id) AS spans, strftime(v.moment, '%Y-%m-%d') AS event_date FROM s LEFT JOIN v ON v.id = s.id AND v.r = 1""".replace("a || '-' || z", "CAST(a AS BIGINT) || '-' || CAST(z AS BIGINT)"))
+def date_spans(spark: SparkSession, d: str) -> DataFrame:
+    """All spans of time in texts with several of them, and the most specific date among these."""
+    frames = F.element_at(F.array(*map(F.lit, FRAMES)), (F.col("k") % len(FRAMES)).cast("int") + 1)
+    s = edges(spark, d).select("id", "source_timestamp", F.replace(frames, F.lit("#"), F.col("subject")).alias("said"))
+    found = temporal.date_spans(F.col("said"))
+    shown = F.transform(found, lambda x: F.concat(x["start"].cast("string"), F.lit("-"), x["end"].cast("string"), F.lit(":"), x["span"]))
+    return s.select("id", F.nullif(F.array_join(shown, ";"), F.lit("")).alias("spans"), F.date_format(temporal.event_date(F.col("said"), F.col("source_timestamp")), "yyyy-MM-dd").alias("event_date"))

@@ -32,7 +32,7 @@ def edges_of(utterances: DataFrame, before: DataFrame | None = None) -> DataFram
     kept = state.store_gate(kept)
     text_hash = F.sha2(F.col("source_text").cast("binary"), 256)
     made = kept.withColumn("source_text_hash", text_hash).withColumn("id", F.xxhash64("user_id", "source_text_hash", "ts").bitwiseAND(F.lit((1 << 62) - 1)))
-    date = temporal.waterfall(temporal.resolve_date(F.col("source_text"), F.col("ts")), temporal.resolve_date(F.col("temporal_expression"), F.col("ts"), F.col("source_text")), F.col("ts").cast("timestamp_ntz"))
+    date = temporal.waterfall(temporal.event_date(F.col("source_text"), F.col("ts")), temporal.resolve_date(F.col("temporal_expression"), F.col("ts"), F.col("source_text")), F.col("ts").cast("timestamp_ntz"))
     made = made.withColumn("resolved_event_date", date)
     # the place of a sentence in its text, from which the store numbers on
     made = made.withColumn("sequence_number", F.col("sentence").cast("long")).withColumn("pqs", question_vectors(analyze.predicted_questions()))
