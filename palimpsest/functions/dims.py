@@ -125,3 +125,13 @@ def starts_with_any(text: Column, prefixes: list[str]) -> Column:
 
 def contains_any(text: Column, parts: list[str]) -> Column:
     return any_of([text.contains(p) for p in parts])
+
+
+#: Verbs of one state that has one value at a time, by their base form: whichever of them comes, it replaces the value before.
+ONE_AT_A_TIME = {v: kind for kind, verbs in {"residence": ("live", "move", "relocate", "reside", "settle", "stay"), "employment": ("work", "join"), "marriage": ("marry", "divorce")}.items() for v in verbs}
+
+
+def state_class(predicate: Column) -> Column:
+    """The state that a predicate's verb is about, if it is one of ``ONE_AT_A_TIME``; else the predicate. In lower case."""
+    low = F.lower(F.trim(predicate))
+    return F.coalesce(mapped(F.regexp_extract(low, "^[^_ ]+", 0), ONE_AT_A_TIME), low)

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from palimpsest.functions import dims
+
 
 def versions(writes: DataFrame) -> DataFrame:
     """``writes`` (numbered in ``sequence_number``) with the ``id`` of their edge, its first write's, and with ``known_from``,
@@ -19,7 +21,7 @@ def versions(writes: DataFrame) -> DataFrame:
     rows = writes.withColumn("known_from", F.col("sequence_number")).withColumn("known_until", F.lead("sequence_number").over(edge))
     first = edge.rowsBetween(W.unboundedPreceding, 0)
     rows = rows.withColumn("id", F.first("id").over(first)).withColumn("tombstoned_at", F.first("tombstoned_at").over(first))
-    low = {f"__{c}": F.lower(F.trim(c)) for c in ("subject", "predicate", "object")}
+    low = {f"__{c}": F.lower(F.trim(c)) for c in ("subject", "object")} | {"__predicate": dims.state_class(F.col("predicate"))}
     key = W.partitionBy("user_id", "__subject", "__predicate")
     forth, back = key.orderBy("sequence_number"), key.orderBy(F.desc("sequence_number"))
     rows = rows.withColumns(low).withColumn("__new", (F.row_number().over(forth) == 1) | ~F.col("__object").eqNullSafe(F.lag("__object").over(forth)))

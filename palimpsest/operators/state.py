@@ -54,8 +54,10 @@ def superseded(edges: DataFrame, keys: tuple[str, ...] = KEYS, value: str = "obj
 
 def retired(edges: DataFrame) -> DataFrame:
     """Supersession applied: a superseded edge is no longer current, names its successor and loses its predicted questions. Subjects,
-    predicates and objects are compared without regard to case; an edge forgotten later has still superseded."""
-    low = {f"__{c}": F.lower(F.trim(c)) for c in ("subject", "predicate", "object")}
+    predicates and objects are compared without regard to case, and predicates whose verbs are of one state as that state
+    (``dims.state_class``: who lives somewhere no longer lives where they moved before); an edge forgotten later has still
+    superseded. All older values retire, not the newest alone (``superseded_one_each``)."""
+    low = {f"__{c}": F.lower(F.trim(c)) for c in ("subject", "object")} | {"__predicate": dims.state_class(F.col("predicate"))}
     rows = superseded(edges.withColumns(low), ("user_id", "__subject", "__predicate"), "__object", dead=True)
     return rows.withColumn("is_current", F.coalesce("is_current", F.lit(True)) & F.col("now_current")).withColumn("pqs", F.when(F.col("now_current"), F.col("pqs"))).drop("island", "now_current", *low)
 
@@ -89,7 +91,7 @@ def history(edges: DataFrame, subject: str, predicate: str) -> DataFrame:
 
 
 def fact_key() -> Column:
-    return F.concat_ws("::", "schematic", "predicate", "subject")
+    return F.concat_ws("::", "schematic", dims.state_class(F.col("predicate")), "subject")
 
 
 def facts(edges: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.functions import temporal
-from palimpsest.operators import replay
+from palimpsest.operators import replay, state, taxonomy
 from palimpsest.plans.answers import BM25_SQL, RECURSIVE, TERMS
 from palimpsest.plans.memory import LIVE, NAMED_SQL, WITH, values
 from palimpsest.plans.registered import query
@@ -145,3 +145,42 @@ def date_spans(spark: SparkSession, d: str) -> DataFrame:
     found = temporal.date_spans(F.col("said"))
     shown = F.transform(found, lambda x: F.concat(x["start"].cast("string"), F.lit("-"), x["end"].cast("string"), F.lit(":"), x["span"]))
     return s.select("id", F.nullif(F.array_join(shown, ";"), F.lit("")).alias("spans"), F.date_format(temporal.event_date(F.col("said"), F.col("source_timestamp")), "yyyy-MM-dd").alias("event_date"))
+
+
+@query(WITH + """, r AS (SELECT *, CASE WHEN predicate IN ('click', 'view') THEN 'residence' ELSE predicate END AS kind FROM edges),
+c AS (SELECT *, CASE WHEN object IS DISTINCT FROM lag(object) OVER w THEN 1 ELSE 0 END AS changed FROM r WINDOW w AS (PARTITION BY user_id, subject, kind ORDER BY id)), i AS (SELECT *, sum(changed) OVER (PARTITION BY user_id, subject, kind ORDER BY id) AS island FROM c),
+h AS (SELECT user_id, subject, kind, island - 1 AS island, min(id) AS superseded_by FROM i GROUP BY user_id, subject, kind, island)
+SELECT id, coalesce(is_current, TRUE) AND superseded_by IS NULL AS is_current, superseded_by FROM i LEFT JOIN h USING (user_id, subject, kind, island)""")
+def supersession_by_state(spark: SparkSession, d: str) -> DataFrame:
+    """Two predicates whose verbs are of one state supersede each other."""
+    base = F.when(F.col("predicate") == "click", "move_to").when(F.col("predicate") == "view", "live_in").otherwise(F.col("predicate"))
+    e = edges(spark, d).withColumn("predicate", base).withColumn("pqs", F.lit(None).cast("array<string>"))
+    return state.retired(e).select("id", "is_current", "superseded_by")
+
+
+def synthetic_dag(spark: SparkSession, d: str) -> DataFrame:
+    """Every event under two smaller ones."""
+    i = table(spark, d, "events").select(F.col("event_id").alias("child"))
+    return i.select("child", F.explode(F.array(F.expr("child div 4"), F.expr("child div 6"))).alias("parent"))
+
+
+DAG_SQL = """WITH RECURSIVE l AS (SELECT DISTINCT child, parent FROM (SELECT event_id AS child, unnest([event_id // 4, event_id // 6]) AS parent FROM events) WHERE child <> parent), n AS (SELECT child AS node FROM l UNION SELECT parent FROM l),
+w AS (SELECT node, node AS ancestor, 0 AS depth FROM n UNION SELECT w.node, l.parent, w.depth + 1 FROM w JOIN l ON l.child = w.ancestor), k AS (SELECT node, ancestor, min(depth) AS depth FROM w GROUP BY node, ancestor)"""
+
+
+@query(DAG_SQL + " SELECT node, ancestor, depth FROM k")
+def taxonomy_closure(spark: SparkSession, d: str) -> DataFrame:
+    return taxonomy.closure(synthetic_dag(spark, d))
+
+
+@query(DAG_SQL + """, t AS (SELECT node, arg_min(ancestor, (depth, ancestor)) AS anchor, min(depth) AS depth FROM k WHERE ancestor BETWEEN 3 AND 40 GROUP BY node),
+p AS (SELECT node AS a, node + 1 AS b FROM n), s AS (SELECT p.a, p.b, min(x.depth + y.depth) AS steps FROM p JOIN k x ON x.node = p.a JOIN k y ON y.node = p.b AND y.ancestor = x.ancestor GROUP BY p.a, p.b)
+SELECT n.node, anchor, 'kind ' || anchor AS label, depth, round(coalesce(1.0 / (1 + steps), 0.0), 6)::DOUBLE AS similarity FROM n LEFT JOIN t USING (node) LEFT JOIN s ON s.a = n.node""")
+def taxonomy_kinds(spark: SparkSession, d: str) -> DataFrame:
+    """The nearest anchor of every node, and how near it is to the next one."""
+    closed = taxonomy.closure(synthetic_dag(spark, d))
+    nodes = closed.where("depth = 0").select("node")
+    anchors = nodes.where("node between 3 and 40").select(F.col("node").alias("anchor"), F.concat(F.lit("kind "), "node").alias("label"))
+    near = taxonomy.similarity(closed, nodes.select(F.col("node").alias("a"), (F.col("node") + 1).alias("b")))
+    found = nodes.join(taxonomy.nearest(closed, anchors), "node", "left").join(near.select(F.col("a").alias("node"), "similarity"), "node", "left")
+    return found.select("node", "anchor", "label", "depth", F.round("similarity", 6).alias("similarity"))
