@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from palimpsest import schemas
 from palimpsest.functions import dims, text, vector
 from palimpsest.functions.embed import STYLE_ANCHORS, embedder, hash_vector, style_deltas
-from palimpsest.operators import analyze, scan, scoring, state, timeline
+from palimpsest.operators import analyze, assertions, scan, scoring, state, timeline
 from palimpsest.sources.store import EdgeStore
 from palimpsest.streaming import ingest
 
@@ -153,9 +153,11 @@ class Engine:
         return Outcome("situation", stored, situation=found) if isinstance(found, Situation) else Outcome("answered", stored, answer=found)
 
     def status(self) -> list[dict[str, str]]:
-        """A self-check of the store's view against the declared schema."""
-        found = schemas.problems(self._edges())
-        return [{"check": f.name, "status": "fail" if any(p.startswith(f"{f.name}:") for p in found) else "ok"} for f in schemas.EDGE.fields]
+        """A self-check of the store's view against the declared schema and the declared constraints."""
+        edges = self._edges()
+        found = schemas.problems(edges)
+        broken = [{"check": r["constraint"], "status": "fail" if r["n"] else "ok"} for r in assertions.violations(edges).orderBy("constraint").collect()]
+        return broken + [{"check": f.name, "status": "fail" if any(p.startswith(f"{f.name}:") for p in found) else "ok"} for f in schemas.EDGE.fields]
 
 
 def forget_target(said: str) -> str | None:

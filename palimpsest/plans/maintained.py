@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.functions import temporal
-from palimpsest.operators import replay, state, taxonomy
+from palimpsest.operators import assertions, replay, state, taxonomy
 from palimpsest.plans.answers import BM25_SQL, RECURSIVE, TERMS
-from palimpsest.plans.memory import LIVE, NAMED_SQL, WITH, values
+from palimpsest.plans.memory import CURRENT, LIVE, NAMED_SQL, WITH, values
 from palimpsest.plans.registered import query
 from palimpsest.sources.durable import Written, fresh_path
 from palimpsest.sources.fixtures import edges, table
@@ -184,3 +184,19 @@ def taxonomy_kinds(spark: SparkSession, d: str) -> DataFrame:
     near = taxonomy.similarity(closed, nodes.select(F.col("node").alias("a"), (F.col("node") + 1).alias("b")))
     found = nodes.join(taxonomy.nearest(closed, anchors), "node", "left").join(near.select(F.col("a").alias("node"), "similarity"), "node", "left")
     return found.select("node", "anchor", "label", "depth", F.round("similarity", 6).alias("similarity"))
+
+
+BROKEN = assertions.row("value_in_range", "valence between 0 and 0.9"), assertions.unique("one_edge_a_text", "user_id", "source_text_hash"), assertions.one_value("one_current_value", "object", "user_id", "state", among="coalesce(is_current, true) and tombstoned_at is null"), assertions.refers("successor_exists", "superseded_by"), assertions.refers("successor_of_same_user", "superseded_by", "target.user_id = user_id"), assertions.row("has_predicate", "predicate is not null")
+
+
+@query(WITH + f""", e AS (SELECT *, CASE WHEN k % 19 = 0 THEN id + 1000000000 WHEN k % 7 = 0 THEN id + 1 END AS superseded_by FROM edges), m AS (SELECT max(id) AS last FROM e),
+b AS (SELECT id, 'value_in_range' AS c FROM e WHERE NOT (valence BETWEEN 0 AND 0.9) UNION ALL SELECT id, 'one_edge_a_text' FROM (SELECT id, count(*) OVER (PARTITION BY user_id, source_text_hash) AS n FROM e) WHERE n > 1
+  UNION ALL SELECT id, 'one_current_value' FROM (SELECT id, min(object) OVER w <> max(object) OVER w AS bad FROM e WHERE {CURRENT} AND {LIVE} WINDOW w AS (PARTITION BY user_id, predicate)) WHERE bad
+  UNION ALL SELECT id, 'successor_exists' FROM e, m WHERE superseded_by > last UNION ALL SELECT e.id, 'successor_of_same_user' FROM e JOIN e t ON t.id = e.superseded_by WHERE t.user_id <> e.user_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY id) AS r FROM b)
+SELECT n.c AS "constraint", count(r.id) AS n, coalesce(string_agg(r.id, ',' ORDER BY r.id) FILTER (r.r <= 5), '') AS examples FROM (VALUES ('value_in_range'), ('one_edge_a_text'), ('one_current_value'), ('successor_exists'), ('successor_of_same_user'), ('has_predicate')) n(c) LEFT JOIN r ON r.c = n.c GROUP BY n.c""")
+def structural_assertions(spark: SparkSession, d: str) -> DataFrame:
+    """What is broken in a view with planted faults, by constraint, with examples."""
+    k = F.col("k")
+    e = edges(spark, d).withColumn("superseded_by", F.when(k % 19 == 0, F.col("id") + 1000000000).when(k % 7 == 0, F.col("id") + 1))
+    return assertions.violations(e, BROKEN).select("constraint", "n", F.array_join(F.transform("examples", lambda x: x.cast("string")), ",").alias("examples"))

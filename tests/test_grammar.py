@@ -113,3 +113,17 @@ def test_facts_of_one_state_are_one(spark):
     rows = edges(spark, [(1, 1, "Ann", "move_to", "Oslo", {"schematic": "x"}), (2, 1, "Ann", "live_in", "Rome", {"schematic": "x"})])
     (f,) = state.facts(rows).collect()
     assert (f["value"], f["changes"]) == ("Rome", 1)
+
+
+def test_assertions_hold_of_a_store_and_find_what_is_planted(spark, tmp_path):
+    from palimpsest.operators import assertions
+
+    store = EdgeStore(spark, str(tmp_path / "s"), buckets=2)
+    more = lambda d: {"sequence_number": None, "source_timestamp": T0 + dt.timedelta(days=d)}
+    store.append(edges(spark, [(i, i % 3, "Ann", "live_in", f"city{i % 4}", more(i)) for i in range(24)]))
+    store.forget(1, "entity", "city2", F.lit(T0).cast("timestamp_ntz"))
+    assert {r["constraint"]: r["n"] for r in assertions.violations(store.current()).collect()} == {c.name: 0 for c in assertions.EDGES}
+    bad = edges(spark, [(1, 1, "Ann", "live_in", "Oslo", {"superseded_by": 99}), (2, 1, "Ann", "live_in", "Rome", {"superseded_by": 3}), (3, 2, "Bob", "", "Rome"), (3, 2, "Bob", "like", "tea", {"is_current": False}), (4, 1, "Ann", "move_to", "Oslo", {"first_learned_at": T0, "last_confirmed_at": T0 - dt.timedelta(days=1)})])
+    got = {r["constraint"]: (r["n"], r["examples"]) for r in assertions.violations(bad, examples=2).collect() if r["n"]}
+    assert got == {"has_subject_and_predicate": (1, [3]), "confirmed_after_learned": (1, [4]), "retired_has_successor": (1, [3]), "one_row_an_id": (2, [3]), "one_current_value": (3, [1, 2]), "successor_exists": (1, [1]), "successor_of_same_user": (1, [2])}
+    assert {r["n"] for r in assertions.violations(bad.limit(0)).collect()} == {0}
