@@ -289,7 +289,8 @@ def _near_pairs(t: pa.Table, group: np.ndarray, percent: int, margin: float | No
             x, y = x[ok], y[ok]
         if len(x):
             ok = passes(regs[x], regs[y], size[x], size[y], percent, margin)
-            yield x[ok], y[ok]
+            if ok.any():
+                yield x[ok], y[ok]
 
 
 OPEN = "band long, i int, j int, node long"

@@ -359,3 +359,19 @@ def test_of_a_repeated_query_id_the_smallest_vector_asks(spark):
     for _ in range(3):
         got = hnsw.nearest(hnsw.build_index(df), df.where("vec_id = 50").repartition(4), k=3).collect()
         assert [(r["rank"], r["vec_id"]) for r in got] == [(k + 1, v) for k, (v, _) in enumerate(helpers.nearest({i: np.array(v) for i, v in rows if i != 50} | {50: np.array([-1.0, 5.0])}, 50, 3))]
+
+
+def test_a_block_in_which_no_pair_passes_the_screen():
+    import pyarrow as pa
+
+    near, far = (near_dedup.shingles(b" ".join(b"%s%d" % (w, i) for i in range(60)), 3) for w in (b"a", b"b"))
+    sketches = [near_dedup.sketch(x).copy() for x in (near, far)]
+    sketches[1][: near_dedup.BAND] = sketches[0][: near_dedup.BAND]  # one band in common
+    at = int(max(near_dedup.size_class(np.array([len(near)]), 80)))
+    rows = {"band": [1, 1], "i": [0, 0], "j": [0, 0], "node": [1, 2], "n_shingles": [len(near), len(far)], "component": [1, 2], "block": [0, 0], "place": [0, 0], "class": [at, at], "sketch": [x.tobytes() for x in sketches], "grams": [np.sort(x).view(np.int64) for x in (near, far)]}
+    batch = pa.RecordBatch.from_pydict(rows)
+    assert list(near_dedup._block_links(80, near_dedup.MARGIN)(iter([batch]))) == []
+    assert sum(b.num_rows for b in near_dedup._open_nodes(80, near_dedup.MARGIN)(iter([batch]))) == 0
+    # without a screen the pair is looked at on its full sets, and is no link
+    assert sum(b.num_rows for b in near_dedup._open_nodes(80, None)(iter([batch]))) == 2
+    assert list(near_dedup._block_links(80, None)(iter([batch]))) == []
