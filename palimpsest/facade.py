@@ -125,7 +125,9 @@ class Engine:
         return state.history(self._edges(), subject, predicate).collect()
 
     def check_proactive(self) -> list[Row]:
-        return scan.upcoming(self._edges(), F.lit(self.now()).cast("timestamp_ntz")).collect()
+        # what has no date but that of the utterance is no event ahead
+        dated = self._edges().where(~F.col("resolved_event_date").eqNullSafe(F.col("source_timestamp")))
+        return scan.upcoming(dated, F.lit(self.now()).cast("timestamp_ntz")).collect()
 
     def profile(self) -> dict[str, float]:
         """The user's style, as their turns have moved it; what nothing has moved reads 0.5."""

@@ -136,7 +136,7 @@ def test_engine(spark, tmp_path):
     assert e.process("yeah").status == "skipped"
     done = e.process("I moved to Oslo.", speaker="Ann")
     assert done == Outcome("stored", 1)
-    assert e.ingest("My sister works at Acme.", speaker="Ann", model_response="You live in Bergen.", llm_id="m1") >= 1
+    assert e.ingest("My sister works at Acme.", speaker="Ann", model_response="You like Bergen.", llm_id="m1") >= 1
     assert e.extract("I moved to Oslo.")[0]["predicate"] == "move_to"
     assert {r["object"] for r in e.show("time")} >= {"Oslo"}
     assert "source_text" not in e.show("time")[0].asDict()
