@@ -134,3 +134,9 @@ def test_conform_fills_what_older_rows_lack(spark):
 def test_agreed_type(spark):
     rows = spark.createDataFrame([("PERSON", "PERSON", "PERSON", "high"), ("ORG", "PERSON", "PERSON", "low"), (None, "ORG", "ORG", "high"), (None, None, "GENERIC", "low")], "a string, b string, t string, c string")
     assert all(tuple(r["got"]) == (r["t"], r["c"]) for r in rows.withColumn("got", entities.agreed_type(F.col("a"), F.col("b"))).collect())
+
+
+def test_a_profile_at_zero_but_for_rounding_reads_as_the_default(spark):
+    moved = [(1, -0.7, 0.0), (1, 0.2, 0.1), (2, -0.5, 0.3), (3, -0.499, 0.2)]
+    got = {r["user_id"]: round(r["warmth"], 6) for r in state.profiles(spark.createDataFrame(moved, "user_id long, warmth double, formality double").coalesce(1)).collect()}
+    assert got == {1: 0.5, 2: 0.5, 3: 0.001}
