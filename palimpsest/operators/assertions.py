@@ -80,13 +80,15 @@ def _flags(edges: DataFrame, constraints: tuple[Constraint, ...]) -> tuple[DataF
         about = [f for f in edges.schema.names if f != "id"]
         targets = edges.groupBy(F.col("id").alias("__id")).agg(*[F.first(f).alias(f) for f in about if f in ("user_id", "sequence_number", "last_sequence", "source_timestamp")])
         targets = targets.select("__id", F.struct(*[f for f in targets.columns if f != "__id"]).alias("target"))
-        rows = rows.join(targets, F.col(column) == F.col("__id"), "left")
+        # rows that name none are not dealt out by it: they would all meet in one task
+        naming, rows = rows.where(F.col(column).isNotNull()), rows.where(F.col(column).isNull())
+        met = naming.join(targets, F.col(column) == F.col("__id"), "left")
         for c in named:
             if c.keys[0] == column:
                 missing = F.col("__id").isNull()
                 broken = missing if c.holds == "true" else ~missing & ~F.coalesce(F.expr(c.holds), F.lit(False))
-                rows = rows.withColumn(f"__{c.name}", F.col(column).isNotNull() & broken)
-        rows = rows.drop("__id", "target")
+                met, rows = met.withColumn(f"__{c.name}", broken), rows.withColumn(f"__{c.name}", F.lit(False))
+        rows = rows.unionByName(met.drop("__id", "target"))
     for c in constraints:
         broken = ~F.coalesce(F.expr(c.holds), F.lit(False)) if c.kind == "row" else F.coalesce(F.col(f"__{c.name}"), F.lit(False))
         flags.append(F.when(broken, F.lit(c.name)))

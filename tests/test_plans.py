@@ -35,3 +35,17 @@ def test_top_k_is_a_heap(spark, small):
 
 def test_last_n_limits_before_the_shuffle(spark, small):
     assert "WindowGroupLimit" in plan(scan.last_n(edges(spark, small), 5, ["user_id"], [F.desc("id")]))
+
+
+def test_rows_that_name_no_other_do_not_meet_in_one_task(spark, small):
+    from palimpsest.operators import assertions
+
+    e = edges(spark, small).withColumn("superseded_by", F.when(F.col("k") % 7 == 0, F.col("id") + 1))
+    rules = (assertions.refers("exists", "superseded_by"), assertions.refers("same_user", "superseded_by", "target.user_id = user_id"))
+    text = plan(assertions._flags(e, rules)[0])
+    assert "IsNotNull" in text or "isnotnull((CASE WHEN" in text
+    assert "Union" in text
+    got = {r["constraint"]: r["n"] for r in assertions.violations(e, rules).collect()}
+    last = e.agg(F.max("id")).first()[0]
+    other = e.alias("a").join(e.select(F.col("id").alias("to"), F.col("user_id").alias("its")), F.col("superseded_by") == F.col("to")).where("its <> user_id").count()
+    assert got == {"exists": e.where(F.col("superseded_by") > last).count(), "same_user": other}
