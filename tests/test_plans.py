@@ -49,3 +49,9 @@ def test_rows_that_name_no_other_do_not_meet_in_one_task(spark, small):
     last = e.agg(F.max("id")).first()[0]
     other = e.alias("a").join(e.select(F.col("id").alias("to"), F.col("user_id").alias("its")), F.col("superseded_by") == F.col("to")).where("its <> user_id").count()
     assert got == {"exists": e.where(F.col("superseded_by") > last).count(), "same_user": other}
+
+
+def test_rules_are_read_from_given_tables(spark, small):
+    from palimpsest.plans import memory
+
+    assert "events.parquet" in plan(memory.date_rules(spark, small))
