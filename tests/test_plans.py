@@ -55,3 +55,4 @@ def test_rules_are_read_from_given_tables(spark, small):
     from palimpsest.plans import memory
 
     assert "events.parquet" in plan(memory.date_rules(spark, small))
+    assert "conversations.parquet" in plan(memory.situational(spark, small))
