@@ -64,16 +64,19 @@ def _met(edges: DataFrame, queries: DataFrame, temporal_aware: bool) -> DataFram
     return live(edges).join(q, "user_id").where(F.col("entity").isNull() | mentions(F.col("entity"), strict=False))
 
 
-def _allowed(met: DataFrame) -> DataFrame:
-    """Only a query's current edges, unless there are none and it is not about time."""
-    any_current = F.max(is_current().cast("int")).over(W.partitionBy("query_id")) == 1
-    return met.withColumn("__any", any_current).where(is_current() | (~F.col("__any") & ~F.col("__about_time"))).drop("__any", "__about_time")
+def _allowed(edges: DataFrame, queries: DataFrame, temporal_aware: bool) -> DataFrame:
+    """What meets a query, and of that only current edges, unless there are none and it is not about time. Whether there are is
+    one bit a query, found beforehand, so that no candidates are dealt out to tell."""
+    any_current = _met(edges, queries, temporal_aware).groupBy(F.col("query_id").alias("__asked")).agg((F.max(is_current().cast("int")) == 1).alias("__any"))
+    told = queries.join(any_current, F.col("query_id").eqNullSafe(F.col("__asked"))).drop("__asked")
+    met = _met(edges, told, temporal_aware)
+    return met.where(is_current() | (~F.col("__any") & ~F.col("__about_time"))).drop("__any", "__about_time")
 
 
 def candidates(edges: DataFrame, queries: DataFrame, temporal_aware: bool = True) -> DataFrame:
     """The live edges of each query's user; only current ones, unless there are none and the query is not about time. An entity
     asked for narrows to edges that name it."""
-    return _allowed(_met(edges, queries, temporal_aware))
+    return _allowed(edges, queries, temporal_aware)
 
 
 #: Columns that scoring reads and nothing after it does.
@@ -84,11 +87,11 @@ def activated(edges: DataFrame, queries: DataFrame) -> DataFrame:
     """Candidates with ``content, emotional, temporal, relational, schematic_match, activation``, without vectors; the activation is
     the product of the factors' cubes. Edges are scored where they meet their query, before anything is shuffled by query, so
     that no vector is."""
-    met = _met(edges, queries, True)
+    met = _allowed(edges, queries, True)
     kept = [c for c in met.columns if c not in VECTORS]
     scored = met.select(*kept, content_factor(edges).alias("content"), emotional_factor().alias("emotional"), temporal_factor().alias("temporal"), relational_factor().alias("relational"), schematic_factor().alias("schematic_match"))
     factors = F.col("content") * F.col("emotional") * F.col("temporal") * F.col("relational") * F.col("schematic_match")
-    return _allowed(scored).withColumn("activation", F.pow(factors, F.lit(3)))
+    return scored.withColumn("activation", F.pow(factors, F.lit(3)))
 
 
 def ranked(scored: DataFrame) -> DataFrame:

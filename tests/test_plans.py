@@ -56,3 +56,11 @@ def test_rules_are_read_from_given_tables(spark, small):
 
     assert "events.parquet" in plan(memory.date_rules(spark, small))
     assert "conversations.parquet" in plan(memory.situational(spark, small))
+
+
+def test_edges_of_users_who_ask_nothing_get_no_vectors(spark, small):
+    e, q = _lifted(spark, small)
+    tree = e._jdf.queryExecution().optimizedPlan().toString()
+    vectors, semi = tree.index("Join Inner, (__vec"), tree.index("Join LeftSemi")
+    # deeper in the tree: before the join with the vectors
+    assert vectors < semi
