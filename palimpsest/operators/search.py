@@ -32,20 +32,21 @@ def _best_of(k: int, width: int):
     import numpy as np
     import pandas as pd
 
-    def run(batches):
-        for batch in batches:
-            for names, asked, ids, flat in zip(batch["block_ids"], batch["block_flat"], batch["shard_ids"], batch["shard_flat"], strict=True):
-                names, ids = np.asarray(names), np.asarray(ids)
-                q, v = np.asarray(asked, dtype=np.float64).reshape(-1, width), np.asarray(flat, dtype=np.float64).reshape(-1, width)
-                for lo in range(0, len(q), STEP):
-                    s = q[lo : lo + STEP] @ v.T
-                    kth = np.partition(s, -k, axis=1)[:, -k] if s.shape[1] > k else np.full(len(s), -np.inf)
-                    r, c = np.nonzero(s >= kth[:, None])
-                    # of equal scores the smaller id, so those at the k-th are all looked at
-                    order = np.lexsort((ids[c], -s[r, c], r))
-                    r, c = r[order], c[order]
-                    keep = np.arange(len(r)) - np.searchsorted(r, r) < k
-                    yield pd.DataFrame({"query_id": names[lo + r[keep]], "vec_id": ids[c[keep]], "score": s[r[keep], c[keep]]})
+    def run(pairs):
+        found = [pd.DataFrame({"query_id": [], "vec_id": [], "score": []})]
+        for names, asked, ids, flat in zip(pairs["block_ids"], pairs["block_flat"], pairs["shard_ids"], pairs["shard_flat"], strict=True):
+            names, ids = np.asarray(names), np.asarray(ids)
+            q, v = np.asarray(asked, dtype=np.float64).reshape(-1, width), np.asarray(flat, dtype=np.float64).reshape(-1, width)
+            for lo in range(0, len(q), STEP):
+                s = q[lo : lo + STEP] @ v.T
+                kth = np.partition(s, -k, axis=1)[:, -k] if s.shape[1] > k else np.full(len(s), -np.inf)
+                r, c = np.nonzero(s >= kth[:, None])
+                # of equal scores the smaller id, so those at the k-th are all looked at
+                order = np.lexsort((ids[c], -s[r, c], r))
+                r, c = r[order], c[order]
+                keep = np.arange(len(r)) - np.searchsorted(r, r) < k
+                found.append(pd.DataFrame({"query_id": names[lo + r[keep]], "vec_id": ids[c[keep]], "score": s[r[keep], c[keep]]}))
+        return pd.concat(found[1:] or found)
 
     return run
 
@@ -54,7 +55,7 @@ def top_k_each(vectors: DataFrame, queries: DataFrame, k: int = 8, id_col: str =
     """``queries(query_id, query)``: the k nearest of each by inner product, exactly: ``query_id, vec_id, score, rank``.
 
     Vectors are packed into shards and queries into blocks, every block meets every shard in a join by shard, and a task holds
-    one of each: what is shuffled is the vectors once, the queries once a shard, and k rows a query and shard. Nothing but two
+    one of each (a group is one pair, so that Python never holds a batch of pairs): what is shuffled is the vectors once, the queries once a shard, and k rows a query and shard. Nothing but two
     counts comes to the driver. Vectors of another width than the queries' widest take no part; nor do null ones."""
     asked = queries.where(F.col("query").isNotNull()).select("query_id", "query")
     known = vectors.where(F.col(vector_col).isNotNull()).select(id_col, vector_col)
@@ -68,7 +69,7 @@ def top_k_each(vectors: DataFrame, queries: DataFrame, k: int = 8, id_col: str =
     held = _packed(known, "shard", shards, id_col, vector_col)
     blocks = _packed(asked, "block", max(1, -(-size["n"] // ASKED)), "query_id", "query")
     sent = blocks.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    found = sent.join(held, "shard").select("block_ids", "block_flat", "shard_ids", "shard_flat").mapInPandas(_best_of(k, width), schema)
+    found = sent.join(held, "shard").groupBy("shard", "block").applyInPandas(_best_of(k, width), schema)
     r = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", r).where(F.col("rank") <= k)
 
@@ -83,6 +84,15 @@ def _terms(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("doc_id"), terms_of(F.col(text_col)).alias("t")).withColumn("length", F.size("t"))
 
 
+def counted(terms: Column) -> Column:
+    """``array<struct<term, tf>>`` of an array of terms: the runs of the sorted array, so a document is counted within its row."""
+    bound = lambda v, body: F.get(F.transform(F.array(v), body), F.lit(0))
+    begins = lambda s: F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+    runs = lambda x: F.transform(x["b"], lambda i, j: F.struct(F.get(x["s"], i).alias("term"), (F.coalesce(F.get(x["b"], j + 1), F.size(x["s"])) - i).cast("long").alias("tf")))
+    some = bound(F.array_sort(terms), lambda s: bound(F.struct(s.alias("s"), begins(s).alias("b")), runs))
+    return F.when(F.size(terms) > 0, some).otherwise(F.array().cast("array<struct<term:string,tf:bigint>>"))
+
+
 def lengths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     return _terms(docs, id_col, text_col).select("doc_id", "length")
 
@@ -90,10 +100,14 @@ def lengths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", only: DataFrame | None = None) -> DataFrame:
     """``doc_id, term, tf, length``: the inverted index of a text column; ``only(term)`` limits it to these terms, before anything is
     shuffled."""
-    rows = _terms(docs, id_col, text_col).select("doc_id", "length", F.explode("t").alias("term"))
+    rows = _terms(docs, id_col, text_col).select("doc_id", "length", F.inline(counted(F.col("t"))))
     if only is not None:
         rows = rows.join(only.select("term").distinct(), "term", "left_semi")
-    return rows.groupBy("doc_id", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
+    ids = docs.select(F.col(id_col).alias("doc_id"))
+    if not ids.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        # rows of one id and length count as one document
+        return rows.groupBy("doc_id", "length", "term").agg(F.sum("tf").alias("tf"))
+    return rows.select("doc_id", "length", "term", "tf")
 
 
 def refreshed(index: DataFrame, docs: DataFrame, changed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

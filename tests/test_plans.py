@@ -58,9 +58,30 @@ def test_rules_are_read_from_given_tables(spark, small):
     assert "conversations.parquet" in plan(memory.situational(spark, small))
 
 
+def test_postings_are_counted_within_rows(spark, small):
+    from palimpsest.operators import search
+
+    docs = spark.createDataFrame([(1, "b a b, B!"), (2, ""), (3, None), (4, "x")], "doc_id long, text string")
+    got = {(r["doc_id"], r["term"]): (r["tf"], r["length"]) for r in search.postings(docs).collect()}
+    assert got == {(1, "a"): (1, 4), (1, "b"): (3, 4), (4, "x"): (1, 1)}
+    twice = docs.unionByName(docs.where("doc_id = 1"))
+    assert {(r["doc_id"], r["term"]): r["tf"] for r in search.postings(twice).collect()} == {(1, "a"): 2, (1, "b"): 6, (4, "x"): 1}
+    # no map of a task's terms in memory
+    assert "Aggregate" not in plan(search.postings(spark.read.parquet(f"{small}/documents.parquet")))
+
+
 def test_edges_of_users_who_ask_nothing_get_no_vectors(spark, small):
     e, q = _lifted(spark, small)
     tree = e._jdf.queryExecution().optimizedPlan().toString()
     vectors, semi = tree.index("Join Inner, (__vec"), tree.index("Join LeftSemi")
     # deeper in the tree: before the join with the vectors
     assert vectors < semi
+
+
+def test_a_python_worker_holds_one_pair_of_blocks(spark, small):
+    from palimpsest.operators import search
+
+    v = spark.read.parquet(f"{small}/embeddings.parquet")
+    q = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    text = plan(search.top_k_each(v, q, 5))
+    assert "FlatMapGroupsInPandas" in text and "MapInPandas [" not in text.replace("FlatMapGroupsInPandas", "")
