@@ -22,6 +22,9 @@ carried over.
 Storage goes by bucket of the user, as the store's. An update reads and writes only the buckets of users in it, each as a new
 version, lists the version of every bucket of every table in a manifest, and then names that; readers follow the newest.
 One writer at a time. ``vacuum`` deletes versions that the newest manifest does not name.
+
+Who reads some of the tables alone can name them (``parts``): then these are carried, and what they are continued from. The first
+manifest says so, and a table that is not carried cannot be read later.
 """
 
 from __future__ import annotations
@@ -51,12 +54,18 @@ PARTS = {
     "milestones": "user_id long, id long, source_text string, sequence_number long",
     "ambiguities": "user_id long, id long, other_id long, question string",
 }
+#: What a table is continued from, beside itself.
+NEEDS = {"edges": ("keys", "entities", "tail", "arcs"), "ambiguities": ("tail",)}
 LOG = "n long, upto long, forgets long"
 MANIFEST = "part string, bucket int, version long"
+LEFT_OUT = -1
 
 
 class Maintained:
-    def __init__(self, store: EdgeStore, speaker: Column | None = None) -> None:
+    def __init__(self, store: EdgeStore, speaker: Column | None = None, parts: tuple[str, ...] = tuple(PARTS)) -> None:
+        if unknown := set(parts) - set(PARTS):
+            raise ValueError(f"no tables {sorted(unknown)}")
+        self.parts = {*parts, *(n for p in parts for n in NEEDS.get(p, ()))}
         self.store, self.spark = store, store.spark
         self.who = F.coalesce("subject", F.lit("user")) if speaker is None else speaker
 
@@ -73,7 +82,11 @@ class Maintained:
         """A version for each table and bucket that has rows: as many as there are buckets, for each table."""
         if not n:
             return {}
-        return {(r["part"], r["bucket"]): r["version"] for r in self.spark.read.schema(MANIFEST).parquet(f"{self.store.path}/maintained/manifest-{n:08d}").collect()}
+        found = {(r["part"], r["bucket"]): r["version"] for r in self.spark.read.schema(MANIFEST).parquet(f"{self.store.path}/maintained/manifest-{n:08d}").collect()}
+        # a table that is left out has a row of no bucket
+        if left_out := sorted(p for p, b in found if b == LEFT_OUT and p in self.parts):
+            raise ValueError(f"{left_out} have not been carried from the first update on")
+        return {k: v for k, v in found.items() if k[1] != LEFT_OUT}
 
     def _read(self, part: str, manifest: dict, buckets: list[int] | None = None) -> DataFrame:
         folders = [self._folder(part, v, b) for (p, b), v in sorted(manifest.items()) if p == part and (buckets is None or b in buckets)]
@@ -84,6 +97,8 @@ class Maintained:
 
     def table(self, part: str, user_id: int | None = None) -> DataFrame:
         """A table as of the last update; of one user, if named, from that user's bucket alone."""
+        if part not in self.parts:
+            raise ValueError(f"{part} is not carried")
         manifest = self._manifest(self._last()[0])
         if user_id is None:
             return self._read(part, manifest)
@@ -130,7 +145,7 @@ class Maintained:
             rows.withColumn("user_bucket", store.bucket(F.col("user_id"))).write.mode("overwrite").partitionBy("user_bucket").parquet(f"{store.path}/maintained/{part}/v{n + 1:08d}")
         manifest = {k: v for k, v in manifest.items() if k[1] not in buckets}
         manifest |= {(part, b): n + 1 for part in PARTS for b in buckets if store._exists(f"maintained/{part}/v{n + 1:08d}/user_bucket={b}")}
-        rows = [(p, b, v) for (p, b), v in manifest.items()]
+        rows = [(p, b, v) for (p, b), v in manifest.items()] + [(p, LEFT_OUT, 0) for p in PARTS if p not in self.parts]
         self.spark.createDataFrame(rows, MANIFEST).coalesce(1).write.mode("overwrite").parquet(f"{store.path}/maintained/manifest-{n + 1:08d}")
         store._log("maintained/log", [(n + 1, now, ops)], LOG)
         touched = users.count()
@@ -146,55 +161,65 @@ class Maintained:
         out: dict[str, DataFrame] = {}
 
         # each user's last edges, and what looks back at them
-        tail = work.table(own("tail").unionByName(new.select(*[c.split()[0] for c in PARTS["tail"].split(", ")])), "tail")
-        out["tail"] = others("tail").unionByName(last_n(tail, TAIL, ["user_id"], [c.desc() for c in arrival(tail)]))
-        ids = new.select("id")
-        context = entities.context_entity(tail, self.who).join(ids, "id", "left_semi")
-        nouns = F.filter(F.split(F.lower("source_text"), r"\s+"), lambda w: F.length(w) > 3)
-        asked = new.select("id", "user_id", "object", nouns.alias("terms"))
-        met = entities.ambiguities(tail, asked, TAIL).join(new.select("id", "user_id"), "id")
-        out["ambiguities"] = old["ambiguities"].unionByName(met.select("user_id", "id", "other_id", "question"))
-
-        # mentions, and affiliation by how often a name has been heard
-        affiliation = entities.affiliation(new, self.who, own("entities"))
-        heard = entities.mentions(new).withColumn("age", F.lit(1)).unionByName(own("entities").withColumn("age", F.lit(0)))
-        counted = heard.groupBy("user_id", "key").agg(F.min_by("name", "age").alias("name"), F.sum("mention_count").alias("mention_count"), F.min_by("first_id", "age").alias("first_id"), F.max_by("last_id", "age").alias("last_id"))
-        out["entities"] = others("entities").unionByName(counted)
+        if "tail" in self.parts:
+            tail = work.table(own("tail").unionByName(new.select(*[c.split()[0] for c in PARTS["tail"].split(", ")])), "tail")
+            out["tail"] = others("tail").unionByName(last_n(tail, TAIL, ["user_id"], [c.desc() for c in arrival(tail)]))
+        if "ambiguities" in self.parts:
+            nouns = F.filter(F.split(F.lower("source_text"), r"\s+"), lambda w: F.length(w) > 3)
+            asked = new.select("id", "user_id", "object", nouns.alias("terms"))
+            met = entities.ambiguities(tail, asked, TAIL).join(new.select("id", "user_id"), "id")
+            out["ambiguities"] = old["ambiguities"].unionByName(met.select("user_id", "id", "other_id", "question"))
+
+        # mentions
+        if "entities" in self.parts:
+            heard = entities.mentions(new).withColumn("age", F.lit(1)).unionByName(own("entities").withColumn("age", F.lit(0)))
+            counted = heard.groupBy("user_id", "key").agg(F.min_by("name", "age").alias("name"), F.sum("mention_count").alias("mention_count"), F.min_by("first_id", "age").alias("first_id"), F.max_by("last_id", "age").alias("last_id"))
+            out["entities"] = others("entities").unionByName(counted)
 
         # arcs
-        heads = own("arcs")
-        embedded = new.where("embedding is not null")
-        told = work.table(arcs.arcs(embedded, heads), "arcs")
-        opened = embedded.join(told.where("opened").select("id"), "id", "left_semi").select("user_id", "id", "sequence_number", "embedding")
-        out["arcs"] = others("arcs").unionByName(last_n(heads.unionByName(opened), arcs.LOOK, ["user_id"], [F.desc("sequence_number"), F.desc("id")]))
+        if "arcs" in self.parts:
+            heads = own("arcs")
+            embedded = new.where("embedding is not null")
+            told = work.table(arcs.arcs(embedded, heads), "arcs")
+            opened = embedded.join(told.where("opened").select("id"), "id", "left_semi").select("user_id", "id", "sequence_number", "embedding")
+            out["arcs"] = others("arcs").unionByName(last_n(heads.unionByName(opened), arcs.LOOK, ["user_id"], [F.desc("sequence_number"), F.desc("id")]))
 
         # clusters: labels of the contracted graph
-        named = entities.named(new).where(~F.col("key").isin(graph.EXCLUDED)).select("user_id", "key", "id")
-        keys = work.table(named.select("user_id", "key").distinct().join(own("keys"), ["user_id", "key"]), "met")
-        pseudo = keys.groupBy("user_id", F.col("cluster_id").alias("id")).agg(F.collect_list("key").alias("entities"))
-        both = new.select("user_id", "id", "entities").unionByName(pseudo.select("user_id", "id", "entities")).withColumn("tombstoned_at", F.lit(None).cast("timestamp_ntz"))
-        labels = work.table(graph.components(both), "labels")
-        moved = work.table(labels.where("id <> cluster_id").select(F.col("id").alias("from"), F.col("cluster_id").alias("to")), "moved")
-        follow = lambda rows: rows.join(moved, rows["cluster_id"] == moved["from"], "left").withColumn("cluster_id", F.coalesce("to", "cluster_id")).drop("from", "to")
-        first = named.join(labels, "id").groupBy("user_id", "key").agg(F.min("cluster_id").alias("cluster_id"))
-        held = follow(own("keys")).join(first.select("user_id", "key"), ["user_id", "key"], "left_anti")
-        out["keys"] = others("keys").unionByName(held).unionByName(first)
-        known = follow(own("edges"))
-        made = fresh.select("user_id", "id", "source_text_hash").join(labels.select("id", "cluster_id"), "id", "left").join(told.select("id", "arc_id"), "id", "left").join(affiliation, "id", "left").join(context, "id", "left")
-        out["edges"] = others("edges").unionByName(known).unionByName(made)
+        if "keys" in self.parts:
+            named = entities.named(new).where(~F.col("key").isin(graph.EXCLUDED)).select("user_id", "key", "id")
+            keys = work.table(named.select("user_id", "key").distinct().join(own("keys"), ["user_id", "key"]), "met")
+            pseudo = keys.groupBy("user_id", F.col("cluster_id").alias("id")).agg(F.collect_list("key").alias("entities"))
+            both = new.select("user_id", "id", "entities").unionByName(pseudo.select("user_id", "id", "entities")).withColumn("tombstoned_at", F.lit(None).cast("timestamp_ntz"))
+            labels = work.table(graph.components(both), "labels")
+            moved = work.table(labels.where("id <> cluster_id").select(F.col("id").alias("from"), F.col("cluster_id").alias("to")), "moved")
+            follow = lambda rows: rows.join(moved, rows["cluster_id"] == moved["from"], "left").withColumn("cluster_id", F.coalesce("to", "cluster_id")).drop("from", "to")
+            first = named.join(labels, "id").groupBy("user_id", "key").agg(F.min("cluster_id").alias("cluster_id"))
+            held = follow(own("keys")).join(first.select("user_id", "key"), ["user_id", "key"], "left_anti")
+            out["keys"] = others("keys").unionByName(held).unionByName(first)
+
+        # affiliation goes by how often a name has been heard; which texts are known is always kept
+        if "edges" in self.parts:
+            affiliation = entities.affiliation(new, self.who, own("entities"))
+            context = entities.context_entity(tail, self.who).join(new.select("id"), "id", "left_semi")
+            made = fresh.select("user_id", "id", "source_text_hash").join(labels.select("id", "cluster_id"), "id", "left").join(told.select("id", "arc_id"), "id", "left").join(affiliation, "id", "left").join(context, "id", "left")
+            out["edges"] = others("edges").unionByName(follow(own("edges"))).unionByName(made)
+        else:
+            out["edges"] = old["edges"].unionByName(fresh.select("user_id", "id", "source_text_hash"), allowMissingColumns=True)
 
         # facts and milestones
-        told_facts = new.where(state.tier() == "fact").withColumn("key", state.fact_key())
-        touched = told_facts.select("user_id", "key").distinct()
-        before = own("facts").join(touched, ["user_id", "key"], "left_semi")
-        seeds = before.select("user_id", "key", F.col("edge_id").alias("id"), F.col("value").alias("object"), "sequence_number", F.lit(None).cast("timestamp_ntz").alias("source_timestamp"), F.lit(False).alias("negated"), F.lit(None).cast("string").alias("temporal_context"))
-        newest = state.facts_by_key(told_facts.select(*seeds.columns).unionByName(seeds))
-        more = F.transform("history", lambda h: F.struct(h["value"].alias("value"), h["at"].alias("at"), h["type"].alias("type")))
-        told_before = before.select("user_id", "key", F.col("history").alias("earlier"))
-        grown = newest.withColumn("history", more).join(told_before, ["user_id", "key"], "left").withColumn("history", F.concat(F.coalesce("earlier", F.array().cast(PARTS["facts"].split("history ")[1])), "history"))
-        out["facts"] = old["facts"].join(touched, ["user_id", "key"], "left_anti").unionByName(grown.select(*[c.name for c in old["facts"].schema.fields]))
-        marked = state.milestones(new.where(state.tier() == "milestone")).select("user_id", "id", "source_text", "sequence_number")
-        out["milestones"] = old["milestones"].unionByName(marked.join(own("milestones").select("user_id", "source_text"), ["user_id", "source_text"], "left_anti"))
+        if "facts" in self.parts:
+            told_facts = new.where(state.tier() == "fact").withColumn("key", state.fact_key())
+            touched = told_facts.select("user_id", "key").distinct()
+            before = own("facts").join(touched, ["user_id", "key"], "left_semi")
+            seeds = before.select("user_id", "key", F.col("edge_id").alias("id"), F.col("value").alias("object"), "sequence_number", F.lit(None).cast("timestamp_ntz").alias("source_timestamp"), F.lit(False).alias("negated"), F.lit(None).cast("string").alias("temporal_context"))
+            newest = state.facts_by_key(told_facts.select(*seeds.columns).unionByName(seeds))
+            more = F.transform("history", lambda h: F.struct(h["value"].alias("value"), h["at"].alias("at"), h["type"].alias("type")))
+            told_before = before.select("user_id", "key", F.col("history").alias("earlier"))
+            grown = newest.withColumn("history", more).join(told_before, ["user_id", "key"], "left").withColumn("history", F.concat(F.coalesce("earlier", F.array().cast(PARTS["facts"].split("history ")[1])), "history"))
+            out["facts"] = old["facts"].join(touched, ["user_id", "key"], "left_anti").unionByName(grown.select(*[c.name for c in old["facts"].schema.fields]))
+        if "milestones" in self.parts:
+            marked = state.milestones(new.where(state.tier() == "milestone")).select("user_id", "id", "source_text", "sequence_number")
+            out["milestones"] = old["milestones"].unionByName(marked.join(own("milestones").select("user_id", "source_text"), ["user_id", "source_text"], "left_anti"))
         return out
 
     def vacuum(self) -> int:
@@ -209,9 +234,9 @@ class Maintained:
         return len(gone)
 
 
-def replayed(store: EdgeStore, commits: list[DataFrame], speaker: Column | None = None, each: Callable[[Maintained], object] | None = None) -> Maintained:
+def replayed(store: EdgeStore, commits: list[DataFrame], speaker: Column | None = None, each: Callable[[Maintained], object] | None = None, parts: tuple[str, ...] = tuple(PARTS)) -> Maintained:
     """Append the commits one by one, with an update after each."""
-    out = Maintained(store, speaker)
+    out = Maintained(store, speaker, parts)
     for rows in commits:
         store.append(rows)
         out.update()

@@ -179,3 +179,19 @@ def test_an_index_of_nothing(spark, tmp_path, ids):
     index.remove(spark.createDataFrame([(i,) for i in ids], "doc_id long"))
     index.add(spark.createDataFrame([(i, "") for i in ids], "doc_id long, text string"))
     assert index.search(spark.createDataFrame([(1, ["a"])], "query_id long, terms array<string>"))[0].count() == 0
+
+
+def test_tables_that_nobody_reads_are_not_carried(spark, tmp_path):
+    store = EdgeStore(spark, str(tmp_path / "s"), buckets=2)
+    held = Maintained(store, parts=("entities",))
+    more = {"sequence_number": None, "entities": ["tea", "Ann"]}
+    store.append(edges(spark, [(u, u, "Ann", "like", f"tea{u}", more) for u in range(4)]))
+    held.update()
+    # one is new, the other confirms an edge, so that its user is made anew
+    store.append(edges(spark, [(100, 3, "Ann", "like", "milk", more), (101, 2, "Ann", "like", "tea2", more)]))
+    assert held.update() == 2
+    assert sorted((r["user_id"], r["key"], r["mention_count"]) for r in held.table("entities").collect()) == [(u, k, 2 if u == 3 else 1) for u in range(4) for k in ("ann", "tea")]
+    assert {p.name for p in (tmp_path / "s" / "maintained").iterdir() if not p.name.startswith(("manifest", "log"))} == {"edges", "entities"}
+    for other in (lambda: held.table("facts"), lambda: Maintained(store).table("facts"), lambda: Maintained(store).update() or Maintained(store, parts=("facts",)).table("facts"), lambda: Maintained(store, parts=("fact",))):
+        with pytest.raises(ValueError):
+            other()
