@@ -83,7 +83,7 @@ def test_closures_have_least_depths(spark):
 
 @pytest.mark.parametrize("row", [8])
 def test_a_closure_by_levels_is_that_by_rounds(spark, monkeypatch, row):
-    """Leaves over leaves, a cycle and a long chain that are not peeled off, and nodes with more wider terms than a row holds."""
+    """Leaves over leaves, a chain, a cycle that is not peeled off, and nodes with more wider terms than a row holds."""
     monkeypatch.setattr(taxonomy, "ROW", row)
     wide = [(f"n{i}", f"n{i // k}") for i in range(1, 200) for k in (3, 5)] + [(f"leaf{i}", f"p{j}") for i in range(40) for j in range(12)] + [(f"p{j}", "n120") for j in range(12)]
     odd = [("a", "b"), ("b", "c"), ("c", "a"), ("n3", "a"), ("leaf3", "c"), *[(f"c{i}", f"c{i + 1}") for i in range(4)]]
