@@ -140,3 +140,22 @@ def test_a_profile_at_zero_but_for_rounding_reads_as_the_default(spark):
     moved = [(1, -0.7, 0.0), (1, 0.2, 0.1), (2, -0.5, 0.3), (3, -0.499, 0.2)]
     got = {r["user_id"]: round(r["warmth"], 6) for r in state.profiles(spark.createDataFrame(moved, "user_id long, warmth double, formality double").coalesce(1)).collect()}
     assert got == {1: 0.5, 2: 0.5, 3: 0.001}
+
+
+def test_mentions_are_linked_by_blocks_not_by_pairs(spark, monkeypatch):
+    third = [1 / 3, 0.1, 0.7]
+    known = [(1, f"same{i}", third) for i in range(5)] + [(2, "a", [1.0, 0.0]), (2, "b", [0.0, 1.0]), (2, "c", [0.0, 0.5, 9.0]), (2, "d", None), (3, "x", [1.0, None]), (3, "y", None), (None, "z", [1.0])]
+    asked = [(n, 1, [n / 7, 0.3, 0.9 / n]) for n in range(1, 8)] + [(10, 2, [0.0, 2.0]), (11, 2, [2.0, 2.0]), (12, 2, None), (13, 3, [1.0, 1.0]), (14, 3, [4.0]), (15, None, [1.0])]
+    m = spark.createDataFrame(asked, "mention_id long, user_id long, embedding array<double>")
+    e = spark.createDataFrame(known, "user_id long, name string, embedding array<double>")
+    dot = lambda a, b: sum((x * y for x, y in zip(a, b, strict=False)), 0.0)
+    for sizes in ({}, {"SHARD_BYTES": 100, "BLOCK_BYTES": 100, "STEP": 2, "AGAIN": 2}):
+        for name, value in sizes.items():
+            monkeypatch.setattr(entities, name, value)
+        df = entities.linked(m, e)
+        got = {r["mention_id"]: (r["name"], r["score"], r["n"]) for r in df.collect()}
+        # of equal scores the mean is the score, whatever the rounding
+        for n, _, v in asked[:7]:
+            assert got.pop(n) == ("same4", dot(v, third), 5)
+        assert got == {10: ("b", 2.0, 4), 11: (None, 2.0, 4), 12: (None, None, 4), 13: ("y", None, 2), 14: ("x", 4.0, 2)}
+        assert "FlatMapCoGroupsInArrow" in df._jdf.queryExecution().executedPlan().toString()
