@@ -89,7 +89,7 @@ def counted(terms: Column) -> Column:
     bound = lambda v, body: F.get(F.transform(F.array(v), body), F.lit(0))
     begins = lambda s: F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
     runs = lambda x: F.transform(x["b"], lambda i, j: F.struct(F.get(x["s"], i).alias("term"), (F.coalesce(F.get(x["b"], j + 1), F.size(x["s"])) - i).cast("long").alias("tf")))
-    some = bound(F.array_sort(terms), lambda s: bound(F.struct(s.alias("s"), begins(s).alias("b")), runs))
+    some = bound(F.sort_array(terms), lambda s: bound(F.struct(s.alias("s"), begins(s).alias("b")), runs))
     return F.when(F.size(terms) > 0, some).otherwise(F.array().cast("array<struct<term:string,tf:bigint>>"))
 
 

@@ -195,3 +195,20 @@ def test_tables_that_nobody_reads_are_not_carried(spark, tmp_path):
     for other in (lambda: held.table("facts"), lambda: Maintained(store).table("facts"), lambda: Maintained(store).update() or Maintained(store, parts=("facts",)).table("facts"), lambda: Maintained(store, parts=("fact",))):
         with pytest.raises(ValueError):
             other()
+
+
+def test_a_segment_is_made_with_one_shuffle_of_its_postings(spark, tmp_path, monkeypatch):
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    plans, write = {}, DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, path, *a, **k: (plans.setdefault(path.rsplit("/", 1)[1], []).append(self._df._jdf.queryExecution().executedPlan().toString()), write(self, path, *a, **k))[1])
+    index = SegmentedIndex(spark, f"file://{tmp_path}/i", block=2, part=3)
+    index.add(spark.createDataFrame([(i, "tea tea oak" if i % 2 else "tea, Oak; elm") for i in range(8)] + [(90, None), (91, "..")], "doc_id long, text string"))
+    index.add(spark.createDataFrame([(1, "tea"), (1, "tea and elm"), (None, "oak")], "doc_id long, text string"))
+    # ids that come once are not grouped, their texts are not shuffled
+    assert "Exchange" not in plans["docs"][0] and "Exchange" in plans["docs"][1]
+    # parts, order and blocks of a term come from one grouping
+    assert all(p.count("Exchange hashpartitioning") == 1 and "Window" not in p for p in plans["blocks"])
+    found, blocks = index.search(spark.createDataFrame([(1, ["oak"]), (2, ["and", "elm"])], "query_id long, terms array<string>"), 20)
+    got = {(r["query_id"], r["doc_id"]) for r in found.collect()}
+    assert got == {(1, i) for i in (0, 2, 3, 4, 5, 6, 7)} | {(2, i) for i in (0, 1, 2, 4, 6)} and blocks["blocks"] > 4
