@@ -31,6 +31,8 @@ TIME = "(?i)" + analyze._TIME.pattern
 POSSESSIVE = ("my", "your", "his", "her", "its", "our", "their")
 #: Auxiliaries before ``n't`` that have lost a letter.
 CUT = {"ca": "can", "wo": "will", "sha": "shall"}
+#: Characters of texts whose tokens a task sorts about.
+TASK_CHARS = 2_000_000
 NOMINAL = ("DET", "ADJ", "NOUN", "PROPN", "NUM", "PRON")
 
 
@@ -76,12 +78,20 @@ def lemma_of(low: Column) -> Column:
     )
 
 
-def tokens(texts: DataFrame) -> DataFrame:
-    """``texts(row, said)`` -> ``row, sentence, source_text, at, word``: sentences and tokens, both from 0."""
+def sentences(texts: DataFrame) -> DataFrame:
+    """``texts(row, said, ..)`` -> ``row, sentence, source_text, ..``: sentences, numbered from 0 in their text."""
     cut = F.filter(F.split(F.regexp_replace(F.trim("said"), r"([.!?])\s+", "$1\n"), r"\n+"), lambda x: F.trim(x) != "")
-    sentences = texts.select("row", F.posexplode(cut).alias("sentence", "source_text")).withColumn("source_text", F.trim("source_text"))
+    more = [c for c in texts.columns if c not in ("row", "said")]
+    return texts.select("row", *more, F.posexplode(cut).alias("sentence", "source_text")).withColumn("source_text", F.trim("source_text"))
+
+
+def tokens(cut: DataFrame) -> DataFrame:
+    """``sentences`` -> ``row, sentence, at, word, time, ..``: the tokens of each sentence, numbered from 0. The sentence itself is in none
+    of its tokens' rows, but for its expression of time."""
     words = F.regexp_extract_all(F.regexp_replace("source_text", NEGATED, " n't"), F.lit(TOKEN), F.lit(0))
-    return sentences.select("row", "sentence", "source_text", F.posexplode(words).alias("at", "word"))
+    time = F.lower(F.regexp_extract("source_text", TIME, 0)).alias("time")
+    own = [c for c in cut.columns if c != "source_text"]
+    return cut.select(*own, time, words.alias("words")).select(*own, "time", F.posexplode("words").alias("at", "word"))
 
 
 def _sentence() -> WindowSpec:
@@ -147,11 +157,11 @@ def grouped(rows: DataFrame) -> DataFrame:
 
 
 def attached(rows: DataFrame) -> DataFrame:
-    """``row, sentence`` with the verb and its subject and object, of grouped tokens that have ``speaker`` and ``listener``."""
+    """``row, sentence`` with the verb and its subject and object, of grouped tokens that have ``speaker``, ``listener`` and ``time``."""
     who = F.when(F.col("low").isin(*[w for w, p in analyze._PRON.items() if p == "1"]), F.coalesce("speaker", F.lit("user"))).when(F.col("low").isin(*[w for w, p in analyze._PRON.items() if p == "2"]), F.coalesce("listener", F.lit("assistant")))
     said = F.when(F.col("low").isin(*POSSESSIVE) & who.isNotNull(), F.concat(who, F.lit("'s"))).when(who.isNotNull(), who).otherwise(F.col("word"))
     shown = F.when((F.col("tag") == "DET") & ~F.col("low").isin(*POSSESSIVE), F.lit(None)).otherwise(said)
-    told = rows.withColumn("shown", shown).withColumn("time", F.lower(F.regexp_extract("source_text", TIME, 0)))
+    told = rows.withColumn("shown", shown)
     words = F.sort_array(F.collect_list(F.struct("at", "word", "low", "shown", "tag")))
     nps = told.where("np is not null and main").groupBy("row", "sentence", "np").agg(F.first("v").alias("v"), F.min("at").alias("a"), F.max("at").alias("z"), F.max("governor").alias("governor"), F.first("time").alias("time"), words.alias("w"))
     nps = nps.withColumn("timely", (F.col("time") != "") & F.contains(F.col("time"), F.array_join("w.low", " ")))
@@ -162,7 +172,6 @@ def attached(rows: DataFrame) -> DataFrame:
     # what follows the verb but for adverbs: a preposition, or not
     next_ = F.min(F.when(F.col("main") & (F.col("at") > F.col("v")) & (F.col("tag") != "ADV"), F.struct("at", "tag")))
     heads = told.groupBy("row", "sentence").agg(
-        F.first("source_text").alias("source_text"),
         F.first("v").alias("v"),
         F.max(F.when(F.col("at") == F.col("v"), F.struct("lemma", "low", "sense", "tag"))).alias("head"),
         next_.alias("next"),
@@ -184,7 +193,6 @@ def attached(rows: DataFrame) -> DataFrame:
     return met.select(
         "row",
         "sentence",
-        "source_text",
         "head",
         "all",
         "time",
@@ -210,10 +218,15 @@ def decomposed(turns: DataFrame, clean: bool = True, lexicon_: DataFrame | None
     said = F.coalesce("text", F.lit(""))
     numbered = have.withColumn("row", F.monotonically_increasing_id()).withColumn("said", analyze.stripped(said) if clean else said)
     held = Written(spark).table(numbered, "turns")
-    words = tokens(held.select("row", "said"))
-    rows = grouped(tagged(words, lexicon(spark) if lexicon_ is None else lexicon_, verbs(spark) if verbs_ is None else verbs_, irregular(spark)))
-    people = held.select("row", "speaker", "listener")
-    parts = attached(rows.join(people, "row"))
+    # sentences are dealt out before they are cut into tokens, and all that follows goes by text and sentence: tokens are not shuffled
+    size = held.agg(F.sum(F.length("said"))).first()[0] or 0
+    tasks = max(1, spark.sparkContext.defaultParallelism, -(-size // TASK_CHARS))
+    dealt = lambda *c: sentences(held.select("row", "said", *c)).repartition(tasks, "row", "sentence")
+    words = tokens(dealt("speaker", "listener"))
+    closed, known = F.broadcast(lexicon(spark)) if lexicon_ is None else lexicon_, F.broadcast(verbs(spark)) if verbs_ is None else verbs_
+    rows = grouped(tagged(words, closed, known, F.broadcast(irregular(spark))))
+    told_of = dealt(*[c for c in held.columns if c not in ("row", "said", "text", "listener")])
+    parts = attached(rows).join(told_of, ["row", "sentence"])
     lows = F.transform("all", lambda x: x["low"])
     line, low = F.array_join(lows, " "), F.lower("source_text")
     aux = F.transform(F.filter("all", lambda x: x["tag"] == "AUX"), lambda x: x["low"])
@@ -254,6 +267,6 @@ def decomposed(turns: DataFrame, clean: bool = True, lexicon_: DataFrame | None
         "emotion": feeling, "valence": F.when(negated, -valence).otherwise(valence), "emotion_target": F.when(feeling.isNotNull(), F.get(places, F.lit(0))), "temporal_expression": F.nullif(F.regexp_extract("source_text", TIME, 0), F.lit("")), "temporal_context": tense, "entities": entities,
         "schematic": F.when(kin, "family").otherwise(_mapped(dims.SUPERSENSE_SCHEMA, sense, F.lit("uncategorized"))), "verb_class": verb_class,
     }
-    out = parts.join(held, "row").select(*[c for c in have.columns if c not in ("text", "listener")], *[v.alias(k) for k, v in made.items()], "object_pos", alone.alias("subject_pos"))
+    out = parts.select(*[c for c in have.columns if c not in ("text", "listener")], *[v.alias(k) for k, v in made.items()], "object_pos", alone.alias("subject_pos"))
     told = F.when(((F.col("tense") == "present") & (F.col("aspect") == "simple")) | (F.col("aspect") == "habitual"), "stative").when((F.col("tense") == "past") & (F.col("aspect") == "simple") & (F.col("verb_class") == "ACHIEVEMENT"), "milestone").when((F.col("tense") == "past") & (F.col("verb_class") == "EXPERIENCE"), "notable").otherwise("routine")
     return out.withColumn("significance", told).withColumn("episodic_fact", F.trim(F.concat_ws(" ", "subject", F.translate("predicate", "_", " "), F.nullif(F.col("object"), F.lit("")))))

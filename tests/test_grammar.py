@@ -156,3 +156,11 @@ def test_assertions_hold_of_a_store_and_find_what_is_planted(spark, tmp_path):
     got = {r["constraint"]: (r["n"], r["examples"]) for r in assertions.violations(bad, examples=2).collect() if r["n"]}
     assert got == {"has_subject_and_predicate": (1, [3]), "confirmed_after_learned": (1, [4]), "retired_has_successor": (1, [3]), "one_row_an_id": (2, [3]), "one_current_value": (3, [1, 2]), "successor_exists": (1, [1]), "successor_of_same_user": (1, [2])}
     assert {r["n"] for r in assertions.violations(bad.limit(0)).collect()} == {0}
+
+
+def test_tokens_are_not_shuffled(spark):
+    df = spark.createDataFrame([("I gave Alice his guitar last week. She sings!", "Ann"), ("He left", "Bob"), (None, "Bob")], "text string, speaker string")
+    told = grammar.decomposed(df)
+    # only sentences are dealt out, before they are cut: no exchange serves a window, a grouping or a join of tokens
+    assert "hashpartitioning(" in plan(told) and not [x for x in plan(told).splitlines() if "hashpartitioning(" in x and "ENSURE_REQUIREMENTS" in x]
+    assert [(r["speaker"], r["sentence"], r["source_text"], r["object"]) for r in told.orderBy("speaker", "sentence").collect()][:2] == [("Ann", 0, "I gave Alice his guitar last week.", "his guitar last week")] + [("Ann", 1, "She sings!", "")]
