@@ -159,3 +159,8 @@ def test_mentions_are_linked_by_blocks_not_by_pairs(spark, monkeypatch):
             assert got.pop(n) == ("same4", dot(v, third), 5)
         assert got == {10: ("b", 2.0, 4), 11: (None, 2.0, 4), 12: (None, None, 4), 13: ("y", None, 2), 14: ("x", 4.0, 2)}
         assert "FlatMapCoGroupsInArrow" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_the_first_write_is_found_once_for_all_its_columns(spark):
+    df = state.confirmed(edges(spark, [(1, 1, "a", "likes", "tea"), (2, 1, "b", "likes", "tea")]))
+    assert df._jdf.queryExecution().optimizedPlan().toString().lower().count("min_by(") == 1
