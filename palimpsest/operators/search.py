@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -84,9 +86,13 @@ def _terms(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("doc_id"), terms_of(F.col(text_col)).alias("t")).withColumn("length", F.size("t"))
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def counted(terms: Column) -> Column:
     """``array<struct<term, tf>>`` of an array of terms: the runs of the sorted array, so a document is counted within its row."""
-    bound = lambda v, body: F.get(F.transform(F.array(v), body), F.lit(0))
     begins = lambda s: F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
     runs = lambda x: F.transform(x["b"], lambda i, j: F.struct(F.get(x["s"], i).alias("term"), (F.coalesce(F.get(x["b"], j + 1), F.size(x["s"])) - i).cast("long").alias("tf")))
     some = bound(F.sort_array(terms), lambda s: bound(F.struct(s.alias("s"), begins(s).alias("b")), runs))

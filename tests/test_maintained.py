@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -212,3 +213,41 @@ def test_a_segment_is_made_with_one_shuffle_of_its_postings(spark, tmp_path, mon
     found, blocks = index.search(spark.createDataFrame([(1, ["oak"]), (2, ["and", "elm"])], "query_id long, terms array<string>"), 20)
     got = {(r["query_id"], r["doc_id"]) for r in found.collect()}
     assert got == {(1, i) for i in (0, 2, 3, 4, 5, 6, 7)} | {(2, i) for i in (0, 1, 2, 4, 6)} and blocks["blocks"] > 4
+
+
+def test_lists_of_postings_are_collected_from_sorted_rows(spark, tmp_path, monkeypatch):
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    from palimpsest.sources import index as made
+
+    plans, write = [], DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, path, *a, **k: (path.endswith("/blocks") and plans.append(self._df._jdf.queryExecution().executedPlan().toString()), write(self, path, *a, **k))[1])
+    before = spark.conf.get(made.HASHED, None)
+    index = SegmentedIndex(spark, f"file://{tmp_path}/i", block=4, part=12)
+    index.add(spark.createDataFrame([(i, "tea " * (1 + i % 5) + "oak " * (i % 7) + ("elm" if i == 3 else "")) for i in range(30)], "doc_id long, text string"))
+    # no map of lists beside what Spark counts as memory, and no block that carries the list it is cut from
+    assert len(plans) == 1 and "SortAggregate" in plans[0] and "ObjectHashAggregate" not in plans[0]
+    assert re.search(r"Generate .*\[term#\d+, part#\d+\], false, \[block#\d+, postings#\d+\]", plans[0])
+    assert spark.conf.get(made.HASHED, None) == before
+    with pytest.raises(KeyError), made.sorted_groups(spark):
+        assert spark.conf.get(made.HASHED) == "false"
+        raise KeyError
+    assert spark.conf.get(made.HASHED, None) == before
+    # blocks of a part: numbered from 0, full but the last, the most telling first, with the tables' types
+    name = index._of("segment")[0]["name"]
+    rows = spark.read.parquet(f"file://{tmp_path}/i/{name}/blocks")
+    assert [(f.name, f.dataType) for f in rows.schema] == [(f.name, f.dataType) for f in index._read(made.BLOCKS, [f"{name}/blocks"]).schema]
+    lengths = {i: 1 + i % 5 + i % 7 + (i == 3) for i in range(30)}
+    mean, held = sum(lengths.values()) / 30, {}
+    for r in rows.collect():
+        held.setdefault((r["term"], r["part"]), []).append(r)
+    assert {t for t, _ in held} == {"tea", "oak", "elm"} and len([p for t, p in held if t == "tea"]) == 3
+    tf = {"tea": lambda i: 1 + i % 5, "oak": lambda i: i % 7, "elm": lambda i: int(i == 3)}
+    for term, count in tf.items():
+        found = []
+        for cells in (sorted(v, key=lambda r: r["block"]) for (t, _), v in held.items() if t == term):
+            assert [r["block"] for r in cells] == list(range(len(cells))) and all(len(r["postings"]) == 4 for r in cells[:-1]) and cells[-1]["postings"]
+            part = [tuple(p) for r in cells for p in r["postings"]]
+            assert part == sorted(part, key=lambda p: (-p[1] * 2.2 / (p[1] + 1.2 * (0.25 + 0.75 * p[2] / mean)), p[0]))
+            found += part
+        assert sorted(found) == [(i, count(i), lengths[i]) for i in range(30) if count(i)]
